@@ -25,6 +25,11 @@ def _all_blocks(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns as new attributes, so that both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
@@ -51,7 +56,7 @@ def cosine_pairs(
     sizes = entries.agg(
         F.approx_count_distinct(row).alias("rows"), F.approx_count_distinct(dim).alias("dims")
     ).first()
-    size = min(block_rows, max(128, -(-sizes["rows"] // max(2, int(_parallelism(entries) ** 0.5)))))
+    size = min(block_rows, max(128, -(-sizes["rows"] // _parallelism(entries))))
     nb, nd = block_count(sizes["rows"], size), block_count(sizes["dims"], block_dims)
     e = unit_entries(entries, row, dim, value).withColumns({"blk": block_of("row", nb), "cd": block_of("dim", nd)})
     cells = e.withColumn("other", _all_blocks(nb)).withColumns(
@@ -282,7 +287,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
     out = (
         left.repartition(n_cells, "t", "r")
         .groupBy("t", "r")
-        .cogroup(right.repartition(n_cells, "t", "r").groupBy("t", "r"))
+        .cogroup(_renewed(right).repartition(n_cells, "t", "r").groupBy("t", "r"))
         .applyInPandas(predict, shape)
     )
     if not single:
@@ -466,7 +471,7 @@ def score_top(
     found = (
         left.repartition(n_cells, "q", "i")
         .groupBy("q", "i")
-        .cogroup(right.repartition(n_cells, "q", "i").groupBy("q", "i"))
+        .cogroup(_renewed(right).repartition(n_cells, "q", "i").groupBy("q", "i"))
         .applyInPandas(score, f"query {kind_q}, item {kind_i}, score double, lim int, lo double, hi double")
     )
     if bounds and ni > 1:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfspark import schemas
 from shelfspark.functions import values
 from shelfspark.operators import skew
+from shelfspark.runtime import cut_lineage
 
 STATUSES = ["watching", "completed", "on_hold", "dropped", "plan_to_watch"]
 
@@ -18,8 +19,13 @@ def keep_frequent(df: DataFrame, key: str, at_least: int) -> DataFrame:
 
 
 def min_count_filter(df: DataFrame, min_user: int = 5, min_item: int = 5) -> DataFrame:
-    """Users, then items, below their minimum are dropped; two rounds, not a fixed point."""
+    """Users, then items, below their minimum are dropped; two rounds, not a fixed point.
+
+    Each round reads its input twice per key, so a round starts from a written
+    table instead of repeating everything before it.
+    """
     for _ in range(2):
+        df = cut_lineage(df, "min-count")
         df = keep_frequent(keep_frequent(df, "user_id", min_user), "item_id", min_item)
     return df
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfspark.operators import interactions, metrics, recommend
+from shelfspark.runtime import cut_lineage
 
 
 def split_sides(log: DataFrame, min_user: int = 5, min_item: int = 5, test_frac: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    split = interactions.time_split(interactions.min_count_filter(log, min_user, min_item), test_frac)
+    kept = cut_lineage(interactions.min_count_filter(log, min_user, min_item), "kept")
+    split = cut_lineage(interactions.time_split(kept, test_frac), "split")
     return split.filter("split = 'train'"), split.filter("split = 'test'")
 
 

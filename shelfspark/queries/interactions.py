@@ -39,9 +39,9 @@ def min_count_filter(spark, d):
     return op.min_count_filter(inter(spark, d), 5, 5)
 
 
-@query("min_count_filter_strict", with_ctes(INTER, min_count_ctes(35, 25), body="SELECT * FROM f4"))
+@query("min_count_filter_strict", with_ctes(INTER, min_count_ctes(28, 22), body="SELECT * FROM f4"))
 def min_count_filter_strict(spark, d):
-    return op.min_count_filter(inter(spark, d), 35, 25)
+    return op.min_count_filter(inter(spark, d), 28, 22)
 
 
 @query("time_split", with_ctes(INTER, SPLIT, body="SELECT * FROM split"))

@@ -1 +1,270 @@
-"""stub"""
+"""Ranking metric queries.
+
+Lists: every vector searches all others, ten results each; relevant are the
+vectors with the same label.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfspark.operators import metrics as op, recommend, retrieval
+from shelfspark.plans import evaluation, tables
+from shelfspark.queries import query
+from shelfspark.queries.common import CAT, GENRE_VEC, INTER, cat, cat_lean, inter, with_ctes
+from shelfspark.queries.interactions import SPLIT, min_count_ctes
+from shelfspark.operators import features
+
+LISTS = """
+rk AS (SELECT query, rank, item FROM (
+  SELECT a.vec_id AS query, b.vec_id AS item, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+    round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10),
+rel AS (SELECT a.vec_id AS query, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+nrel AS (SELECT query, count(*) AS n_rel FROM rel GROUP BY query),
+hits AS (SELECT rk.query, rk.rank, rk.item, (rel.item IS NOT NULL)::INTEGER AS hit FROM rk LEFT JOIN rel ON rk.query = rel.query AND rk.item = rel.item),
+runs AS (SELECT *, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS running FROM hits),
+ideal AS (SELECT n, (SELECT sum(1 / log2(i + 1)) FROM range(1, n + 1) t(i)) AS dcg FROM range(1, 11) s(n)),
+m AS (SELECT query, max(n_rel) AS n_rel,
+    coalesce(1 / min(CASE WHEN hit = 1 THEN rank END), 0) AS mrr,
+    sum(CASE WHEN hit = 1 AND rank <= 5 THEN 1 ELSE 0 END) / 5 AS p5, sum(hit) / 10 AS p10,
+    sum(CASE WHEN hit = 1 AND rank <= 5 THEN 1 ELSE 0 END) AS h5, sum(hit) AS h10,
+    sum(CASE WHEN hit = 1 AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS d5,
+    sum(CASE WHEN hit = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS d10,
+    count(CASE WHEN rank <= 5 THEN 1 END) AS l5, count(*) AS l10,
+    sum(CASE WHEN hit = 1 THEN running / rank ELSE 0 END) AS ap
+  FROM runs LEFT JOIN nrel USING (query) GROUP BY query)
+"""
+
+
+def lists(spark, d):
+    """(queries, ranked, relevant). The relevance table itself is all same-label pairs, by definition."""
+    v = tables.vectors(spark, d)
+    found = retrieval.vector_search(v, v, 10, exclude_self=True)
+    queries = v.select(F.col("id").alias("query"))
+    a = v.select(F.col("id").alias("query"), "label")
+    ranked = found.select("query", "rank", "item")
+    b = v.select(F.col("id").alias("item"), "label")
+    rel = a.join(b, "label").filter("query <> item").select("query", "item")
+    return queries, ranked, rel
+
+
+def listed(spark, d, name, k):
+    return op.one_metric(*lists(spark, d), name, k)
+
+
+@query("vector_lists", with_ctes(LISTS, body="SELECT * FROM rk"))
+def vector_lists(spark, d):
+    return lists(spark, d)[1]
+
+
+@query("score_hits", with_ctes(LISTS, body="SELECT * FROM hits"))
+def score_hits(spark, d):
+    _, ranked, rel = lists(spark, d)
+    return op.score_hits(ranked, rel)
+
+
+@query("precision_at_k", with_ctes(LISTS, body="SELECT query, round(p5, 6) AS value FROM m"))
+def precision_at_k(spark, d):
+    return listed(spark, d, "precision", 5)
+
+
+@query("recall_at_k", with_ctes(LISTS, body="SELECT query, round(coalesce(h10 / n_rel, 0), 6) AS value FROM m"))
+def recall_at_k(spark, d):
+    return listed(spark, d, "recall", 10)
+
+
+@query("ndcg_at_k", with_ctes(LISTS, body="""
+SELECT query, round(coalesce(d10 / i.dcg, 0), 6) AS value FROM m LEFT JOIN ideal i ON i.n = least(n_rel, l10)"""))
+def ndcg_at_k(spark, d):
+    return listed(spark, d, "ndcg", 10)
+
+
+@query("ndcg_bench", with_ctes(LISTS, body="""
+SELECT query, round(coalesce(d5 / i.dcg, 0), 6) AS value FROM m LEFT JOIN ideal i ON i.n = least(n_rel, 5)"""))
+def ndcg_bench(spark, d):
+    return listed(spark, d, "ndcg_full", 5)
+
+
+@query("mrr", with_ctes(LISTS, body="SELECT query, round(mrr, 6) AS value FROM m"))
+def mrr(spark, d):
+    return listed(spark, d, "mrr", 10)
+
+
+@query("map_at_k", with_ctes(LISTS, body="SELECT query, round(coalesce(ap / least(n_rel, 10), 0), 6) AS value FROM m"))
+def map_at_k(spark, d):
+    return listed(spark, d, "map", 10)
+
+
+@query("ranked_list_metrics", with_ctes(LISTS, body="""
+SELECT query, round(mrr, 6) AS mrr, round(p5, 6) AS precision_5, round(coalesce(h5 / n_rel, 0), 6) AS recall_5,
+  round(coalesce(d5 / i5.dcg, 0), 6) AS ndcg_5, round(p10, 6) AS precision_10, round(coalesce(h10 / n_rel, 0), 6) AS recall_10,
+  round(coalesce(d10 / i10.dcg, 0), 6) AS ndcg_10, round(coalesce(ap / least(n_rel, 10), 0), 6) AS map_10
+FROM m LEFT JOIN ideal i5 ON i5.n = least(n_rel, l5) LEFT JOIN ideal i10 ON i10.n = least(n_rel, l10)"""))
+def ranked_list_metrics(spark, d):
+    return op.ranked_list_metrics(*lists(spark, d))
+
+
+@query("candidate_recall", with_ctes(LISTS, body="""
+SELECT query, round(sum(CASE WHEN rk.item IS NOT NULL THEN 1 ELSE 0 END) / count(*), 6) AS recall
+FROM rel LEFT JOIN rk USING (query, item) GROUP BY query"""))
+def candidate_recall(spark, d):
+    _, ranked, rel = lists(spark, d)
+    return op.candidate_recall(ranked, rel)
+
+
+@query("set_intersection_recall", with_ctes(INTER, SPLIT, body="""
+, tr AS (SELECT DISTINCT item_id % 100 AS item, user_id AS query FROM split WHERE split = 'train'),
+te AS (SELECT DISTINCT item_id % 100 AS item, user_id AS query FROM split WHERE split = 'test')
+SELECT query, round(sum(CASE WHEN tr.item IS NOT NULL THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM te LEFT JOIN tr USING (query, item) GROUP BY query"""))
+def set_intersection_recall(spark, d):
+    """How many of the shelves (item number mod 100) a user tests on were already in the training part."""
+    from shelfspark.operators.interactions import time_split
+
+    parts = time_split(inter(spark, d), 0.2).select("split", F.col("user_id").alias("query"), (F.col("item_id") % 100).alias("item"))
+    return op.candidate_recall(parts.filter("split = 'train'"), parts.filter("split = 'test'"))
+
+
+SEEN_TOP = """
+, prof AS (SELECT user_id, dim, sum(weight) / max(n) AS w FROM inter JOIN gvec ON mal_id = item_id
+    JOIN (SELECT user_id, count(*) AS n FROM inter GROUP BY user_id) USING (user_id) GROUP BY user_id, dim),
+dots AS (SELECT user_id AS query, mal_id AS item, sum(w * weight) AS gain FROM prof JOIN gvec USING (dim) GROUP BY ALL)
+"""
+
+
+@query("graded_ndcg", with_ctes(INTER, CAT, GENRE_VEC, body=SEEN_TOP + """
+, pops AS (SELECT mal_id AS item, row_number() OVER (ORDER BY members DESC, mal_id) AS rank FROM cat),
+lst AS (SELECT DISTINCT user_id AS query, rank, item FROM inter, pops WHERE rank <= 10),
+best AS (SELECT query, gain, row_number() OVER (PARTITION BY query ORDER BY round(gain, 9) DESC, item) AS rank FROM dots),
+dcg AS (SELECT query, sum(coalesce(gain, 0) / log2(rank + 1)) AS dcg FROM lst LEFT JOIN dots USING (query, item) GROUP BY query),
+idcg AS (SELECT query, sum(gain / log2(rank + 1)) AS idcg FROM best WHERE rank <= 10 GROUP BY query)
+SELECT query, round(dcg / idcg, 6) AS ndcg FROM dcg JOIN idcg USING (query)"""))
+def graded_ndcg(spark, d):
+    """Popularity slates judged by each user's genre profile."""
+    log, c = inter(spark, d), cat(spark, d)
+    vecs = features.genre_vectors(c)
+    tastes = recommend.user_profile(log, vecs)
+    pop = c.select(F.col("mal_id").alias("item_id"), F.col("members").alias("pop"))
+    order = recommend.popularity_order(pop)
+    slates = recommend.with_fallback(
+        log.select("user_id"), recommend.exclude_seen(log, log).withColumn("rank", F.lit(1)), order, 10
+    ).select(F.col("user_id").alias("query"), "rank", F.col("item_id").alias("item"))
+    gains = (
+        slates.join(vecs.withColumnRenamed("mal_id", "item"), "item")
+        .join(tastes.select(F.col("user_id").alias("query"), "dim", F.col("weight").alias("w")), ["query", "dim"])
+        .groupBy("query", "item")
+        .agg(F.sum(F.col("w") * F.col("weight")).alias("gain"))
+    )
+    ideal = recommend.ground_truth_top(tastes, vecs, 10).select(F.col("user_id").alias("query"), "rank", F.col("score").alias("gain"))
+    return op.graded_ndcg(slates, gains, ideal, 10)
+
+
+@query("ground_truth_top", with_ctes(INTER, CAT, GENRE_VEC, body=SEEN_TOP + """
+SELECT user_id, item_id, score, rank FROM (SELECT query AS user_id, item AS item_id, round(gain, 6) AS score,
+  row_number() OVER (PARTITION BY query ORDER BY round(gain, 9) DESC, item) AS rank FROM dots) WHERE rank <= 50"""))
+def ground_truth_top(spark, d):
+    vecs = features.genre_vectors(cat_lean(spark, d))
+    tastes = recommend.user_profile(inter(spark, d), vecs)
+    return recommend.ground_truth_top(tastes, vecs, 50).withColumn("score", F.round("score", 6))
+
+
+@query("intent_recall", with_ctes(INTER, CAT, GENRE_VEC, body=SEEN_TOP + """
+, ranked AS (SELECT user_id AS query, dim, w, row_number() OVER (PARTITION BY user_id ORDER BY round(w, 9) DESC, dim) AS r,
+  max((w >= 0.2)::INTEGER) OVER (PARTITION BY user_id) AS strong FROM prof),
+intents AS (SELECT query, dim FROM ranked WHERE CASE WHEN strong = 1 THEN w >= 0.2 ELSE r <= 3 END),
+top AS (SELECT user_id AS query, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM inter) WHERE r <= 5),
+met AS (SELECT DISTINCT t.query, g.dim FROM top t JOIN gvec g ON g.mal_id = t.item_id)
+SELECT query, round(sum((met.dim IS NOT NULL)::INTEGER) / count(*), 6) AS intent_recall FROM intents LEFT JOIN met USING (query, dim) GROUP BY query"""))
+def intent_recall(spark, d):
+    """Taste intents of each user against the user's five best-rated items."""
+    log = inter(spark, d)
+    vecs = features.genre_vectors(cat_lean(spark, d))
+    tastes = recommend.user_profile(log, vecs).withColumnRenamed("user_id", "query")
+    wanted = op.taste_intents(tastes)
+    from shelfspark.queries.interactions import top_items_per_user
+
+    top = top_items_per_user(spark, d).select(F.col("user_id").alias("query"), "rank", F.col("item_id").alias("item"))
+    # only items on the slates can meet an intent, so the intent table is joined through them
+    touched = top.join(vecs.select(F.col("mal_id").alias("item"), F.col("dim").alias("intent")), "item")
+    intents = wanted.join(touched.select("query", "intent", "item"), ["query", "intent"], "left").select("query", "intent", "item")
+    return op.intent_recall(top, intents)
+
+
+LOOSE = """
+, ex AS (SELECT mal_id AS item, unnest(genres) AS genre FROM cat),
+lst AS (SELECT user_id AS query, item_id AS item, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rank FROM inter) WHERE rank <= 10),
+gold AS (SELECT DISTINCT user_id AS query, genre FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM inter) JOIN ex ON item = item_id WHERE r <= 1),
+rel AS (SELECT DISTINCT lst.query, lst.item FROM lst JOIN ex USING (item) JOIN gold USING (query, genre))
+"""
+
+
+def _loose(spark, d):
+    """Each user's ten latest items against the genres of the user's best-rated item."""
+    from pyspark.sql import Window as W
+
+    from shelfspark.queries.interactions import top_items_per_user
+
+    log = inter(spark, d)
+    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("item_id"))
+    ranked = (
+        log.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+        .select(F.col("user_id").alias("query"), "rank", F.col("item_id").alias("item"))
+    )
+    genres = cat_lean(spark, d).select(F.col("mal_id").alias("item"), F.explode("genres").alias("genre"))
+    best = top_items_per_user(spark, d).filter("rank = 1").select(F.col("user_id").alias("query"), F.col("item_id").alias("item"))
+    golden = best.join(genres, "item").select("query", "genre").distinct()
+    return log.select(F.col("user_id").alias("query")).distinct(), ranked, genres, golden
+
+
+@query("loose_relevance", with_ctes(INTER, CAT, body=LOOSE + "SELECT * FROM rel"))
+def loose_relevance(spark, d):
+    _, ranked, genres, golden = _loose(spark, d)
+    return op.loose_relevance(ranked, genres, golden)
+
+
+@query("loose_metrics", with_ctes(INTER, CAT, body=LOOSE + """
+, ideal AS (SELECT n, (SELECT sum(1 / log2(i + 1)) FROM range(1, n + 1) t(i)) AS dcg FROM range(1, 6) s(n)),
+h AS (SELECT lst.query, rank, (rel.item IS NOT NULL)::INTEGER AS hit FROM lst LEFT JOIN rel USING (query, item)),
+a AS (SELECT query, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / 5 AS p5, sum(CASE WHEN rank <= 5 THEN hit / log2(rank + 1) ELSE 0 END) AS dcg,
+  coalesce(1 / min(CASE WHEN hit = 1 THEN rank END), 0) AS mrr, sum(hit) AS n FROM h GROUP BY query)
+SELECT query, round(p5, 6) AS p5, round(coalesce(a.dcg / i.dcg, 0), 6) AS ndcg5, round(mrr, 6) AS mrr
+FROM a LEFT JOIN ideal i ON i.n = least(a.n, 5)"""))
+def loose_metrics(spark, d):
+    return op.loose_metrics(*_loose(spark, d))
+
+
+POP_EVAL = """
+, sp AS (SELECT user_id, item_id, CASE WHEN rn <= least(greatest(1, CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)), n - 1) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM f4)),
+pop AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS place FROM sp WHERE split = 'train' GROUP BY item_id),
+users AS (SELECT DISTINCT user_id FROM sp WHERE split = 'test'),
+lst AS (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY place) AS rank FROM users u, pop p
+  WHERE place <= 300 AND NOT EXISTS (SELECT 1 FROM sp s WHERE s.split = 'train' AND s.user_id = u.user_id AND s.item_id = p.item_id)),
+h AS (SELECT l.user_id, rank, (t.item_id IS NOT NULL)::INTEGER AS hit FROM lst l LEFT JOIN sp t ON t.split = 'test' AND t.user_id = l.user_id AND t.item_id = l.item_id WHERE rank <= 10),
+r AS (SELECT *, sum(hit) OVER (PARTITION BY user_id ORDER BY rank) AS running FROM h),
+nrel AS (SELECT user_id, count(*) AS n_rel FROM sp WHERE split = 'test' GROUP BY user_id),
+ideal AS (SELECT n, (SELECT sum(1 / log2(i + 1)) FROM range(1, n + 1) t(i)) AS dcg FROM range(1, 11) s(n)),
+a AS (SELECT user_id AS query, max(n_rel) AS n_rel, coalesce(1 / min(CASE WHEN hit = 1 THEN rank END), 0) AS mrr,
+  sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS h5, sum(hit) AS h10,
+  sum(CASE WHEN rank <= 5 THEN hit / log2(rank + 1) ELSE 0 END) AS d5, sum(hit / log2(rank + 1)) AS d10,
+  sum(CASE WHEN hit = 1 THEN running / rank ELSE 0 END) AS ap FROM r JOIN nrel USING (user_id) GROUP BY user_id)
+"""
+POP_ROWS = """
+SELECT query, round(mrr, 6) AS mrr, round(h5 / 5, 6) AS precision_5, round(h5 / n_rel, 6) AS recall_5, round(d5 / i5.dcg, 6) AS ndcg_5,
+  round(h10 / 10, 6) AS precision_10, round(h10 / n_rel, 6) AS recall_10, round(d10 / i10.dcg, 6) AS ndcg_10, round(ap / least(n_rel, 10), 6) AS map_10
+FROM a JOIN ideal i5 ON i5.n = least(n_rel, 5) JOIN ideal i10 ON i10.n = least(n_rel, 10)
+"""
+
+
+@query("popularity_evaluation", with_ctes(INTER, min_count_ctes(5, 5), body=POP_EVAL + POP_ROWS))
+def popularity_evaluation(spark, d):
+    return evaluation.popularity_baseline(inter(spark, d))
+
+
+@query("popularity_evaluation_mean", with_ctes(INTER, min_count_ctes(5, 5), body=POP_EVAL + f"""
+, rows AS ({POP_ROWS})
+SELECT count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(precision_5), 4) AS precision_5, round(avg(recall_5), 4) AS recall_5,
+  round(avg(ndcg_5), 4) AS ndcg_5, round(avg(precision_10), 4) AS precision_10, round(avg(recall_10), 4) AS recall_10,
+  round(avg(ndcg_10), 4) AS ndcg_10, round(avg(map_10), 4) AS map_10 FROM rows"""))
+def popularity_evaluation_mean(spark, d):
+    return evaluation.averaged(evaluation.popularity_baseline(inter(spark, d)))

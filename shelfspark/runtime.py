@@ -1,4 +1,4 @@
-"""Shared working folder, reliable checkpoints and size checks."""
+"""Shared working folder, written intermediate tables and size checks."""
 
 from __future__ import annotations
 
@@ -36,10 +36,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later passes read the same rows, also after executors are lost."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write once to the shared folder and read back.
+
+    Later passes read the same rows, also after executors are lost, with
+    columns pruned and real sizes for the planner. The folder outlives the
+    session: cleaning it up is the operator's choice.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def block_count(rows: int, block_rows: int) -> int:
