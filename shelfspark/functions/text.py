@@ -64,10 +64,10 @@ def normalize(c: Column) -> Column:
     return F.lower(collapse_spaces(F.coalesce(c, F.lit(""))))
 
 
-def strip_html(c: Column, limit: int = 2000) -> Column:
-    """Tags become blanks, blanks collapse; cut to ``limit``; empty becomes null."""
+def strip_html(c: Column, limit: int | None = 2000) -> Column:
+    """Tags become blanks, blanks collapse; cut to ``limit`` unless None; empty becomes null."""
     plain = collapse_spaces(F.regexp_replace(c, "<[^>]+>", " "))
-    return F.nullif(F.substring(plain, 1, limit), F.lit(""))
+    return F.nullif(plain if limit is None else F.substring(plain, 1, limit), F.lit(""))
 
 
 def detect_language(c: Column) -> Column:

@@ -168,3 +168,57 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label"
     )
+
+
+# Query wording per vector label; some name a genre, some are Vietnamese, some neither.
+LABEL_TEXT = [
+    "a mecha show", "love story please", "phim kinh dị", "something nice", "funny robot", "tìm phim hài",
+    "slice of life", "action and magic", "drama", "none at all",
+]
+POINT_GENRES = ["Mecha", "Romance", "Horror", "Comedy", "Fantasy", "Drama", "Slice of Life"]
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, vector): every vector asks, in the words of its label."""
+    return vectors(spark, sf_dir).select("id", pick(LABEL_TEXT, F.col("label")).alias("text"), "vector")
+
+
+def vector_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vector, vector_vi, genres, item_score); a quarter has no second vector."""
+    i = F.col("id")
+    return vectors(spark, sf_dir).select(
+        "id",
+        "vector",
+        F.when(i % 4 != 0, F.reverse("vector")).alias("vector_vi"),
+        F.array(pick(POINT_GENRES, i % 7), pick(POINT_GENRES, F.floor(i / 7) % 7)).alias("genres"),
+        ((i * 37 % 101) / 10).alias("item_score"),
+    )
+
+
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, intent, entities, question): one question per supplier, ten kinds in turn, about parts 7i and 11i."""
+    s = F.col("s_suppkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    a = part.select(F.col("p_partkey").alias("ka"), F.col("p_name").alias("a"), F.col("p_type").alias("t"))
+    b = part.select(F.col("p_partkey").alias("kb"), F.col("p_name").alias("b"))
+    rows = table(spark, sf_dir, "supplier").join(a, s * 7 == F.col("ka")).join(b, s * 11 == F.col("kb"))
+    field = pick(["score", "studio", "year", "episodes", "season_status"], F.floor(s / 10) % 5)
+    word = F.element_at(F.split("a", " "), 1)
+    kinds = [
+        ("qa_detail", F.concat(F.lit("title="), F.col("a"), F.lit(";field="), field), "how is it"),
+        ("search", F.concat(F.lit("title~"), F.substring("a", 2, 6)), "find it"),
+        ("compare", F.concat(F.lit("compare=["), F.col("a"), F.lit(", "), F.col("b"), F.lit("]")), "which one"),
+        ("recommend", F.concat(F.lit("similar_to="), F.col("a")), "more of this"),
+        ("search", F.concat(F.lit("genre="), word), "some of these"),
+        ("recommend_multi", F.concat(F.lit("genre="), word, F.lit(";genre="), F.col("t")), "a bit of each"),
+        ("search", F.lit("mood"), "stress quá"),
+        ("recommend", F.lit("constraint"), "xem 1 lèo"),
+        ("recommend", F.lit("similar_to=Zzyzx Quux"), "more"),
+        ("qa_detail", F.lit("title=Zzyzx Quux;field=year"), "when"),
+    ]
+    n = (s % 10 + 1).cast("int")
+
+    def nth(i: int) -> Column:
+        return F.element_at(F.array(*[k[i] if isinstance(k[i], Column) else F.lit(k[i]) for k in kinds]), n)
+
+    return rows.select(s.alias("id"), nth(0).alias("intent"), nth(1).alias("entities"), nth(2).alias("question"))
