@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfspark.runtime import block_count
+from shelfspark.runtime import block_count, cut_lineage
 
 DIGITS = 9  # scores this close are ties
 
@@ -53,12 +53,11 @@ def cosine_pairs(
     2 x block_rows x block_dims entries. The result itself is every related
     pair: the recommenders below do not build it.
     """
-    sizes = entries.agg(
-        F.approx_count_distinct(row).alias("rows"), F.approx_count_distinct(dim).alias("dims")
-    ).first()
+    e = cut_lineage(unit_entries(entries, row, dim, value), "entries")
+    sizes = e.agg(F.approx_count_distinct("row").alias("rows"), F.approx_count_distinct("dim").alias("dims")).first()
     size = min(block_rows, max(128, -(-sizes["rows"] // _parallelism(entries))))
     nb, nd = block_count(sizes["rows"], size), block_count(sizes["dims"], block_dims)
-    e = unit_entries(entries, row, dim, value).withColumns({"blk": block_of("row", nb), "cd": block_of("dim", nd)})
+    e = e.withColumns({"blk": block_of("row", nb), "cd": block_of("dim", nd)})
     cells = e.withColumn("other", _all_blocks(nb)).withColumns(
         {"ca": F.least("blk", "other"), "cb": F.greatest("blk", "other")}
     )
@@ -179,10 +178,10 @@ def neighbour_top(
 
 
 def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows):
-    sizes = ratings.agg(F.approx_count_distinct(row).alias("rows")).first()
+    e = cut_lineage(unit_entries(ratings, row, col, value), "entries")
+    sizes = e.agg(F.approx_count_distinct("row").alias("rows")).first()
     t_size = min(target_rows, max(32, -(-sizes["rows"] // _parallelism(ratings))))
     nt, nr = block_count(sizes["rows"], t_size), block_count(sizes["rows"], rater_rows)
-    e = unit_entries(ratings, row, col, value)
     kind = dict(e.dtypes)
     zero = F.lit(0.0)
     left = e.select(block_of("row", nt).alias("t"), "row", "dim", "value", "norm", F.lit(0).alias("ask"))

@@ -180,20 +180,18 @@ def finished_top(cat: DataFrame, n: int = 3) -> DataFrame:
     return done.orderBy(F.desc("score"), F.asc("mal_id")).limit(n)
 
 
-def genre_match(token: Column, pool: Column, synopsis: Column) -> Column:
-    """A token equals or is part of a genre name; 'isekai' also matches synopsis wording."""
-    t = text.normalize(token)
-    named = F.exists(F.transform(pool, text.normalize), lambda g: g.contains(t))
-    syn = text.normalize(synopsis)
-    # Wording that marks the one genre with a synopsis fallback.
-    wording = syn.contains("isekai") | syn.contains("another world") | syn.contains("reincarnat")
-    return named | ((t == "isekai") & wording)
+_WORDED = "\u0001isekai wording"
+
+
+def _worded(syn: Column) -> Column:
+    # Synopsis wording that marks the genre 'isekai'.
+    return syn.contains("isekai") | syn.contains("another world") | syn.contains("reincarnat")
 
 
 def genre_top(cat: DataFrame, tokens: DataFrame, n: int | None = 3, token_col: str = "token") -> DataFrame:
     """Per token the best ``n`` matching items by (score, members); null counts as 0; None = all.
 
-    Tokens match distinct genre names first (a small vocabulary), then the
+    A token matches an item when it is part of one of its genre names. Tokens match distinct genre names first (a small vocabulary), then the
     exploded items by equality: no item is compared with every token.
     """
     pools = cat.select("mal_id", F.explode("genres").alias("g")).withColumn("g", text.normalize(F.col("g"))).distinct()
@@ -203,15 +201,11 @@ def genre_top(cat: DataFrame, tokens: DataFrame, n: int | None = 3, token_col: s
     from shelfspark.operators.resolve import substring_pairs
 
     pairs = substring_pairs(wanted.select("t").distinct(), "t", names, "g")
-    hits = wanted.join(pairs, "t").join(pools, "g").select(token_col, "mal_id")
+    # the one genre with a wording fallback: items with the wording carry a marker genre
     syn = text.normalize(F.col("synopsis"))
-    worded = (
-        cat.filter(syn.contains("isekai") | syn.contains("another world") | syn.contains("reincarnat"))
-        .select("mal_id")
-        .withColumn("t", F.lit("isekai"))
-    )
-    extra = wanted.filter("t = 'isekai'").join(worded, "t").select(token_col, "mal_id")
-    hits = hits.unionByName(extra).distinct()
+    worded = cat.filter(_worded(syn)).select("mal_id", F.lit(_WORDED).alias("g"))
+    marked = wanted.filter(F.col("t") == "isekai").select("t", F.lit(_WORDED).alias("g")).distinct()
+    hits = wanted.join(pairs.unionByName(marked), "t").join(pools.unionByName(worded), "g").select(token_col, "mal_id").distinct()
     scored = hits.join(
         cat.select("mal_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("members", F.lit(0)).alias("members")),
         "mal_id",

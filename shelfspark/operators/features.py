@@ -218,14 +218,13 @@ def fit_tfidf(train: DataFrame, key: str, col: str, max_features: int = 1000) ->
 
 def tfidf(docs: DataFrame, key: str, col: str, fitted: DataFrame) -> DataFrame:
     """(key, idx, term, weight): L2-normalised sparse rows; documents without a known term have none."""
-    # the vocabulary has at most max_features rows
-    weighted = (
-        term_counts(docs, key, col)
-        .join(F.broadcast(fitted), "term")
-        .withColumn("raw", F.col("tf") * F.col("idf"))
+    known = docs.select(key, F.explode(tokens(F.col(col))).alias("term")).join(
+        F.broadcast(fitted), "term"  # at most max_features rows
     )
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "idx", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    counts = known.groupBy(key, "idx", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("raw"))
+    # a document has at most max_features rows left
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
+    return counts.select(key, "idx", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def dense_rows(weights: DataFrame, key: str, width: int) -> DataFrame:

@@ -31,25 +31,31 @@ def score_hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
 
 
 def base(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """One row per query with everything the metrics need, from one pass over the hits."""
+    """One row per query with everything the metrics need: one aggregation over the hits.
+
+    Only the hits inside the first k are collected, so an array holds k values at most.
+    """
     hits = score_hits(ranked, relevant)
     top = max(ks)
-    running = F.sum("hit").over(W.partitionBy("query").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    best = hits.filter(F.col("rank") <= top).withColumn("running", running)
-    aggs = [F.sum(F.when(F.col("hit") == 1, F.col("running") / F.col("rank")).otherwise(0.0)).alias("ap")]
+    hit = F.col("hit") == 1
+    aggs = [
+        F.min(F.when(hit, F.col("rank"))).alias("first"),
+        F.array_sort(F.collect_list(F.when(hit & (F.col("rank") <= top), F.col("rank")))).alias("places"),
+    ]
     for k in ks:
         inside = F.col("rank") <= k
-        good = inside & (F.col("hit") == 1)
+        good = inside & hit
         aggs += [
             F.sum(good.cast("int")).alias(f"hits_{k}"),
-            F.countDistinct(F.when(good, F.col("item"))).alias(f"found_{k}"),
+            F.size(F.collect_set(F.when(good, F.col("item")))).alias(f"found_{k}"),
             F.sum(F.when(good, discount(F.col("rank"))).otherwise(0.0)).alias(f"dcg_{k}"),
             F.sum(inside.cast("int")).alias(f"len_{k}"),
         ]
-    per = best.groupBy("query").agg(*aggs)
-    first = hits.filter("hit = 1").groupBy("query").agg(F.min("rank").alias("first"))
-    n_rel = relevant.groupBy("query").agg(F.countDistinct("item").alias("n_rel"))
-    return queries.select("query").distinct().join(per, "query", "left").join(first, "query", "left").join(n_rel, "query", "left").na.fill(0)
+    gains = F.transform("places", lambda place, i: (i + 1) / place)
+    per = hits.groupBy("query").agg(*aggs).withColumn("ap", F.aggregate(gains, F.lit(0.0), lambda a, x: a + x)).drop("places")
+    n_rel = relevant.select("query", "item").distinct().groupBy("query").agg(F.count(F.lit(1)).alias("n_rel"))
+    asked = queries.select("query").distinct()
+    return asked.join(per, "query", "left").join(n_rel, "query", "left").na.fill(0)
 
 
 def precision(k: int) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from shelfspark.runtime import cut_lineage
+
 # Highest allowed null rate per column.
 THRESHOLDS = {"title": 0.0, "image_url": 0.05, "score": 0.10, "year": 0.05}
 
@@ -57,12 +60,13 @@ def percentile_nearest(df: DataFrame, group: list[str], value: str, percents: li
     """sorted[min(int(p/100 * n), n-1)] per group, exactly, without sorting a group in one task.
 
     Distinct values are counted first (map-side combined); the running count
-    goes over the distinct values of a group, cut into ranges by the counts of
-    coarse ranges, see ``_ranked_values``.
+    goes over the distinct values of a group, range by range, see
+    ``_ranked_values``.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
+    known = df.filter(F.col(value).isNotNull())
+    counts = cut_lineage(known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("c")), "value-counts")
     ranked = _ranked_values(counts, group, value)
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
     wanted = totals.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn(
         "pos", F.least(F.floor(F.col("p") / 100 * F.col("n")), F.col("n") - 1)
     )
@@ -75,25 +79,18 @@ def percentile_nearest(df: DataFrame, group: list[str], value: str, percents: li
     return joined.filter(hit).select(*group, "p", F.col(value).alias("value"), "n")
 
 
-def _ranked_values(counts: DataFrame, group: list[str], value: str) -> DataFrame:
+def _ranked_values(counts: DataFrame, group: list[str], value: str, bins: int = 256) -> DataFrame:
     """Adds ``before``: how many rows of the group have a smaller value.
 
-    Values fall into 1,024 equal-width ranges between the group's bounds. The
-    offset of a range comes from the range counts; only values of one range are
-    ordered together.
+    Distinct values are cut at approximate quantiles into ranges of about equal
+    size, whatever their distribution. The offset of a range comes from the
+    range counts; only the values of one range are ordered together.
     """
-    spans = counts.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    if group:
-        joined = counts.join(spans, group)
-    else:
-        span = spans.select(F.struct("lo", "hi")).scalar()
-        joined = counts.withColumn("s", span).select("*", "s.lo", "s.hi").drop("s")
-    share = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    binned = joined.withColumn(
-        "bin", F.when(F.col("hi") > F.col("lo"), F.floor(share * 1023)).otherwise(F.lit(0)).cast("int")
-    ).drop("lo", "hi")
-    bins = binned.groupBy(*group, "bin").agg(F.sum("c").alias("bc"))
-    shifted = bins.withColumn("shift", F.sum("bc").over(W.partitionBy(*group).orderBy("bin")) - F.col("bc")).drop("bc")
+    cuts = counts.approxQuantile(value, [i / bins for i in range(1, bins)], 1 / (4 * bins))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    binned = Bucketizer(splits=splits, inputCol=value, outputCol="bin").transform(counts)
+    totals = binned.groupBy(*group, "bin").agg(F.sum("c").alias("bc"))  # at most ``bins`` rows per group
+    shifted = totals.withColumn("shift", F.sum("bc").over(W.partitionBy(*group).orderBy("bin")) - F.col("bc")).drop("bc")
     inside = F.sum("c").over(W.partitionBy(*group, "bin").orderBy(value)) - F.col("c")
     local = binned.withColumn("inside", inside)
     return local.join(shifted, [*group, "bin"]).withColumn("before", F.col("inside") + F.col("shift")).drop("inside", "shift", "bin")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shelfspark.functions import values
 from shelfspark.operators import blocks, skew
+from shelfspark.runtime import cut_lineage
 
 
 def popularity(cat: DataFrame, log: bool = True) -> DataFrame:
@@ -20,9 +21,10 @@ def popularity(cat: DataFrame, log: bool = True) -> DataFrame:
 
 
 def popularity_order(pop: DataFrame, score: str = "pop") -> DataFrame:
-    """(item_id, place): place 1 is the most popular, ties by id."""
-    keyed = pop.select("item_id", F.struct((-F.col(score)).alias("s"), "item_id").alias("o"))
-    return keyed.join(skew.dense_index(keyed, "o", "place"), "o").select("item_id", (F.col("place") + 1).alias("place"))
+    """(item_id, place): place 1 is the most popular, ties by id. Written once: every list reads it."""
+    keyed = pop.select(F.struct((-F.col(score)).alias("s"), "item_id").alias("o"))
+    placed = skew.dense_index(keyed, "o", "place")  # an item occurs once, so its key carries its id
+    return cut_lineage(placed.select("o.item_id", (F.col("place") + 1).alias("place")), "places")
 
 
 def popular_unseen(users: DataFrame, seen: DataFrame, order: DataFrame, k: int) -> DataFrame:
@@ -76,8 +78,8 @@ def item_cf_recommend(ratings: DataFrame, n: int = 10, k: int = 10, value: str =
 
 
 def _packed(entries: DataFrame, row: str, dims: DataFrame) -> DataFrame:
-    """(row, dim, weight) entries to packed vectors through a dense index of dims."""
-    return blocks.pack(entries.join(dims, "dim"), row, "idx", "weight")
+    """(row, dim, weight) entries to packed vectors through a dense index of dims, written once."""
+    return cut_lineage(blocks.pack(entries.join(dims, "dim"), row, "idx", "weight"), "packed")
 
 
 def content_similar(entries: DataFrame, k: int = 10, reviews: DataFrame | None = None) -> DataFrame:
@@ -182,7 +184,8 @@ def explore_slots(slates: DataFrame, seen: DataFrame, items: DataFrame, k: int,
     a and b from user and seed. The first e + |seen| + |slate| + gap steps hold e
     free items, so only those are generated.
     """
-    numbered = skew.dense_index(items, "item_id", "no")
+    slates = cut_lineage(slates, "slates")
+    numbered = cut_lineage(skew.dense_index(items, "item_id", "no"), "numbered")
     n = numbered.count()
     p = next_prime(n)
     used = slates.select("user_id", "item_id").unionByName(seen.select("user_id", "item_id")).distinct()
@@ -200,6 +203,7 @@ def explore_slots(slates: DataFrame, seen: DataFrame, items: DataFrame, k: int,
     )
     w = W.partitionBy("user_id").orderBy("j")
     extra = walk.withColumn("x", F.row_number().over(w)).filter(F.col("x") <= e).select("user_id", "item_id", "x")
+    extra = cut_lineage(extra, "extra")
     n_extra = extra.groupBy("user_id").agg(F.count(F.lit(1)).alias("ne"))
     kept = (
         slates.join(n_extra, "user_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.functions import text
 from shelfspark.operators import catalog, resolve, retrieval
+from shelfspark.runtime import cut_lineage
 
 # Mood word -> genres; the first mood found decides, with its first genre.
 MOOD_GENRES = {
@@ -90,14 +91,26 @@ def routed(golden: DataFrame, titles: DataFrame) -> DataFrame:
     return g.withColumns({"route": route, "token": token})
 
 
+def _routed_once(golden: DataFrame, cat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Titles and routed questions, each written once: every intent's plan reads them."""
+    titles = cut_lineage(resolved_titles(golden, cat), "titles")
+    return titles, cut_lineage(routed(golden, titles), "routed")
+
+
 def similar_order() -> list[Column]:
     return [F.col("score").desc(), F.col("members").desc(), F.col("item").asc()]
 
 
+def _finished(scored: DataFrame, k: int) -> Column:
+    """The k best finished items as one array value: a scalar subquery over k rows."""
+    done = scored.filter("status = 'Finished Airing'").orderBy(F.desc("score"), F.asc("mal_id")).limit(k)
+    ranked = done.withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), F.asc("mal_id"))))
+    return ranked.agg(F.collect_list(F.struct("pos", "mal_id"))).scalar()
+
+
 def relevance_sets(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame:
     """(id, intent_no, item): the relevant items per question; multi-intent rows have one set per genre."""
-    titles = resolved_titles(golden, cat)
-    g = routed(golden, titles).select("id", "route", "token", "entities")
+    titles, g = _routed_once(golden, cat)
     zero = F.lit(0).alias("intent_no")
     named = g.join(titles, "id").filter(
         ((F.col("route") == "one") & (F.col("pos") == 1)) | ((F.col("route") == "two") & (F.col("pos") <= 2))
@@ -109,11 +122,9 @@ def relevance_sets(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame:
     genre = g.filter("route = 'genre'")
     top = catalog.genre_top(cat, genre.select("token").distinct(), k)
     by_genre = genre.join(top.select("token", "mal_id"), "token").select("id", zero, F.col("mal_id").alias("item"))
-    done = scored.filter("status = 'Finished Airing'").orderBy(F.desc("score"), F.asc("mal_id")).limit(k)
-    # k rows for every such question
-    finished = g.filter("route = 'finished'").withColumn("one", F.lit(1)).join(
-        F.broadcast(done.select(F.lit(1).alias("one"), F.col("mal_id").alias("item"))), "one"
-    ).select("id", zero, "item")
+    finished = g.filter("route = 'finished'").select(
+        "id", zero, F.explode(_finished(scored, k)).alias("f")
+    ).select("id", "intent_no", F.col("f.mal_id").alias("item"))
     tokens = g.filter("route = 'multi'").select("id", F.posexplode(text.genre_tokens(F.col("entities"))).alias("n", "token"))
     every = catalog.genre_top(cat, tokens.select("token").distinct(), None)
     multi = tokens.join(every.select("token", "mal_id"), "token").select(
@@ -124,8 +135,7 @@ def relevance_sets(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame:
 
 def golden_genres(golden: DataFrame, cat: DataFrame) -> DataFrame:
     """(query, genre): genres of the titles a question names, else of its top genre picks."""
-    titles = resolved_titles(golden, cat)
-    g = routed(golden, titles)
+    titles, g = _routed_once(golden, cat)
     by_title = F.col("intent").isin("qa_detail", "search", "search_fuzzy", "compare", "recommend") | _has(
         "entities", "field=", "title=", "title~", "similar_to=", "compare="
     )
@@ -167,8 +177,7 @@ def golden_reference(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame
     facts = retrieval.with_document(c).select(
         "mal_id", "title", "doc", F.array_join("genres", ", ").alias("genre_text"), _facts().alias("f")
     )
-    titles = resolved_titles(golden, cat)
-    g = routed(golden, titles)
+    titles, g = _routed_once(golden, cat)
     # a recommendation without a usable base answers by mood or genre only if it names no title
     named = _has("entities", "similar_to=", "title=", "title~")
     g = g.withColumn(
@@ -190,11 +199,9 @@ def golden_reference(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame
     genre = r.filter("route = 'genre'")
     top = catalog.genre_top(cat, genre.select("token").distinct(), k)
     by_genre = genre.join(top.select("token", "mal_id", "rank"), "token").select("id", F.col("rank").cast("int").alias("pos"), "mal_id")
-    done = scored.filter("status = 'Finished Airing'").orderBy(F.desc("score"), F.asc("mal_id")).limit(k)
-    done = done.select("mal_id", F.row_number().over(W.orderBy(F.desc("score"), F.asc("mal_id"))).alias("pos"))
-    finished = r.filter("route = 'finished'").withColumn("one", F.lit(1)).join(
-        F.broadcast(done.withColumn("one", F.lit(1))), "one"
-    ).select("id", F.col("pos").cast("int").alias("pos"), "mal_id")
+    finished = r.filter("route = 'finished'").select("id", F.explode(_finished(scored, k)).alias("f")).select(
+        "id", F.col("f.pos").cast("int").alias("pos"), F.col("f.mal_id").alias("mal_id")
+    )
     rows = reduce(DataFrame.unionByName, [first, similar, by_genre, finished])
     packed = (
         rows.join(facts, "mal_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfspark.plans import tables
+from shelfspark.runtime import cut_lineage
 
 # --- SQL twins of shelfspark.plans.tables ------------------------------------------
 
@@ -97,10 +98,20 @@ def cat_lean(spark: SparkSession, d: str) -> DataFrame:
     return tables.catalog(spark, d, with_members=False).withColumnRenamed("item_id", "mal_id")
 
 
+def cat_once(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog as a written table, for plans that read it many times."""
+    return cut_lineage(cat(spark, d), "catalog")
+
+
 def inter(spark: SparkSession, d: str) -> DataFrame:
     return tables.interactions(spark, d)
 
 
+def inter_once(spark: SparkSession, d: str) -> DataFrame:
+    """The interaction log as a written table, for plans that read it many times."""
+    return cut_lineage(inter(spark, d), "interactions")
+
+
 def joined(c: str) -> Column:
     return F.array_join(c, "|").alias(c)
 

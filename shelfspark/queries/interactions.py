@@ -8,7 +8,8 @@ from shelfspark.functions import values
 from shelfspark.operators import catalog as cop, features, interactions as op, recommend, skew
 from shelfspark.plans import tables
 from shelfspark.queries import query
-from shelfspark.queries.common import INTER, LIST, RATED, inter, with_ctes
+from shelfspark.queries.common import INTER, LIST, RATED, inter, inter_once, with_ctes
+from shelfspark.runtime import cut_lineage
 
 
 @query("interactions", with_ctes(INTER, body="SELECT * FROM inter"))
@@ -46,12 +47,12 @@ def min_count_filter_strict(spark, d):
 
 @query("time_split", with_ctes(INTER, SPLIT, body="SELECT * FROM split"))
 def time_split(spark, d):
-    return op.time_split(inter(spark, d), 0.2)
+    return op.time_split(inter_once(spark, d), 0.2)
 
 
 @query("union_splits", with_ctes(INTER, SPLIT, body="SELECT split, count(*) AS n, count(DISTINCT user_id) AS users FROM split GROUP BY split"))
 def union_splits(spark, d):
-    parts = op.time_split(inter(spark, d), 0.2)
+    parts = cut_lineage(op.time_split(inter_once(spark, d), 0.2), "split")
     both = op.union_splits(parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split"))
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
@@ -73,7 +74,7 @@ def dense_ids(spark, d):
 SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS user_idx, dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx,
   user_id, item_id, score FROM inter"""))
 def index_ids(spark, d):
-    return op.index_ids(inter(spark, d))
+    return op.index_ids(inter_once(spark, d))
 
 
 @query("implicit_binarize", with_ctes(INTER, body="""

@@ -6,14 +6,13 @@ vectors with the same label.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from shelfspark.operators import metrics as op, recommend, retrieval
+from shelfspark.operators import features, metrics as op, recommend, retrieval
 from shelfspark.plans import evaluation, tables
 from shelfspark.queries import query
-from shelfspark.queries.common import CAT, GENRE_VEC, INTER, cat, cat_lean, inter, with_ctes
+from shelfspark.queries.common import CAT, GENRE_VEC, INTER, cat, cat_lean, inter, inter_once, with_ctes
 from shelfspark.queries.interactions import SPLIT, min_count_ctes
-from shelfspark.operators import features
 
 LISTS = """
 rk AS (SELECT query, rank, item FROM (
@@ -49,6 +48,15 @@ def lists(spark, d):
     return queries, ranked, rel
 
 
+def op_top(log, k):
+    """Each user's k best-rated items as ranked lists."""
+    w = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
+    return (
+        log.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        .select(F.col("user_id").alias("query"), "rank", F.col("item_id").alias("item"))
+    )
+
+
 def listed(spark, d, name, k):
     return op.one_metric(*lists(spark, d), name, k)
 
@@ -121,7 +129,7 @@ def set_intersection_recall(spark, d):
     """How many of the shelves (item number mod 100) a user tests on were already in the training part."""
     from shelfspark.operators.interactions import time_split
 
-    parts = time_split(inter(spark, d), 0.2).select("split", F.col("user_id").alias("query"), (F.col("item_id") % 100).alias("item"))
+    parts = time_split(inter_once(spark, d), 0.2).select("split", F.col("user_id").alias("query"), (F.col("item_id") % 100).alias("item"))
     return op.candidate_recall(parts.filter("split = 'train'"), parts.filter("split = 'test'"))
 
 
@@ -141,7 +149,7 @@ idcg AS (SELECT query, sum(gain / log2(rank + 1)) AS idcg FROM best WHERE rank <
 SELECT query, round(dcg / idcg, 6) AS ndcg FROM dcg JOIN idcg USING (query)"""))
 def graded_ndcg(spark, d):
     """Popularity slates judged by each user's genre profile."""
-    log, c = inter(spark, d), cat(spark, d)
+    log, c = inter_once(spark, d), cat(spark, d)
     vecs = features.genre_vectors(c)
     tastes = recommend.user_profile(log, vecs)
     pop = c.select(F.col("mal_id").alias("item_id"), F.col("members").alias("pop"))
@@ -177,13 +185,11 @@ met AS (SELECT DISTINCT t.query, g.dim FROM top t JOIN gvec g ON g.mal_id = t.it
 SELECT query, round(sum((met.dim IS NOT NULL)::INTEGER) / count(*), 6) AS intent_recall FROM intents LEFT JOIN met USING (query, dim) GROUP BY query"""))
 def intent_recall(spark, d):
     """Taste intents of each user against the user's five best-rated items."""
-    log = inter(spark, d)
+    log = inter_once(spark, d)
     vecs = features.genre_vectors(cat_lean(spark, d))
     tastes = recommend.user_profile(log, vecs).withColumnRenamed("user_id", "query")
     wanted = op.taste_intents(tastes)
-    from shelfspark.queries.interactions import top_items_per_user
-
-    top = top_items_per_user(spark, d).select(F.col("user_id").alias("query"), "rank", F.col("item_id").alias("item"))
+    top = op_top(log, 5)
     # only items on the slates can meet an intent, so the intent table is joined through them
     touched = top.join(vecs.select(F.col("mal_id").alias("item"), F.col("dim").alias("intent")), "item")
     intents = wanted.join(touched.select("query", "intent", "item"), ["query", "intent"], "left").select("query", "intent", "item")
@@ -200,18 +206,14 @@ rel AS (SELECT DISTINCT lst.query, lst.item FROM lst JOIN ex USING (item) JOIN g
 
 def _loose(spark, d):
     """Each user's ten latest items against the genres of the user's best-rated item."""
-    from pyspark.sql import Window as W
-
-    from shelfspark.queries.interactions import top_items_per_user
-
-    log = inter(spark, d)
+    log = inter_once(spark, d)
     w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("item_id"))
     ranked = (
         log.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
         .select(F.col("user_id").alias("query"), "rank", F.col("item_id").alias("item"))
     )
     genres = cat_lean(spark, d).select(F.col("mal_id").alias("item"), F.explode("genres").alias("genre"))
-    best = top_items_per_user(spark, d).filter("rank = 1").select(F.col("user_id").alias("query"), F.col("item_id").alias("item"))
+    best = op_top(log, 1)
     golden = best.join(genres, "item").select("query", "genre").distinct()
     return log.select(F.col("user_id").alias("query")).distinct(), ranked, genres, golden
 
@@ -258,7 +260,7 @@ FROM a JOIN ideal i5 ON i5.n = least(n_rel, 5) JOIN ideal i10 ON i10.n = least(n
 
 @query("popularity_evaluation", with_ctes(INTER, min_count_ctes(5, 5), body=POP_EVAL + POP_ROWS))
 def popularity_evaluation(spark, d):
-    return evaluation.popularity_baseline(inter(spark, d))
+    return evaluation.popularity_baseline(inter_once(spark, d))
 
 
 @query("popularity_evaluation_mean", with_ctes(INTER, min_count_ctes(5, 5), body=POP_EVAL + f"""
@@ -267,4 +269,4 @@ SELECT count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(precision_5), 4) AS p
   round(avg(ndcg_5), 4) AS ndcg_5, round(avg(precision_10), 4) AS precision_10, round(avg(recall_10), 4) AS recall_10,
   round(avg(ndcg_10), 4) AS ndcg_10, round(avg(map_10), 4) AS map_10 FROM rows"""))
 def popularity_evaluation_mean(spark, d):
-    return evaluation.averaged(evaluation.popularity_baseline(inter(spark, d)))
+    return evaluation.averaged(evaluation.popularity_baseline(inter_once(spark, d)))

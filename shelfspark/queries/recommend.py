@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from shelfspark.operators import blocks, features, interactions as iop, recommend as op
 from shelfspark.plans import tables
 from shelfspark.queries import query
-from shelfspark.queries.common import CAT, GENRE_VEC, INTER, cat, cat_lean, inter, with_ctes
+from shelfspark.queries.common import CAT, GENRE_VEC, INTER, cat, cat_lean, inter, inter_once, with_ctes
 from shelfspark.queries.features import ITEM_FEATURES
+from shelfspark.runtime import cut_lineage
 
 
 def pair_sql(row: str, dim: str, source: str, value: str) -> str:
@@ -128,7 +129,7 @@ PROFILE = """
 
 @query("user_profile", with_ctes(INTER, CAT, GENRE_VEC, body=PROFILE + "SELECT user_id, dim, round(w, 6) AS weight FROM prof"))
 def user_profile(spark, d):
-    found = op.user_profile(inter(spark, d), features.genre_vectors(cat_lean(spark, d)))
+    found = op.user_profile(inter_once(spark, d), features.genre_vectors(cat_lean(spark, d)))
     return found.withColumn("weight", F.round("weight", 6))
 
 
@@ -149,7 +150,7 @@ def all_users(spark, d):
 SELECT * FROM (SELECT c_custkey AS user_id, item_id, place, row_number() OVER (PARTITION BY c_custkey ORDER BY place) AS rank
   FROM customer, place WHERE NOT EXISTS (SELECT 1 FROM inter i WHERE i.user_id = c_custkey AND i.item_id = place.item_id)) WHERE rank <= 10"""))
 def popularity_recommend(spark, d):
-    return op.popular_unseen(all_users(spark, d), inter(spark, d), order(spark, d), 10)
+    return op.popular_unseen(all_users(spark, d), inter_once(spark, d), order(spark, d), 10)
 
 
 @query("candidates", with_ctes(INTER, CAT, GENRE_VEC, body=PROFILE + POPULAR + """
@@ -162,7 +163,7 @@ cold AS (SELECT c_custkey AS user_id, item_id, place AS rank FROM customer, plac
 SELECT * FROM warm WHERE rank <= 200 UNION ALL SELECT * FROM cold WHERE rank <= 200"""))
 def candidates(spark, d):
     vecs = features.genre_vectors(cat_lean(spark, d))
-    return op.candidates(all_users(spark, d), inter(spark, d), vecs, 200, order(spark, d))
+    return op.candidates(all_users(spark, d), inter_once(spark, d), vecs, 200, order(spark, d))
 
 
 @query("content_arm", with_ctes(INTER, CAT, GENRE_VEC, body=PROFILE + """
@@ -174,7 +175,7 @@ SELECT * FROM (SELECT user_id, item_id, round(score, 6) AS score, row_number() O
   FROM b WHERE NOT EXISTS (SELECT 1 FROM inter i WHERE i.user_id = b.user_id AND i.item_id = b.item_id)) WHERE rank <= 20"""))
 def content_arm(spark, d):
     vecs = features.genre_vectors(cat_lean(spark, d))
-    return op.content_arm(inter(spark, d), vecs, 20).withColumn("score", F.round("score", 6))
+    return op.content_arm(inter_once(spark, d), vecs, 20).withColumn("score", F.round("score", 6))
 
 
 CLICKS = """
@@ -197,14 +198,15 @@ def cf_arm(spark, d):
 
 @query("cf_arm_with_fallback")
 def cf_arm_with_fallback(spark, d):
-    log = clicks(spark, d)
+    log = cut_lineage(clicks(spark, d), "clicks")
     return op.cf_arm(log, 20, all_users(spark, d), order(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_switch")
 def hybrid_switch(spark, d):
     """Both arms rank every item of a user: the blend needs the full lists."""
-    log = clicks(spark, d).join(cat_lean(spark, d).select(F.col("mal_id").alias("item_id")), "item_id", "left_semi")
+    known = cat_lean(spark, d).select(F.col("mal_id").alias("item_id"))
+    log = cut_lineage(clicks(spark, d).join(known, "item_id", "left_semi"), "clicks")
     c = cat_lean(spark, d)
     seen = log.distinct()
     n = c.count()
@@ -227,7 +229,7 @@ ex AS (SELECT w.user_id, num.item_id, row_number() OVER (PARTITION BY w.user_id
 SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank, false AS explored FROM slate WHERE rank <= 3
 UNION ALL SELECT user_id, item_id, CAST(3 + x AS INTEGER), true FROM ex WHERE x <= 2"""))
 def explore_slots(spark, d):
-    log = inter(spark, d).select("user_id", "item_id")
+    log = inter_once(spark, d).select("user_id", "item_id")
     slates = op.popular_unseen(all_users(spark, d), log, order(spark, d), 5)
     items = tables.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
     return op.explore_slots(slates, log, items, 5, 2)
@@ -235,7 +237,7 @@ def explore_slots(spark, d):
 
 @query("for_you")
 def for_you(spark, d):
-    log = inter(spark, d)
+    log = inter_once(spark, d)
     u, i = op.user_cf_recommend(log), op.item_cf_recommend(log)
     similar = op.content_similar(features.item_features(cat_lean(spark, d)), 10)
     return op.for_you(all_users(spark, d), u, i, similar, order(spark, d), 10)
@@ -253,7 +255,7 @@ def for_you_concat(spark, d):
     """The concatenation rule with two cheap arms: best-rated and latest items."""
     from pyspark.sql import Window as W
 
-    log = inter(spark, d)
+    log = inter_once(spark, d)
     best = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
     late = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("item_id"))
     a = log.withColumn("rank", F.row_number().over(best)).filter("rank <= 3")
@@ -270,7 +272,7 @@ def recommend_with_fallback(spark, d):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
-    own = inter(spark, d).filter("user_id % 3 = 0").withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    own = inter_once(spark, d).filter("user_id % 3 = 0").withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
     return op.with_fallback(all_users(spark, d), own, order(spark, d), 10)
 
 
@@ -301,6 +303,6 @@ def batch_predict(spark, d):
         F.when(F.col("entry_id") % 2 == 0, 10).otherwise(5).alias("k"),
         F.when(F.col("entry_id") % 3 == 0, "user").otherwise("item").alias("model"),
     )
-    return op.batch_predict(inter(spark, d), ask).withColumn("pred", F.round("pred", 6))
+    return op.batch_predict(inter_once(spark, d), ask).withColumn("pred", F.round("pred", 6))
 
 

@@ -8,7 +8,8 @@ from shelfspark.functions import text
 from shelfspark.operators import metrics, retrieval as op
 from shelfspark.plans import golden as gold, tables
 from shelfspark.queries import query
-from shelfspark.queries.common import CAT, cat, cat_lean, with_ctes
+from shelfspark.queries.common import CAT, cat_lean, cat_once, with_ctes
+from shelfspark.runtime import cut_lineage
 from shelfspark.sources import sinks
 
 
@@ -102,7 +103,7 @@ def parse_titles(spark, d):
 
 @query("relevance_sets", with_ctes(CAT, GOLDEN, RESOLVED, RELEVANT, body="SELECT * FROM relv"))
 def relevance_sets(spark, d):
-    return gold.relevance_sets(tables.golden(spark, d), cat(spark, d))
+    return gold.relevance_sets(tables.golden(spark, d), cat_once(spark, d))
 
 
 @query("golden_genres", with_ctes(CAT, GOLDEN, RESOLVED, body="""
@@ -111,7 +112,7 @@ UNION SELECT id, g FROM bygenre JOIN ex ON ex.mal_id = item
 UNION SELECT id, g FROM (SELECT id, mal_id, row_number() OVER (PARTITION BY id ORDER BY score DESC, members DESC, mal_id) AS r FROM (
   SELECT DISTINCT id, mal_id, score, members FROM golden JOIN ex ON contains(g, lower(word)) JOIN sc USING (mal_id) WHERE kind = 5)) JOIN ex USING (mal_id) WHERE r <= 3"""))
 def golden_genres(spark, d):
-    return gold.golden_genres(tables.golden(spark, d), cat(spark, d))
+    return gold.golden_genres(tables.golden(spark, d), cat_once(spark, d))
 
 
 @query("golden_reference", with_ctes(CAT, GOLDEN, RESOLVED, body="""
@@ -135,7 +136,7 @@ ans AS (SELECT g.id, CASE
   FROM golden g LEFT JOIN one ON one.id = g.id LEFT JOIN two ON two.id = g.id LEFT JOIN lst ON lst.id = g.id)
 SELECT id, reference, reference = '' AS needs_review, CAST(n_contexts AS INTEGER) AS n_contexts FROM ans"""))
 def golden_reference(spark, d):
-    rows = gold.golden_reference(tables.golden(spark, d), cat(spark, d))
+    rows = gold.golden_reference(tables.golden(spark, d), cat_once(spark, d))
     return rows.select("id", "reference", "needs_review", F.size("contexts").alias("n_contexts"))
 
 
@@ -313,10 +314,8 @@ tm AS (SELECT round(max(CASE WHEN i = least(floor(0.5 * n), n - 1) THEN ms END),
 SELECT * FROM s, mi, tm"""))
 def benchmark_report(spark, d):
     """Lists mix each question's relevant items with ten others; latencies are the event values."""
-    from shelfspark.runtime import cut_lineage
-
     g = tables.golden(spark, d)
-    rel = cut_lineage(gold.relevance_sets(g, cat(spark, d)), "relevant")
+    rel = cut_lineage(gold.relevance_sets(g, cat_once(spark, d)), "relevant")
     others = g.select("id", F.explode(F.sequence(F.col("id"), F.col("id") + 9)).alias("item"))
     known = tables.table(spark, d, "part").select(F.col("p_partkey").alias("item"))
     pool = rel.select("id", "item").unionByName(others.join(known, "item", "left_semi").select("id", "item")).distinct()
