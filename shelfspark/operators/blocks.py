@@ -207,7 +207,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
         parts = []
         own = lpdf[lpdf["ask"] == 0]
         if not len(own) or not len(rpdf):
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         t_ids, t_first, t_at = np.unique(own["row"].to_numpy(), return_index=True, return_inverse=True)
         t_norm = own["norm"].to_numpy()[t_first]
         t_dim, t_val = own["dim"].to_numpy(), own["value"].to_numpy()
@@ -276,7 +276,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
                 good &= _keep(np, np.where(good, pred, -np.inf), cut)
             i, j = np.nonzero(good)
             parts.append(pd.DataFrame({"row": t_ids[lo:hi][i], "col": cols[j], "num": num[i, j], "den": den[i, j]}))
-        return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts) if parts else pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
 
     rk, ck = kind["row"], kind["dim"]
     shape = f"row {rk}, col {ck}, " + (

@@ -108,14 +108,14 @@ def last_known(
         return plain
     chunks = _chunked(hot, n, keys, order, max_rows)
     inside = W.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = chunks.withColumn("_known", F.last(value, ignorenulls=True).over(inside)).withColumn(
+    local = chunks.withColumn("_inside", F.last(value, ignorenulls=True).over(inside)).withColumn(
         "_rn", F.row_number().over(W.partitionBy(*keys, _CHUNK).orderBy(*order))
     )
-    tails = local.groupBy(*keys, _CHUNK).agg(F.max_by("_known", "_rn").alias("_tail"))
+    tails = local.groupBy(*keys, _CHUNK).agg(F.max_by("_inside", "_rn").alias("_tail"))
     earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).drop("_tail")
-    joined = local.join(carry, [*keys, _CHUNK], "left").withColumn(out, F.coalesce("_known", "_carry"))
-    return plain.unionByName(joined.drop(_CHUNK, "_known", "_rn", "_carry"))
+    joined = local.join(carry, [*keys, _CHUNK], "left").withColumn(out, F.coalesce("_inside", "_carry"))
+    return plain.unionByName(joined.drop(_CHUNK, "_inside", "_rn", "_carry"))
 
 
 def dense_index(df: DataFrame, col: str, out: str = "idx", single_task_rows: int = 1_000_000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import catalog as cop, interactions as iop, quality as op
 from shelfspark.plans import tables
 from shelfspark.queries import query
-from shelfspark.queries.common import CAT, INTER, cat_lean, flat, inter, with_ctes
+from shelfspark.queries.common import CAT, INTER, cat_lean, flat, inter, inter_once, with_ctes
 from shelfspark.sources import sinks
 
 
@@ -125,9 +125,13 @@ def steps_to_target(spark, d):
     return op.steps_to_target(curves, 52)
 
 
-@query("content_digest")
+@query("content_digest", with_ctes(INTER, body="SELECT count(*) AS n_rows, true AS stable FROM inter"))
 def content_digest(spark, d):
-    return sinks.content_digest(inter(spark, d))
+    """The digest stays the same under another partitioning, order and column order."""
+    log = inter_once(spark, d)
+    moved = log.select("ts", "score", "item_id", "user_id").repartition(7, "ts").sortWithinPartitions("score")
+    other = sinks.content_digest(moved).select("digest").scalar()
+    return sinks.content_digest(log).select("n_rows", (F.col("digest") == other).alias("stable"))
 
 
 @query("track_counts", """

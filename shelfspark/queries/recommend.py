@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import blocks, features, interactions as iop, recommend as op
 from shelfspark.plans import tables
 from shelfspark.queries import query
-from shelfspark.queries.common import CAT, GENRE_VEC, INTER, cat, cat_lean, inter, inter_once, with_ctes
+from shelfspark.queries.common import CAT, GENRE_VEC, INTER, LIST, RATED, cat, cat_lean, inter, inter_once, with_ctes
 from shelfspark.queries.features import ITEM_FEATURES
 from shelfspark.runtime import cut_lineage
 
@@ -79,17 +79,30 @@ def item_cf_predict(spark, d):
     return op.item_cf_predict(inter(spark, d), requests(spark, d)).withColumn("pred", F.round("pred", 6))
 
 
-@query("user_cf_recommend")
+def knn_top_sql(row: str, col: str, source: str = "inter", value: str = "score") -> str:
+    """Ten best predictions per user, each from the ten most similar raters."""
+    return (knn_sql(row, col) + f"""
+, c AS (SELECT a, b, i.{col} AS c, i.score, sim FROM sims JOIN inter i ON i.{row} = b
+  WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.{row} = a AND x.{col} = i.{col})),
+t AS (SELECT a, c, max_by({{'s': sim, 'v': score}}, {{'o': round(sim, 9), 'n': -b}}, 10) AS top FROM c GROUP BY a, c),
+p AS (SELECT a AS {row}, c AS {col}, list_sum(list_transform(top, lambda z: z.s * z.v)) / list_sum(list_transform(top, lambda z: z.s)) AS pred FROM t)
+SELECT user_id, item_id, round(pred, 6) AS pred, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(pred, 9) DESC, item_id) AS rank FROM p) WHERE rank <= 10""").replace(
+        "inter ", f"{source} ").replace("score", value)
+
+
+@query("user_cf_recommend", with_ctes(INTER, body=knn_top_sql("user_id", "item_id")))
 def user_cf_recommend(spark, d):
     return op.user_cf_recommend(inter(spark, d)).withColumn("pred", F.round("pred", 6))
 
 
-@query("item_cf_recommend")
+@query("item_cf_recommend", with_ctes(INTER, body=knn_top_sql("item_id", "user_id")))
 def item_cf_recommend(spark, d):
     return op.item_cf_recommend(inter(spark, d)).withColumn("pred", F.round("pred", 6))
 
 
-@query("list_cf_recommend")
+@query("list_cf_recommend", with_ctes(RATED, body=", rr AS (SELECT user_id, item_id, max(rating) AS rating FROM rated WHERE rating > 0 GROUP BY ALL)"
+    + knn_top_sql("user_id", "item_id", "rr", "rating")))
 def list_cf_recommend(spark, d):
     """User-based over ratings implied by list status."""
     ratings = iop.ratings_from_list(tables.user_list(spark, d)).groupBy("user_id", "item_id").agg(F.max("rating").alias("rating"))
@@ -110,7 +123,15 @@ def content_similar(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("content_similar_reviews")
+@query("content_similar_reviews", with_ctes(INTER, CAT, ITEM_FEATURES, body="""
+, rev AS (SELECT item_id AS mal_id, user_id, score::DOUBLE AS w FROM inter WHERE item_id % 2 = 0),
+n1 AS (SELECT mal_id, sqrt(sum(w * w)) AS n FROM rev GROUP BY 1), n2 AS (SELECT mal_id, sqrt(sum(weight * weight)) AS n FROM feat GROUP BY 1),
+p1 AS (SELECT x.mal_id AS a, y.mal_id AS b, sum(x.w * y.w) AS dot FROM rev x JOIN rev y ON x.user_id = y.user_id AND x.mal_id <> y.mal_id GROUP BY ALL),
+p2 AS (SELECT x.mal_id AS a, y.mal_id AS b, sum(x.weight * y.weight) AS dot FROM feat x JOIN feat y ON x.dim = y.dim AND x.mal_id <> y.mal_id
+  WHERE x.mal_id NOT IN (SELECT mal_id FROM rev) GROUP BY ALL),
+s AS (SELECT a, b, dot / (x.n * y.n) AS score FROM p1 JOIN n1 x ON x.mal_id = a JOIN n1 y ON y.mal_id = b
+  UNION ALL SELECT a, b, dot / (x.n * y.n) FROM p2 JOIN n2 x ON x.mal_id = a JOIN n2 y ON y.mal_id = b)
+SELECT a AS query, b AS item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS rank FROM s) WHERE rank <= 10"""))
 def content_similar_reviews(spark, d):
     """Items with reviews (here: rated by someone) are compared by their raters, the rest by features."""
     c = cat_lean(spark, d)
@@ -196,13 +217,34 @@ def cf_arm(spark, d):
     return op.cf_arm(clicks(spark, d), 20).withColumn("score", F.round("score", 6))
 
 
-@query("cf_arm_with_fallback")
+CF_RANKED = knn_sql("user_id", "item_id").replace("inter", "clicks") + """
+, cs AS (SELECT a AS user_id, item_id, sum(sim * score) AS score FROM sims JOIN clicks ON clicks.user_id = b GROUP BY ALL),
+cf AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank
+  FROM cs WHERE NOT EXISTS (SELECT 1 FROM clicks c WHERE c.user_id = cs.user_id AND c.item_id = cs.item_id))
+"""
+
+
+@query("cf_arm_with_fallback", with_ctes(CLICKS, CAT, body=CF_RANKED + POPULAR + """
+SELECT user_id, item_id, round(score, 6) AS score, rank FROM cf WHERE rank <= 20
+UNION ALL SELECT * FROM (SELECT c_custkey, item_id, NULL, row_number() OVER (PARTITION BY c_custkey ORDER BY place) AS rank FROM customer, place
+  WHERE c_custkey NOT IN (SELECT user_id FROM cf) AND NOT EXISTS (SELECT 1 FROM clicks c WHERE c.user_id = c_custkey AND c.item_id = place.item_id)) WHERE rank <= 20"""))
 def cf_arm_with_fallback(spark, d):
     log = cut_lineage(clicks(spark, d), "clicks")
     return op.cf_arm(log, 20, all_users(spark, d), order(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_switch")
+@query("hybrid_switch", with_ctes(
+    CAT, GENRE_VEC, "clicks AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS item_id, count(*) AS score FROM events JOIN part ON p_partkey = CAST(floor(value) AS BIGINT) GROUP BY ALL)",
+    body=CF_RANKED + """
+, n AS (SELECT user_id, count(*) AS h FROM clicks GROUP BY 1),
+prof AS (SELECT user_id, dim, sum(weight) / max(h) AS w FROM clicks JOIN gvec ON mal_id = item_id JOIN n USING (user_id) GROUP BY user_id, dim),
+d AS (SELECT user_id, mal_id AS item_id, sum(w * weight) AS dot FROM prof JOIN gvec USING (dim) GROUP BY ALL),
+f AS (SELECT n.user_id, cat.mal_id AS item_id, coalesce(dot, 0) AS dot, h FROM n CROSS JOIN cat LEFT JOIN d ON d.user_id = n.user_id AND d.item_id = cat.mal_id
+  WHERE NOT EXISTS (SELECT 1 FROM clicks c WHERE c.user_id = n.user_id AND c.item_id = cat.mal_id)),
+co AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(dot, 9) DESC, item_id) AS rank FROM f),
+j AS (SELECT co.user_id, co.item_id, CASE WHEN h < 5 THEN 1 / co.rank / (1 + 1e-9) ELSE 0.7 * (1 / co.rank / (1 + 1e-9)) + 0.3 * (coalesce(1 / cf.rank, 0) / (1 + 1e-9)) END AS score
+  FROM co LEFT JOIN cf ON cf.user_id = co.user_id AND cf.item_id = co.item_id)
+SELECT user_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM j) WHERE rank <= 10"""))
 def hybrid_switch(spark, d):
     """Both arms rank every item of a user: the blend needs the full lists."""
     known = cat_lean(spark, d).select(F.col("mal_id").alias("item_id"))
@@ -294,7 +336,24 @@ def blend_reasons(spark, d):
     return op.blend_reasons(a, b, 5).withColumn("score", F.round("score", 6))
 
 
-@query("batch_predict")
+def asked_sql(row: str, col: str, model: str, p: str) -> str:
+    """Predictions of the requests for one model, as CTEs with prefix ``p``; each request has its own k."""
+    return f"""
+, {p}n AS (SELECT {row} AS r, sqrt(sum(CAST(score AS DOUBLE) * score)) AS n FROM inter GROUP BY 1),
+{p}p AS (SELECT x.{row} AS a, y.{row} AS b, sum(CAST(x.score AS DOUBLE) * y.score) AS dot FROM inter x JOIN inter y ON x.{col} = y.{col} AND x.{row} <> y.{row} GROUP BY ALL),
+{p}s AS (SELECT a, b, dot / (x.n * y.n) AS sim FROM {p}p JOIN {p}n x ON x.r = a JOIN {p}n y ON y.r = b),
+{p}c AS (SELECT q.entry_id, q.k, i.{row} AS v, i.score, CASE WHEN i.{row} = q.{row} THEN 1.0 ELSE coalesce(sim, 0) END AS sim
+  FROM ask q JOIN inter i ON i.{col} = q.{col} LEFT JOIN {p}s ON a = q.{row} AND b = i.{row} WHERE model = '{model}'),
+{p}t AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY round(sim, 9) DESC, v) AS r FROM {p}c),
+{p}r AS (SELECT entry_id, sum(sim * score) / sum(sim) AS pred FROM {p}t WHERE r <= k GROUP BY 1 HAVING sum(sim) > 0)
+"""
+
+
+@query("batch_predict", with_ctes(INTER, LIST, body="""
+, ask AS (SELECT entry_id, user_id, item_id, CASE WHEN entry_id % 2 = 0 THEN 10 ELSE 5 END AS k, CASE WHEN entry_id % 3 = 0 THEN 'user' ELSE 'item' END AS model FROM list)
+""" + asked_sql("user_id", "item_id", "user", "u") + asked_sql("item_id", "user_id", "item", "m") + """
+SELECT ask.*, round(CASE WHEN model = 'user' THEN ur.pred ELSE coalesce(i.score, mr.pred) END, 6) AS pred FROM ask LEFT JOIN ur USING (entry_id) LEFT JOIN mr USING (entry_id)
+LEFT JOIN inter i ON i.user_id = ask.user_id AND i.item_id = ask.item_id"""))
 def batch_predict(spark, d):
     ask = tables.user_list(spark, d).select(
         "entry_id",

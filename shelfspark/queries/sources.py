@@ -10,7 +10,7 @@ from shelfspark import schemas
 from shelfspark.operators import catalog as cop, interactions as iop
 from shelfspark.plans import tables
 from shelfspark.queries import query
-from shelfspark.queries.common import CAT, RAW, cat_lean, flat, inter, with_ctes
+from shelfspark.queries.common import CAT, INTER, RAW, cat_lean, flat, inter, inter_once, with_ctes
 from shelfspark.queries.catalog import FLAT_SQL
 from shelfspark.runtime import cut_lineage, scratch_path
 from shelfspark.sources import files, sinks
@@ -152,17 +152,23 @@ def scan_partitioned(spark, d):
     return line.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("items"), F.sum("l_linenumber").alias("total"))
 
 
-@query("sink_snapshot")
+@query("sink_snapshot", with_ctes(INTER, body="SELECT count(*) AS n_rows, true AS same FROM inter"))
 def sink_snapshot(spark, d):
-    return sinks.write_snapshot(inter(spark, d), scratch_path(spark, "snapshot"))
+    """What was written has the digest of what was to be written."""
+    log = inter_once(spark, d)
+    before = sinks.content_digest(log).select("digest").scalar()
+    return sinks.write_snapshot(log, scratch_path(spark, "snapshot")).select("n_rows", (F.col("digest") == before).alias("same"))
 
 
-@query("sink_run_manifest")
+@query("sink_run_manifest", with_ctes(INTER, body="""
+SELECT 'cf_matrix' AS run, 'real' AS data_source, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS nnz,
+  round(round(count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id)), 8), 6) AS density FROM inter"""))
 def sink_run_manifest(spark, d):
     path = scratch_path(spark, "manifest")
     stats = iop.matrix_stats(inter(spark, d))
     sinks.run_manifest(stats, "cf_matrix", {"min_user": 5}, "real", datetime(2024, 1, 1)).write.json(path)
-    return spark.read.json(path)
+    stats = F.from_json("metrics", "n_users bigint, n_items bigint, nnz bigint, density double").alias("m")
+    return spark.read.json(path).select("run", "data_source", stats).select("run", "data_source", "m.*")
 
 
 @query("sink_csv", with_ctes(CAT, body="SELECT mal_id, title, array_to_string(genres, '|') AS genres, score FROM cat"))
