@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shelfspark.runtime import block_count, cut_lineage
 
 DIGITS = 9  # scores this close are ties
+CELL = 20_000_000  # numbers a task holds in one dense matrix: 160 MB
 
 
 def block_of(col: str, n: int) -> Column:
@@ -129,6 +130,24 @@ def _similarities(np, t_at, t_dim, t_val, n_t, r_at, r_dim, r_val, n_r):
     return out
 
 
+def _entries(np, pdf):
+    """Packed rows as flat (row number, dim, weight) arrays."""
+    sizes = np.array([len(d) for d in pdf["dims"]])
+    if not len(sizes) or not sizes.sum():
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+    return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(list(pdf["dims"])), np.concatenate(list(pdf["weights"]))
+
+
+def _dense(np, at, dim, val, n, dims):
+    """(n x dims) matrix of the entries whose dim is listed."""
+    pos = np.searchsorted(dims, dim)
+    pos[pos == len(dims)] = 0
+    hit = dims[pos] == dim
+    out = np.zeros((n, len(dims)))
+    out[at[hit], pos[hit]] = val[hit]
+    return out
+
+
 def _best(np, sims, values, k):
     """Per target row the k largest similarities (ties: raters are in id order) with their values."""
     if sims.shape[1] <= k:
@@ -145,7 +164,7 @@ def neighbour_predictions(
     k: int | None = 10,
     requests: DataFrame | None = None,
     target_rows: int = 1024,
-    rater_rows: int = 8192,
+    rater_rows: int = 32_768,
 ) -> DataFrame:
     """(row, col, pred): weighted mean of the k most similar rows that rated ``col``.
 
@@ -164,7 +183,7 @@ def neighbour_predictions(
 
 def neighbour_top(
     ratings: DataFrame, row: str, col: str, value: str, top: int = 10, k: int | None = 10, per: str = "row",
-    target_rows: int = 1024, rater_rows: int = 8192,
+    target_rows: int = 1024, rater_rows: int = 32_768,
 ) -> DataFrame:
     """The ``top`` best unrated predictions per row (``per='row'``) or per column.
 
@@ -203,7 +222,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
         import numpy as np
         import pandas as pd
 
-        names = ["row", "col", "num", "den"] if single else ["row", "col", "cands"]
+        names = ["row", "col", "num", "den"] if single else ["row", "col", "s", "v", "i"]
         parts = []
         own = lpdf[lpdf["ask"] == 0]
         if not len(own) or not len(rpdf):
@@ -224,7 +243,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
         ok = ~pd.isna(ask_at)
         ask_at, ask_dim = ask_at[ok].astype(int), ask_dim[ok]
         width = max(len(np.unique(t_dim)), len(cols), len(r_ids), 1)
-        step = max(1, 20_000_000 // width)
+        step = max(1, CELL // width)
         for lo in range(0, len(t_ids), step):
             hi = min(len(t_ids), lo + step)
             m = (t_at >= lo) & (t_at < hi)
@@ -261,11 +280,8 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
                 if not asked_only:
                     free = ~rated[:, j]
                     who, top_s, top_v, top_o = who[free], top_s[free], top_v[free], top_o[free]
-                ids = r_ids[raters][top_o]
-                cands = [
-                    [{"s": float(a), "v": float(b), "i": c} for a, b, c in zip(*z)] for z in zip(top_s, top_v, ids)
-                ]
-                parts.append(pd.DataFrame({"row": t_ids[lo:hi][who], "col": cols[j], "cands": cands}))
+                lists = [list(x) for x in (top_s, top_v, r_ids[raters][top_o])]
+                parts.append(pd.DataFrame(dict(zip(names, [t_ids[lo:hi][who], cols[j], *lists]))))
             if not single:
                 continue
             good = den > 0
@@ -280,7 +296,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
 
     rk, ck = kind["row"], kind["dim"]
     shape = f"row {rk}, col {ck}, " + (
-        "num double, den double" if single else f"cands array<struct<s:double,v:double,i:{rk}>>"
+        "num double, den double" if single else f"s array<double>, v array<double>, i array<{rk}>"
     )
     n_cells = min(2000, nt * nr)
     out = (
@@ -293,7 +309,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
         best = F.slice(
             F.array_sort(
                 F.transform(
-                    F.flatten(F.collect_list("cands")),
+                    F.flatten(F.collect_list(F.arrays_zip("s", "v", "i"))),
                     lambda c: F.struct((-F.round(c["s"], DIGITS)).alias("o"), c["i"].alias("i"), c["s"].alias("s"), c["v"].alias("v")),
                 )
             ),
@@ -339,9 +355,10 @@ def pack(entries: DataFrame, row: str, idx: str, weight: str) -> DataFrame:
     return packed.select(F.col(row).alias("id"), F.col("e.d").alias("dims"), F.col("e.w").alias("weights"))
 
 
-def dense(df: DataFrame, row: str, vector: str) -> DataFrame:
+def dense(df: DataFrame, row: str, vector: str, keep: list[str] | None = None) -> DataFrame:
     """The same shape for a dense array column."""
     return df.select(
+        *(keep or []),
         F.col(row).alias("id"),
         F.sequence(F.lit(0).cast("long"), F.size(vector).cast("long") - 1).alias("dims"),
         F.col(vector).cast("array<double>").alias("weights"),
@@ -392,6 +409,12 @@ def score_top(
         left = left.unionByName(skips)
     tokens = F.col("tokens") if filter_col else F.lit(None).cast("array<string>")
     right = items.select(block_of("id", ni).alias("i"), "id", *vec, tokens.alias("tokens")).withColumn("q", _all_blocks(nq))
+    return _score_cells(left, right, k, min(2000, nq * ni), ni > 1, metric, exclude_self, bool(filter_col), bool(limit_col), bounds)
+
+
+def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_col, limit_col, bounds):
+    """Top k per query over cells (q, i): queries and pairs to skip on the left, items on the right."""
+    kind_q, kind_i = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
 
     def score(key, lpdf, rpdf):
         import numpy as np
@@ -406,58 +429,59 @@ def score_top(
         asks = asks.sort_values("id")
         rpdf = rpdf.sort_values("id")
         qid, iid = asks["id"].to_numpy(), rpdf["id"].to_numpy()
-
-        def matrix(pdf, dims):
-            out = np.zeros((len(pdf), len(dims)))
-            for n, (d, w) in enumerate(zip(pdf["dims"], pdf["weights"])):
-                at = np.searchsorted(dims, d)
-                at[at == len(dims)] = 0
-                hit = dims[at] == d
-                out[n, at[hit]] = np.asarray(w)[hit]
-            return out
-
-        def norms(pdf):
-            return np.array([np.sqrt(np.dot(w, w)) for w in pdf["weights"]])
-
+        q_at, q_dim, q_val = _entries(np, asks)
+        r_at, r_dim, r_val = _entries(np, rpdf)
+        dims = np.unique(q_dim)
+        if not len(dims):
+            return empty
+        if metric == "cosine":
+            q_norm = np.sqrt(np.bincount(q_at, q_val * q_val, len(qid)))
+            r_norm = np.sqrt(np.bincount(r_at, r_val * r_val, len(iid)))
+        few = len(dims) <= 512 or len(r_val) * 4 > len(iid) * len(dims)
+        right = _dense(np, r_at, r_dim, r_val, len(iid), dims) if few else None
         parts = []
-        dims = np.unique(np.concatenate([np.asarray(d) for d in asks["dims"]]))
-        step = max(1, 20_000_000 // max(1, len(dims), len(iid)))
-        right_m = matrix(rpdf, dims)
-        r_norm = norms(rpdf) if metric == "cosine" else None
-        q_norm = norms(asks) if metric == "cosine" else None
-        blocked = skips.groupby("id")["skip"].apply(lambda s: s.to_numpy()).to_dict() if len(skips) else {}
+        blocked = {}
+        if len(skips):
+            at = np.searchsorted(iid, skips["skip"].to_numpy(dtype=iid.dtype))
+            at[at == len(iid)] = 0
+            there = iid[at] == skips["skip"].to_numpy()
+            blocked = pd.Series(at[there]).groupby(skips["id"].to_numpy()[there]).apply(lambda x: x.to_numpy()).to_dict()
         masks = {}
         if filter_col:
             for f in asks["flt"].dropna().unique():
                 masks[f] = np.array([t is not None and f in t for t in rpdf["tokens"]])
         flts, lims = asks["flt"].to_numpy(), asks["lim"].to_numpy().astype(int)
+        step = max(1, CELL // max(len(dims), len(iid)))
         for lo in range(0, len(qid), step):
-            chunk = asks.iloc[lo : lo + step]
-            s = matrix(chunk, dims) @ right_m.T
+            hi = min(len(qid), lo + step)
+            m = (q_at >= lo) & (q_at < hi)
+            own = (q_at[m] - lo, q_dim[m], q_val[m], hi - lo)
+            if few:
+                s = _dense(np, *own, dims) @ right.T
+            else:
+                s = _similarities(np, *own, r_at, r_dim, r_val, len(iid))
             if metric == "cosine":
-                den = np.outer(q_norm[lo : lo + step], r_norm)
+                den = np.outer(q_norm[lo:hi], r_norm)
                 s = np.divide(s, den, out=np.zeros_like(s), where=den > 0)
             order_score = np.round(s, DIGITS)
-            for n in range(len(chunk)):
+            for n in range(hi - lo):
                 row = order_score[n].copy()
-                free = np.ones(len(iid), dtype=bool)
-                if flts[lo + n] is not None and flts[lo + n] == flts[lo + n] and filter_col:
-                    free &= masks[flts[lo + n]]
+                if filter_col and flts[lo + n] in masks:
+                    row[~masks[flts[lo + n]]] = -np.inf
                 gone = blocked.get(qid[lo + n])
                 if gone is not None:
-                    free &= ~np.isin(iid, gone.astype(iid.dtype))
+                    row[gone] = -np.inf
                 if exclude_self:
-                    free &= iid != qid[lo + n]
-                row[~free] = -np.inf
-                want = min(lims[lo + n], int(free.sum()))
+                    row[iid == qid[lo + n]] = -np.inf
+                want = min(lims[lo + n], int((row > -np.inf).sum()))
                 if want <= 0:
                     continue
                 if want < len(row):
                     limit = -np.partition(-row, want - 1)[want - 1]
                     near = np.flatnonzero(row >= limit)
                 else:
-                    near = np.flatnonzero(free)
-                near = near[np.lexsort((near, -row[near]))][:want]  # items are in id order
+                    near = np.arange(len(row))
+                near = near[np.argsort(-row[near], kind="stable")][:want]  # items are in id order
                 many = len(near)
                 same = (lims[lo + n], s[n].min(), s[n].max())
                 parts.append((np.full(many, qid[lo + n]), iid[near], s[n][near], *[np.full(many, x) for x in same]))
@@ -466,14 +490,13 @@ def score_top(
         cols = [np.concatenate(c) for c in zip(*parts)]
         return pd.DataFrame(dict(zip(names, cols)))
 
-    n_cells = min(2000, nq * ni)
     found = (
         left.repartition(n_cells, "q", "i")
         .groupBy("q", "i")
         .cogroup(_renewed(right).repartition(n_cells, "q", "i").groupBy("q", "i"))
         .applyInPandas(score, f"query {kind_q}, item {kind_i}, score double, lim int, lo double, hi double")
     )
-    if bounds and ni > 1:
+    if bounds and split:
         spans = found.groupBy("query").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         found = found.drop("lo", "hi").join(spans, "query")
     elif not bounds:
@@ -483,3 +506,67 @@ def score_top(
     # a literal bound lets Spark cut each partition before the shuffle
     ranked = ranked.filter(F.col("rank") <= k)
     return (ranked.filter(F.col("rank") <= F.col("lim")) if limit_col else ranked).drop("lim")
+
+
+def approx_top(
+    queries: DataFrame, items: DataFrame, k: int, lists: int | None = None, probes: int = 8, item_block: int = 16_384
+) -> DataFrame:
+    """(query, item, score, rank): cosine top k among the items of the ``probes`` nearest clusters.
+
+    Clusters come from k-means over the unit vectors. A cluster larger than
+    ``item_block`` is split by hash, so a popular one is several cells.
+    ``queries`` and ``items`` are (id, vector).
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from shelfspark.functions.values import unit
+
+    n = items.count()
+    lists = lists or max(1, min(1024, round(n**0.5)))
+
+    def units(df):
+        return df.select("id", "vector", array_to_vector(unit(F.col("vector").cast("array<double>"))).alias("v"))
+
+    fit_on = units(items) if n <= 1_000_000 else units(items).sample(1_000_000 / n, 7)
+    model = KMeans(k=lists, featuresCol="v", predictionCol="q", seed=7, maxIter=10).fit(fit_on)
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]  # at most 1,024 of them
+    placed = model.transform(units(items)).select("id", "vector", "q")
+    parts = placed.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / item_block).cast("int").alias("parts"))
+    sized = placed.join(F.broadcast(parts), "q")  # one row per cluster
+    right = dense(sized, "id", "vector", ["q", "parts"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    near = _nearest(queries, centers, min(probes, lists))
+    left = dense(near.join(F.broadcast(parts), "q"), "id", "vector", ["q", "parts"])
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    kind_i = dict(right.dtypes)["id"]
+    left = left.select(
+        "q", "id", "dims", "weights", F.lit(None).cast("string").alias("flt"), F.lit(k).alias("lim"),
+        F.lit("0").cast(kind_i).alias("skip"), F.lit(True).alias("ask"), "i",
+    )
+    right = right.select("i", "id", "dims", "weights", F.lit(None).cast("array<string>").alias("tokens"), "q")
+    return _score_cells(left, right, k, min(2000, lists), True, "cosine", False, False, False, False)
+
+
+def _nearest(queries: DataFrame, centers: list[list[float]], probes: int) -> DataFrame:
+    """(id, vector, q): each query with its ``probes`` nearest centres, in Arrow batches."""
+
+    def assign(batches):
+        import numpy as np
+        import pandas as pd
+
+        c = np.array(centers)
+        for pdf in batches:
+            v = np.stack([np.asarray(x, dtype=float) for x in pdf["vector"]]) if len(pdf) else np.zeros((0, c.shape[1]))
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            far = (c * c).sum(axis=1) - 2 * v @ c.T
+            best = np.argsort(far, axis=1, kind="stable")[:, :probes]
+            yield pd.DataFrame(
+                {
+                    "id": np.repeat(pdf["id"].to_numpy(), probes),
+                    "vector": [x for x in pdf["vector"] for _ in range(probes)],
+                    "q": best.ravel(),
+                }
+            )
+
+    kinds = dict(queries.dtypes)
+    return queries.select("id", "vector").mapInPandas(assign, f"id {kinds['id']}, vector {kinds['vector']}, q int")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shelfspark.operators import skew
 
 MAX_CATEGORIES = 5_000
-TOKEN = "\\b\\w\\w+\\b"
+TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 
 # --- cleaning -----------------------------------------------------------------
@@ -189,7 +189,7 @@ def log1p_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def tokens(c: Column) -> Column:
     """Lower-case words of two or more word characters (Unicode)."""
-    return F.regexp_extract_all(F.lower(c), F.lit("(?U)" + TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def term_counts(docs: DataFrame, key: str, col: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfspark.functions import text, values
+from shelfspark.functions import text
 from shelfspark.operators import blocks
 
 
@@ -17,23 +17,9 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, exclude_se
     )
 
 
-def vector_search_lsh(queries: DataFrame, points: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 4, reach: float = 1.5) -> DataFrame:
-    """Approximate twin of :func:`vector_search` by random projections of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame) -> DataFrame:
-        return df.select("id", array_to_vector(values.unit(F.col("vector").cast("array<double>"))).alias("v"))
-
-    q, p = unit(queries), unit(points)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(p)
-    near = model.approxSimilarityJoin(q, p, reach, "dist").select(
-        F.col("datasetA.id").alias("query"),
-        F.col("datasetB.id").alias("item"),
-        (F.lit(1.0) - F.col("dist") * F.col("dist") / 2).alias("score"),
-    )
-    w = W.partitionBy("query").orderBy(F.desc("score"), F.asc("item"))
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def vector_search_approx(queries: DataFrame, points: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
+    """Approximate twin of :func:`vector_search`: only the nearest clusters of each query are scored."""
+    return blocks.approx_top(queries, points, k, probes=probes)
 
 
 def rerank_blend(hits: DataFrame, boost: float = 0.02) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfspark.runtime import spread
+
 SEASONS = ["winter", "spring", "summer", "fall"]
 STATUSES = ["Finished Airing", "Currently Airing", "Not yet aired"]
 # order priority -> list status
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table for CPU-heavy expressions: spread over the cores if its file is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 

@@ -125,7 +125,7 @@ def log1p_columns(spark, d):
 
 
 TFIDF = """
-tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM documents),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 voc AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM (
   SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 1000)),
@@ -136,14 +136,14 @@ raw AS (SELECT doc_id, idx, term, tf * (ln((1 + (SELECT count(*) FROM documents)
 @query("tfidf", with_ctes(TFIDF, body="""
 SELECT doc_id, idx, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw"""))
 def tfidf(spark, d):
-    docs = tables.table(spark, d, "documents").select("doc_id", "text")
+    docs = tables.texts(spark, d, "documents").select("doc_id", "text")
     fitted = op.fit_tfidf(docs, "doc_id", "text", 1000)
     return op.tfidf(docs, "doc_id", "text", fitted).withColumn("weight", F.round("weight", 6))
 
 
 @query("text_embed")
 def text_embed(spark, d):
-    docs = tables.table(spark, d, "documents").select("doc_id", "text")
+    docs = tables.texts(spark, d, "documents").select("doc_id", "text")
     return op.text_embed(docs, "text").select("doc_id", "vector")
 
 

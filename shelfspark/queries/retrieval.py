@@ -39,17 +39,17 @@ def genre_sql(c: str) -> str:
 SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS plain FROM pages""")
 def strip_html(spark, d):
     """Whole pages: no cut."""
-    return tables.table(spark, d, "pages").select("page_id", text.strip_html(F.col("html"), None).alias("plain"))
+    return tables.texts(spark, d, "pages").select("page_id", text.strip_html(F.col("html"), None).alias("plain"))
 
 
 @query("normalize_text", "SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS norm FROM conversations")
 def normalize_text(spark, d):
-    return tables.table(spark, d, "conversations").select("conv_id", "turn", text.normalize(F.col("text")).alias("norm"))
+    return tables.texts(spark, d, "conversations").select("conv_id", "turn", text.normalize(F.col("text")).alias("norm"))
 
 
 @query("detect_language", f"SELECT doc_id, {lang_sql('text')} AS detected FROM documents")
 def detect_language(spark, d):
-    return tables.table(spark, d, "documents").select("doc_id", text.detect_language(F.col("text")).alias("detected"))
+    return tables.texts(spark, d, "documents").select("doc_id", text.detect_language(F.col("text")).alias("detected"))
 
 
 ASK = ["a Robot", "TÌNH CẢM", "sci-fi", "bóng đá", "nothing", "detective magic", "đời thường", "hài", "scary drama", "Isekai"]
@@ -59,7 +59,7 @@ ASK = ["a Robot", "TÌNH CẢM", "sci-fi", "bóng đá", "nothing", "detective m
 SELECT doc_id, {genre_sql("(text || ' ' || [" + quoted(ASK) + "][doc_id % 10 + 1])")} AS genre FROM documents""")
 def infer_genre(spark, d):
     asked = F.concat(F.col("text"), F.lit(" "), tables.pick(ASK, F.col("doc_id") % 10))
-    return tables.table(spark, d, "documents").select("doc_id", text.infer_genre(asked).alias("genre"))
+    return tables.texts(spark, d, "documents").select("doc_id", text.infer_genre(asked).alias("genre"))
 
 
 GOLDEN = """
@@ -200,10 +200,10 @@ def vector_search(spark, d):
     return op.vector_search(v, v, 10).withColumn("score", F.round("score", 6))
 
 
-@query("vector_search_lsh")
-def vector_search_lsh(spark, d):
+@query("vector_search_approx")
+def vector_search_approx(spark, d):
     v = tables.vectors(spark, d)
-    return op.vector_search_lsh(v, v, 10)
+    return op.vector_search_approx(v, v, 10)
 
 
 POINTS = f"""
@@ -254,7 +254,7 @@ s AS (SELECT query, doc_id, rank, len(list_intersect(a, b)) / len(a) AS score FR
 SELECT query, doc_id, rank, round(score, 6) AS model_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, rank) AS new_rank, FROM s) WHERE new_rank <= 10""")
 def rerank_model(spark, d):
     """Every document is a hit of one benchmark text; whole documents are scored."""
-    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("doc"))
+    docs = tables.texts(spark, d, "documents").select("doc_id", F.col("text").alias("doc"))
     asks = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
     pairs = docs.withColumns(
         {"query": F.col("doc_id") % 40, "rank": (F.floor(F.col("doc_id") / 40) + 1).cast("long")}
@@ -267,7 +267,7 @@ def rerank_model(spark, d):
 SELECT conv_id, turn, CASE WHEN {lang_sql('text')} = 'vi' THEN 'EN ' || text ELSE text END AS text_en FROM conversations""")
 def translate_queries(spark, d):
     """With a stand-in translator that marks what it was sent."""
-    rows = tables.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    rows = tables.texts(spark, d, "conversations").select("conv_id", "turn", "text")
     return op.translate_queries(rows, lambda texts: [f"EN {t}" for t in texts]).drop("text")
 
 

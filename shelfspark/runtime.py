@@ -51,3 +51,13 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 def block_count(rows: int, block_rows: int) -> int:
     """Number of blocks so that each holds about ``block_rows`` rows."""
     return max(1, math.ceil(rows / block_rows))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer tasks than cores, as with one small file.
+
+    Larger inputs already have more tasks than that and are returned as they are,
+    so the extra shuffle is only ever paid on little data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

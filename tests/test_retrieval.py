@@ -127,13 +127,17 @@ def test_bilingual_picks_the_vector(spark):
     assert rows(op.bilingual_search(q, p, 1), "query", "item", "lang") == [(1, 2, "vi"), (2, 1, "en")]
 
 
-def test_lsh_finds_itself(spark):
+@pytest.mark.parametrize("block", [1000, 4])
+def test_approx_search(spark, block):
     import random
 
+    from shelfspark.operators import blocks
+
     rnd = random.Random(1)
     v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(50)], "id int, vector array<double>")
-    got = op.vector_search_lsh(v, v, 1)
-    assert got.filter("query = item and score > 0.999").count() == 50
+    assert blocks.approx_top(v, v, 1, item_block=block).filter("query = item and score > 0.999").count() == 50
+    exact = rows(op.vector_search(v, v, 5), "query", "rank", "item")
+    assert rows(blocks.approx_top(v, v, 5, lists=6, probes=6, item_block=block), "query", "rank", "item") == exact
 
 
 def test_golden_routes(spark):
