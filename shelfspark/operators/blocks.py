@@ -113,20 +113,23 @@ def cosine_pairs(
 
 
 def _similarities(np, t_at, t_dim, t_val, n_t, r_at, r_dim, r_val, n_r):
-    """Dense (targets x raters) dot products; raters are visited through their own entries."""
+    """Dense (raters x targets) dot products; raters are visited through their own entries.
+
+    Targets lie along the rows of memory, so a rater's dims are gathered as whole rows.
+    """
     dims = np.unique(t_dim)
-    base = np.zeros((n_t, len(dims)))
-    base[t_at, np.searchsorted(dims, t_dim)] = t_val
+    base = np.zeros((len(dims), n_t))
+    base[np.searchsorted(dims, t_dim), t_at] = t_val
     at = np.searchsorted(dims, r_dim)
     at[at == len(dims)] = 0
     known = dims[at] == r_dim if len(dims) else np.zeros(len(r_dim), dtype=bool)
     r_at, at, r_val = r_at[known], at[known], r_val[known]
     order = np.argsort(r_at, kind="stable")
     r_at, at, r_val = r_at[order], at[order], r_val[order]
-    out = np.zeros((n_t, n_r))
+    out = np.zeros((n_r, n_t))
     starts = np.flatnonzero(np.r_[True, r_at[1:] != r_at[:-1]]) if len(r_at) else np.array([], dtype=int)
     for s, e in zip(starts, np.r_[starts[1:], len(r_at)]):
-        out[:, r_at[s]] = base[:, at[s:e]] @ r_val[s:e]
+        out[r_at[s]] = r_val[s:e] @ base[at[s:e]]
     return out
 
 
@@ -248,7 +251,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
             hi = min(len(t_ids), lo + step)
             m = (t_at >= lo) & (t_at < hi)
             sims = _similarities(np, t_at[m] - lo, t_dim[m], t_val[m], hi - lo, r_at, r_dim, r_val, len(r_ids))
-            sims /= np.outer(t_norm[lo:hi], r_norm)
+            sims /= np.outer(r_norm, t_norm[lo:hi])
             num = np.zeros((hi - lo, len(cols)))
             den = np.zeros((hi - lo, len(cols)))
             if asked_only:
@@ -267,11 +270,12 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
                 else:
                     rows = slice(None)
                 raters = c_at[s:e_]
+                near = np.ascontiguousarray(sims[raters][:, rows].T)
                 if sums:
-                    num[rows, j] = sims[rows][:, raters] @ c_val[s:e_]
-                    den[rows, j] = np.abs(sims[rows][:, raters]).sum(axis=1)
+                    num[rows, j] = near @ c_val[s:e_]
+                    den[rows, j] = np.abs(near).sum(axis=1)
                     continue
-                top_s, top_v, top_o = _best(np, sims[rows][:, raters], c_val[s:e_], k)
+                top_s, top_v, top_o = _best(np, near, c_val[s:e_], k)
                 if single:
                     num[rows, j] = (top_s * top_v).sum(axis=1)
                     den[rows, j] = np.abs(top_s).sum(axis=1)
@@ -445,7 +449,10 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
             at = np.searchsorted(iid, skips["skip"].to_numpy(dtype=iid.dtype))
             at[at == len(iid)] = 0
             there = iid[at] == skips["skip"].to_numpy()
-            blocked = pd.Series(at[there]).groupby(skips["id"].to_numpy()[there]).apply(lambda x: x.to_numpy()).to_dict()
+            owner = skips["id"].to_numpy()[there]
+            by_owner = np.argsort(owner, kind="stable")
+            owners, first = np.unique(owner[by_owner], return_index=True)
+            blocked = dict(zip(owners, np.split(at[there][by_owner], first[1:])))
         masks = {}
         if filter_col:
             for f in asks["flt"].dropna().unique():
@@ -459,7 +466,7 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
             if few:
                 s = _dense(np, *own, dims) @ right.T
             else:
-                s = _similarities(np, *own, r_at, r_dim, r_val, len(iid))
+                s = np.ascontiguousarray(_similarities(np, *own, r_at, r_dim, r_val, len(iid)).T)
             if metric == "cosine":
                 den = np.outer(q_norm[lo:hi], r_norm)
                 s = np.divide(s, den, out=np.zeros_like(s), where=den > 0)
@@ -477,7 +484,7 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
                 if want <= 0:
                     continue
                 if want < len(row):
-                    limit = -np.partition(-row, want - 1)[want - 1]
+                    limit = np.partition(row, len(row) - want)[len(row) - want]
                     near = np.flatnonzero(row >= limit)
                 else:
                     near = np.arange(len(row))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfspark.operators.catalog import union_sources
-from shelfspark.runtime import scratch_path
+from shelfspark.runtime import cut_lineage, scratch_path
 
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -120,6 +122,43 @@ def advance_watermark(state: DataFrame, pipeline: str, batch: DataFrame, ts_col:
     return state.select("pipeline", moved.alias("last_run"))
 
 
+class KeyedTable:
+    """A parquet table in hash buckets of its key; an upsert rewrites only the buckets the batch touches.
+
+    ``merge(current, batch)`` must give the same result when a batch is applied
+    again: a run that died half-way is simply repeated.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+        self.stored = T.StructType([*schema.fields, T.StructField("_b", T.IntegerType())])
+        if not self._exists():
+            spark.createDataFrame([], self.stored).write.partitionBy("_b").parquet(path)
+
+    def _exists(self) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_b", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.stored).parquet(self.path).drop("_b")
+
+    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        batch = batch.persist()  # read twice; a lost copy is computed again from its files
+        touched = [r["_b"] for r in self._bucketed(batch).select("_b").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            batch.unpersist()
+            return
+        current = self.spark.read.schema(self.stored).parquet(self.path).filter(F.col("_b").isin(touched)).drop("_b")
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        # written aside first: the buckets read here are the ones replaced below
+        merged = cut_lineage(self._bucketed(merge(current, batch).select(*cols)).repartition("_b"), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_b").parquet(self.path)
+        batch.unpersist()
+
+
 def publish(df: DataFrame, name: str) -> str:
     """Write a new version into a folder of its own; readers of the old one are not disturbed."""
     path = scratch_path(df.sparkSession, name)

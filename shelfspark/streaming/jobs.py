@@ -36,40 +36,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-class VersionedTable:
-    """A keyed parquet table: every batch publishes the next version in a folder of its own.
-
-    The version is named after the batch, so a batch that is run again after a
-    failure overwrites its own folder and nothing else. Older versions stay
-    until they are removed from outside.
-    """
-
-    def __init__(self, spark: SparkSession, name: str, schema: str | T.StructType):
-        self.spark = spark
-        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        self.root = scratch_path(spark, name)
-        self.version = -1
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.version if version is None else version
-        if v < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={v}")
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        df.select(*cols).write.mode("overwrite").parquet(f"{self.root}/v={batch}")
-        self.version = batch
-
-
-def drain_into(stream: DataFrame, table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fold every micro-batch into ``table`` with ``merge(current, batch)``."""
+def drain_into(stream: DataFrame, table: upserts.KeyedTable, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Fold every micro-batch into ``table``; a repeated batch changes nothing."""
     state = scratch_path(stream.sparkSession, "fold-state")
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge(table.read(batch_id - 1), batch), batch_id)
-
-    query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, merge))
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
     return table.read()
 
@@ -77,10 +52,11 @@ def drain_into(stream: DataFrame, table: VersionedTable, merge: Callable[[DataFr
 # --- jobs -------------------------------------------------------------------------
 
 
-def ndjson_to_catalog(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
-    """Line-JSON raw rows -> flattened -> upserted catalog, one version per micro-batch."""
+def ndjson_to_catalog(spark: SparkSession, folder: str, per_trigger: int = 1, buckets: int = 8) -> DataFrame:
+    """Line-JSON raw rows -> flattened -> upserted catalog, micro-batch by micro-batch."""
     raw = spark.readStream.schema(schemas.RAW).option("maxFilesPerTrigger", per_trigger).json(folder)
-    table = VersionedTable(spark, "catalog", schemas.CATALOG)
+    schema = T.StructType(schemas.fields(schemas.CATALOG))
+    table = upserts.KeyedTable(spark, scratch_path(spark, "catalog"), schema, ["mal_id"], buckets)
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
         newest = upserts.last_per_key(batch, ["mal_id"], ["fetched_at", "source", "payload"])
@@ -102,9 +78,10 @@ def enrich_stream(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def latest_features(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_features(stream: DataFrame, keys: list[str], order: list[str], buckets: int = 8) -> DataFrame:
     """Upsert each micro-batch into the latest-per-entity table."""
-    table = VersionedTable(stream.sparkSession, "latest", stream.schema)
+    spark = stream.sparkSession
+    table = upserts.KeyedTable(spark, scratch_path(spark, "latest"), stream.schema, keys, buckets)
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
         return latest_per_key(current.unionByName(batch), keys, order)

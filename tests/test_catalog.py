@@ -128,3 +128,26 @@ def test_discover_first_seen(spark):
 def test_todo_skips_done_and_fresh(spark):
     ids = spark.range(1, 6).withColumnRenamed("id", "mal_id")
     assert rows(op.crawl_todo(ids, ids.filter("mal_id = 1"), ids.filter("mal_id = 5"))) == [(2,), (3,), (4,)]
+
+
+def test_keyed_table_rewrites_touched_buckets_only(spark):
+    import glob
+    import os
+
+    from shelfspark.runtime import scratch_path
+
+    df = spark.range(200).select("id", F.lit("old").alias("v"))
+    path = scratch_path(spark, "keyed")
+    table = upserts.KeyedTable(spark, path, df.schema, ["id"], 16)
+
+    def merge(current, batch):
+        return upserts.upsert(current, batch, ["id"], ["v"])
+
+    table.upsert(df, merge)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/_b=*/*.parquet")}
+    batch = spark.createDataFrame([(3, "new"), (900, "new")], "id bigint, v string")
+    table.upsert(batch, merge)
+    table.upsert(batch, merge)
+    after = set(glob.glob(f"{path}/_b=*/*.parquet"))
+    assert len(set(before) - after) <= 2 and len(before) > 10
+    assert table.read().count() == 201 and rows(table.read().filter("v = 'new'"), "id") == [(3,), (900,)]
