@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfspark.runtime import block_count, cut_lineage
+from shelfspark.runtime import block_count, cut_lineage, one_thread_per_task
 
 DIGITS = 9  # scores this close are ties
 CELL = 20_000_000  # numbers a task holds in one dense matrix: 160 MB
+SCORE_CELL = 2_000_000  # the same for score rows, which are read several times: 16 MB stay in cache
 
 
 def block_of(col: str, n: int) -> Column:
@@ -32,6 +33,7 @@ def _renewed(df: DataFrame) -> DataFrame:
 
 
 def _parallelism(df: DataFrame) -> int:
+    one_thread_per_task(df.sparkSession)
     return df.sparkSession.sparkContext.defaultParallelism
 
 
@@ -141,6 +143,12 @@ def _entries(np, pdf):
     return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(list(pdf["dims"])), np.concatenate(list(pdf["weights"]))
 
 
+def _unit(np, at, val, n):
+    """Entry values divided by the norm of their row; a zero row stays zero."""
+    norm = np.sqrt(np.bincount(at, val * val, n))[at]
+    return np.divide(val, norm, out=np.zeros_like(val), where=norm > 0)
+
+
 def _dense(np, at, dim, val, n, dims):
     """(n x dims) matrix of the entries whose dim is listed."""
     pos = np.searchsorted(dims, dim)
@@ -393,7 +401,7 @@ def score_top(
     """
     nq_rows = queries.count()
     ni_rows = items.count()
-    q_size = min(query_block, max(32, -(-nq_rows // _parallelism(queries))))
+    q_size = min(query_block, max(32, -(-nq_rows // (2 * _parallelism(queries)))))
     nq, ni = block_count(nq_rows, q_size), block_count(ni_rows, item_block)
     kind_q, kind_i = dict(queries.dtypes)["id"], dict(items.dtypes)["id"]
     vec = ["dims", "weights"]
@@ -424,7 +432,7 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
         import numpy as np
         import pandas as pd
 
-        names = ["query", "item", "score", "lim", "lo", "hi"]
+        names = ["query", "item", "score", "rank", "lim", "lo", "hi"]
         empty = pd.DataFrame({n: [] for n in names})
         skips = lpdf[~lpdf["ask"]]
         asks = lpdf[lpdf["ask"]]
@@ -439,8 +447,8 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
         if not len(dims):
             return empty
         if metric == "cosine":
-            q_norm = np.sqrt(np.bincount(q_at, q_val * q_val, len(qid)))
-            r_norm = np.sqrt(np.bincount(r_at, r_val * r_val, len(iid)))
+            q_val = _unit(np, q_at, q_val, len(qid))
+            r_val = _unit(np, r_at, r_val, len(iid))
         few = len(dims) <= 512 or len(r_val) * 4 > len(iid) * len(dims)
         right = _dense(np, r_at, r_dim, r_val, len(iid), dims) if few else None
         parts = []
@@ -458,7 +466,7 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
             for f in asks["flt"].dropna().unique():
                 masks[f] = np.array([t is not None and f in t for t in rpdf["tokens"]])
         flts, lims = asks["flt"].to_numpy(), asks["lim"].to_numpy().astype(int)
-        step = max(1, CELL // max(len(dims), len(iid)))
+        step = max(1, (SCORE_CELL if few else CELL) // max(len(dims), len(iid)))
         for lo in range(0, len(qid), step):
             hi = min(len(qid), lo + step)
             m = (q_at >= lo) & (q_at < hi)
@@ -467,9 +475,6 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
                 s = _dense(np, *own, dims) @ right.T
             else:
                 s = np.ascontiguousarray(_similarities(np, *own, r_at, r_dim, r_val, len(iid)).T)
-            if metric == "cosine":
-                den = np.outer(q_norm[lo:hi], r_norm)
-                s = np.divide(s, den, out=np.zeros_like(s), where=den > 0)
             order_score = np.round(s, DIGITS)
             for n in range(hi - lo):
                 row = order_score[n].copy()
@@ -491,7 +496,8 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
                 near = near[np.argsort(-row[near], kind="stable")][:want]  # items are in id order
                 many = len(near)
                 same = (lims[lo + n], s[n].min(), s[n].max())
-                parts.append((np.full(many, qid[lo + n]), iid[near], s[n][near], *[np.full(many, x) for x in same]))
+                head = (np.full(many, qid[lo + n]), iid[near], s[n][near], np.arange(1, many + 1))
+                parts.append((*head, *[np.full(many, x) for x in same]))
         if not parts:
             return empty
         cols = [np.concatenate(c) for c in zip(*parts)]
@@ -501,15 +507,17 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
         left.repartition(n_cells, "q", "i")
         .groupBy("q", "i")
         .cogroup(_renewed(right).repartition(n_cells, "q", "i").groupBy("q", "i"))
-        .applyInPandas(score, f"query {kind_q}, item {kind_i}, score double, lim int, lo double, hi double")
+        .applyInPandas(score, f"query {kind_q}, item {kind_i}, score double, rank int, lim int, lo double, hi double")
     )
     if bounds and split:
         spans = found.groupBy("query").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         found = found.drop("lo", "hi").join(spans, "query")
     elif not bounds:
         found = found.drop("lo", "hi")
+    if not split:  # one cell saw all items of a query: its ranks are final
+        return found.drop("lim")
     w = W.partitionBy("query").orderBy(F.round("score", DIGITS).desc(), F.asc("item"))
-    ranked = found.withColumn("rank", F.row_number().over(w))
+    ranked = found.drop("rank").withColumn("rank", F.row_number().over(w))
     # a literal bound lets Spark cut each partition before the shuffle
     ranked = ranked.filter(F.col("rank") <= k)
     return (ranked.filter(F.col("rank") <= F.col("lim")) if limit_col else ranked).drop("lim")

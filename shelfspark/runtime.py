@@ -61,3 +61,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def one_thread_per_task(spark: SparkSession) -> None:
+    """Keep numpy's matrix library to one thread in Python workers: Spark already runs one task per core."""
+    env = spark.sparkContext.environment
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        env.setdefault(name, "1")
