@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import byte_bpe, exact_dedup, mixing, token_counts
+from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, language_id, minhash, mixing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,29 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, d))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """``documents`` declare a language and name a source, which stands for the host; they have no address."""
+    found = language_id.identify(documents(spark, d), declared="lang", host="source")
+    return found.select("doc_id", "declared", "host", "text_language", "language", "probability", "accepted")
+
+
+@query("language_of_pages")
+def language_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """``pages`` declare a language in their markup and have an address."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    said = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
+    rows = pages.select("page_id", "url", bare.alias("text"), said.alias("markup"))
+    found = language_id.identify(rows, id_col="page_id", declared="markup", address="url")
+    return found.select(F.col("doc_id").alias("page_id"), "declared", "host", "text_language", "language", "probability", "accepted")
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -64,6 +87,11 @@ def op3_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_near_copies")
+def op5_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_copies(documents(spark, d)).select("doc_id", "class_id", "class_size", "kept")
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.bpe_digests(documents(spark, d), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
