@@ -67,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, grown when a longer block comes."""
     if not _powers or len(_powers[0]) < n:
         odd, n = 0xD6E8FEB86659FD93, max(n, 2 * _BLOCK)
@@ -78,7 +78,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 def shingles(docs: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each shingle, and the number of the document it belongs to."""
     data = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     inside = ~_SPACES[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, language_id, minhash, mixing, token_counts
+from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, language_id, minhash, mixing, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +87,11 @@ def op3_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, d))
+
+
 @query("op5_near_copies")
 def op5_near_copies(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_copies(documents(spark, d)).select("doc_id", "class_id", "class_size", "kept")
