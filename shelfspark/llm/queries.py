@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, language_id, minhash, mixing, suffix_dedup, token_counts
+from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,11 +97,25 @@ def op5_near_copies(spark: SparkSession, d: str) -> DataFrame:
     return minhash.near_copies(documents(spark, d)).select("doc_id", "class_id", "class_size", "kept")
 
 
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{d}/pages.parquet"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.bpe_digests(documents(spark, d), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose crc32 of the id leaves 2 of 4 are held out of the training."""
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = toxicity.score(documents(spark, d), labels.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 DEDUP_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
