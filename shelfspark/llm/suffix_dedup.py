@@ -245,6 +245,8 @@ class Block:
         stay, names = self.stay, self.names
         if chosen is not None:
             stay, names = stay[chosen], names[chosen]
+        if not len(stay):
+            return
         target, low = bucket_of(names, buckets)
         order = np.argsort(target, kind="stable")
         bucket, first = np.unique(target[order], return_index=True)
@@ -318,15 +320,10 @@ def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         shared = flag.copy()
         shared[order[again]] = True
         shared[order[:-1][again[1:]]] = True
-        sent = [(bucket, uid, _NAMES, _pack(low[(owner == i) & shared])) for i, uid in enumerate(uids) if shared[owner == i].any()] if len(uids) < 64 else _split(bucket, uids, low, owner, shared)
-        if sent:
-            yield _rows(sent)
-
-
-def _split(bucket: int, uids: list[str], low: np.ndarray, owner: np.ndarray, shared: np.ndarray) -> list[tuple]:
-    low, owner = low[shared], owner[shared]  # owners are in order
-    found, first = np.unique(owner, return_index=True)
-    return [(bucket, uids[i], _NAMES, _pack(part)) for i, part in zip(found.tolist(), np.split(low, first[1:]), strict=True)]
+        low, owner = low[shared], owner[shared]  # in order of the blocks
+        if len(low):
+            found, first = np.unique(owner, return_index=True)
+            yield _rows([(bucket, uids[i], _NAMES, _pack(part)) for i, part in zip(found.tolist(), np.split(low, first[1:]), strict=True)])
 
 
 def _send_windows(buckets: int, length: int):
@@ -374,8 +371,9 @@ def _find(length: int):
                 uids.append(uid)
             data, size, low, doc, start, owner, block = (np.concatenate(c) for c in zip(*parts, strict=True))
             size = size.astype(np.int64)
-            mark = _marked(data, np.cumsum(size) - size, size, low.astype(_U), owner, length)
-            row, first, many = mark
+            row, first, many = _marked(data, np.cumsum(size) - size, size, low.astype(_U), owner, length)
+            if not len(row):
+                continue
             order = np.argsort(block[row], kind="stable")
             row, first, many = row[order], first[order], many[order]
             found, cut = np.unique(block[row], return_index=True)
