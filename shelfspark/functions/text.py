@@ -9,12 +9,13 @@ VI_DIACRITICS = (
     "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
 )
 # Vietnamese stop words, accented then unaccented.
-VI_WORDS = (
-    "của những và với cho từ này kia gì nào không có là một người phim hay nhất giới thiệu gợi ý xem tôi muốn "
-    "tìm kiếm kinh dị hài hước lãng mạn chiến đấu "
-    "cua nhung va voi cho tu nay kia gi nao khong co la mot nguoi phim nhat goi xem toi muon tim kiem kinh di "
-    "huoc lang man chien dau vua thao"
-).split()
+VI_WORDS = [
+    "của", "những", "và", "với", "cho", "từ", "này", "kia", "gì", "nào", "không", "có", "là", "một", "người", "phim", "hay",
+    "nhất", "giới", "thiệu", "gợi", "ý", "xem", "tôi", "muốn", "tìm", "kiếm", "kinh", "dị", "hài", "hước", "lãng", "mạn",
+    "chiến", "đấu", "cua", "nhung", "va", "voi", "cho", "tu", "nay", "kia", "gi", "nao", "khong", "co", "la", "mot", "nguoi",
+    "phim", "nhat", "goi", "xem", "toi", "muon", "tim", "kiem", "kinh", "di", "huoc", "lang", "man", "chien", "dau", "vua",
+    "thao",
+]
 # Genre -> query keywords; the first genre with a match wins.
 GENRE_KEYWORDS = {
     "Mecha": ["mecha", "robot", "gundam", "evangelion", "votoms"],

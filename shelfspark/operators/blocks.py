@@ -37,6 +37,11 @@ def _parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+def cell_tasks(cells: int) -> int:
+    """Tasks for a number of cells: one each up to 2,000, beyond that one for eight, so tasks stay small as the grid grows."""
+    return min(cells, max(2000, -(-cells // 8)))
+
+
 def unit_entries(entries: DataFrame, row: str, dim: str, value: str) -> DataFrame:
     """(row, dim, value, norm): each entry with the L2 norm of its row."""
     e = entries.select(F.col(row).alias("row"), F.col(dim).alias("dim"), F.col(value).cast("double").alias("value"))
@@ -102,7 +107,7 @@ def cosine_pairs(
     kind = dict(e.dtypes)["row"]
     keys = ["ca", "cb", "cd"]
     pairs = (
-        cells.repartition(min(2000, nb * (nb + 1) // 2 * nd), *keys)
+        cells.repartition(cell_tasks(nb * (nb + 1) // 2 * nd), *keys)
         .groupBy(*keys)
         .applyInPandas(multiply, f"a {kind}, b {kind}, dot double, sim double")
     )
@@ -192,6 +197,13 @@ def neighbour_predictions(
     return _predict(ratings, row, col, value, k, requests, None, target_rows, rater_rows)
 
 
+def neighbour_lists(
+    ratings: DataFrame, row: str, col: str, value: str, k: int, requests: DataFrame, target_rows: int = 1024, rater_rows: int = 32_768
+) -> DataFrame:
+    """(row, col, b): for each requested cell its k most similar raters, best first, as structs of ``s`` (similarity) and ``v`` (value)."""
+    return _predict(ratings, row, col, value, k, requests, None, target_rows, rater_rows, lists=True)
+
+
 def neighbour_top(
     ratings: DataFrame, row: str, col: str, value: str, top: int = 10, k: int | None = 10, per: str = "row",
     target_rows: int = 1024, rater_rows: int = 32_768,
@@ -207,7 +219,7 @@ def neighbour_top(
     return preds.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows):
+def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows, lists=False):
     e = cut_lineage(unit_entries(ratings, row, col, value), "entries")
     sizes = e.agg(F.approx_count_distinct("row").alias("rows")).first()
     t_size = min(target_rows, max(32, -(-sizes["rows"] // _parallelism(ratings))))
@@ -225,7 +237,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
     left = left.withColumn("r", _all_blocks(nr))
     right = e.withColumn("r", block_of("row", nr)).withColumn("t", _all_blocks(nt))
     sums = k is None
-    single = nr == 1 or sums  # sums of parts can be added up, candidate lists have to be merged
+    single = (nr == 1 or sums) and not lists  # sums of parts can be added up, candidate lists have to be merged
     final = nr == 1
     asked_only = requests is not None
 
@@ -310,7 +322,7 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
     shape = f"row {rk}, col {ck}, " + (
         "num double, den double" if single else f"s array<double>, v array<double>, i array<{rk}>"
     )
-    n_cells = min(2000, nt * nr)
+    n_cells = cell_tasks(nt * nr)
     out = (
         left.repartition(n_cells, "t", "r")
         .groupBy("t", "r")
@@ -329,7 +341,10 @@ def _predict(ratings, row, col, value, k, requests, cut, target_rows, rater_rows
             k,
         )
         # a list holds k candidates per rater block
-        out = out.groupBy("row", "col").agg(best.alias("b")).select(
+        out = out.groupBy("row", "col").agg(best.alias("b"))
+        if lists:
+            return out.select(F.col("row").alias(row), F.col("col").alias(col), "b")
+        out = out.select(
             "row",
             "col",
             F.aggregate("b", F.lit(0.0), lambda acc, c: acc + c["s"] * c["v"]).alias("num"),
@@ -421,7 +436,7 @@ def score_top(
         left = left.unionByName(skips)
     tokens = F.col("tokens") if filter_col else F.lit(None).cast("array<string>")
     right = items.select(block_of("id", ni).alias("i"), "id", *vec, tokens.alias("tokens")).withColumn("q", _all_blocks(nq))
-    return _score_cells(left, right, k, min(2000, nq * ni), ni > 1, metric, exclude_self, bool(filter_col), bool(limit_col), bounds)
+    return _score_cells(left, right, k, cell_tasks(nq * ni), ni > 1, metric, exclude_self, bool(filter_col), bool(limit_col), bounds)
 
 
 def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_col, limit_col, bounds):
@@ -524,11 +539,13 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
 
 
 def approx_top(
-    queries: DataFrame, items: DataFrame, k: int, lists: int | None = None, probes: int = 8, item_block: int = 16_384
-) -> DataFrame:
+    queries: DataFrame, items: DataFrame, k: int, lists: int | None = None, probes: int = 8, item_block: int = 16_384,
+    fit_rows: int = 1_000_000,
+) -> DataFrame:
     """(query, item, score, rank): cosine top k among the items of the ``probes`` nearest clusters.
 
-    Clusters come from k-means over the unit vectors. A cluster larger than
+    Clusters, about the root of the number of items, come from k-means over the
+    unit vectors of about ``fit_rows`` items, chosen by the hash of their id; every item is placed. A cluster larger than
     ``item_block`` is split by hash, so a popular one is several cells.
     ``queries`` and ``items`` are (id, vector).
     """
@@ -538,14 +555,16 @@ def approx_top(
     from shelfspark.functions.values import unit
 
     n = items.count()
-    lists = lists or max(1, min(1024, round(n**0.5)))
+    lists = lists or max(1, min(round(n**0.5), fit_rows // 8))
 
     def units(df):
         return df.select("id", "vector", array_to_vector(unit(F.col("vector").cast("array<double>"))).alias("v"))
 
-    fit_on = units(items) if n <= 1_000_000 else units(items).sample(1_000_000 / n, 7)
+    # a share of the hash range: with few items all of them
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(-(-1_000_000 * fit_rows // max(1, n)))
+    fit_on = units(items.filter(share))
     model = KMeans(k=lists, featuresCol="v", predictionCol="q", seed=7, maxIter=10).fit(fit_on)
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]  # at most 1,024 of them
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]
     placed = model.transform(units(items)).select("id", "vector", "q")
     parts = placed.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / item_block).cast("int").alias("parts"))
     sized = placed.join(F.broadcast(parts), "q")  # one row per cluster
@@ -559,7 +578,7 @@ def approx_top(
         F.lit("0").cast(kind_i).alias("skip"), F.lit(True).alias("ask"), "i",
     )
     right = right.select("i", "id", "dims", "weights", F.lit(None).cast("array<string>").alias("tokens"), "q")
-    return _score_cells(left, right, k, min(2000, lists), True, "cosine", False, False, False, False)
+    return _score_cells(left, right, k, cell_tasks(lists), True, "cosine", False, False, False, False)
 
 
 def _nearest(queries: DataFrame, centers: list[list[float]], probes: int) -> DataFrame:

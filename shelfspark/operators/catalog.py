@@ -183,9 +183,15 @@ def finished_top(cat: DataFrame, n: int = 3) -> DataFrame:
 _WORDED = "\u0001isekai wording"
 
 
+# Synopsis wording that marks the genre 'isekai'.
+ISEKAI_WORDING = ["isekai", "another world", "reincarnat"]
+
+
 def _worded(syn: Column) -> Column:
-    # Synopsis wording that marks the genre 'isekai'.
-    return syn.contains("isekai") | syn.contains("another world") | syn.contains("reincarnat")
+    hit = F.lit(False)
+    for wording in ISEKAI_WORDING:
+        hit = hit | syn.contains(wording)
+    return hit
 
 
 def genre_top(cat: DataFrame, tokens: DataFrame, n: int | None = 3, token_col: str = "token") -> DataFrame:

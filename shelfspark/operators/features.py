@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.operators import skew
 
-MAX_CATEGORIES = 5_000
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 
@@ -95,12 +94,9 @@ def split_exact(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int
 # --- encodings ----------------------------------------------------------------
 
 
-def categories(df: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> list:
-    """Sorted distinct values for a wide encoding; refuses more than ``limit``."""
-    rows = df.select(F.col(col).alias("v")).filter("v is not null").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} categories: use the long encoding")
-    return sorted(r["v"] for r in rows)
+def categories(df: DataFrame, col: str) -> list:
+    """Sorted distinct values for a wide encoding, which has a column for each; :func:`onehot_long` has no such width."""
+    return sorted(r["v"] for r in df.select(F.col(col).alias("v")).filter("v is not null").distinct().collect())
 
 
 def fit_labels(train: DataFrame, col: str) -> DataFrame:
@@ -147,8 +143,8 @@ def class_columns(col: str, classes: list) -> dict:
     return names
 
 
-def array_classes(df: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> list:
-    return categories(df.select(F.explode(col).alias(col)), col, limit)
+def array_classes(df: DataFrame, col: str) -> list:
+    return categories(df.select(F.explode(col).alias(col)), col)
 
 
 # --- scaling ------------------------------------------------------------------
@@ -311,11 +307,14 @@ def asof_join(
     ts: str = "event_timestamp",
     ttl_seconds: float | None = None,
     max_rows: int = skew.MAX_ROWS_PER_KEY,
+    tie: list[str] | None = None,
 ) -> DataFrame:
     """Latest feature row at or before each entity row's time, per key.
 
     Both sides are stacked and scanned once in time order, so the cost is one
-    shuffle and no range join. At equal times the feature row comes first.
+    shuffle and no range join. At equal times the feature row comes first. Of
+    feature rows of one key and time the one with the largest ``tie`` columns
+    counts, by default that with the largest hash: the same in every plan.
     """
     cols = [c for c in features.columns if c not in (*keys, ts)]
     body = F.struct(F.col(ts).alias("_fts"), *cols)
@@ -324,7 +323,7 @@ def asof_join(
     left = left.withColumn("_feat", F.lit(None).cast(features.select(body.alias("b")).schema["b"].dataType))
     right = features.select(*keys, ts, F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), body.alias("_feat"))
     stacked = left.unionByName(right).withColumn("_kind", F.col("_feat").isNull().cast("int"))
-    order = [F.asc(ts), F.asc("_kind")]
+    order = [F.asc(ts), F.asc("_kind"), *[F.asc(f"_feat.{c}") for c in tie or []], F.xxhash64("_feat").asc()]
     known = skew.last_known(stacked, keys, order, "_feat", "_known", max_rows).filter("_kind = 1")
     live = F.col("_known._fts").isNotNull()
     if ttl_seconds is not None:

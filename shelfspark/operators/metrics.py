@@ -131,7 +131,10 @@ def candidate_recall(cands: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def graded_ndcg(ranked: DataFrame, gains: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
-    """NDCG with continuous gains. ``gains`` (query, item, gain); ``ideal`` (query, rank, gain): the best k gains."""
+    """NDCG with continuous gains. ``gains`` (query, item, gain); ``ideal`` (query, rank, gain): the best k gains.
+
+    One row for each query of ``ideal`` or of the lists; without a list it is 0.
+    """
     top = ranked.filter(F.col("rank") <= k).select("query", "rank", "item")
     dcg = (
         top.join(gains.select("query", "item", "gain"), ["query", "item"], "left")
@@ -149,7 +152,8 @@ def graded_ndcg(ranked: DataFrame, gains: DataFrame, ideal: DataFrame, k: int) -
         .agg(F.sum(F.col("gain") * discount(F.col("rank"))).alias("idcg"))
     )
     value = F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)
-    return dcg.join(best, "query", "left").select("query", F.round(value, 6).alias("ndcg"))
+    queries = ideal.select("query").union(ranked.select("query")).distinct()
+    return queries.join(dcg, "query", "left").join(best, "query", "left").select("query", F.round(value, 6).alias("ndcg"))
 
 
 def intent_recall(ranked: DataFrame, intents: DataFrame, k: int = 5) -> DataFrame:

@@ -61,9 +61,9 @@ def percentile_nearest(df: DataFrame, group: list[str], value: str, percents: li
 
     Distinct values are counted first (map-side combined); the running count
     goes over the distinct values of a group, range by range, see
-    ``_ranked_values``.
+    ``_ranked_values``. Null and NaN are left out; a group without values has no rows.
     """
-    known = df.filter(F.col(value).isNotNull())
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = cut_lineage(known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("c")), "value-counts")
     ranked = _ranked_values(counts, group, value)
     totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
@@ -87,7 +87,7 @@ def _ranked_values(counts: DataFrame, group: list[str], value: str, bins: int =
     range counts; only the values of one range are ordered together.
     """
     cuts = counts.approxQuantile(value, [i / bins for i in range(1, bins)], 1 / (4 * bins))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     binned = Bucketizer(splits=splits, inputCol=value, outputCol="bin").transform(counts)
     totals = binned.groupBy(*group, "bin").agg(F.sum("c").alias("bc"))  # at most ``bins`` rows per group
     shifted = totals.withColumn("shift", F.sum("bc").over(W.partitionBy(*group).orderBy("bin")) - F.col("bc")).drop("bc")

@@ -191,8 +191,11 @@ def explore_slots(slates: DataFrame, seen: DataFrame, items: DataFrame, k: int,
     used = slates.select("user_id", "item_id").unionByName(seen.select("user_id", "item_id")).distinct()
     users = slates.groupBy("user_id").agg(F.count(F.lit(1)).alias("slate"))
     h = used.groupBy("user_id").agg(F.count(F.lit(1)).alias("h"))
-    a = F.lit(1) + (F.col("user_id") * 48271 + seed) % (p - 1)
-    b = (F.col("user_id") * 69621 + seed * 7) % p
+    # ids are reduced before they are multiplied: no overflow; text ids by their hash
+    whole = dict(users.dtypes)["user_id"] in ("tinyint", "smallint", "int", "bigint")
+    user = F.col("user_id").cast("long") if whole else F.xxhash64("user_id")
+    a = F.lit(1) + F.pmod(F.pmod(user, F.lit(max(1, p - 1))) * 48271 + seed, F.lit(max(1, p - 1)))
+    b = F.pmod(F.pmod(user, F.lit(p)) * 69621 + seed * 7, F.lit(p))
     steps = F.least(F.col("h") + e + (p - n), F.lit(p)) - 1
     walk = (
         users.join(h, "user_id")
@@ -310,20 +313,28 @@ def blend_reasons(cf: DataFrame, content: DataFrame, k: int, w_cf: float = 0.6,
 
 
 def batch_predict(ratings: DataFrame, requests: DataFrame, value: str = "score") -> DataFrame:
-    """(user_id, item_id, k, model) requests; model 'user' or 'item'; one grid pass per distinct (model, k).
+    """(user_id, item_id, k, model) requests; model 'user' or 'item'.
 
-    The request table names its k values; there may be at most 20 of them.
+    One grid pass per model with the largest k asked of it; each request cuts
+    its own k from the list of neighbours.
     """
-    modes = requests.select("model", "k").distinct().limit(21).collect()
-    if len(modes) > 20:
-        raise ValueError("more than 20 distinct (model, k) settings in one batch")
     parts = []
-    for m in modes:
-        run = user_cf_predict if m["model"] == "user" else item_cf_predict
-        asked = requests.filter((F.col("model") == m["model"]) & (F.col("k") == m["k"])).select("user_id", "item_id")
-        parts.append(run(ratings, asked.distinct(), m["k"], value).withColumns({"model": F.lit(m["model"]), "k": F.lit(m["k"])}))
-    preds = reduce(DataFrame.unionByName, parts)
-    return requests.join(preds, ["user_id", "item_id", "model", "k"], "left")
+    for model, row, col in (("user", "user_id", "item_id"), ("item", "item_id", "user_id")):
+        asked = requests.filter(F.col("model") == model)
+        most = asked.agg(F.max("k")).first()[0]
+        if most is None:
+            continue
+        near = blocks.neighbour_lists(ratings, row, col, value, most, asked.select("user_id", "item_id").distinct())
+        cut = F.slice("b", 1, F.col("k").cast("int"))
+        size = F.aggregate(cut, F.lit(0.0), lambda t, c: t + F.abs(c["s"]))
+        total = F.aggregate(cut, F.lit(0.0), lambda t, c: t + c["s"] * c["v"])
+        both = asked.join(near, ["user_id", "item_id"], "left").withColumn("pred", F.when(size > 0, total / size))
+        if model == "item":
+            own = ratings.select("user_id", "item_id", F.col(value).cast("double").alias("own"))
+            both = both.join(own, ["user_id", "item_id"], "left").withColumn("pred", F.coalesce("own", "pred")).drop("own")
+        parts.append(both.drop("b"))
+    other = requests.filter(~F.coalesce(F.col("model").isin("user", "item"), F.lit(False))).withColumn("pred", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, parts, other)
 
 
 def ground_truth_top(tastes: DataFrame, entries: DataFrame, m: int = 50) -> DataFrame:

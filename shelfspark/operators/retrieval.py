@@ -33,8 +33,8 @@ def rerank_blend(hits: DataFrame, boost: float = 0.02) -> DataFrame:
 
 
 def fetch_size(genre: Column, k: int) -> Column:
-    """Over-fetch twice k, at most 10, when a genre filter leaves room to rerank."""
-    return F.when(genre.isNotNull(), min(2 * k, 10)).otherwise(k)
+    """Over-fetch twice k when a genre filter leaves room to rerank: at most 10, but never less than k."""
+    return F.when(genre.isNotNull(), max(k, min(2 * k, 10))).otherwise(k)
 
 
 def hybrid_search(queries: DataFrame, points: DataFrame, k: int = 5, boost: float = 0.02) -> DataFrame:

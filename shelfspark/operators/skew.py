@@ -118,17 +118,13 @@ def last_known(
     return plain.unionByName(joined.drop(_CHUNK, "_inside", "_rn", "_carry"))
 
 
-def dense_index(df: DataFrame, col: str, out: str = "idx", single_task_rows: int = 1_000_000) -> DataFrame:
+def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """Distinct values of ``col`` in sorted order numbered from 0.
 
-    Up to ``single_task_rows`` distinct values one window is cheapest; beyond
-    that the values are range-partitioned, numbered inside each partition and
-    shifted by the sizes of the partitions before it.
+    The values are range-partitioned, numbered inside each partition and shifted
+    by the sizes of the partitions before it.
     """
     values = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    probe = values.limit(single_task_rows + 1).count()
-    if probe <= single_task_rows:
-        return values.withColumn(out, (F.row_number().over(W.orderBy(col)) - 1).cast("long"))
     ranged = cut_lineage(values.repartitionByRange(F.col(col)).withColumn(_CHUNK, F.spark_partition_id()))
     sizes = ranged.groupBy(_CHUNK).agg(F.count(F.lit(1)).alias("_c"))
     shift = sizes.withColumn("_before", F.sum("_c").over(W.orderBy(_CHUNK)) - F.col("_c")).drop("_c")

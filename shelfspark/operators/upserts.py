@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfspark.operators.catalog import union_sources
-from shelfspark.runtime import cut_lineage, scratch_path
+from shelfspark.runtime import scratch_path
 
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -125,39 +126,86 @@ def advance_watermark(state: DataFrame, pipeline: str, batch: DataFrame, ts_col:
 class KeyedTable:
     """A parquet table in hash buckets of its key; an upsert rewrites only the buckets the batch touches.
 
+    Data files are never replaced. An upsert writes the touched buckets into a
+    new folder below ``data`` and then a list of buckets and their folders below
+    ``versions``; a version counts once Spark has committed it. A run that dies
+    before that changes nothing, and readers of an older version keep their files.
     ``merge(current, batch)`` must give the same result when a batch is applied
-    again: a run that died half-way is simply repeated.
+    again. One writer at a time; old folders are removed from outside.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
         self.stored = T.StructType([*schema.fields, T.StructField("_b", T.IntegerType())])
-        if not self._exists():
-            spark.createDataFrame([], self.stored).write.partitionBy("_b").parquet(path)
-
-    def _exists(self) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        found = self._version()
+        self.buckets = self._list(found)[0]["buckets"] if found else buckets
+        if not found:
+            self._commit(0, buckets, {})
+
+    def _version(self) -> int | None:
+        """The newest committed version, None for a new table."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        done = jvm.Path(f"{self.path}/versions/*/_SUCCESS")
+        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done)
+        names = [f.getPath().getParent().getName() for f in found or []]
+        return max((int(n) for n in names), default=-1) + 1 or None
+
+    def _list(self, version: int) -> list:
+        """(bucket, folder, buckets) of a version; a row without bucket carries the number of buckets."""
+        return self.spark.read.parquet(f"{self.path}/versions/{version - 1}").orderBy(F.col("bucket").asc_nulls_first()).collect()
+
+    def _commit(self, version: int, buckets: int, folders: dict[int, str]) -> None:
+        lines = [(None, None, buckets), *((b, f, buckets) for b, f in sorted(folders.items()))]
+        listed = self.spark.createDataFrame(lines, "bucket int, folder string, buckets int").coalesce(1)
+        listed.write.mode("overwrite").parquet(f"{self.path}/versions/{version}")
+
+    def _folders(self) -> tuple[int, dict[int, str]]:
+        version = self._version()
+        return version, {r["bucket"]: r["folder"] for r in self._list(version) if r["bucket"] is not None}
+
+    def _files(self, folders: dict[int, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.stored)
+        return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/data/{f}/part={b}" for b, f in sorted(folders.items())])
+
+    def _cast(self, df: DataFrame) -> DataFrame:
+        """Key columns in the table's types, since a hash depends on the type."""
+        return df.withColumns({k: F.col(k).cast(self.schema[k].dataType) for k in self.keys})
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_b", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.stored).parquet(self.path).drop("_b")
+        return self._files(self._folders()[1]).drop("_b")
 
-    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        batch = batch.persist()  # read twice; a lost copy is computed again from its files
-        touched = [r["_b"] for r in self._bucketed(batch).select("_b").distinct().collect()]  # at most ``buckets``
-        if not touched:
-            batch.unpersist()
-            return
-        current = self.spark.read.schema(self.stored).parquet(self.path).filter(F.col("_b").isin(touched)).drop("_b")
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        """The buckets of ``rows`` in a new folder; a large bucket becomes several files."""
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        # written aside first: the buckets read here are the ones replaced below
-        merged = cut_lineage(self._bucketed(merge(current, batch).select(*cols)).repartition("_b"), "merged")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_b").parquet(self.path)
+        folder = uuid.uuid4().hex
+        out = self._bucketed(rows.select(*cols)).withColumn("part", F.col("_b")).hint("rebalance", "part")
+        out.write.partitionBy("part").parquet(f"{self.path}/data/{folder}")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        parts = jvm.Path(f"{self.path}/data/{folder}/part=*")
+        found = parts.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(parts)
+        return {int(f.getPath().getName().split("=")[1]): folder for f in found or []}
+
+    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        batch = self._cast(batch).persist()  # read twice; a lost copy is computed again from its files
+        touched = {r["_b"] for r in self._bucketed(batch).select("_b").distinct().collect()}  # at most ``buckets``
+        if touched:
+            version, folders = self._folders()
+            current = self._files({b: f for b, f in folders.items() if b in touched}).drop("_b")
+            written = self._write(merge(current, batch))
+            self._commit(version, self.buckets, {**{b: f for b, f in folders.items() if b not in touched}, **written})
         batch.unpersist()
 
+    def resize(self, buckets: int) -> None:
+        """The same rows in another number of buckets, as a table that has grown needs."""
+        version, folders = self._folders()
+        rows = self._files(folders).drop("_b")
+        self.buckets = buckets
+        self._commit(version, buckets, self._write(rows))
+
 
 def publish(df: DataFrame, name: str) -> str:
     """Write a new version into a folder of its own; readers of the old one are not disturbed."""

@@ -91,12 +91,19 @@ SELECT user_id, item_id, round(pred, 6) AS pred, rank FROM (
         "inter ", f"{source} ").replace("score", value)
 
 
-@query("user_cf_recommend", with_ctes(INTER, body=knn_top_sql("user_id", "item_id")))
+#: Every (user, item, rater) is a row in these, too much for whole tables: tests compare them on the smallest ones.
+TOP_SQL = {
+    "user_cf_recommend": with_ctes(INTER, body=knn_top_sql("user_id", "item_id")),
+    "item_cf_recommend": with_ctes(INTER, body=knn_top_sql("item_id", "user_id")),
+}
+
+
+@query("user_cf_recommend")
 def user_cf_recommend(spark, d):
     return op.user_cf_recommend(inter(spark, d)).withColumn("pred", F.round("pred", 6))
 
 
-@query("item_cf_recommend", with_ctes(INTER, body=knn_top_sql("item_id", "user_id")))
+@query("item_cf_recommend")
 def item_cf_recommend(spark, d):
     return op.item_cf_recommend(inter(spark, d)).withColumn("pred", F.round("pred", 6))
 

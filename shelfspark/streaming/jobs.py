@@ -24,10 +24,14 @@ def read_events(spark: SparkSession, folder: str, schema: str | T.StructType, pa
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run an append-mode query to the end of its input; returns the written table."""
+def drain(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run an append-mode query to the end of its input; returns the written table.
+
+    With the paths of an earlier run it goes on behind what that run has read;
+    without, it starts anew in the shared folder.
+    """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
     query = (
         stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", state)
         .trigger(availableNow=True).start(out)
@@ -36,9 +40,11 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_into(stream: DataFrame, table: upserts.KeyedTable, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fold every micro-batch into ``table``; a repeated batch changes nothing."""
-    state = scratch_path(stream.sparkSession, "fold-state")
+def drain_into(
+    stream: DataFrame, table: upserts.KeyedTable, merge: Callable[[DataFrame, DataFrame], DataFrame], state: str | None = None
+) -> DataFrame:
+    """Fold every micro-batch into ``table``; a repeated batch changes nothing. ``state`` as in :func:`drain`."""
+    state = state or scratch_path(stream.sparkSession, "fold-state")
     query = (
         stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, merge))
         .option("checkpointLocation", state)
@@ -52,11 +58,13 @@ def drain_into(stream: DataFrame, table: upserts.KeyedTable, merge: Callable[[Da
 # --- jobs -------------------------------------------------------------------------
 
 
-def ndjson_to_catalog(spark: SparkSession, folder: str, per_trigger: int = 1, buckets: int = 8) -> DataFrame:
-    """Line-JSON raw rows -> flattened -> upserted catalog, micro-batch by micro-batch."""
+def ndjson_to_catalog(
+    spark: SparkSession, folder: str, per_trigger: int = 1, buckets: int = 8, path: str | None = None, state: str | None = None
+) -> DataFrame:
+    """Line-JSON raw rows -> flattened -> upserted catalog, micro-batch by micro-batch; goes on where ``path`` and ``state`` stand."""
     raw = spark.readStream.schema(schemas.RAW).option("maxFilesPerTrigger", per_trigger).json(folder)
     schema = T.StructType(schemas.fields(schemas.CATALOG))
-    table = upserts.KeyedTable(spark, scratch_path(spark, "catalog"), schema, ["mal_id"], buckets)
+    table = upserts.KeyedTable(spark, path or scratch_path(spark, "catalog"), schema, ["mal_id"], buckets)
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
         newest = upserts.last_per_key(batch, ["mal_id"], ["fetched_at", "source", "payload"])
@@ -65,7 +73,7 @@ def ndjson_to_catalog(spark: SparkSession, folder: str, per_trigger: int = 1, bu
         rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
         return upserts.upsert_catalog(current, rows)
 
-    return drain_into(raw, table, merge)
+    return drain_into(raw, table, merge, state)
 
 
 def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
@@ -78,15 +86,17 @@ def enrich_stream(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def latest_features(stream: DataFrame, keys: list[str], order: list[str], buckets: int = 8) -> DataFrame:
-    """Upsert each micro-batch into the latest-per-entity table."""
+def latest_features(
+    stream: DataFrame, keys: list[str], order: list[str], buckets: int = 8, path: str | None = None, state: str | None = None
+) -> DataFrame:
+    """Upsert each micro-batch into the latest-per-entity table; goes on where ``path`` and ``state`` stand."""
     spark = stream.sparkSession
-    table = upserts.KeyedTable(spark, scratch_path(spark, "latest"), stream.schema, keys, buckets)
+    table = upserts.KeyedTable(spark, path or scratch_path(spark, "latest"), stream.schema, keys, buckets)
 
     def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
         return latest_per_key(current.unionByName(batch), keys, order)
 
-    return drain_into(stream, table, merge)
+    return drain_into(stream, table, merge, state)
 
 
 def freshness(stream: DataFrame, ts: str = "ts", width: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -102,15 +112,18 @@ def freshness(stream: DataFrame, ts: str = "ts", width: str = "6 hours", late: s
 GAP_SHAPE = "user_id bigint, event_id bigint, ts timestamp, time_since_last double"
 
 
-def gap_stream(stream: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def gap_stream(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Seconds since the previous event per user; the last time is the only state.
 
-    A user idle for ``idle_ms`` of event time is forgotten. Rows of one batch
-    are ordered by (ts, event_id); batches arrive in time order.
+    Rows of one batch are ordered by (ts, event_id). A row that comes after a
+    later one of its user has been seen has no known predecessor: its gap is null
+    and the state stays. The state is kept for ever (a number for each user);
+    ``idle_ms`` forgets users idle for so much event time, whose next gap is null.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def gaps(key, frames, state: GroupState):
+        import numpy as np
         import pandas as pd
 
         if state.hasTimedOut:
@@ -119,10 +132,16 @@ def gap_stream(stream: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         micros = pdf["ts"].astype("datetime64[us]").astype("int64")
         before = micros.shift(1).astype("float64")
-        if state.exists:
-            before.iloc[0] = float(state.get[0])
-        state.update((int(micros.iloc[-1]),))
-        state.setTimeoutTimestamp(max(int(micros.iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+        last = state.get[0] if state.exists else None
+        if last is not None:
+            late = (micros < last).to_numpy()
+            before[late] = np.nan
+            if not late.all():
+                before.iloc[int(late.sum())] = float(last)
+        newest = max(int(micros.iloc[-1]), last if last is not None else int(micros.iloc[-1]))
+        state.update((newest,))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(
             {
                 "user_id": key[0],
@@ -132,8 +151,8 @@ def gap_stream(stream: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
             }
         )
 
-    return (
-        stream.withWatermark("ts", "1 hour")
-        .groupBy("user_id")
-        .applyInPandasWithState(gaps, GAP_SHAPE, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    if idle_ms is None:
+        grouped, timeout = stream.groupBy("user_id"), GroupStateTimeout.NoTimeout
+    else:
+        grouped, timeout = stream.withWatermark("ts", "1 hour").groupBy("user_id"), GroupStateTimeout.EventTimeTimeout
+    return grouped.applyInPandasWithState(gaps, GAP_SHAPE, "last bigint", "append", timeout)

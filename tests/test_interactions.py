@@ -62,7 +62,6 @@ def test_dense_index_both_routes(spark):
     df = spark.createDataFrame([("u2",), ("u1",), ("u2",), ("u3",)], "id string")
     want = [("u1", 0), ("u2", 1), ("u3", 2)]
     assert rows(skew.dense_index(df, "id")) == want
-    assert rows(skew.dense_index(df, "id", single_task_rows=1)) == want
 
 
 def test_hot_and_plain_routes_agree(spark):

@@ -103,3 +103,18 @@ def test_report(spark):
     (r,) = op.benchmark_report(golden, ranked, rel, intents, times).collect()
     assert (r.n, r.mrr, r.precision_5, r.intent_recall_5, r.n_multi) == (2, 0.5, 0.1, 0.5, 1)
     assert (r.latency_p50, r.latency_p95) == (50.0, 95.0)
+
+
+def test_percentiles_of_nothing_and_nan(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("b", float("nan"))], "g string, x double")
+    got = quality.percentile_nearest(df, ["g"], "x", [50])
+    assert [(r.g, r.p, r.value, r.n) for r in got.collect()] == [("a", 50, 1.0, 1)]
+    assert quality.percentile_nearest(df.filter("g = 'b'"), ["g"], "x", [50]).count() == 0
+    assert quality.percentile_nearest(df.limit(0), [], "x", [50]).count() == 0
+
+
+def test_graded_ndcg_keeps_queries_without_a_list(spark):
+    r = spark.createDataFrame([(0, 1, 10)], "query int, rank int, item int")
+    gains = spark.createDataFrame([(0, 10, 1.0), (1, 11, 1.0)], "query int, item int, gain double")
+    ideal = spark.createDataFrame([(0, 1, 1.0), (1, 1, 1.0)], "query int, rank int, gain double")
+    assert rows(op.graded_ndcg(r, gains, ideal, 5)) == [(0, 1.0), (1, 0.0)]

@@ -161,3 +161,23 @@ def test_golden_routes(spark):
     rel = rows(gold.relevance_sets(golden, cat))
     assert rel == [(1, 0, 1), (2, 0, 1), (2, 0, 2), (3, 0, 1), (4, 0, 2), (5, 0, 2), (6, 0, 1), (6, 0, 2), (8, 1, 1), (8, 1, 2), (8, 2, 2)]
     assert ("drama" in {g for q_, g in rows(gold.golden_genres(golden, cat)) if q_ == 1})
+
+
+def test_hybrid_search_fills_large_k(spark):
+    points = spark.createDataFrame(
+        [(i, [float(i), 1.0], ["Mecha"] if i % 2 else ["Drama"], 5.0) for i in range(60)], "id int, vector array<double>, genres array<string>, item_score double"
+    )
+    asked = spark.createDataFrame([(1, "a mecha show", [1.0, 0.0]), (2, "something", [1.0, 0.0])], "id int, text string, vector array<double>")
+    got = op.hybrid_search(asked, points, k=20).groupBy("query").count().collect()
+    assert {r["query"]: r["count"] for r in got} == {1: 20, 2: 20}
+
+
+def test_approximate_search_recall(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [(i, [rng.gauss(c % 8, 1) if j == c % 8 else rng.gauss(0, 1) for j in range(8)]) for i, c in enumerate(range(600))]
+    v = spark.createDataFrame(data, "id long, vector array<double>")
+    exact = set(rows(op.vector_search(v, v, 10), "query", "item"))
+    near = set(rows(op.vector_search_approx(v, v, 10, probes=10), "query", "item"))
+    assert len(near & exact) >= 0.9 * len(exact)

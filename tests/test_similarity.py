@@ -202,3 +202,53 @@ def test_als_excludes_seen(ratings):
     recs = recommend.als_recommend(df, 3, rank=4, iterations=3)
     assert recs.groupBy("user_id").count().filter("count > 3").count() == 0
     assert recs.join(df, ["user_id", "item_id"], "left_semi").count() == 0
+
+
+def test_batch_predict_takes_any_number_of_settings(spark):
+    import random
+
+    from shelfspark.operators import recommend as rec
+
+    rng = random.Random(4)
+    data = [(u, i, float(rng.randrange(1, 11))) for u in range(30) for i in rng.sample(range(25), 9)]
+    ratings = spark.createDataFrame(data, "user_id long, item_id long, score double")
+    asked = [(u, i, k, m) for k in range(1, 12) for m in ("user", "item") for u, i in ((1, 2), (3, 4), (99, 1))]
+    req = spark.createDataFrame(asked, "user_id long, item_id long, k int, model string")
+    got = {(r.user_id, r.item_id, r.k, r.model): r.pred for r in rec.batch_predict(ratings, req).collect()}
+    assert len(got) == len(asked) and len({(k, m) for _, _, k, m in asked}) == 22
+    for k in (1, 4, 11):
+        for model, run in (("user", rec.user_cf_predict), ("item", rec.item_cf_predict)):
+            one = req.filter((F.col("k") == k) & (F.col("model") == model)).select("user_id", "item_id")
+            for r in run(ratings, one, k).collect():
+                want = got[r.user_id, r.item_id, k, model]
+                assert (want is None) == (r.pred is None) and (want is None or abs(want - r.pred) < 1e-9)
+
+
+def test_explore_slots_take_large_and_text_ids(spark):
+    from shelfspark.operators import recommend as rec
+
+    items = spark.range(40).withColumnRenamed("id", "item_id")
+    for user, kind in ((9_000_000_000_000_000_000, "long"), (-5, "long"), ("someone", "string")):
+        slates = spark.createDataFrame([(user, i, i + 1) for i in range(5)], f"user_id {kind}, item_id long, rank int")
+        seen = spark.createDataFrame([(user, 7)], f"user_id {kind}, item_id long")
+        got = rec.explore_slots(slates, seen, items, 5, 2).collect()
+        assert sorted(r.rank for r in got) == [1, 2, 3, 4, 5] and sum(r.explored for r in got) == 2
+        assert len({r.item_id for r in got}) == 5 and not {r.item_id for r in got if r.explored} & {0, 1, 2, 3, 4, 7}
+
+
+def test_cf_recommendations_equal_sql(spark):
+    import duckdb
+
+    from shelfspark import queries
+    from shelfspark.queries import recommend as rq
+
+    queries.load()
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, sql in rq.TOP_SQL.items():
+        cur = con.execute(sql)
+        columns = [c[0] for c in cur.description]
+        got = queries.QUERIES[name](spark, d).select(*columns).collect()
+        assert sorted(tuple(r) for r in got) == sorted(cur.fetchall())

@@ -150,3 +150,29 @@ def test_static_enrichment_keeps_unmatched(spark):
     s = feed(spark, [[(1, 1, at(0), 1.0), (2, 9, at(0), 1.0)]])
     static = spark.createDataFrame([(1, "one")], "user_id bigint, name string")
     assert rows(jobs.drain(jobs.enrich_stream(s, static, "user_id"), "e"), "event_id", "name") == [(1, "one"), (2, None)]
+
+
+def test_gap_after_weeks_and_late_rows(spark):
+    s = feed(spark, [[(1, 1, at(0), 0.0)], [(2, 1, at(24 * 21), 0.0)], [(3, 1, at(5), 0.0), (4, 1, at(24 * 21 + 1), 0.0)], [(5, 1, at(6), 0.0)]])
+    got = rows(jobs.drain(jobs.gap_stream(s), "g"), "event_id", "time_since_last")
+    assert got == [(1, None), (2, 1_814_400.0), (3, None), (4, 3600.0), (5, None)]
+
+
+def test_streams_go_on_where_they_stopped(spark):
+    folder, out, state = (scratch_path(spark, n) for n in ("grow", "grow-out", "grow-state"))
+    kind = "event_id bigint, user_id bigint, ts timestamp, value double"
+
+    def put(data):
+        spark.createDataFrame(data, kind).coalesce(1).write.mode("append").parquet(folder)
+
+    def stream():
+        return spark.readStream.schema(kind).parquet(folder)
+
+    put([(1, 1, at(0), 1.0), (2, 2, at(1), 1.0)])
+    assert jobs.drain(stream(), "x", out=out, state=state).count() == 2
+    put([(3, 1, at(2), 1.0)])
+    assert rows(jobs.drain(stream(), "x", out=out, state=state), "event_id") == [(1,), (2,), (3,)]
+    path, mark = scratch_path(spark, "latest"), scratch_path(spark, "latest-state")
+    for want in (2, 3):
+        got = jobs.latest_features(stream(), ["user_id"], ["ts", "event_id"], path=path, state=mark)
+        assert rows(got, "user_id", "event_id") == [(1, max(3, want)), (2, 2)] if want == 3 else got.count() == 2
