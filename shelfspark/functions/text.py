@@ -65,7 +65,7 @@ def normalize(c: Column) -> Column:
     return F.lower(collapse_spaces(F.coalesce(c, F.lit(""))))
 
 
-def strip_html(c: Column, limit: int | None = 2000) -> Column:
+def strip_html(c: Column, limit: int | None = None) -> Column:
     """Tags become blanks, blanks collapse; cut to ``limit`` unless None; empty becomes null."""
     plain = collapse_spaces(F.regexp_replace(c, "<[^>]+>", " "))
     return F.nullif(plain if limit is None else F.substring(plain, 1, limit), F.lit(""))
@@ -152,15 +152,15 @@ def retrieval_document(
     score: Column,
     tags: Column,
     digest: Column | None = None,
-    max_tags: int = 20,
-    max_synopsis: int = 1500,
+    max_tags: int | None = None,
+    max_synopsis: int | None = None,
 ) -> Column:
-    """One text block per item: title, tags, facets, synopsis; empty parts are dropped."""
+    """One text block per item: title, tags, facets, synopsis; empty parts are dropped, nothing else is cut unless asked."""
     shown = F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit(DEFAULT_TITLE), item_id.cast("string")))
     alt = F.when((title_japanese != "") & (title_japanese != shown), F.concat(F.lit("Japanese title: "), title_japanese))
     named = F.filter(tags, lambda t: t["name"].isNotNull() & (t["name"] != ""))
     tag_text = F.transform(
-        F.slice(named, 1, max_tags),
+        named if max_tags is None else F.slice(named, 1, max_tags),
         lambda t: F.concat(t["name"], F.lit(" ("), F.coalesce(t["weight"], F.lit(0)).cast("string"), F.lit("%)")),
     )
     facets = F.concat_ws(
@@ -182,7 +182,7 @@ def retrieval_document(
         alt,
         F.when(F.size(named) > 0, F.concat(F.lit("Tags: "), F.array_join(tag_text, ", "))),
         F.nullif(facets, F.lit("")),
-        F.when(body != "", F.concat(F.lit("Synopsis: "), F.substring(body, 1, max_synopsis))),
+        F.when(body != "", F.concat(F.lit("Synopsis: "), body if max_synopsis is None else F.substring(body, 1, max_synopsis))),
         F.when(reviews != "", F.concat(F.lit("Audience reception: "), reviews)),
     )
 

@@ -89,7 +89,7 @@ def flatten_payload_basic(raw: DataFrame) -> DataFrame:
     )
 
 
-def media_to_row(media: DataFrame) -> DataFrame:
+def media_to_row(media: DataFrame, max_description: int | None = None) -> DataFrame:
     """Second-source media rows to the columns they update; rows without an id are dropped."""
     tags = F.transform(
         F.filter(F.coalesce("tags", F.array().cast("array<struct<name:string,rank:int>>")), lambda t: t["name"].isNotNull() & (t["name"] != "")),
@@ -102,7 +102,7 @@ def media_to_row(media: DataFrame) -> DataFrame:
         F.nullif(score, F.lit(0.0)).alias("score_anilist"),
         F.col("favourites").alias("favourites_anilist"),
         F.col("popularity").alias("popularity_anilist"),
-        text.strip_html(F.col("description")).alias("description_anilist"),
+        text.strip_html(F.col("description"), max_description).alias("description_anilist"),
     )
 
 
@@ -327,12 +327,19 @@ def similar_by_genre(
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def discover_ids(pages: DataFrame, limit: int = 5000, season_limit: int = 1000) -> DataFrame:
-    """(arm, pos, id) pages to first-seen order: the top arm capped at ``limit``, each season arm at its own cap."""
+def discover_ids(pages: DataFrame, limit: int | None = None, season_limit: int | None = None) -> DataFrame:
+    """(arm, pos, id) pages to first-seen order; arm 0 takes its first ``limit`` ids, the others ``season_limit`` each (None: all)."""
     kept = pages.filter(F.col("id").isNotNull())
     firsts = kept.groupBy("arm", "id").agg(F.min("pos").alias("pos"))
-    ranked = firsts.withColumn("n", F.row_number().over(W.partitionBy("arm").orderBy("pos", "id")))
-    capped = ranked.filter(F.col("n") <= F.when(F.col("arm") == 0, limit).otherwise(season_limit))
+
+    def first(rows: DataFrame, most: int | None) -> DataFrame:
+        if most is None:
+            return rows
+        # a literal bound lets Spark cut each partition before the shuffle
+        ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("arm").orderBy("pos", "id")))
+        return ranked.filter(F.col("n") <= most).drop("n")
+
+    capped = first(firsts.filter("arm = 0"), limit).unionByName(first(firsts.filter("arm <> 0"), season_limit))
     return first_seen(capped, "id", ["arm", "pos"])
 
 

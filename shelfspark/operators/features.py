@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from shelfspark.functions.values import unit
 from shelfspark.operators import skew
 
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
@@ -232,39 +233,32 @@ def dense_rows(weights: DataFrame, key: str, width: int) -> DataFrame:
     return packed.select(key, vector.alias("vector"))
 
 
-def hashed_encoder(dim: int = 64) -> Callable[[Iterator], Iterator]:
-    """Offline default encoder: signed hashed word counts, L2-normalised. Replaceable by any model."""
+def hashed_vectors(df: DataFrame, col: str, out: str = "vector", dim: int = 64) -> DataFrame:
+    """Offline default encoder: signed hashed word counts, L2-normalised, all in the JVM."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
 
-    def encode(texts: Iterator) -> Iterator:
-        import re
-        import zlib
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    signs = {"_plus": 1, "_minus": 0}
 
-        import numpy as np
-        import pandas as pd
+    def signed(bit: int) -> Column:
+        return F.filter("_words", lambda w: F.shiftright(F.crc32(w), 16).bitwiseAND(1) == bit)
 
-        word = re.compile(r"\w\w+")
-        for batch in texts:
-            out = []
-            for t in batch:
-                v = np.zeros(dim)
-                for w in word.findall((t or "").lower()):
-                    h = zlib.crc32(w.encode("utf-8"))
-                    v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-                n = np.linalg.norm(v)
-                out.append(v / n if n > 0 else v)
-            yield pd.Series(out)
-
-    return encode
+    rows = df.withColumn("_words", words).withColumns({name: signed(bit) for name, bit in signs.items()})
+    for name in signs:
+        rows = HashingTF(numFeatures=dim, inputCol=name, outputCol=name + "_tf").transform(rows)
+    counts = F.zip_with(vector_to_array("_plus_tf"), vector_to_array("_minus_tf"), lambda x, y: x - y)
+    return rows.withColumn("_counts", counts).withColumn(out, unit(F.col("_counts"))).select(*df.columns, out)
 
 
 def text_embed(df: DataFrame, col: str, out: str = "vector", encoder: Callable | None = None) -> DataFrame:
-    """Unit vectors for a text column, in Arrow batches. ``encoder``: iterator of Series -> iterator of Series."""
+    """Unit vectors for a text column. ``encoder``: iterator of Series -> iterator of Series, in Arrow batches; any model."""
+    if encoder is None:
+        return hashed_vectors(df, col, out)
     import pandas as pd
 
-    run = encoder or hashed_encoder()
-
     def embed(texts):
-        yield from run(texts)
+        yield from encoder(texts)
 
     embed.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out, F.pandas_udf(embed, "array<double>")(F.col(col)))

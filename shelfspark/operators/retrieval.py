@@ -151,7 +151,7 @@ def translate_docs(cat: DataFrame, translator: Callable, doc: str = "doc") -> Da
     return todo.mapInPandas(run, f"mal_id {dict(cat.dtypes)['mal_id']}, doc_vi string").filter("doc_vi <> ''")
 
 
-def with_document(cat: DataFrame, out: str = "doc") -> DataFrame:
+def with_document(cat: DataFrame, out: str = "doc", max_tags: int | None = None, max_synopsis: int | None = None) -> DataFrame:
     """Catalog rows with their retrieval document."""
     none = F.lit(None).cast("string")
     tags = F.col("tags_anilist") if "tags_anilist" in cat.columns else F.col("tags")
@@ -161,7 +161,7 @@ def with_document(cat: DataFrame, out: str = "doc") -> DataFrame:
         text.retrieval_document(
             F.col("mal_id"), F.col("title"), F.col("title_japanese"), F.col("synopsis"), F.col("episodes"),
             F.col("status"), F.col("season"), F.col("year"), F.col("studios"), F.col("source"), F.col("genres"),
-            F.col("score"), tags, digest,
+            F.col("score"), tags, digest, max_tags, max_synopsis,
         ),
     )
 

@@ -25,6 +25,8 @@ SELECT c.mal_id, CASE WHEN c.mal_id % 50 <> 0 THEN title ELSE 'Anime ' || c.mal_
 FROM cat c JOIN raw r USING (mal_id)
 """
 
+DESCRIPTION_CHARS = 2000  # of the stored format
+
 
 @query("flatten_payload", with_ctes(CAT, RAW, body=FLAT_SQL))
 def flatten_payload(spark, d):
@@ -210,7 +212,7 @@ media AS (
 
 @query("media_to_row", with_ctes(MEDIA_SQL, body="SELECT * FROM media"))
 def media_to_row(spark, d):
-    return flat(op.media_to_row(tables.media_rows(spark, d)))
+    return flat(op.media_to_row(tables.media_rows(spark, d), DESCRIPTION_CHARS))
 
 
 @query("enrich_catalog", with_ctes(CAT, RAW, MEDIA_SQL, body="""
@@ -225,7 +227,7 @@ def enrich_catalog(spark, d):
     for f in schemas.fields(schemas.CATALOG):
         if f.name in op._ANILIST:
             base = base.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return flat(op.enrich(base, op.media_to_row(tables.media_rows(spark, d))))
+    return flat(op.enrich(base, op.media_to_row(tables.media_rows(spark, d), DESCRIPTION_CHARS)))
 
 
 @query("array_union_sources", with_ctes(RAW, body="""
@@ -241,7 +243,7 @@ SELECT coalesce(c.mal_id, m.mal_id) AS mal_id, coalesce(c.score, m.score_anilist
 FROM (SELECT * FROM cat WHERE mal_id % 4 <> 1) c FULL OUTER JOIN media m ON m.mal_id = c.mal_id"""))
 def merge_sources(spark, d):
     first = cat_lean(spark, d).filter("mal_id % 4 <> 1").select("mal_id", "title", "score")
-    second = op.media_to_row(tables.media_rows(spark, d)).select(
+    second = op.media_to_row(tables.media_rows(spark, d), DESCRIPTION_CHARS).select(
         "mal_id", F.col("score_anilist").alias("score"), "popularity_anilist"
     )
     return op.merge_sources(first, second)

@@ -151,7 +151,7 @@ docs AS (SELECT mal_id, concat_ws(chr(10), 'Title: ' || title, 'Japanese title:
 
 @query("build_document", with_ctes(CAT, DOC_SQL, body="SELECT mal_id, doc FROM docs"))
 def build_document(spark, d):
-    return op.with_document(cat_lean(spark, d)).select("mal_id", "doc")
+    return op.with_document(cat_lean(spark, d), max_tags=20, max_synopsis=1500).select("mal_id", "doc")
 
 
 @query("doc_text", with_ctes(CAT, body="SELECT mal_id, trim(title || ' ' || array_to_string(genres, ', ') || ' ' || coalesce(synopsis, '')) AS line FROM cat"))
@@ -289,7 +289,7 @@ def index_incremental(spark, d):
 SELECT mal_id AS id, title, array_to_string(genres, ', ') AS genres, year, score, image_url, coalesce(synopsis, '') AS synopsis FROM cat"""))
 def vector_table(spark, d):
     rows = cat_lean(spark, d).withColumn("vector", F.array(F.col("year").cast("float")))
-    return sinks.vector_points(rows).select("id", "payload.*").drop("mal_id")
+    return sinks.vector_points(rows, max_synopsis=1500).select("id", "payload.*").drop("mal_id")
 
 
 @query("benchmark_report", with_ctes(CAT, GOLDEN, RESOLVED, RELEVANT, body="""

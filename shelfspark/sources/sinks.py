@@ -72,8 +72,9 @@ def lookup_keyed(store: DataFrame, namespace: str, key: str) -> DataFrame:
     return store.filter((F.col("namespace") == namespace) & (F.col("id") == key))
 
 
-def vector_points(rows: DataFrame, vector: str = "vector", vector_alt: str | None = None, max_synopsis: int = 1500) -> DataFrame:
+def vector_points(rows: DataFrame, vector: str = "vector", vector_alt: str | None = None, max_synopsis: int | None = None) -> DataFrame:
     """(id, vector[, vector_vi], payload struct): the shape of the vector table."""
+    synopsis = F.coalesce("synopsis", F.lit(""))
     payload = F.struct(
         "mal_id",
         "title",
@@ -81,7 +82,7 @@ def vector_points(rows: DataFrame, vector: str = "vector", vector_alt: str | Non
         "year",
         "score",
         "image_url",
-        F.substring(F.coalesce("synopsis", F.lit("")), 1, max_synopsis).alias("synopsis"),
+        (synopsis if max_synopsis is None else F.substring(synopsis, 1, max_synopsis)).alias("synopsis"),
     ).alias("payload")
     cols = [F.col("mal_id").alias("id"), F.col(vector).alias("vector")]
     if vector_alt:
