@@ -13,12 +13,14 @@ places with high probability, and further where one is empty.
 
 Texts with the same words are one node. Nodes that share a band meet in a
 bucket. A bucket does not emit its pairs: first all nodes are verified against
-one pivot; then, in each bucket that still holds several classes, nodes outside
-its largest class become pivots, more in each round, and are verified against the
-nodes of other classes, until every node outside the largest class has been one.
-So each pair of a bucket is verified or already known to be connected, and a
-group of thousands of near copies costs thousands of verifications, not millions.
-Classes are the connected components of the verified links.
+one hub. Where nodes around a hub are left in several classes, those that can
+still be similar meet in finer buckets, of numbers that they share outside the
+hub (see ``_finer``). In a finer bucket that still holds several classes, nodes
+outside its largest class become pivots, more in each round, and are verified
+against the nodes of other classes, until every node outside the largest class
+has been one. So each pair of a bucket is verified, ruled out by the sizes known,
+or already connected, and a group of thousands of near copies costs thousands of
+verifications, not millions. Classes are the connected components of the links.
 
 With 20 bands of 4 a pair of similarity 0.8 shares no band with probability
 3e-5, a pair of 0.9 with 1e-9. Verified overlap uses 32-bit hashes of shingles.
@@ -40,14 +42,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from shelfspark.llm.rows import text_bytes, texts
+from shelfspark.llm.rows import join_hot, text_bytes, texts
 from shelfspark.runtime import cut_lineage
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-PIVOTS = 16
+PIVOTS = 64
 _BLOCK = 1 << 21
 
 _U = np.uint64
@@ -70,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, grown when a longer block comes."""
     if not _powers or len(_powers[0]) < n:
-        odd, n = 0xD6E8FEB86659FD93, max(n, 2 * _BLOCK)
+        odd, n = 0xD6E8FEB86659FD93, max(n, _BLOCK + (1 << 16))
         _powers[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(v))])) for v in (odd, pow(odd, -1, 1 << 64))]
     return _powers
 
@@ -199,12 +201,15 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), bags], names=["node", "bag"])
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
+def _overlaps(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b) with the sizes of both multisets and of what they share."""
     left, right = bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
+
+
+def _verified(overlaps: DataFrame, similarity: float) -> DataFrame:
+    return overlaps.filter(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,36 +236,94 @@ def components(edges: DataFrame) -> DataFrame:
         labels = cut_lineage(labels.join(steps, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _links(members: DataFrame, bags: DataFrame, similarity: float, pivots: int) -> DataFrame:
-    """Verified links that connect all nodes that share a bucket and are similar, directly or through others."""
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after more edges: only the classes that they connect are looked at."""
+    known = labels.select("node")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = labels.union(ends.join(known, "node", "left_anti").select("node", F.col("node").alias("label")))
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = edges.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    between = cut_lineage(between, "between")
+    moves = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cut_lineage(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _several(named: DataFrame, key: str) -> DataFrame:
+    """Members of the groups that hold several classes, with the largest class as ``main``."""
+    sizes = named.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy(key).agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return named.join(mixed.select(key, "main"), key)
+
+
+def _finer(hubs: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node): smaller buckets for the nodes around a hub that its links have not connected.
+
+    Let x and y stand around hub h, share o(x) and o(y) with it, and be similar. What
+    they share inside h is at most the smaller of o(x) and o(y), so they share at
+    least ``similarity`` * n(x) - o(x) numbers outside h, and the same for y. So
+    either this is positive for one of them, and both have a common number among
+    the first of their numbers outside h, all but as many as they must share less
+    one. Or it is positive for neither; then they meet in a bucket of their size,
+    as similar multisets have similar sizes.
+    """
+    around = hubs.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), "shared")
+    open_ = _several(_labelled(around, labels), "hub").select("hub", "node", "n", "shared")
+    open_ = cut_lineage(open_.withColumn("least", F.ceil(similarity * F.col("n") - F.col("shared") - 1e-9)), "around")
+    own, of_hub = bags.withColumnRenamed("bag", "y"), bags.select(F.col("node").alias("hub"), F.col("bag").alias("x"))
+    outside = open_.join(own, "node").join(of_hub, "hub").withColumn("outside", F.array_sort(F.array_except("y", "x")))
+    first = F.slice("outside", 1, F.greatest(F.size("outside") - F.greatest(F.col("least"), F.lit(1)) + 1, F.lit(0)).cast("int"))
+    common = outside.select("hub", "node", F.explode(first).alias("number"))
+    common = common.select(F.xxhash64(F.lit("number"), "hub", "number").alias("bucket"), "node")
+    size = F.floor(F.log(F.col("n")) / -math.log(similarity))
+    sized = open_.filter("least <= 0").select("hub", "node", F.explode(F.array(size, size + 1)).alias("size"))
+    sized = sized.select(F.xxhash64(F.lit("size"), "hub", "size").alias("bucket"), "node")
+    return common.union(sized).distinct()
+
+
+def _classes(members: DataFrame, bags: DataFrame, similarity: float, pivots: int) -> DataFrame:
+    """(node, label) of all nodes that have a link: the components of the links between nodes that share a bucket."""
     first = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    tested = cut_lineage(members.join(first, "bucket").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    edges = cut_lineage(_verified(tested, bags, similarity), "edges")
+    pairs = members.join(first, "bucket").filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    hubs = cut_lineage(_overlaps(cut_lineage(pairs, "pairs"), bags), "hubs")
+    tested = hubs.select("a", "b")
+    labels = components(_verified(hubs, similarity))
+    finer = cut_lineage(_finer(hubs, labels, bags, similarity), "finer")
+    shared = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    members = cut_lineage(finer.join(shared, "bucket"), "finer")
     used = None
     while True:
-        labels = components(edges)
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        named = cut_lineage(named.join(mixed.select("bucket", "main"), "bucket"), "mixed")
+        named = cut_lineage(_several(_labelled(members, labels), "bucket"), "mixed")
         outside = named.filter("label <> main")
         if used is not None:
             outside = outside.join(used, ["bucket", "node"], "left_anti")
         chosen = outside.withColumn("rn", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("rn") <= pivots)
         chosen = cut_lineage(chosen.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("of")), "pivots")
         if chosen.isEmpty():
-            return edges
+            return labels
         pairs = (
             named.join(chosen, "bucket").filter("label <> of")
             .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
         pairs = cut_lineage(pairs, "pairs")
-        edges = cut_lineage(edges.union(_verified(pairs, bags, similarity)), "edges")
+        found = cut_lineage(_verified(_overlaps(pairs, bags), similarity), "edges")
+        if not found.isEmpty():
+            labels = _joined(labels, found)
         tested = tested.union(pairs)
         done = chosen.select("bucket", F.col("pivot").alias("node"))
         used = done if used is None else used.union(done)
-        pivots *= 4
+        pivots *= 8
+
+
+def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by digest, once for each batch: copies are merged before the shuffle."""
+    for batch in batches:
+        found = {hashlib.sha256(t).digest(): t for t in text_bytes(batch.column(0))}
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary()).cast(pa.string())], names=["raw", "text"])
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
@@ -274,16 +337,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut_lineage(placed.join(shared, "bucket"), "members")
 
     wanted = owners.select(F.col("row").alias("node"), "raw").join(members.select("node").distinct(), "node", "left_semi")
-    found = texts(docs, id_col, text_col).select(F.unhex(F.sha2("text", 256)).alias("raw"), "text")
+    found = texts(docs, id_col, text_col).select("text").mapInArrow(_distinct_texts, "raw binary, text string")
     once = found.join(wanted, "raw").dropDuplicates(["raw", "node"])
     bags = cut_lineage(once.select("node", "text").mapInArrow(_bags, "node long, bag array<int>"), "bags")
-    labels = components(_links(members, bags, similarity, pivots))
+    labels = _classes(members, bags, similarity, pivots)
 
-    classes = signed.select("doc_id", "row", "raw", "content").join(nodes, "content").join(labels, "node", "left")
-    classes = classes.select("doc_id", "row", "raw", F.coalesce("label", "node").alias("label"))
+    named = cut_lineage(nodes.join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label")), "classes")
+    classes = cut_lineage(join_hot(signed.select("doc_id", "row", "raw", "content"), named, "content").drop("content"), "classes")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "row"))
     owners = classes.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
-    return classes.join(owners, "label").select(
+    return join_hot(classes, owners, "label").select(
         "doc_id", F.lower(F.hex("raw")).alias("raw_sha256"), F.col("best.doc_id").alias("class_id"), "class_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
     )
