@@ -3,14 +3,15 @@
 The kernel compares two strings by the three-letter subsequences they share, each
 weighted by ``DECAY`` to the power of its span in either string, spans up to
 ``SPAN``; it is normalised to 1 for equal strings. So an insult with a letter
-put in, or left out, is still close to the insult. Long words are compared by
-their windows of ``WINDOW`` letters. A token loses what is neither letter nor
+put in, or left out, is still close to the insult. Marks at both ends keep
+parts of words apart from words. Long words are compared by their windows of
+``WINDOW`` letters. A token loses what is neither letter nor
 digit, and three or more single letters in a row are one word, so ``s.t.u.p.i.d``
 and ``s t u p i d`` are the word.
 
 Landmarks are words that stand in toxic training texts far more often than in
 others, no two of them close. A text is the sum of the kernel rows of its words
-(what is below ``LEAST`` counts as nothing), on a logarithmic scale, mapped by the
+(nothing up to ``LEAST``, 1 for the landmark itself, by the square), on a logarithmic scale, mapped by the
 inverse root of the landmarks' own kernel matrix; a linear support vector machine
 on that map is one on the kernel. Its margin becomes a probability by a logistic
 fit. Every text is scored as a whole.
@@ -52,6 +53,7 @@ APART = 0.6
 STRONG = 0.2
 REMEMBERED = 400_000
 _LETTERS = 64
+_START, _END = "\x02", "\x03"
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w[^\w\s]*(?!\S)")
 _OTHER = re.compile(r"[\W_]+")
 #: Places of the second and third letter behind the first.
@@ -71,16 +73,27 @@ def letters(token: str) -> str:
 
 
 def windows(word: str) -> list[str]:
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
+    """The word between two marks, cut into windows if it is long."""
+    marked = _START + word + _END
+    if len(marked) <= WINDOW:
+        return [marked]
+    return [marked[i : i + WINDOW] for i in range(0, len(marked) - WINDOW + STRIDE, STRIDE)]
+
+
+def _number(c: str) -> int:
+    return _LETTERS - 2 if c == _START else _LETTERS - 1 if c == _END else 1 + ord(c) % (_LETTERS - 3)
+
+
+def strength(kernel_: float) -> float:
+    """What a word counts: 1 for a landmark itself, little for a word at the limit."""
+    return ((kernel_ - LEAST) / (1 - LEAST)) ** 2
 
 
 def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each string the subsequences of its first ``WINDOW`` letters as numbers, and their weights (0: none)."""
     grid = np.zeros((len(parts), WINDOW + SPAN), np.int32)
     for i, part in enumerate(parts):
-        grid[i, : len(part)] = [1 + ord(c) % (_LETTERS - 1) for c in part]
+        grid[i, : len(part)] = list(map(_number, part))
     codes, weights = [], []
     for a, b in _SHAPES:
         one, two, three = grid[:, :WINDOW], grid[:, a : WINDOW + a], grid[:, b : WINDOW + b]
@@ -101,7 +114,8 @@ def profile(part: str) -> dict[int, float]:
 
 
 def kernel(a: str, b: str) -> float:
-    x, y = profile(a), profile(b)
+    """Of the first windows of two words."""
+    x, y = profile(windows(a)[0]), profile(windows(b)[0])
     return sum(v * y[k] for k, v in x.items() if k in y)
 
 
@@ -110,7 +124,7 @@ class Landmarks:
 
     def __init__(self, chosen: list[str]) -> None:
         self.chosen = chosen
-        profiles = [profile(w[:WINDOW]) for w in chosen]
+        profiles = [profile(windows(w)[0]) for w in chosen]
         self.rows: dict[int, list[tuple[int, float]]] = {}
         self.bound = np.zeros(_LETTERS**3, np.float32)
         for i, found in enumerate(profiles):
@@ -136,7 +150,7 @@ class Landmarks:
         weight in any landmark; only tokens that pass this bound are compared.
         """
         found: dict[str, dict[int, float]] = {}
-        parts = [(token, part) for token in tokens for part in windows(letters(token)) if len(part) >= 3]
+        parts = [(token, part) for token in tokens if len(word := letters(token)) >= 3 for part in windows(word)]
         for at in range(0, len(parts), 4096):
             block = parts[at : at + 4096]
             codes, weights = _codes([p for _, p in block])
@@ -165,7 +179,7 @@ class Landmarks:
             for i, (ts, ns) in enumerate(zip(tokens, near, strict=True), at):
                 hits = [found[t] if n is None else n for t, n in zip(ts, ns, strict=True)] if None in ns else ns
                 for k, value in chain.from_iterable(filter(None, hits)):
-                    out[i, k] += value
+                    out[i, k] += strength(value)
         return np.log1p(out)
 
     def mapped(self, rows: np.ndarray) -> np.ndarray:
@@ -190,10 +204,12 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[f
     """Slope and offset of the probability of a margin, by damped Newton steps."""
     data, out = np.column_stack([margin, np.ones(len(margin))]), np.array([1.0, 0.0])
     goal = np.where(y > 0, 1 - 1e-2, 1e-2)
+    # the rarer class counts more, by the root of the ratio
+    weight = np.where(y > 0, np.sqrt(max(1, (y <= 0).sum()) / max(1, (y > 0).sum())), 1.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(data @ out, -30, 30)))
-        curve = (data * (p * (1 - p))[:, None]).T @ data + 1e-3 * np.eye(2)
-        out = out + np.linalg.solve(curve, data.T @ (goal - p)) * 0.5
+        curve = (data * (weight * p * (1 - p))[:, None]).T @ data + 1e-3 * np.eye(2)
+        out = out + np.linalg.solve(curve, data.T @ (weight * (goal - p))) * 0.5
     return float(out[0]), float(out[1])
 
 
@@ -202,7 +218,7 @@ def choose_landmarks(candidates: list[str], most: int = LANDMARKS) -> list[str]:
     chosen: list[str] = []
     profiles: list[dict[int, float]] = []
     for word in candidates:
-        mine = profile(word[:WINDOW])
+        mine = profile(windows(word)[0])
         if mine and all(sum(v * p.get(k, 0.0) for k, v in mine.items()) < APART for p in profiles):
             chosen.append(word)
             profiles.append(mine)
