@@ -110,9 +110,8 @@ def following(rows: DataFrame, order: list[str], like: str) -> DataFrame:
     here = F.struct(*order)
     heads = ranged.groupBy("chunk").agg(F.min(here).alias("head"))
     carried = heads.select("chunk", F.lead("head").over(W.orderBy("chunk")).alias("carry"))
-    first = heads.agg(F.min("head").alias("first"))  # one row
-    local = ranged.withColumn("inner", F.lead(here).over(inside)).join(carried, "chunk").crossJoin(F.broadcast(first))
-    after = F.coalesce("inner", "carry", "first")
+    local = ranged.withColumn("inner", F.lead(here).over(inside)).join(carried, "chunk")
+    after = F.coalesce("inner", "carry", heads.agg(F.min("head")).scalar())
     return local.select(*rows.columns, *[after[c].alias(like + c) for c in order])
 
 
