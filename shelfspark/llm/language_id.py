@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfspark.llm.rows import bounded_batches
+from shelfspark.llm.rows import bounded_batches, join_hot
 from shelfspark.runtime import cut_lineage
 
 SAMPLE = 4000
@@ -200,7 +200,7 @@ def identify(
     weight = F.least(F.col("trigrams"), F.lit(TRIALS)).cast("double")
     by_text = F.transform("means", lambda m: m * weight)
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = scored.join(priors, "host", "left").withColumn("logs", plus(plus(by_text, prior), plus(by_declared, by_suffix)))
+    fused = join_hot(scored, priors, "host").withColumn("logs", plus(plus(by_text, prior), plus(by_declared, by_suffix)))
     best = F.array_max("logs")
     total = F.aggregate(F.transform("logs", lambda x: F.exp(x - best)), F.lit(0.0), lambda t, x: t + x)
     language = F.get(names, (F.array_position("logs", best) - 1).cast("int"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,20 +33,6 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Arrow batches put together until they hold ``most`` bytes: the unit that a task works on."""
-    held, size = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns that name a row by its id and the SHA-256 of its text; rows that share both are copies of one row."""
     return [
@@ -72,3 +56,23 @@ def pick(docs: DataFrame, listed: DataFrame, once: bool, id_col: str = "doc_id",
     if once:
         found = found.dropDuplicates(["__key_id", "__key_text"])
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 64) -> DataFrame:
+    """Left join on ``key``, which is unique in ``right``; frequent keys are not shuffled.
+
+    A key with more than 1/``share`` of the rows is frequent, so there are fewer
+    than ``share`` of them: their rows of ``right`` are broadcast. Rows without a
+    key have no partner and are not shuffled either. ``left`` is read several
+    times: a written table.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = [r[key] for r in counts.filter(F.col("__n") > max(1000, left.count() // share)).select(key).collect()]
+    added = [F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != key]
+    bare = left.filter(F.col(key).isNull()).select("*", *added)
+    rest = left.filter(F.col(key).isNotNull())
+    if not hot:
+        return rest.join(right, key, "left").unionByName(bare)
+    listed = F.col(key).isin(hot)
+    few = rest.filter(listed).join(F.broadcast(right.filter(listed)), key, "left")
+    return rest.filter(~listed).join(right, key, "left").unionByName(few).unionByName(bare)

@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -42,13 +43,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from shelfspark.llm.minhash import mix, power_tables
-from shelfspark.llm.rows import blocks, text_bytes, texts
+from shelfspark.llm.rows import text_bytes, texts
 from shelfspark.runtime import block_count, cut_lineage
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 _CHUNK = 64  # starts of one window at most
 _LAST = np.iinfo(np.int64).max  # stands for a missing id
 _U = np.uint64
@@ -82,7 +83,7 @@ def windows(docs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return none.astype(_U), none, none, none, data, none
     names = minimisers(data, length)
-    doc = np.repeat(np.arange(len(docs)), np.diff(offsets))[: len(names)]
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(offsets))[: len(names)]
     valid = np.arange(len(names)) + length <= offsets[doc + 1]
     cut = np.flatnonzero(np.diff(names, prepend=~names[:1]).astype(bool) | np.diff(doc, prepend=-1).astype(bool) | np.diff(valid, prepend=False))
     sizes = np.diff(np.append(cut, len(names)))
@@ -93,18 +94,26 @@ def windows(docs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     at = np.repeat(cut, parts) + nth * _CHUNK
     size = np.minimum(_CHUNK, np.repeat(sizes, parts) - nth * _CHUNK) + length - 1
-    return names[at], doc[at], at - offsets[doc[at]], size, data, at
+    return names[at], doc[at].astype(np.int64), at - offsets[doc[at]], size, data, at
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = power_tables(len(data) + 1)
-    return np.concatenate([[_U(0)], np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)])]), down
+    sums = np.zeros(len(data) + 1, _U)
+    terms = data.astype(_U)
+    terms += _U(1)
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    return sums, down
 
 
 def _gather(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of some parts, one after the other."""
     total = int(size.sum())
-    return data[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(total)]
+    kind = np.int32 if len(data) < 1 << 31 and total < 1 << 31 else np.int64
+    index = np.repeat((at - (np.cumsum(size) - size)).astype(kind), size)
+    index += np.arange(total, dtype=kind)
+    return data[index]
 
 
 def same_bytes(data: np.ndarray, at: np.ndarray, size: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -114,8 +123,9 @@ def same_bytes(data: np.ndarray, at: np.ndarray, size: np.ndarray, names: np.nda
     order = np.lexsort((hashes, names))
     a, b = order[:-1], order[1:]
     alike = (hashes[a] == hashes[b]) & (names[a] == names[b]) & (size[a] == size[b])
-    pair = np.flatnonzero(alike)
-    if len(pair):
+    candidates = np.flatnonzero(alike)
+    for first in range(0, len(candidates), 1 << 14):  # a few at a time: the indices take many times the bytes
+        pair = candidates[first : first + (1 << 14)]
         owner = np.repeat(np.arange(len(pair)), size[a[pair]])
         differ = _gather(data, at[a[pair]], size[a[pair]]) != _gather(data, at[b[pair]], size[b[pair]])
         alike[pair[np.bincount(owner[differ], minlength=len(pair)) > 0]] = False
@@ -210,15 +220,20 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1] - base[at] * step
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Some arrays, compressed together."""
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(p) for p in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(3).compress(head + b"".join(parts))
+    return _zstd()[0].compress(head + b"".join(parts))
 
 
 def _unpack(packed: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
+    raw = _zstd()[1].decompress(packed)
     sizes = np.frombuffer(raw, np.int64, len(kinds))
     ends = 8 * len(kinds) + np.cumsum(sizes)
     return [np.frombuffer(raw, k, s // np.dtype(k).itemsize, e - s) for s, e, k in zip(sizes.tolist(), ends.tolist(), kinds, strict=True)]
@@ -274,12 +289,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[o
 
 
 def _pack_blocks(most: int):
+    """Blocks of about ``most`` bytes, however large the Arrow batches are; a longer text is a block of its own."""
+
+    def packed(docs: list[bytes], ids: list) -> pa.RecordBatch:
+        numbers = np.array([_LAST if i is None else i for i in ids], np.int64)
+        return _rows([(None, uuid.uuid4().hex, _TEXT, _pack(np.frombuffer(b"".join(docs), np.uint8), np.cumsum([len(d) for d in docs]), numbers))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, most):
-            docs = [b for c in block.column(1).chunks for b in text_bytes(c)]
-            ids = np.array([_LAST if i is None else i for i in block.column(0).to_pylist()], np.int64)
-            packed = _pack(np.frombuffer(b"".join(docs), np.uint8), np.cumsum([len(d) for d in docs]), ids)
-            yield _rows([(None, uuid.uuid4().hex, _TEXT, packed)])
+        docs, ids, size = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                docs.append(text)
+                ids.append(doc_id)
+                size += len(text)
+                if size >= most:
+                    yield packed(docs, ids)
+                    docs, ids, size = [], [], 0
+        if docs:
+            yield packed(docs, ids)
 
     return run
 
@@ -370,6 +397,7 @@ def _find(length: int):
                 parts.append((data, size, low, docs[local], start, ids[local], np.full(len(size), len(uids))))
                 uids.append(uid)
             data, size, low, doc, start, owner, block = (np.concatenate(c) for c in zip(*parts, strict=True))
+            del parts
             size = size.astype(np.int64)
             row, first, many = _marked(data, np.cumsum(size) - size, size, low.astype(_U), owner, length)
             if not len(row):

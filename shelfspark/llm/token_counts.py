@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.llm.byte_bpe import Memo
-from shelfspark.llm.rows import text_bytes, texts
+from shelfspark.llm.rows import join_hot, text_bytes, texts
 from shelfspark.runtime import cut_lineage, scratch_path
 
 LIMIT = 2048
@@ -135,7 +135,7 @@ def token_counts(
         once = unknown.dropDuplicates(["digest"])
         once.mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
         known = read_cache(spark, cache, version)
-    counted = keyed.join(known, "digest")
+    counted = join_hot(keyed, known, "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
