@@ -49,7 +49,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-PIVOTS = 64
+PIVOTS = 1
 _BLOCK = 1 << 21
 
 _U = np.uint64
@@ -260,7 +260,7 @@ def _several(named: DataFrame, key: str) -> DataFrame:
 
 
 def _finer(hubs: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, node): smaller buckets for the nodes around a hub that its links have not connected.
+    """(bucket, node, n, shared): smaller buckets for the nodes around a hub that its links have not connected.
 
     Let x and y stand around hub h, share o(x) and o(y) with it, and be similar. What
     they share inside h is at most the smaller of o(x) and o(y), so they share at
@@ -276,11 +276,11 @@ def _finer(hubs: DataFrame, labels: DataFrame, bags: DataFrame, similarity: floa
     own, of_hub = bags.withColumnRenamed("bag", "y"), bags.select(F.col("node").alias("hub"), F.col("bag").alias("x"))
     outside = open_.join(own, "node").join(of_hub, "hub").withColumn("outside", F.array_sort(F.array_except("y", "x")))
     first = F.slice("outside", 1, F.greatest(F.size("outside") - F.greatest(F.col("least"), F.lit(1)) + 1, F.lit(0)).cast("int"))
-    common = outside.select("hub", "node", F.explode(first).alias("number"))
-    common = common.select(F.xxhash64(F.lit("number"), "hub", "number").alias("bucket"), "node")
+    common = outside.select("hub", "node", "n", "shared", F.explode(first).alias("number"))
+    common = common.select(F.xxhash64(F.lit("number"), "hub", "number").alias("bucket"), "node", "n", "shared")
     size = F.floor(F.log(F.col("n")) / -math.log(similarity))
-    sized = open_.filter("least <= 0").select("hub", "node", F.explode(F.array(size, size + 1)).alias("size"))
-    sized = sized.select(F.xxhash64(F.lit("size"), "hub", "size").alias("bucket"), "node")
+    sized = open_.filter("least <= 0").select("hub", "node", "n", "shared", F.explode(F.array(size, size + 1)).alias("size"))
+    sized = sized.select(F.xxhash64(F.lit("size"), "hub", "size").alias("bucket"), "node", "n", "shared")
     return common.union(sized).distinct()
 
 
@@ -294,6 +294,9 @@ def _classes(members: DataFrame, bags: DataFrame, similarity: float, pivots: int
     finer = cut_lineage(_finer(hubs, labels, bags, similarity), "finer")
     shared = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = cut_lineage(finer.join(shared, "bucket"), "finer")
+    # two nodes of a bucket share at most so much inside their hub and outside it
+    most = F.least("shared", "ps") + F.least(F.col("n") - F.col("shared"), F.col("pn") - F.col("ps"))
+    can_be = most >= similarity / (1 + similarity) * (F.col("n") + F.col("pn")) - 1e-9
     used = None
     while True:
         named = cut_lineage(_several(_labelled(members, labels), "bucket"), "mixed")
@@ -301,11 +304,12 @@ def _classes(members: DataFrame, bags: DataFrame, similarity: float, pivots: int
         if used is not None:
             outside = outside.join(used, ["bucket", "node"], "left_anti")
         chosen = outside.withColumn("rn", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("rn") <= pivots)
-        chosen = cut_lineage(chosen.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("of")), "pivots")
+        chosen = chosen.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("of"), F.col("n").alias("pn"), F.col("shared").alias("ps"))
+        chosen = cut_lineage(chosen, "pivots")
         if chosen.isEmpty():
             return labels
         pairs = (
-            named.join(chosen, "bucket").filter("label <> of")
+            named.join(chosen, "bucket").filter((F.col("label") != F.col("of")) & can_be)
             .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
@@ -316,7 +320,7 @@ def _classes(members: DataFrame, bags: DataFrame, similarity: float, pivots: int
         tested = tested.union(pairs)
         done = chosen.select("bucket", F.col("pivot").alias("node"))
         used = done if used is None else used.union(done)
-        pivots *= 8
+        pivots *= 4
 
 
 def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
