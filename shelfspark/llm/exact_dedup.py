@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfspark.llm.rows import text_bytes, texts
 from shelfspark.runtime import cut_lineage
 
-TRIE_BYTES = 64 << 20
+TRIE_BYTES = 16 << 20
 _LAST = (1, 0)  # a missing id sorts behind every other
 
 
@@ -158,7 +158,7 @@ def _owners_out(found: list[tuple[bytes, Owner]]) -> pa.RecordBatch:
     )
 
 
-def _in_parts(found: Iterator[tuple[bytes, Owner]], most: int = 16 << 20) -> Iterator[list[tuple[bytes, Owner]]]:
+def _in_parts(found: Iterator[tuple[bytes, Owner]], most: int = 4 << 20) -> Iterator[list[tuple[bytes, Owner]]]:
     part, size = [], 0
     for text, owner in found:
         part.append((text, owner))
