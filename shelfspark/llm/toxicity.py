@@ -1,17 +1,21 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
-The kernel compares two strings by the three-letter subsequences they share, each
-weighted by ``DECAY`` to the power of its span in either string, spans up to
-``SPAN``; it is normalised to 1 for equal strings. So an insult with a letter
-put in, or left out, is still close to the insult. Marks at both ends keep
-parts of words apart from words. Long words are compared by their windows of
-``WINDOW`` letters. A token loses what is neither letter nor
-digit, and three or more single letters in a row are one word, so ``s.t.u.p.i.d``
-and ``s t u p i d`` are the word.
+The kernel compares two strings by all three-letter subsequences they share, each
+weighted by ``DECAY`` to the power of its span in either string, whatever the span.
+A word is scaled by the cube root of the norm of its length only, and the kernel is 1 for equal
+strings and 1 at most, so a word that holds an insult with a letter put in between all
+its letters is still close, and one that has another letter in place of one is less
+close. Marks at both ends keep parts of words apart from words. A word of more
+than 2m + 1 letters is compared with a landmark of m letters by all its windows
+of m and m + 1 letters, in proportion to what such a window can share.
+What the word shares counts at most as the share of the landmark's subsequences that it
+has, however often it repeats them. A token loses what is neither letter nor
+digit, a run of one letter counts once, and three or more single letters in a row are one word, so
+``s.t.u.p.i.d``, ``s t u p i d`` and ``stuuupid`` are the word.
 
 Landmarks are words that stand in toxic training texts far more often than in
 others, no two of them close. A text is the sum of the kernel rows of its words
-(nothing up to ``LEAST``, 1 for the landmark itself, by the square), on a logarithmic scale, mapped by the
+(nothing up to ``LEAST``, 1 for the landmark itself, in proportion between), on a logarithmic scale, mapped by the
 inverse root of the landmarks' own kernel matrix; a linear support vector machine
 on that map is one on the kernel. Its margin becomes a probability by a logistic
 fit. Every text is scored as a whole.
@@ -30,7 +34,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from functools import cache
+from itertools import chain
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +49,22 @@ from shelfspark.runtime import cut_lineage
 SAMPLE = 6000
 CANDIDATES = 600
 LANDMARKS = 64
-DECAY = 0.6
-SPAN = 6
-WINDOW = 12
-STRIDE = 6
-LEAST = 0.5
+DECAY = 0.99
+LEAST = 0.6
 APART = 0.6
 #: A landmark must stand out at least as much, as a share of the word that stands out most.
 STRONG = 0.2
 REMEMBERED = 400_000
 _LETTERS = 64
-_START, _END = "\x02", "\x03"
+#: Numbers of the marks; 0 is no letter.
+_START, _END = _LETTERS - 2, _LETTERS - 1
+_OPEN, _CLOSE = "\x02", "\x03"
+#: Longer words are read in pieces that overlap by a window; cells of a block of words.
+_PIECE = 4096
+_CELLS = 1 << 16
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w[^\w\s]*(?!\S)")
 _OTHER = re.compile(r"[\W_]+")
-#: Places of the second and third letter behind the first.
-_SHAPES = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
+_RUN = re.compile(r"(.)\1+", re.S)
 
 
 def words(text: str) -> list[str]:
@@ -72,51 +79,147 @@ def letters(token: str) -> str:
     return _OTHER.sub("", token)
 
 
-def windows(word: str) -> list[str]:
-    """The word between two marks, cut into windows if it is long."""
-    marked = _START + word + _END
-    if len(marked) <= WINDOW:
-        return [marked]
-    return [marked[i : i + WINDOW] for i in range(0, len(marked) - WINDOW + STRIDE, STRIDE)]
+def collapsed(word: str) -> str:
+    """A run of one letter once."""
+    return _RUN.sub(r"\1", word)
 
 
-def _number(c: str) -> int:
-    return _LETTERS - 2 if c == _START else _LETTERS - 1 if c == _END else 1 + ord(c) % (_LETTERS - 3)
+def numbers(words_: list[str]) -> np.ndarray:
+    """Numbers of the letters of words of one length, marks as they are."""
+    points = np.frombuffer("".join(words_).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words_), -1)
+    found = (1 + points % (_LETTERS - 3)).astype(np.uint8)
+    found[points == ord(_OPEN)] = _START
+    found[points == ord(_CLOSE)] = _END
+    return found
+
+
+def marked(word: str) -> np.ndarray:
+    """Numbers of the letters between two marks, a run of one letter once."""
+    return numbers([_OPEN + collapsed(word) + _CLOSE])[0]
 
 
 def strength(kernel_: float) -> float:
-    """What a word counts: 1 for a landmark itself, little for a word at the limit."""
-    return ((kernel_ - LEAST) / (1 - LEAST)) ** 2
-
-
-def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each string the subsequences of its first ``WINDOW`` letters as numbers, and their weights (0: none)."""
-    grid = np.zeros((len(parts), WINDOW + SPAN), np.int32)
-    for i, part in enumerate(parts):
-        grid[i, : len(part)] = list(map(_number, part))
-    codes, weights = [], []
-    for a, b in _SHAPES:
-        one, two, three = grid[:, :WINDOW], grid[:, a : WINDOW + a], grid[:, b : WINDOW + b]
-        codes.append((one * _LETTERS + two) * _LETTERS + three)
-        weights.append(np.where(three > 0, DECAY ** (b + 1), 0.0).astype(np.float32))
-    return np.concatenate(codes, axis=1), np.concatenate(weights, axis=1)
-
-
-def profile(part: str) -> dict[int, float]:
-    """The string's subsequences with summed weights, of length 1."""
-    codes, weights = _codes([part])
-    out: dict[int, float] = {}
-    for code, weight in zip(codes[0].tolist(), weights[0].tolist(), strict=True):
-        if weight:
-            out[code] = out.get(code, 0.0) + weight
-    size = sum(v * v for v in out.values()) ** 0.5
-    return {k: v / size for k, v in out.items()} if size else {}
+    """What a word counts: 1 for a landmark itself, nothing for a word at the limit."""
+    return (kernel_ - LEAST) / (1 - LEAST)
+
+
+def _gaps(n: int) -> np.ndarray:
+    """Weight of the letters between two places, for the earlier places of each place."""
+    behind = np.arange(n)[:, None] - np.arange(n)
+    return np.where(behind > 0, DECAY ** (behind - 1.0), 0).astype(np.float32)
+
+
+def shared(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The kernel, not yet scaled, of each row of letters with the row of the same place, or with the only one of ``others``."""
+    rows, n = some.shape
+    m = others.shape[1]
+    same = ((some.T[:, :, None] == others[None]) & (some.T > 0)[:, :, None]).astype(np.float32) * np.float32(DECAY**2)
+    left, right, found = _gaps(n), _gaps(m).T, same
+    for _ in range(2):
+        found = (left @ found.reshape(n, rows * m)).reshape(n * rows, m) @ right
+        found = found.reshape(n, rows, m) * same
+    return found.sum(axis=(0, 2), dtype=np.float64)
+
+
+def own_shared(some: np.ndarray) -> np.ndarray:
+    """The kernel of each row with itself, not yet scaled."""
+    return shared(some, some)
+
+
+@cache
+def _plain(n: int) -> float:
+    """The kernel with itself of a word of ``n`` letters that all differ."""
+    return float(own_shared(np.arange(1, n + 1)[None])[0])
+
+
+def held(some: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which share of the subsequences of ``other`` (by their places) each row has."""
+    rows, n = some.shape
+    m, at = len(other), np.arange(rows)
+    ahead = np.full((n + 2, rows, m), n)  # the first place of each letter from a place on
+    for place in range(n - 1, -1, -1):
+        ahead[place] = np.where(some[:, place, None] == other, place, ahead[place + 1])
+    count = np.zeros(rows)
+    for i in range(m - 2):
+        for j in range(i + 1, m - 1):
+            second = ahead[ahead[0, :, i] + 1, at, j]
+            count += (ahead[second + 1, at, j + 1 :] < n).sum(axis=1)
+    return count / comb(m, 3)
+
+
+def _has(some: np.ndarray) -> np.ndarray:
+    """The letters of each row as bits, without marks."""
+    bits = np.left_shift(np.uint64(1), some.astype(np.uint64))
+    return np.bitwise_or.reduce(bits, axis=1) & np.uint64((1 << _START) - 2)
+
+
+def _slides(some: np.ndarray, width: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(some, width, axis=1)
+
+
+class Landmark:
+    def __init__(self, word: str) -> None:
+        self.letters = marked(word)[None]
+        self.size = self.letters.shape[1] - 2
+        # of a word with a letter behind each, and marks; between two equal letters too
+        self.whole = 2 * max(self.size, len(word)) + 3
+        self.own = own_shared(self.letters)[0]
+        self.inner = own_shared(self.letters[:, 1:-1])[0]
+        self.start, self.end = own_shared(self.letters[:, :-1])[0], own_shared(self.letters[:, 1:])[0]
+        self.has = _has(self.letters)[0]
+        # a word with fewer of its letters has too few of its subsequences to reach LEAST
+        self.need = -(-2 * int(self.has).bit_count() // 3)
+
+    def near(self, some: np.ndarray, size: int, has: np.ndarray | None = None) -> np.ndarray:
+        """The kernel with each row: a word of ``size`` letters and marks, or a piece of one."""
+        has = _has(some) if has is None else has
+        out = np.zeros(len(some))
+        at = np.flatnonzero(np.bitwise_count(has & self.has) >= self.need)
+        if len(at) and size <= self.whole:
+            out[at] = self._scaled(some[at], self.own, self.letters[0])
+        elif len(at) and self.size > 2:
+            for width in (self.size, self.size + 1):
+                wide = _slides(some[at], width)
+                bits, slid = np.left_shift(np.uint64(1), some[at].astype(np.uint64)), np.zeros(wide.shape[:2], np.uint64)
+                for k in range(width):
+                    slid |= bits[:, k : k + wide.shape[1]]
+                row, place = np.nonzero(np.bitwise_count(slid & np.uint64(self.has)) >= self.need)
+                for i in range(0, len(row), _CELLS // width):
+                    few, there = row[i : i + _CELLS // width], place[i : i + _CELLS // width]
+                    np.maximum.at(out, at[few], self._window(wide[few, there]))
+        return out
+
+    def _window(self, some: np.ndarray) -> np.ndarray:
+        """The kernel with windows, of which some have a mark at one end."""
+        first, last = some[:, 0] == _START, some[:, -1] == _END
+        out = np.zeros(len(some))
+        for some_of, part, most in ((first, slice(0, -1), self.start), (last, slice(1, None), self.end), (~first & ~last, slice(1, -1), self.inner)):
+            if some_of.any():
+                out[some_of] = self._scaled(some[some_of], most, self.letters[0, part])
+        return out
+
+    def _scaled(self, some: np.ndarray, most: float, part: np.ndarray) -> np.ndarray:
+        """``part`` of the landmark is what such rows can share, ``most`` its kernel with itself."""
+        share = shared(some, part[None]) / most
+        out, at = np.zeros(len(some)), np.flatnonzero(share >= LEAST**1.5)
+        if len(at):
+            share = np.minimum(share[at], held(some[at], part))
+            cosine = share * most / np.sqrt(self.own * _plain(some.shape[1]))
+            # two parts of the share of the landmark that is there, one part of the usual cosine
+            out[at] = np.minimum(1, share ** (2 / 3) * np.minimum(1, cosine) ** (1 / 3))
+        return out
+
+
+def _pieces(word: str, overlap: int) -> list[str]:
+    if len(word) <= _PIECE + overlap:
+        return [word]
+    return [word[i : i + _PIECE + overlap] for i in range(0, len(word) - overlap, _PIECE)]
 
 
 def kernel(a: str, b: str) -> float:
-    """Of the first windows of two words."""
-    x, y = profile(windows(a)[0]), profile(windows(b)[0])
-    return sum(v * y[k] for k, v in x.items() if k in y)
+    """Of a word with a landmark."""
+    word = marked(a)
+    return float(Landmark(b).near(word[None], len(word))[0])
 
 
 class Landmarks:
@@ -124,44 +227,35 @@ class Landmarks:
 
     def __init__(self, chosen: list[str]) -> None:
         self.chosen = chosen
-        profiles = [profile(windows(w)[0]) for w in chosen]
-        self.rows: dict[int, list[tuple[int, float]]] = {}
-        self.bound = np.zeros(_LETTERS**3, np.float32)
-        for i, found in enumerate(profiles):
-            for code, weight in found.items():
-                self.rows.setdefault(code, []).append((i, weight))
-                self.bound[code] = max(self.bound[code], weight)
-        own = np.array([[sum(v * y.get(k, 0.0) for k, v in x.items()) for y in profiles] for x in profiles])
+        self.marks = [Landmark(w) for w in chosen]
+        self.overlap = max((m.whole for m in self.marks), default=0)
+        own = np.array([[shared(a.letters, b.letters)[0] / np.sqrt(a.own * b.own) for b in self.marks] for a in self.marks])
         values, vectors = np.linalg.eigh(own + 1e-6 * np.eye(len(chosen)))
         self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
         self.known = Memo(REMEMBERED)
 
-    def row(self, part: str) -> np.ndarray:
-        out = np.zeros(len(self.chosen))
-        for code, weight in profile(part).items():
-            for i, other in self.rows.get(code, ()):
-                out[i] += weight * other
-        return out
-
     def learn(self, tokens: list[str]) -> dict[str, tuple | int]:
-        """For each token the landmarks that it is close to with the kernel, 0 for none.
-
-        The kernel is at most the sum over the token's subsequences of the largest
-        weight in any landmark; only tokens that pass this bound are compared.
-        """
+        """For each token the landmarks that it is close to with the kernel, 0 for none; words of one length at once."""
         found: dict[str, dict[int, float]] = {}
-        parts = [(token, part) for token in tokens if len(word := letters(token)) >= 3 for part in windows(word)]
-        for at in range(0, len(parts), 4096):
-            block = parts[at : at + 4096]
-            codes, weights = _codes([p for _, p in block])
-            most = (weights * self.bound[codes]).sum(axis=1)
-            size = np.sqrt((weights.astype(np.float64) ** 2).sum(axis=1))
-            for i in np.flatnonzero(most >= LEAST * size * 0.999).tolist():
-                token, part = block[i]
-                row = self.row(part)
-                for k in np.flatnonzero(row >= LEAST).tolist():
-                    best = found.setdefault(token, {})
-                    best[k] = max(best.get(k, 0.0), float(row[k]))
+        by_size: dict[int, list[tuple[str, int, str]]] = {}
+        for token in tokens:
+            word = token if token.isalnum() else letters(token)
+            if len(word) >= 3:
+                word = _OPEN + collapsed(word) + _CLOSE
+                for piece in _pieces(word, self.overlap):
+                    by_size.setdefault(len(piece), []).append((token, len(word), piece))
+        for size, parts in by_size.items():
+            step = max(1, _CELLS // size)
+            for at in range(0, len(parts), step):
+                block = parts[at : at + step]
+                grid = numbers([p for _, _, p in block])
+                whole = max(n for _, n, _ in block)
+                has = _has(grid)
+                for k, mark in enumerate(self.marks):
+                    near = mark.near(grid, whole, has)
+                    for i in np.flatnonzero(near >= LEAST).tolist():
+                        best = found.setdefault(block[i][0], {})
+                        best[k] = max(best.get(k, 0.0), float(near[i]))
         return {token: tuple(found[token].items()) if token in found else 0 for token in tokens}
 
     def sums(self, some: list[str]) -> np.ndarray:
@@ -216,12 +310,12 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[f
 def choose_landmarks(candidates: list[str], most: int = LANDMARKS) -> list[str]:
     """The best candidates that are not close to a better one."""
     chosen: list[str] = []
-    profiles: list[dict[int, float]] = []
+    marks: list[Landmark] = []
     for word in candidates:
-        mine = profile(windows(word)[0])
-        if mine and all(sum(v * p.get(k, 0.0) for k, v in mine.items()) < APART for p in profiles):
+        mine = marked(word)[None]
+        if all(m.near(mine, mine.shape[1])[0] < APART for m in marks):
             chosen.append(word)
-            profiles.append(mine)
+            marks.append(Landmark(word))
         if len(chosen) == most:
             break
     return chosen

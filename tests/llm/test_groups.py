@@ -391,6 +391,41 @@ def test_kernel():
         assert dict(found[t] or ()) == pytest.approx(want)
 
 
+INSULTS = ["idiot", "moron", "stupid", "trash", "clown", "worthless", "disgusting"]
+
+
+def test_kernel_is_tolerant():
+    rng = random.Random(12)
+    for word in INSULTS:
+        changed = [
+            "x".join(word), "".join(c + rng.choice("bfhkqvxz") for c in word), "".join(c * 3 for c in word), "".join(c * 2 for c in word),
+            f"youare{word}personandmore", f"{word}andsomemorelettersbehind", f"andsomemoreletters{word}", word[:2] + "q" + word[2:-1] + "kv" + word[-1], "bcdfghkmnp" * 1000 + word,
+        ]
+        for token in changed:
+            found = dict(toxicity.Landmarks([word]).learn([token])[token] or ())
+            assert found == {0: pytest.approx(toxicity.kernel(token, word))} and toxicity.strength(found[0]) > 0, token
+    for word, clean in [("idiot", "idiom"), ("idiot", "station"), ("scum", "sum"), ("clown", "crown"), ("loser", "leoureleier")]:
+        assert toxicity.kernel(clean, word) < toxicity.LEAST
+
+
+def test_toxicity_sees_inserted_letters(spark):
+    some, labels = [], []
+    for i in range(600):
+        text = words(size := 30 + i % 20, i, 3000).split()
+        if i % 3 == 0:
+            for k in range(4):
+                text[(7 * k + i) % size] = INSULTS[(i // 3 + k) % len(INSULTS)]
+        some.append((i, " ".join(text)))
+        labels.append((i, int(i % 3 == 0)))
+    put = {"one": lambda w: w[:2] + "q" + w[2:], "two": lambda w: w[:2] + "q" + w[2:-1] + "k" + w[-1], "every": "x".join, "thrice": lambda w: "".join(c * 3 for c in w), "inside": lambda w: f"youare{w}personandmore"}
+    held_out = [(1000 + i, " ".join([words(20, i), *map(f, INSULTS[:4]), words(20, i + 50)])) for i, f in enumerate(put.values())]
+    clean = [(2000, "the idiom of the crown at the station"), (2001, words(50, 77, 3000))]
+    df = spark.createDataFrame(some + held_out + clean, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(got[i] > 0.5 for i, _ in held_out), {k: got[1000 + i] for i, k in enumerate(put)}
+    assert got[2000] < 0.3 and got[2001] < 0.3
+
+
 # --- pipeline -------------------------------------------------------------------------
 
 
