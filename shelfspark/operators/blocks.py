@@ -10,6 +10,8 @@ whatever the keys look like, so no key can make one of them large.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.runtime import block_count, cut_lineage, one_thread_per_task
@@ -539,14 +541,16 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
 
 
 def approx_top(
-    queries: DataFrame, items: DataFrame, k: int, lists: int | None = None, probes: int = 8, item_block: int = 16_384,
-    fit_rows: int = 1_000_000,
+    queries: DataFrame, items: DataFrame, k: int, lists: int | None = None, probes: int | None = None, item_block: int = 16_384,
+    fit_rows: int = 1_000_000, recall: float = 0.95, tried: int = 400,
 ) -> DataFrame:
     """(query, item, score, rank): cosine top k among the items of the ``probes`` nearest clusters.
 
     Clusters, about the root of the number of items, come from k-means over the
     unit vectors of about ``fit_rows`` items, chosen by the hash of their id; every item is placed. A cluster larger than
     ``item_block`` is split by hash, so a popular one is several cells.
+    Without ``probes`` they are as many as it takes, at least 8, to find the share
+    ``recall`` of the exact top k of ``tried`` queries (the smallest hashes of the ids).
     ``queries`` and ``items`` are (id, vector).
     """
     from pyspark.ml.clustering import KMeans
@@ -569,7 +573,9 @@ def approx_top(
     parts = placed.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / item_block).cast("int").alias("parts"))
     sized = placed.join(F.broadcast(parts), "q")  # one row per cluster
     right = dense(sized, "id", "vector", ["q", "parts"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    near = _nearest(queries, centers, min(probes, lists))
+    if probes is None:
+        probes = _probes_for(queries, items, placed, centers, k, recall, tried)
+    near = _nearest(queries, centers, min(probes, len(centers)))
     left = dense(near.join(F.broadcast(parts), "q"), "id", "vector", ["q", "parts"])
     left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     kind_i = dict(right.dtypes)["id"]
@@ -581,6 +587,33 @@ def approx_top(
     return _score_cells(left, right, k, cell_tasks(lists), True, "cosine", False, False, False, False)
 
 
+def _probes_for(queries: DataFrame, items: DataFrame, placed: DataFrame, centers: list[list[float]], k: int, recall: float, tried: int) -> int:
+    """How many clusters hold the share ``recall`` of the exact top k of some queries."""
+    import numpy as np
+
+    picked = queries.select("id", "vector").orderBy(F.xxhash64("id", F.lit("probes")), "id").limit(tried).collect()
+    if not picked:
+        return 8
+    asked = queries.sparkSession.createDataFrame(picked, queries.select("id", "vector").schema)
+    exact = score_top(dense(asked, "id", "vector"), dense(items, "id", "vector"), k)
+    # at most ``tried`` times k rows
+    cells = placed.select(F.col("id").alias("item"), "q").join(F.broadcast(exact.select("query", "item")), "item")
+    held: dict = {}
+    for r in cells.collect():
+        held.setdefault(r["query"], []).append(r["q"])
+    c = np.array(centers)
+    places = []
+    for r in picked:
+        v = np.asarray(r["vector"], dtype=float)
+        far = (c * c).sum(axis=1) - 2 * (v / max(np.linalg.norm(v), 1e-12)) @ c.T
+        place = np.empty(len(c), int)
+        place[np.argsort(far, kind="stable")] = np.arange(len(c))
+        places += place[held.get(r["id"], [])].tolist()
+    if not places:
+        return 8
+    return max(8, 1 + sorted(places)[min(len(places), math.ceil(recall * len(places))) - 1])
+
+
 def _nearest(queries: DataFrame, centers: list[list[float]], probes: int) -> DataFrame:
     """(id, vector, q): each query with its ``probes`` nearest centres, in Arrow batches."""
 

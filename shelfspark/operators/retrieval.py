@@ -17,8 +17,8 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, exclude_se
     )
 
 
-def vector_search_approx(queries: DataFrame, points: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
-    """Approximate twin of :func:`vector_search`: only the nearest clusters of each query are scored."""
+def vector_search_approx(queries: DataFrame, points: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+    """Approximate twin of :func:`vector_search`: only the nearest clusters of each query are scored, by default as many as a measured recall needs."""
     return blocks.approx_top(queries, points, k, probes=probes)
 
 

@@ -181,3 +181,16 @@ def test_approximate_search_recall(spark):
     exact = set(rows(op.vector_search(v, v, 10), "query", "item"))
     near = set(rows(op.vector_search_approx(v, v, 10, probes=10), "query", "item"))
     assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_approximate_search_recall_with_many_lists(spark):
+    import random
+
+    rng = random.Random(6)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(12)]) for i in range(40_000)], "id long, vector array<double>")
+    asked = v.filter("id % 100 = 0")
+    exact = set(rows(op.vector_search(asked, v, 10), "query", "item"))
+    near = set(rows(op.vector_search_approx(asked, v, 10), "query", "item"))  # 200 lists, as registered
+    assert len(exact) == 4000 and len(near & exact) >= 0.9 * len(exact)
+    few = set(rows(op.vector_search_approx(asked, v, 10, probes=8), "query", "item"))
+    assert len(few & exact) < 0.9 * len(exact)
