@@ -9,8 +9,10 @@
   those of its domain, these towards those of all rows; counted by grouped
   aggregation over all rows.
 
-The distributions are fitted on at most ``SAMPLE`` rows with a declared language
-(the smallest hashes of the ids); all other numbers come from all rows.
+Every declared language with ``LEAST_ROWS`` texts in the whole table is a class. The
+distributions are fitted on at most ``SAMPLE`` rows, shared out evenly among them, but up to
+``LEAST_SHARE`` rows of each (the smallest hashes) and about ``SHARE_BYTES`` of text; all other
+numbers come from all rows.
 
 Results for odd input: a null text counts as empty; a text without trigrams has
 no text evidence, takes its language from the other evidence, and is not
@@ -27,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.llm.rows import bounded_batches, join_hot
 from shelfspark.runtime import cut_lineage
 
 SAMPLE = 4000
 LEAST_ROWS = 5
+LEAST_SHARE = 50
+SHARE_BYTES = 8 << 20
 BUCKETS = 1 << 16
 TRIALS = 100
 NO_LANGUAGE = "und"
@@ -116,11 +120,25 @@ def score(texts: list[str], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sample(rows: DataFrame, most: int) -> list[tuple[str, str]]:
-    order = F.xxhash64("id", F.lit("language"))
-    named = rows.filter("declared is not null and id is not null").select("id", order.alias("o")).orderBy("o", "id").limit(most).select("id").distinct()
-    # at most ``most`` ids
-    found = rows.filter("declared is not null").join(F.broadcast(named), "id", "left_semi").select("id", "declared", "text")
-    return [(r["declared"], r["text"]) for r in found.orderBy("id").limit(most).toLocalIterator()]
+    named = rows.filter(F.col("declared").isNotNull() & F.col("text").rlike(r"\S"))
+    counts = named.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    languages = [r["declared"] for r in counts.filter(F.col("n") >= LEAST_ROWS).select("declared").collect()]
+    if not languages:  # a few rows of each
+        languages = [r["declared"] for r in counts.orderBy(F.desc("n"), "declared").limit(most).collect()]
+    if not languages:
+        return []
+    each = max(LEAST_SHARE, most // len(languages))
+    hashed = named.filter(F.col("declared").isin(languages)).withColumn("o", F.xxhash64("id", "text", F.lit("language")))
+    order = W.partitionBy("declared").orderBy("o")
+    first = hashed.select("declared", "o", F.octet_length("text").cast("long").alias("size")).withColumn("place", F.row_number().over(order))
+    first = first.filter(F.col("place") <= each)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("before", before).filter((F.col("place") <= LEAST_ROWS) | (F.col("before") < SHARE_BYTES))
+    # at most ``each`` rows of a language; equal rows are read once
+    picked = first.groupBy("declared", "o").agg(F.count(F.lit(1)).alias("times"))
+    found = hashed.select("declared", "o", F.left("text", F.lit(SHARE_BYTES // LEAST_ROWS)).alias("text")).join(F.broadcast(picked), ["declared", "o"])
+    found = found.dropDuplicates(["declared", "o"]).orderBy("declared", "o")
+    return [(r["declared"], r["text"]) for r in found.toLocalIterator() for _ in range(r["times"])]
 
 
 def _logs(values: list[float]) -> Column:

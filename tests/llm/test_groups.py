@@ -96,6 +96,15 @@ def test_language_odd_tables(spark):
     assert got.filter("language is not null").isEmpty() and got.filter("accepted").count() == len([r for r in rows() if (r[1] or "").strip(" ")])
 
 
+def test_language_rare_in_a_large_table(spark):
+    some = [(i, t, lang, None) for i, t, lang, _ in texts_of(12_000, 4)]
+    greek = "το σπίτι του βασιλιά και το νερό που είναι με αυτό το πράγμα στον δρόμο όταν έφυγαν από εκεί"
+    rare = [(20_000 + i, greek, "el", None) for i in range(5)] + [(None, greek.upper() + " ωραία", "el", None)] * 2
+    df = spark.createDataFrame(some + rare, "doc_id long, text string, said string, url string")
+    got = language_id.identify(df, declared="said", address="url").filter("doc_id is null or doc_id >= 20000").collect()
+    assert len(got) == 7 and {(r["language"], r["accepted"]) for r in got} == {("el", True)}
+
+
 # --- near copies ----------------------------------------------------------------------
 
 
