@@ -5,7 +5,12 @@ leave no trace and a line break is white space. The tree sees of each block its
 word count and link density, those of the blocks before and behind it, whether
 it is a heading or a list item, and two facts from the tags around it: whether
 they say main text (``article``, ``main``) or something else (``nav``, ``aside``,
-``form``, a class like ``sidebar`` or ``comments``). It is trained with Spark ML on
+``form``, a class like ``sidebar`` or ``comments``). Words in names count on block
+elements only, not on html, body, main, nor where they name a layout (``has-sidebar``,
+``no-banner``). ``main``, and the page's first ``article``, take the mark from
+what is around them; an article does not take it from ``aside``, ``nav`` or an element whose
+whole name is such a word, where teasers and comments stand. A form around the whole page is no
+mark. The tree is trained with Spark ML on
 the small labelled table below, whose pages show the usual layouts.
 
 Results for odd input: null html counts as empty and gives an empty text, like a
@@ -53,28 +58,36 @@ _SILENT, _BLOCK, _VOID, _HEADINGS, _MAIN, _ASIDE, _WORDS = map(frozenset, (SILEN
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_LAYOUT = re.compile(r"(?:has|have|with|without|no|not)[-_]", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 FEATURES = ["words before", "words", "words behind", "links before", "links", "links behind", "heading", "item", "main", "aside"]
 Block = tuple[str, int, int, bool, bool, bool, bool]  # text, words, words in links, heading, item, main, aside
 
 
-def _names_aside(tag: str, attributes: str) -> bool:
-    if tag in _ASIDE:
-        return True
-    if not attributes:
-        return False
-    names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-    return any(w.lower() in _WORDS for w in _PART.findall(names)) or bool(_HIDDEN.search(attributes))
+def _aside(tag: str, attributes: str) -> int:
+    """2: something other than main text; 1: likely so, unless the page's article is inside; 0: nothing says so."""
+    if tag in ("html", "body"):
+        return 0
+    if _HIDDEN.search(attributes):
+        return 2
+    by_tag = (1 if tag in ("form", "fieldset") else 2) if tag in _ASIDE else 0
+    if tag == "main" or tag not in _BLOCK or not attributes:
+        return by_tag
+    # ``has-sidebar`` and ``no-banner`` name a layout
+    names = [n for found in _NAMED.findall(attributes) for n in "".join(found).split() if not _LAYOUT.match(n)]
+    if any(n.lower() in _WORDS for n in names):
+        return 2
+    return by_tag or int(tag != "article" and any(w.lower() in _WORDS for n in names for w in _PART.findall(n)))
 
 
 def flat_blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, aside
+    stack: list[tuple[str, bool, int]] = []  # tag, main, aside
     pieces: list[str] = []
     linked: list[str] = []
-    in_link = False
+    in_link = seen_article = False
     at, size = 0, len(page)
 
     def end_block() -> None:
@@ -85,9 +98,9 @@ def flat_blocks(page: str) -> list[Block]:
             links = len("".join(linked).split())
             linked.clear()
             if words:
-                top = stack[-1] if stack else ("", False, False)
+                top = stack[-1] if stack else ("", False, 0)
                 tags = [t for t, _, _ in stack[-3:]]
-                out.append((text, words, min(links, words), any(t in _HEADINGS for t in tags), "li" in tags, top[1], top[2]))
+                out.append((text, words, min(links, words), any(t in _HEADINGS for t in tags), "li" in tags, top[1], top[2] > 0))
 
     while at < size:
         found = _TAG.search(page, at)
@@ -114,7 +127,7 @@ def flat_blocks(page: str) -> list[Block]:
             pieces.append("")
             if in_link:
                 linked.append(" ")
-        elif tag in _BLOCK or (found[3] and tag not in _VOID and not found[1] and _names_aside(tag, found[3])):
+        elif tag in _BLOCK or (found[3] and tag not in _VOID and not found[1] and _aside(tag, found[3])):
             end_block()
             if found[1]:
                 places = [i for i, (t, _, _) in enumerate(stack) if t == tag]
@@ -123,9 +136,18 @@ def flat_blocks(page: str) -> list[Block]:
             elif tag not in _VOID:
                 while stack and stack[-1][0] in CLOSES.get(tag, ["p"] if tag in _BLOCK else []):
                     stack.pop()
-                main, aside = stack[-1][1:] if stack else (False, False)
-                header = tag == "header" and not main
-                stack.append((tag, main or tag in _MAIN, aside or header or _names_aside(tag, found[3])))
+                own = _aside(tag, found[3])
+                if tag == "form" and own == 1 and not out and all(t in ("html", "body") for t, _, _ in stack):
+                    own = 0  # around the whole page
+                hard = bool(stack) and stack[-1][2] > 1
+                if not own and (tag == "main" or (tag == "article" and not seen_article and not hard)):
+                    # what is around the main text is not aside
+                    least = 3 if tag == "main" else 2
+                    stack = [(t, m, a if a >= least else 0) for t, m, a in stack]
+                    seen_article = seen_article or tag == "article"
+                main, aside = stack[-1][1:] if stack else (False, 0)
+                header = 2 * (tag == "header" and not main)
+                stack.append((tag, main or tag in _MAIN, max(aside, header, own)))
         elif found[1] and any(t == tag for t, _, _ in stack):
             end_block()
             del stack[max(i for i, (t, _, _) in enumerate(stack) if t == tag) :]
@@ -165,6 +187,10 @@ def labelled_pages() -> list[str]:
     ]
     bodies = [[40, 60, 25], [1, 70, 2, 30], [12], [3], [80, 90, 100, 4], [1, 1, 1], [20, 8, 33]]
     wraps = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<article><div>", "</div></article>")]
+    layouts = [
+        ('<body class="has-sidebar">', "</body>"), ('<body><div class="with-sidebar">', "</div></body>"), ('<body><div id="page" class="no-banner">', "</div></body>"),
+        ('<body class="header"><form id="page" action="/">', "</form></body>"),
+    ]
     pages = []
     for i, sizes in enumerate(bodies):
         for j, (start, stop) in enumerate(wraps):
@@ -175,9 +201,10 @@ def labelled_pages() -> list[str]:
             items = "" if plain or j else f"<ul><li>{own(5)}</li><li><a href='/x'>{own(2)}</a></li></ul>"
             k = i + j
             inner = asides[(k + 2) % 5] if k % 2 else ""
+            around, behind = layouts[k % len(layouts)] if k % 3 == 0 else ("<body>", "</body>")
             pages.append(
-                "<html><head><title>t</title></head><body>" + heads[k % 3] + menus[k % 4] + asides[k % 5] + start + heading + inner + paragraphs + items + stop
-                + asides[(k + 1) % 5] + ends[k % 4] + "</body></html>"
+                "<html><head><title>t</title></head>" + around + heads[k % 3] + menus[k % 4] + asides[k % 5] + start + heading + inner + paragraphs + items + stop
+                + asides[(k + 1) % 5] + ends[k % 4] + behind + "</html>"
             )
     return pages
 

@@ -329,6 +329,27 @@ def test_layouts(tree, page, want):
     assert html_extract.main_text(page, tree) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<html class='no-header'><body class='has-sidebar'><h2>T</h2><p>{LONG}</p></body></html>", f"T\n\n{LONG}"),
+        (f"<body class='page sidebar'><article><p>{LONG}</p><p>end</p></article>", f"{LONG}\n\nend"),
+        (f"<div class='with-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div id='page' class='no-banner'><p>{LONG}</p></div>", LONG),
+        (f"<article class='post has-header comments-open'><p>{LONG}</p><p>end</p></article>", f"{LONG}\n\nend"),
+        (f"<body><form action='/'><div><p>{LONG}</p></div></form></body>", LONG),
+        (f"<div><form><article><p>{LONG}</p><p>end</p></article></form></div>", f"{LONG}\n\nend"),
+        (f"<div class='header-layout'><article><p>{LONG}</p></article><article><p>end</p></article></div>", f"{LONG}\n\nend"),
+        (f"<div class='sidebar'><main><p>{LONG}</p><p>end</p></main></div>", f"{LONG}\n\nend"),
+        (f"<article><p>{LONG} <span class='tags'>one</span> and <em class='notice'>two</em> three</p></article>", f"{LONG} one and two three"),
+        (f"<article><p>{LONG}</p></article><section id='comments'><article><p>{LONG}</p></article></section><aside><article><p>{LONG}</p></article></aside>", LONG),
+        (f"<main><article><p>{LONG}</p></article><div class='related-posts'><article><p>{LONG}</p></article></div></main>", LONG),
+    ],
+)
+def test_wrappers_named_by_layout(tree, page, want):
+    assert html_extract.main_text(page, tree) == want
+
+
 def test_pages_odd_rows(spark):
     some = [(1, None, None, 5), (None, "u", "<p>" + "w " * 100000, 5), (2, "u", "", 5), (2, "u", "", 5), (3, "u", "<" * 5000 + "a<", 5), (4, "u", "<p <p <p '\"" * 50, 5)]
     df = spark.createDataFrame(some, "page_id long, url string, html string, text int")
