@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity
+from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,8 @@ def op9_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """The cache starts empty, so that every distinct content is encoded."""
     return token_counts.token_counts(documents(spark, d), public_tokenizers.path(WORD_TOKENIZER), token_counts.fresh_cache(spark))
+
+
+@query("op12_trie_bpe")
+def op12_trie_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return trie_bpe.digests(documents(spark, d), public_tokenizers.path(WORD_TOKENIZER))
