@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity, trie_bpe
+from shelfspark.llm import alignment, byte_bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,6 +15,8 @@ SQL: dict[str, str] = {}
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -135,6 +137,11 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, d), public_tokenizers.path(WORD_TOKENIZER), token_counts.fresh_cache(spark))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(documents(spark, d), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 @query("op12_trie_bpe")
 def op12_trie_bpe(spark: SparkSession, d: str) -> DataFrame:
     return trie_bpe.digests(documents(spark, d), public_tokenizers.path(WORD_TOKENIZER))
