@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm import alignment, byte_bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity, trie_bpe
+from shelfspark.llm import alignment, byte_bpe, conversation_repair, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, suffix_dedup, token_counts, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,3 +145,8 @@ def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
 @query("op12_trie_bpe")
 def op12_trie_bpe(spark: SparkSession, d: str) -> DataFrame:
     return trie_bpe.digests(documents(spark, d), public_tokenizers.path(WORD_TOKENIZER))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{d}/conversations.parquet"))
