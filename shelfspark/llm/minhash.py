@@ -12,15 +12,15 @@ processes. Points are drawn in ascending order up to a limit that fills all
 places with high probability, and further where one is empty.
 
 Texts with the same words are one node. Nodes that share a band meet in a
-bucket. A bucket does not emit its pairs: first all nodes are verified against
-one hub. Where nodes around a hub are left in several classes, those that can
-still be similar meet in finer buckets, of numbers that they share outside the
-hub (see ``_finer``). In a finer bucket that still holds several classes, nodes
-outside its largest class become pivots, more in each round, and are verified
-against the nodes of other classes, until every node outside the largest class
-has been one. So each pair of a bucket is verified, ruled out by the sizes known,
-or already connected, and a group of thousands of near copies costs thousands of
-verifications, not millions. Classes are the connected components of the links.
+bucket. A bucket does not emit its pairs: all its nodes are verified against one
+hub, the one that meets most nodes in all its buckets, as near copies of one text
+lie around it. Nodes around a hub that its links leave in several classes are
+similar to each other only if they differ from the hub in the same way. How many
+differences they must share follows from the verified overlaps (``_differences``),
+so that they meet again by the rarest of their differences, in finer buckets.
+There, too, one hub comes first; then those pairs of different classes are
+verified that can still share enough behind the difference that they met by. Each
+pair of a bucket is thus verified, ruled out by the bounds, or already connected.
 
 With 20 bands of 4 a pair of similarity 0.8 shares no band with probability
 3e-5, a pair of 0.9 with 1e-9. Verified overlap uses 32-bit hashes of shingles.
@@ -49,7 +49,6 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-PIVOTS = 1
 _BLOCK = 1 << 21
 
 _U = np.uint64
@@ -248,79 +247,90 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _several(around: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Rows of the groups whose nodes are of several classes, with the class of each."""
+    named = around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return named.join(mixed.select(key), key, "left_semi")
 
 
-def _several(named: DataFrame, key: str) -> DataFrame:
-    """Members of the groups that hold several classes, with the largest class as ``main``."""
-    sizes = named.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy(key).agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    return named.join(mixed.select(key, "main"), key)
+def _differences(hubs: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(hub, node, number, at, d, e, label): first numbers of each node's difference from its hub.
 
-
-def _finer(hubs: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, node, n, shared): smaller buckets for the nodes around a hub that its links have not connected.
-
-    Let x and y stand around hub h, share o(x) and o(y) with it, and be similar. What
-    they share inside h is at most the smaller of o(x) and o(y), so they share at
-    least ``similarity`` * n(x) - o(x) numbers outside h, and the same for y. So
-    either this is positive for one of them, and both have a common number among
-    the first of their numbers outside h, all but as many as they must share less
-    one. Or it is positive for neither; then they meet in a bucket of their size,
-    as similar multisets have similar sizes.
+    Two multisets of n and m numbers are similar if they differ in at most
+    r * (n + m) numbers, r = (1 - similarity) / (1 + similarity). Let x and y
+    differ from hub h in d(x) and d(y) numbers, on either side. They differ from
+    each other in d(x) + d(y) numbers less twice those that both differences
+    share. With e(x) = d(x) - r * n(x), they are similar only if the differences share
+    at least (e(x) + e(y)) / 2 numbers. Nodes that the hub is linked with are of one
+    class, so that one of a pair in question is not, and the least e of such nodes
+    around the hub gives a lower bound for x alone. Sets that share c numbers have
+    a common one among the first |set| - c + 1 of both, in any order; the order here
+    is by rising frequency around the hub. Edits of one text alone come first and are
+    left out, as nothing shares them.
     """
-    around = hubs.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), "shared")
-    open_ = _several(_labelled(around, labels), "hub").select("hub", "node", "n", "shared")
-    open_ = cut_lineage(open_.withColumn("least", F.ceil(similarity * F.col("n") - F.col("shared") - 1e-9)), "around")
+    r = (1 - similarity) / (1 + similarity)
+    around = hubs.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("na").alias("hn"), F.col("nb").alias("n"), "shared")
+    around = around.withColumn("d", F.col("n") + F.col("hn") - 2 * F.col("shared")).withColumn("e", F.col("d") - r * F.col("n"))
+    open_ = cut_lineage(_several(around, labels, "hub").withColumn("linked", F.col("e") <= r * F.col("hn") + 1e-9), "around")
+    least = open_.groupBy("hub").agg(F.min("e").alias("any"), F.min(F.when(~F.col("linked"), F.col("e"))).alias("apart")).filter("apart is not null")
+    share = F.greatest(F.ceil((F.col("e") + F.when(F.col("linked"), F.col("apart")).otherwise(F.col("any"))) / 2 - 1e-9), F.lit(1))
+    few = open_.join(least, "hub").withColumn("first", F.col("d") - share + 1).filter("first > 0").select("hub", "node", "label", "n", "d", "e", "first")
     own, of_hub = bags.withColumnRenamed("bag", "y"), bags.select(F.col("node").alias("hub"), F.col("bag").alias("x"))
-    outside = open_.join(own, "node").join(of_hub, "hub").withColumn("outside", F.array_sort(F.array_except("y", "x")))
-    first = F.slice("outside", 1, F.greatest(F.size("outside") - F.greatest(F.col("least"), F.lit(1)) + 1, F.lit(0)).cast("int"))
-    common = outside.select("hub", "node", "n", "shared", F.explode(first).alias("number"))
-    common = common.select(F.xxhash64(F.lit("number"), "hub", "number").alias("bucket"), "node", "n", "shared")
-    size = F.floor(F.log(F.col("n")) / -math.log(similarity))
-    sized = open_.filter("least <= 0").select("hub", "node", "n", "shared", F.explode(F.array(size, size + 1)).alias("size"))
-    sized = sized.select(F.xxhash64(F.lit("size"), "hub", "size").alias("bucket"), "node", "n", "shared")
-    return common.union(sized).distinct()
-
-
-def _classes(members: DataFrame, bags: DataFrame, similarity: float, pivots: int) -> DataFrame:
+    both = few.join(own, "node").join(of_hub, "hub")
+    # the hub's side of the difference and the node's are told apart by construction: a number is only on one of them
+    each = both.select("hub", "node", "label", "n", "d", "e", "first", F.explode(F.concat(F.array_except("y", "x"), F.array_except("x", "y"))).alias("number"))
+    each = cut_lineage(each, "differences")
+    often = each.groupBy("hub", "number").agg(F.count(F.lit(1)).alias("df"))
+    order = W.partitionBy("hub", "node").orderBy("df", "number")
+    placed = each.join(often, ["hub", "number"]).withColumn("at", F.row_number().over(order) - 1)
+    return placed.filter((F.col("at") < F.col("first")) & (F.col("df") > 1)).select("hub", "number", "node", "n", "at", "d", "e")
+
+
+def _links(pairs: DataFrame, tested: list[DataFrame], bags: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Labels after the verified pairs among ``pairs``, and the pairs that were verified now."""
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    for done in tested:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    pairs = cut_lineage(pairs, "pairs")
+    found = cut_lineage(_verified(_overlaps(pairs, bags), similarity), "edges")
+    return (labels if found.isEmpty() else _joined(labels, found)), pairs
+
+
+def _classes(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """(node, label) of all nodes that have a link: the components of the links between nodes that share a bucket."""
-    first = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = members.join(first, "bucket").filter("node > a").select("a", F.col("node").alias("b")).distinct()
-    hubs = cut_lineage(_overlaps(cut_lineage(pairs, "pairs"), bags), "hubs")
-    tested = hubs.select("a", "b")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    score = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("score"))
+    scored = cut_lineage(members.join(score, "node"), "scored")
+    # the node that meets most others is the best hub; it lies in the middle of its near copies
+    first = scored.groupBy("bucket").agg(F.max(F.struct("score", -F.col("node"))).alias("top")).select("bucket", (-F.col("top")["col2"]).alias("a"))
+    pairs = scored.join(first, "bucket").filter("node <> a").select("a", F.col("node").alias("b"), "score").distinct()
+    pairs = cut_lineage(pairs, "pairs")
+    hubs = cut_lineage(_overlaps(pairs.select("a", "b"), bags), "hubs")
     labels = components(_verified(hubs, similarity))
-    finer = cut_lineage(_finer(hubs, labels, bags, similarity), "finer")
-    shared = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = cut_lineage(finer.join(shared, "bucket"), "finer")
-    # two nodes of a bucket share at most so much inside their hub and outside it
-    most = F.least("shared", "ps") + F.least(F.col("n") - F.col("shared"), F.col("pn") - F.col("ps"))
-    can_be = most >= similarity / (1 + similarity) * (F.col("n") + F.col("pn")) - 1e-9
-    used = None
-    while True:
-        named = cut_lineage(_several(_labelled(members, labels), "bucket"), "mixed")
-        outside = named.filter("label <> main")
-        if used is not None:
-            outside = outside.join(used, ["bucket", "node"], "left_anti")
-        chosen = outside.withColumn("rn", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("rn") <= pivots)
-        chosen = chosen.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("of"), F.col("n").alias("pn"), F.col("shared").alias("ps"))
-        chosen = cut_lineage(chosen, "pivots")
-        if chosen.isEmpty():
-            return labels
-        pairs = (
-            named.join(chosen, "bucket").filter((F.col("label") != F.col("of")) & can_be)
-            .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = cut_lineage(pairs, "pairs")
-        found = cut_lineage(_verified(_overlaps(pairs, bags), similarity), "edges")
-        if not found.isEmpty():
-            labels = _joined(labels, found)
-        tested = tested.union(pairs)
-        done = chosen.select("bucket", F.col("pivot").alias("node"))
-        used = done if used is None else used.union(done)
-        pivots *= 4
+    tested = [hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))]
+
+    finer = _differences(hubs, labels, bags, similarity).withColumn("bucket", F.xxhash64("hub", "number")).drop("hub", "number")
+    finer = cut_lineage(finer.join(score, "node"), "finer")
+
+    # what two differences can still share behind their common number
+    enough = F.least(F.col("d") - F.col("at"), F.col("od") - F.col("oat")) >= (F.col("e") + F.col("oe")) / 2 - 1e-9
+    alike = F.least("n", "on") >= similarity * F.greatest("n", "on") - 1e-9
+    can_be = (F.col("label") != F.col("olabel")) & alike & enough
+    other = [F.col(c).alias(f"o{c}") for c in ("label", "n", "at", "d", "e")]
+
+    # one hub for each finer bucket first: it connects nodes that differ from the first hub alike
+    named = _several(finer, labels, "bucket")
+    top = named.groupBy("bucket").agg(F.max_by(F.struct("node", *[c for c in ("label", "n", "at", "d", "e")]), F.struct("score", "node")).alias("o"))
+    hub = top.select("bucket", F.col("o.node").alias("other"), *[F.col(f"o.{c}").alias(f"o{c}") for c in ("label", "n", "at", "d", "e")])
+    labels, more = _links(named.join(hub, "bucket").filter(can_be), tested, bags, labels, similarity)
+    tested.append(more)
+
+    # then the pairs of different classes that are left
+    named = cut_lineage(_several(finer, labels, "bucket"), "named")
+    others = named.select("bucket", F.col("node").alias("other"), *other)
+    labels, _ = _links(named.join(others, "bucket").filter((F.col("node") < F.col("other")) & can_be), tested, bags, labels, similarity)
+    return labels
 
 
 def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +340,7 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary()).cast(pa.string())], names=["raw", "text"])
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, raw_sha256, class_id, class_size, kept for each row."""
     rows = texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("row"))
     signed = cut_lineage(rows.mapInArrow(_sign, _SIGNED), "signatures")
@@ -344,7 +354,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = texts(docs, id_col, text_col).select("text").mapInArrow(_distinct_texts, "raw binary, text string")
     once = found.join(wanted, "raw").dropDuplicates(["raw", "node"])
     bags = cut_lineage(once.select("node", "text").mapInArrow(_bags, "node long, bag array<int>"), "bags")
-    labels = _classes(members, bags, similarity, pivots)
+    labels = _classes(members, bags, similarity)
 
     named = cut_lineage(nodes.join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("label")), "classes")
     classes = cut_lineage(join_hot(signed.select("doc_id", "row", "raw", "content"), named, "content").drop("content"), "classes")

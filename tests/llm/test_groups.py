@@ -161,10 +161,26 @@ def variants(seed):
 def test_near_copies(spark, seed):
     pairs = variants(seed)
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
-    got = minhash.near_copies(df, pivots=1)
+    got = minhash.near_copies(df)
     assert collected(got, "doc_id", "class_id", "class_size") == near_classes(pairs)
 
 
+def test_near_copies_star(spark):
+    """Copies of one text that lie far apart: links only of those that share edits, and few pairs verified."""
+    rng = random.Random(9)
+    base = words(150, 77, 5000).split()
+    texts = [" ".join(base)]
+    for k in range(260):
+        copy = list(base if rng.random() < 0.8 else texts[-1].split())
+        for _ in range(rng.randrange(0, 14)):
+            copy[rng.randrange(len(copy))] = f"y{rng.randrange(4000)}"
+        texts.append(" ".join(copy))
+    for without in (0, 1):
+        pairs = list(enumerate(texts[without:]))
+        df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+        assert collected(minhash.near_copies(df), "doc_id", "class_id", "class_size") == near_classes(pairs)
+
+
 def test_near_copies_whole_table(spark):
     pairs = [tuple(r) for r in queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()]
     got = queries.QUERIES["op5_near_copies"](spark, "/root/testdata/sf0.01")
