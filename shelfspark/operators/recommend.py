@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shelfspark.functions import values
-from shelfspark.operators import blocks, skew
+from shelfspark.operators import blocks, bounded, skew
 from shelfspark.runtime import cut_lineage
 
 
@@ -91,11 +91,11 @@ def content_similar(entries: DataFrame, k: int = 10, reviews: DataFrame | None =
     dims = skew.dense_index(entries, "dim")
     packed = _packed(entries, "mal_id", dims)
     if reviews is None:
-        return blocks.score_top(packed, packed, k, exclude_self=True)
+        return bounded.top(packed, packed, k, exclude_self=True)
     review_vecs = _packed(reviews, "mal_id", skew.dense_index(reviews, "dim"))
     plain = packed.join(review_vecs.select("id"), "id", "left_anti")
-    by_review = blocks.score_top(review_vecs, review_vecs, k, exclude_self=True)
-    return by_review.unionByName(blocks.score_top(plain, packed, k, exclude_self=True))
+    by_review = bounded.top(review_vecs, review_vecs, k, exclude_self=True)
+    return by_review.unionByName(bounded.top(plain, packed, k, exclude_self=True))
 
 
 def user_profile(seen: DataFrame, entries: DataFrame) -> DataFrame:
@@ -110,31 +110,39 @@ def user_profile(seen: DataFrame, entries: DataFrame) -> DataFrame:
     return sums.join(n, "user_id").select("user_id", "dim", (F.col("w") / F.col("n_hist")).alias("weight"))
 
 
-def _user_scores(seen, entries, k, metric, bounds=False):
+def _user_scores(seen, entries, k, metric, spans=False, whole=False, counters=None):
+    """Top k unseen items per user by the profile; ``whole`` lists are ranked by a full scan."""
     dims = skew.dense_index(entries, "dim")
     users = _packed(user_profile(seen, entries), "user_id", dims)
     items = _packed(entries, "mal_id", dims)
-    found = blocks.score_top(users, items, k, metric, exclude=seen.select("user_id", "item_id"), bounds=bounds)
+    skip = seen.select("user_id", "item_id")
+    if whole:
+        found = blocks.score_top(users, items, k, metric, exclude=skip, bounds=spans)
+    else:
+        found = bounded.top(users, items, k, metric, skip, spans=spans, counters=counters)
     return found.withColumnsRenamed({"query": "user_id", "item": "item_id"})
 
 
 def candidates(
-    users: DataFrame, seen: DataFrame, entries: DataFrame, n: int = 200, order: DataFrame | None = None
+    users: DataFrame, seen: DataFrame, entries: DataFrame, n: int = 200, order: DataFrame | None = None, counters: dict | None = None
 ) -> DataFrame:
     """(user_id, item_id, rank): top n unseen items by cosine with the profile; cold users by popularity.
 
-    Items without overlap score 0 and still fill the list, in id order.
+    Items without overlap score 0 and still fill the list, in id order. ``counters`` as in ``bounded.top``.
     """
-    warm = _user_scores(seen, entries, n, "cosine").select("user_id", "item_id", "rank")
+    warm = _user_scores(seen, entries, n, "cosine", counters=counters).select("user_id", "item_id", "rank")
     if order is None:
         return warm
     cold = users.select("user_id").join(seen.select("user_id"), "user_id", "left_anti")
     return warm.unionByName(popular_unseen(cold, seen, order, n).select("user_id", "item_id", "rank"))
 
 
-def content_arm(seen: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """(user_id, item_id, score, rank): dot with the profile, min-max scaled over all items of the user."""
-    found = _user_scores(seen, entries, k, "dot", bounds=True)
+def content_arm(seen: DataFrame, entries: DataFrame, k: int, whole: bool = False) -> DataFrame:
+    """(user_id, item_id, score, rank): dot with the profile, min-max scaled over all items of the user.
+
+    ``whole``: k is about the number of items, so that no block can be left out.
+    """
+    found = _user_scores(seen, entries, k, "dot", spans=True, whole=whole)
     return found.withColumn("score", values.min_max(F.col("score"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
@@ -340,6 +348,6 @@ def batch_predict(ratings: DataFrame, requests: DataFrame, value: str = "score")
 def ground_truth_top(tastes: DataFrame, entries: DataFrame, m: int = 50) -> DataFrame:
     """(user_id, item_id, score, rank): top m items by dot with a taste (user_id, dim, weight), seen or not."""
     dims = skew.dense_index(entries, "dim")
-    found = blocks.score_top(_packed(tastes, "user_id", dims), _packed(entries, "mal_id", dims), m, "dot")
+    found = bounded.top(_packed(tastes, "user_id", dims), _packed(entries, "mal_id", dims), m, "dot")
     return found.withColumnsRenamed({"query": "user_id", "item": "item_id"})
 
