@@ -401,7 +401,6 @@ def score_top(
     metric: str = "cosine",
     exclude: DataFrame | None = None,
     exclude_self: bool = False,
-    filter_col: str | None = None,
     limit_col: str | None = None,
     bounds: bool = False,
     query_block: int = 2048,
@@ -411,8 +410,7 @@ def score_top(
 
     ``queries`` and ``items`` are (id, dims, weights). ``exclude`` is (query,
     item) pairs to skip; each pair travels to the one cell that can use it.
-    ``filter_col``: a text column of the queries that must be among the items'
-    ``tokens`` array (null = no filter). ``limit_col``: per-query k instead of k.
+    ``limit_col``: per-query k instead of k.
     ``bounds`` adds ``lo`` and ``hi``: the query's smallest and largest score over
     all items, skipped ones included.
     """
@@ -422,10 +420,9 @@ def score_top(
     nq, ni = block_count(nq_rows, q_size), block_count(ni_rows, item_block)
     kind_q, kind_i = dict(queries.dtypes)["id"], dict(items.dtypes)["id"]
     vec = ["dims", "weights"]
-    flt = F.col(filter_col) if filter_col else F.lit(None).cast("string")
     lim = F.col(limit_col).cast("int") if limit_col else F.lit(k)
     left = queries.select(
-        block_of("id", nq).alias("q"), "id", *vec, flt.alias("flt"), lim.alias("lim"), F.lit("0").cast(kind_i).alias("skip"),
+        block_of("id", nq).alias("q"), "id", *vec, F.lit(None).cast("string").alias("flt"), lim.alias("lim"), F.lit("0").cast(kind_i).alias("skip"),
         F.lit(True).alias("ask"),
     ).withColumn("i", _all_blocks(ni))
     if exclude is not None:
@@ -436,9 +433,49 @@ def score_top(
             block_of(names[1], ni).alias("i"),
         )
         left = left.unionByName(skips)
-    tokens = F.col("tokens") if filter_col else F.lit(None).cast("array<string>")
-    right = items.select(block_of("id", ni).alias("i"), "id", *vec, tokens.alias("tokens")).withColumn("q", _all_blocks(nq))
-    return _score_cells(left, right, k, cell_tasks(nq * ni), ni > 1, metric, exclude_self, bool(filter_col), bool(limit_col), bounds)
+    tokens = F.lit(None).cast("array<string>").alias("tokens")
+    right = items.select(block_of("id", ni).alias("i"), "id", *vec, tokens).withColumn("q", _all_blocks(nq))
+    return _score_cells(left, right, k, cell_tasks(nq * ni), ni > 1, metric, exclude_self, False, bool(limit_col), bounds)
+
+
+def filtered_top(
+    queries: DataFrame, items: DataFrame, k: int, filter_col: str, metric: str = "cosine", limit_col: str | None = None,
+    query_block: int = 2048, item_block: int = 16_384,
+) -> DataFrame:
+    """As ``score_top``, for each query only over the items that have all words of its filter.
+
+    Items carry their words in ``tokens``. A query goes to the posting list of the
+    rarest word of its filter; only items with a word that some query picked are
+    shuffled at all. Long lists, and words that many queries pick, are cut into
+    cells. Queries without a filter search everything.
+    """
+    lim = F.col(limit_col).cast("int") if limit_col else F.lit(k)
+    kind_i = dict(items.dtypes)["id"]
+    words = F.array_distinct(F.filter(F.split(F.lower(filter_col), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    asked = queries.withColumn("__words", words)
+    free = score_top(queries.filter(F.col(filter_col).isNull()), items, k, metric, limit_col=limit_col, query_block=query_block, item_block=item_block)
+
+    each = asked.filter(F.col(filter_col).isNotNull()).select("id", F.explode("__words").alias("word"))
+    wanted = cut_lineage(each.select("word").distinct(), "wanted")
+    listed = items.select("id", "dims", "weights", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
+    sizes = listed.join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a filter with a word that no item has finds nothing
+    counted = each.join(sizes, "word", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("p"))
+    picked = cut_lineage(counted.filter("p.n > 0").select("id", F.col("p.word").alias("word"), F.col("p.n").alias("n")), "picked")
+    lists = picked.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("nq"), F.ceil(F.max("n") / item_block).cast("int").alias("ni"))
+    lists = cut_lineage(lists, "lists")
+    cells = lists.agg(F.sum(F.col("nq") * F.col("ni"))).first()[0] or 1
+
+    left = asked.join(picked.drop("n"), "id").join(lists, "word").select(
+        F.concat_ws(" ", "word", F.pmod(F.xxhash64("id"), F.col("nq"))).alias("q"), "id", "dims", "weights", F.concat_ws(" ", "__words").alias("flt"), lim.alias("lim"),
+        F.lit("0").cast(kind_i).alias("skip"), F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"),
+    )
+    right = listed.join(lists, "word").select(
+        F.pmod(F.xxhash64("id"), F.col("ni")).cast("int").alias("i"), "id", "dims", "weights", "tokens", "word",
+        F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("part"),
+    )
+    right = right.withColumn("q", F.concat_ws(" ", "word", "part")).drop("word", "part")
+    return free.unionByName(_score_cells(left, right, k, cell_tasks(cells), True, metric, False, True, bool(limit_col), False))
 
 
 def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_col, limit_col, bounds):
@@ -450,7 +487,7 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
         import pandas as pd
 
         names = ["query", "item", "score", "rank", "lim", "lo", "hi"]
-        empty = pd.DataFrame({n: [] for n in names})
+        empty = pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         skips = lpdf[~lpdf["ask"]]
         asks = lpdf[lpdf["ask"]]
         if not len(asks) or not len(rpdf):
@@ -481,7 +518,7 @@ def _score_cells(left, right, k, n_cells, split, metric, exclude_self, filter_co
         masks = {}
         if filter_col:
             for f in asks["flt"].dropna().unique():
-                masks[f] = np.array([t is not None and f in t for t in rpdf["tokens"]])
+                masks[f] = np.array([t is not None and set(f.split()) <= set(t) for t in rpdf["tokens"]])
         flts, lims = asks["flt"].to_numpy(), asks["lim"].to_numpy().astype(int)
         step = max(1, (SCORE_CELL if few else CELL) // max(len(dims), len(iid)))
         for lo in range(0, len(qid), step):

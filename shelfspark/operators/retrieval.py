@@ -38,19 +38,18 @@ def fetch_size(genre: Column, k: int) -> Column:
 
 
 def hybrid_search(queries: DataFrame, points: DataFrame, k: int = 5, boost: float = 0.02) -> DataFrame:
-    """(query, item, genre, score, item_score, blend, rank): genre prefilter, over-fetch, blend, cut to k.
+    """(query, item, genre, score, item_score, blend, rank): genre prefilter (all words of the genre), over-fetch, blend, cut to k.
 
     ``queries`` (id, text, vector); ``points`` (id, vector, genres array, item_score).
     Queries without a recognised genre search everything.
     """
     asked = queries.withColumn("genre", text.infer_genre(F.col("text")))
     q = blocks.dense(asked, "id", "vector").join(
-        asked.select("id", F.lower("genre").alias("want"), fetch_size(F.col("genre"), k).alias("fetch")), "id"
+        asked.select("id", F.col("genre").alias("want"), fetch_size(F.col("genre"), k).alias("fetch")), "id"
     )
-    p = blocks.dense(points, "id", "vector").join(
-        points.select("id", F.transform("genres", F.lower).alias("tokens")), "id"
-    )
-    found = blocks.score_top(q, p, max(k, min(2 * k, 10)), filter_col="want", limit_col="fetch")
+    tokens = F.split(F.lower(F.array_join("genres", " ")), r"[^\p{L}\p{N}]+")
+    p = blocks.dense(points.withColumn("tokens", tokens), "id", "vector", ["tokens"])
+    found = blocks.filtered_top(q, p, max(k, min(2 * k, 10)), "want", limit_col="fetch")
     hits = found.join(points.select(F.col("id").alias("item"), "item_score"), "item")
     ranked = rerank_blend(hits, boost).filter(F.col("new_rank") <= k)
     genres = asked.select(F.col("id").alias("query"), "genre")

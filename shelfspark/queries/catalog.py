@@ -25,8 +25,6 @@ SELECT c.mal_id, CASE WHEN c.mal_id % 50 <> 0 THEN title ELSE 'Anime ' || c.mal_
 FROM cat c JOIN raw r USING (mal_id)
 """
 
-DESCRIPTION_CHARS = 2000  # of the stored format
-
 
 @query("flatten_payload", with_ctes(CAT, RAW, body=FLAT_SQL))
 def flatten_payload(spark, d):
@@ -202,17 +200,17 @@ def crawl_todo(spark, d):
 
 MEDIA_SQL = """
 media AS (
-  SELECT p_partkey AS mal_id, p_brand || ':' || p_size || '|' || p_type || ':0' AS tags_anilist,
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 10000000000 ELSE p_partkey END AS mal_id, p_brand || ':' || p_size || '|' || p_type || ':0' AS tags_anilist,
     nullif(CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 101 ELSE 0 END / 10, 0) AS score_anilist,
     CAST(p_partkey % 500 AS INTEGER) AS favourites_anilist, CAST(p_partkey % 700 AS INTEGER) AS popularity_anilist,
     p_name || ' of ' || p_brand AS description_anilist
-  FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 11 <> 0)
+  FROM part WHERE p_partkey % 11 <> 0)
 """
 
 
 @query("media_to_row", with_ctes(MEDIA_SQL, body="SELECT * FROM media"))
 def media_to_row(spark, d):
-    return flat(op.media_to_row(tables.media_rows(spark, d), DESCRIPTION_CHARS))
+    return flat(op.media_to_row(tables.media_rows(spark, d)))
 
 
 @query("enrich_catalog", with_ctes(CAT, RAW, MEDIA_SQL, body="""
@@ -227,7 +225,7 @@ def enrich_catalog(spark, d):
     for f in schemas.fields(schemas.CATALOG):
         if f.name in op._ANILIST:
             base = base.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return flat(op.enrich(base, op.media_to_row(tables.media_rows(spark, d), DESCRIPTION_CHARS)))
+    return flat(op.enrich(base, op.media_to_row(tables.media_rows(spark, d))))
 
 
 @query("array_union_sources", with_ctes(RAW, body="""
@@ -240,10 +238,12 @@ def array_union_sources(spark, d):
 @query("merge_sources", with_ctes(CAT, MEDIA_SQL, body="""
 SELECT coalesce(c.mal_id, m.mal_id) AS mal_id, coalesce(c.score, m.score_anilist) AS score, c.title, m.popularity_anilist,
   c.mal_id IS NOT NULL AS in_first, m.mal_id IS NOT NULL AS in_second
-FROM (SELECT * FROM cat WHERE mal_id % 4 <> 1) c FULL OUTER JOIN media m ON m.mal_id = c.mal_id"""))
+FROM (SELECT CASE WHEN mal_id % 4 = 1 THEN mal_id + 20000000000 ELSE mal_id END AS mal_id, title, score FROM cat) c FULL OUTER JOIN media m ON m.mal_id = c.mal_id"""))
 def merge_sources(spark, d):
-    first = cat_lean(spark, d).filter("mal_id % 4 <> 1").select("mal_id", "title", "score")
-    second = op.media_to_row(tables.media_rows(spark, d), DESCRIPTION_CHARS).select(
+    """A quarter of the first side's items and a third of the second side's are only there."""
+    key = F.when(F.col("mal_id") % 4 == 1, F.col("mal_id") + 20_000_000_000).otherwise(F.col("mal_id"))
+    first = cat_lean(spark, d).select(key.alias("mal_id"), "title", "score")
+    second = op.media_to_row(tables.media_rows(spark, d)).select(
         "mal_id", F.col("score_anilist").alias("score"), "popularity_anilist"
     )
     return op.merge_sources(first, second)
@@ -276,22 +276,20 @@ def resolve_titles(spark, d):
 
 
 @query("discover_ids", """
-WITH pages AS (SELECT 0 AS arm, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_partkey AS id FROM part
-    WHERE p_size > 5
+WITH pages AS (SELECT 0 AS arm, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos,
+    CASE WHEN p_size > 5 THEN p_partkey ELSE p_partkey + 30000000000 END AS id FROM part
   UNION ALL SELECT p_partkey % 3 + 1, p_partkey, p_partkey FROM part),
-firsts AS (SELECT arm, id, min(pos) AS pos FROM pages GROUP BY arm, id),
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY pos, id) AS n FROM firsts)
-  WHERE n <= CASE WHEN arm = 0 THEN 500 ELSE 1000 END)
-SELECT id, arm, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arm, pos) AS r FROM capped) WHERE r = 1""")
+firsts AS (SELECT arm, id, min(pos) AS pos FROM pages GROUP BY arm, id)
+SELECT id, arm, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arm, pos) AS r FROM firsts) WHERE r = 1""")
 def discover_ids(spark, d):
     from shelfspark.operators.skew import dense_index
 
     part = tables.table(spark, d, "part")
-    keyed = part.filter("p_size > 5").select(
-        F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey").alias("o"), F.col("p_partkey").alias("id")
-    )
+    # small items are on the top pages under ids that the seasons do not have
+    known = F.when(F.col("p_size") > 5, F.col("p_partkey")).otherwise(F.col("p_partkey") + 30_000_000_000)
+    keyed = part.select(F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey").alias("o"), known.alias("id"))
     top = keyed.join(dense_index(keyed, "o", "pos"), "o").select(F.lit(0).alias("arm"), "pos", "id")
     season = part.select(
         (F.col("p_partkey") % 3 + 1).cast("int").alias("arm"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("id")
     )
-    return op.discover_ids(top.unionByName(season), 500, 1000)
+    return op.discover_ids(top.unionByName(season))

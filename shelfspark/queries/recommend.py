@@ -131,7 +131,7 @@ def content_similar(spark, d):
 
 
 @query("content_similar_reviews", with_ctes(INTER, CAT, ITEM_FEATURES, body="""
-, rev AS (SELECT item_id AS mal_id, user_id, score::DOUBLE AS w FROM inter WHERE item_id % 2 = 0),
+, rev AS (SELECT item_id AS mal_id, user_id, score::DOUBLE AS w FROM inter),
 n1 AS (SELECT mal_id, sqrt(sum(w * w)) AS n FROM rev GROUP BY 1), n2 AS (SELECT mal_id, sqrt(sum(weight * weight)) AS n FROM feat GROUP BY 1),
 p1 AS (SELECT x.mal_id AS a, y.mal_id AS b, sum(x.w * y.w) AS dot FROM rev x JOIN rev y ON x.user_id = y.user_id AND x.mal_id <> y.mal_id GROUP BY ALL),
 p2 AS (SELECT x.mal_id AS a, y.mal_id AS b, sum(x.weight * y.weight) AS dot FROM feat x JOIN feat y ON x.dim = y.dim AND x.mal_id <> y.mal_id
@@ -142,7 +142,7 @@ SELECT a AS query, b AS item, round(score, 6) AS score, rank FROM (SELECT *, row
 def content_similar_reviews(spark, d):
     """Items with reviews (here: rated by someone) are compared by their raters, the rest by features."""
     c = cat_lean(spark, d)
-    reviews = inter(spark, d).filter("item_id % 2 = 0").select(
+    reviews = inter(spark, d).select(
         F.col("item_id").alias("mal_id"), F.col("user_id").alias("dim"), F.col("score").cast("double").alias("weight")
     )
     found = op.content_similar(features.item_features(c), 10, reviews)
@@ -259,7 +259,7 @@ def hybrid_switch(spark, d):
     c = cat_lean(spark, d)
     seen = log.distinct()
     n = c.count()
-    content = op.content_arm(seen, features.genre_vectors(c), n)
+    content = op.content_arm(seen, features.genre_vectors(c), n, whole=True)
     cf = op.cf_arm(log, n)
     return op.hybrid_switch(content, cf, seen, 10).withColumn("score", F.round("score", 6))
 
@@ -314,14 +314,18 @@ def for_you_concat(spark, d):
 
 
 @query("recommend_with_fallback", with_ctes(INTER, CAT, body=POPULAR + """
-, own AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM inter WHERE user_id % 3 = 0)
+, own AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM inter
+  WHERE user_id IN (SELECT user_id FROM inter GROUP BY user_id HAVING sum(2 * score) >= 11 * count(*)))
 SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank, false AS fallback FROM own WHERE rank <= 10
 UNION ALL SELECT c_custkey, item_id, CAST(place AS INTEGER), true FROM customer, place WHERE place <= 10 AND c_custkey NOT IN (SELECT user_id FROM own)"""))
 def recommend_with_fallback(spark, d):
+    """Users whose mean score is below the middle get the popular list."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
-    own = inter_once(spark, d).filter("user_id % 3 = 0").withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    log = inter_once(spark, d)
+    pleased = log.groupBy("user_id").agg((F.sum(2 * F.col("score")) >= 11 * F.count(F.lit(1))).alias("ok")).filter("ok").select("user_id")
+    own = log.join(pleased, "user_id").withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
     return op.with_fallback(all_users(spark, d), own, order(spark, d), 10)
 
 
@@ -331,15 +335,16 @@ def matrix_factorization(spark, d):
 
 
 @query("blend_reasons", with_ctes(INTER, body="""
-, a AS (SELECT user_id, item_id, score / 10 AS a FROM inter WHERE item_id % 2 = 0), b AS (SELECT user_id, item_id, year(ts) % 10 / 10 AS b FROM inter WHERE item_id % 3 = 0),
+, a AS (SELECT user_id, item_id, score / 10 AS a FROM inter WHERE score >= 4), b AS (SELECT user_id, item_id, year(ts) % 10 / 10 AS b FROM inter WHERE score <= 7),
 j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.item_id, b.item_id) AS item_id, 0.6::DOUBLE * coalesce(a, 0) AS x, 0.4::DOUBLE * coalesce(b, 0) AS y
   FROM a FULL OUTER JOIN b ON a.user_id = b.user_id AND a.item_id = b.item_id)
 SELECT * FROM (SELECT user_id, item_id, round(x + y, 6) AS score, CASE WHEN x >= y THEN 'similar users' ELSE 'similar content' END AS reason,
   row_number() OVER (PARTITION BY user_id ORDER BY round(x + y, 9) DESC, item_id) AS rank FROM j) WHERE rank <= 5"""))
 def blend_reasons(spark, d):
+    """Two lists that together hold every rating: the better ones, and the worse ones scored by their year."""
     log = inter(spark, d)
-    a = log.filter("item_id % 2 = 0").select("user_id", "item_id", (F.col("score") / 10).alias("score"))
-    b = log.filter("item_id % 3 = 0").select("user_id", "item_id", (F.year("ts") % 10 / 10).alias("score"))
+    a = log.filter("score >= 4").select("user_id", "item_id", (F.col("score") / 10).alias("score"))
+    b = log.filter("score <= 7").select("user_id", "item_id", (F.year("ts") % 10 / 10).alias("score"))
     return op.blend_reasons(a, b, 5).withColumn("score", F.round("score", 6))
 
 

@@ -151,7 +151,7 @@ docs AS (SELECT mal_id, concat_ws(chr(10), 'Title: ' || title, 'Japanese title:
 
 @query("build_document", with_ctes(CAT, DOC_SQL, body="SELECT mal_id, doc FROM docs"))
 def build_document(spark, d):
-    return op.with_document(cat_lean(spark, d), max_tags=20, max_synopsis=1500).select("mal_id", "doc")
+    return op.with_document(cat_lean(spark, d)).select("mal_id", "doc")
 
 
 @query("doc_text", with_ctes(CAT, body="SELECT mal_id, trim(title || ' ' || array_to_string(genres, ', ') || ' ' || coalesce(synopsis, '')) AS line FROM cat"))
@@ -215,7 +215,8 @@ qs AS (SELECT vec_id AS id, [{quoted(tables.LABEL_TEXT)}][label + 1] AS text, em
 
 @query("hybrid_search", with_ctes(POINTS, body=f"""
 , g AS (SELECT *, {genre_sql('text')} AS genre FROM qs),
-s AS (SELECT g.id AS query, p.id AS item, genre, {COS.format(a='g.vector', b='p.vector')} AS score, item_score FROM g, pts p WHERE genre IS NULL OR list_contains(p.genres, genre)),
+s AS (SELECT g.id AS query, p.id AS item, genre, {COS.format(a='g.vector', b='p.vector')} AS score, item_score FROM g, pts p
+  WHERE genre IS NULL OR list_has_all(string_split(lower(array_to_string(p.genres, ' ')), ' '), string_split(lower(genre), ' '))),
 f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item) AS r FROM s),
 h AS (SELECT *, score + 0.02 * (item_score / 10) AS blend FROM f WHERE r <= CASE WHEN genre IS NULL THEN 5 ELSE 10 END)
 SELECT query, item, genre, round(score, 6) AS score, item_score, round(blend, 6) AS blend, rank FROM (
@@ -289,7 +290,7 @@ def index_incremental(spark, d):
 SELECT mal_id AS id, title, array_to_string(genres, ', ') AS genres, year, score, image_url, coalesce(synopsis, '') AS synopsis FROM cat"""))
 def vector_table(spark, d):
     rows = cat_lean(spark, d).withColumn("vector", F.array(F.col("year").cast("float")))
-    return sinks.vector_points(rows, max_synopsis=1500).select("id", "payload.*").drop("mal_id")
+    return sinks.vector_points(rows).select("id", "payload.*").drop("mal_id")
 
 
 @query("benchmark_report", with_ctes(CAT, GOLDEN, RESOLVED, RELEVANT, body="""

@@ -252,3 +252,23 @@ def test_cf_recommendations_equal_sql(spark):
         columns = [c[0] for c in cur.description]
         got = queries.QUERIES[name](spark, d).select(*columns).collect()
         assert sorted(tuple(r) for r in got) == sorted(cur.fetchall())
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_filtered_top(spark, block):
+    """Only items with all words of the filter, against brute force; a filter nobody has finds nothing."""
+    rnd = random.Random(11)
+    names = ["slice", "life", "mecha", "drama", "of"]
+    items = [(i, [rnd.gauss(0, 1) for _ in range(5)], rnd.sample(names, rnd.randrange(0, 4))) for i in range(120)]
+    filters = [None, "Mecha", "slice of Life", "drama", "none such", "life"]
+    asked = [(q, [rnd.gauss(0, 1) for _ in range(5)], filters[q % 6], 3 + q % 2) for q in range(40)]
+    df_i = blocks.dense(spark.createDataFrame(items, "id long, vector array<double>, tokens array<string>"), "id", "vector", ["tokens"])
+    df_q = blocks.dense(spark.createDataFrame(asked, "id long, vector array<double>, want string, most int"), "id", "vector", ["want", "most"])
+    found = blocks.filtered_top(df_q, df_i, 4, "want", limit_col="most", query_block=block, item_block=block)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query, r.rank)):
+        got.setdefault(r.query, []).append(r.item)
+    for q, v, want, most in asked:
+        words = set((want or "").lower().split())
+        some = [(i, float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x))) for i, x, t in items if words <= set(t)]
+        assert got.get(q, []) == [i for i, _ in sorted(some, key=lambda s: (-round(s[1], 9), s[0]))[:most]]

@@ -85,7 +85,9 @@ def test_points(spark):
     kind = "mal_id int, title string, genres array<string>, year int, score double, image_url string, synopsis string, vector array<float>, vi array<float>"
     df = spark.createDataFrame([(1, "T", ["A", "B"], 2000, 8.0, None, "x" * 2000, [1.0], [2.0])], kind)
     (r,) = sinks.vector_points(df, "vector", "vi").collect()
-    assert r.payload.genres == "A, B" and len(r.payload.synopsis) == 1500 and r.vector_vi == [2.0]
+    assert r.payload.genres == "A, B" and len(r.payload.synopsis) == 2000 and r.vector_vi == [2.0]
+    (r,) = sinks.vector_points(df, "vector", "vi", max_synopsis=1500).collect()
+    assert len(r.payload.synopsis) == 1500
 
 
 def feed(spark, files_):
