@@ -52,7 +52,7 @@ def stream_latest_features(spark, d):
 SELECT event_id, user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 AS time_since_last FROM events""")
 def stream_interaction_gap(spark, d):
     feed = events(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.drain(jobs.gap_stream(feed), "gaps").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return jobs.interaction_gaps(feed).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_freshness", """

@@ -129,68 +129,3 @@ def test_discover_first_seen(spark):
 def test_todo_skips_done_and_fresh(spark):
     ids = spark.range(1, 6).withColumnRenamed("id", "mal_id")
     assert rows(op.crawl_todo(ids, ids.filter("mal_id = 1"), ids.filter("mal_id = 5"))) == [(2,), (3,), (4,)]
-
-
-def test_keyed_table_rewrites_touched_buckets_only(spark):
-    import glob
-    import os
-
-    from shelfspark.runtime import scratch_path
-
-    df = spark.range(200).select("id", F.lit("old").alias("v"))
-    path = scratch_path(spark, "keyed")
-    table = upserts.KeyedTable(spark, path, df.schema, ["id"], 16)
-
-    def merge(current, batch):
-        return upserts.upsert(current, batch, ["id"], ["v"])
-
-    table.upsert(df, merge)
-    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/data/*/part=*/*.parquet")}
-    batch = spark.createDataFrame([(3, "new"), (900, "new")], "id bigint, v string")
-    table.upsert(batch, merge)
-    table.upsert(batch, merge)
-    after = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/data/*/part=*/*.parquet")}
-    new = {os.path.dirname(f) for f in set(after) - set(before)}
-    assert all(after[f] == t for f, t in before.items()) and len(new) <= 4 and len(before) > 10
-    assert table.read().count() == 201 and rows(table.read().filter("v = 'new'"), "id") == [(3,), (900,)]
-
-
-def test_keyed_table_casts_keys(spark):
-    from shelfspark.runtime import scratch_path
-
-    df = spark.range(100).select("id", F.lit("old").alias("v"))
-    table = upserts.KeyedTable(spark, scratch_path(spark, "keyed"), df.schema, ["id"], 16)
-
-    def merge(current, batch):
-        return upserts.upsert(current, batch, ["id"], ["v"])
-
-    table.upsert(df, merge)
-    table.upsert(spark.createDataFrame([(1, "new"), (200, "new")], "id int, v string"), merge)
-    assert table.read().count() == 101 and rows(table.read().filter("v = 'new'"), "id") == [(1,), (200,)]
-
-
-def test_keyed_table_survives_a_crash(spark, monkeypatch):
-    from shelfspark.runtime import scratch_path
-
-    df = spark.range(50).select("id", F.lit("old").alias("v"))
-    path = scratch_path(spark, "keyed")
-    table = upserts.KeyedTable(spark, path, df.schema, ["id"], 8)
-
-    def merge(current, batch):
-        return upserts.upsert(current, batch, ["id"], ["v"])
-
-    table.upsert(df, merge)
-    batch = spark.range(40, 60).select("id", F.lit("new").alias("v"))
-
-    def fail(*_):
-        raise RuntimeError("lost")
-
-    monkeypatch.setattr(table, "_commit", fail)  # data written, version not
-    with pytest.raises(RuntimeError):
-        table.upsert(batch, merge)
-    again = upserts.KeyedTable(spark, path, df.schema, ["id"], 99)
-    assert again.buckets == 8 and again.read().count() == 50 and again.read().filter("v = 'new'").isEmpty()
-    again.upsert(batch, merge)
-    again.resize(32)
-    opened = upserts.KeyedTable(spark, path, df.schema, ["id"])
-    assert opened.buckets == 32 and opened.read().count() == 60 and opened.read().filter("v = 'new'").count() == 20

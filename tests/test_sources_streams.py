@@ -3,10 +3,11 @@ from datetime import datetime
 
 import pytest
 from conftest import rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
-from shelfspark.operators import interactions
+from shelfspark.operators import interactions, upserts
 from shelfspark.runtime import scratch_path
 from shelfspark.sources import files, sinks
 from shelfspark.streaming import jobs
@@ -125,7 +126,7 @@ def test_latest_over_batches(spark):
 def test_gap_equals_batch(spark):
     data = [(i, i % 3, at(i // 4, i % 60), 0.0) for i in range(60)]
     s = feed(spark, [data[:20], data[20:45], data[45:]])
-    got = rows(jobs.drain(jobs.gap_stream(s), "g"), "event_id", "time_since_last")
+    got = rows(jobs.interaction_gaps(s), "event_id", "time_since_last")
     batch = spark.createDataFrame(data, "event_id bigint, user_id bigint, ts timestamp, value double")
     assert got == rows(interactions.interaction_gap(batch, ["user_id"], "ts", "event_id"), "event_id", "time_since_last")
 
@@ -148,6 +149,32 @@ def test_catalog_stream_equals_batch(spark):
     assert rows(out.filter("mal_id <> 1"), "mal_id", "title") == rows(final.filter("mal_id <> 1"), "mal_id", "title")
 
 
+def test_repeated_batch_changes_nothing(spark):
+    """A run that dies inside a batch repeats it, whatever the dead run has left in the batch's folder."""
+    kind = "id bigint, v string"
+    folder, path, state = (scratch_path(spark, n) for n in ("in", "table", "state"))
+
+    def put(data):
+        spark.createDataFrame(data, kind).coalesce(1).write.mode("append").parquet(folder)
+
+    def run(merge=lambda old, new: upserts.upsert(old, new, ["id"], ["v"])):
+        stream = spark.readStream.schema(kind).parquet(folder)
+        return jobs.drain_into(stream, path, stream.schema, merge, state)
+
+    def dies(old, new):
+        new.write.mode("overwrite").parquet(f"{path}/1")
+        raise RuntimeError("lost")
+
+    put([(1, "a"), (2, "a")])
+    assert rows(run(), "id", "v") == [(1, "a"), (2, "a")]
+    assert rows(run(), "id", "v") == [(1, "a"), (2, "a")]
+    put([(2, "b"), (3, "b")])
+    with pytest.raises(StreamingQueryException):
+        run(dies)
+    assert jobs.finished_batch(spark, state) == 0
+    assert rows(run(), "id", "v") == [(1, "a"), (2, "b"), (3, "b")] and jobs.finished_batch(spark, state) == 1
+
+
 def test_static_enrichment_keeps_unmatched(spark):
     s = feed(spark, [[(1, 1, at(0), 1.0), (2, 9, at(0), 1.0)]])
     static = spark.createDataFrame([(1, "one")], "user_id bigint, name string")
@@ -156,7 +183,7 @@ def test_static_enrichment_keeps_unmatched(spark):
 
 def test_gap_after_weeks_and_late_rows(spark):
     s = feed(spark, [[(1, 1, at(0), 0.0)], [(2, 1, at(24 * 21), 0.0)], [(3, 1, at(5), 0.0), (4, 1, at(24 * 21 + 1), 0.0)], [(5, 1, at(6), 0.0)]])
-    got = rows(jobs.drain(jobs.gap_stream(s), "g"), "event_id", "time_since_last")
+    got = rows(jobs.interaction_gaps(s), "event_id", "time_since_last")
     assert got == [(1, None), (2, 1_814_400.0), (3, None), (4, 3600.0), (5, None)]
 
 
@@ -178,3 +205,28 @@ def test_streams_go_on_where_they_stopped(spark):
     for want in (2, 3):
         got = jobs.latest_features(stream(), ["user_id"], ["ts", "event_id"], path=path, state=mark)
         assert rows(got, "user_id", "event_id") == [(1, max(3, want)), (2, 2)] if want == 3 else got.count() == 2
+
+
+def test_gaps_forget_idle_users(spark):
+    day = 24
+    s = feed(spark, [[(1, 1, at(0), 0.0), (2, 2, at(1), 0.0)], [(3, 2, at(5 * day), 0.0)], [(4, 1, at(5 * day + 1), 0.0), (5, 2, at(5 * day + 2), 0.0)]])
+    assert rows(jobs.interaction_gaps(s, idle_seconds=3 * 86_400), "event_id", "time_since_last") == [(1, None), (2, None), (3, 428_400.0), (4, None), (5, 7200.0)]
+
+
+def test_gaps_go_on_and_hold_a_busy_user(spark):
+    """One user has nearly all rows of a batch: the window is cut into chunks, nothing is gathered in Python."""
+    folder, path, state = (scratch_path(spark, n) for n in ("busy", "busy-out", "busy-state"))
+    kind = "event_id bigint, user_id bigint, ts timestamp, value double"
+
+    def put(low, high):
+        second = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+        part = spark.range(low, high).select(F.col("id").alias("event_id"), F.when(F.col("id") % 1000 == 7, 2).otherwise(1).cast("long").alias("user_id"), second.alias("ts"), F.lit(0.0).alias("value"))
+        part.write.mode("append").parquet(folder)
+
+    for low, high in ((0, 200_000), (200_000, 1_200_000)):
+        put(low, high)
+        stream = spark.readStream.schema(kind).parquet(folder)
+        out = jobs.interaction_gaps(stream, path=path, state=state, max_rows=100_000)
+    assert out.count() == 1_200_000
+    counts = {(r["user_id"], r["time_since_last"]): r["count"] for r in out.groupBy("user_id", "time_since_last").count().collect()}
+    assert counts == {(1, None): 1, (1, 1.0): 1_200_000 - 1200 - 1201, (1, 2.0): 1200, (2, None): 1, (2, 1000.0): 1199}
