@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.functions.values import unit
 from shelfspark.operators import skew
+from shelfspark.runtime import cut_lineage
 
 TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
@@ -95,9 +96,45 @@ def split_exact(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int
 # --- encodings ----------------------------------------------------------------
 
 
-def categories(df: DataFrame, col: str) -> list:
-    """Sorted distinct values for a wide encoding, which has a column for each; :func:`onehot_long` has no such width."""
-    return sorted(r["v"] for r in df.select(F.col(col).alias("v")).filter("v is not null").distinct().collect())
+#: A wide encoding has a column for each class, at most so many.
+MOST_COLUMNS = 1000
+
+
+def categories(df: DataFrame, col: str, most: int = MOST_COLUMNS) -> list:
+    """Sorted distinct values for a wide encoding; more than ``most`` are an error, as the sparse encodings have no width."""
+    found = df.select(F.col(col).alias("v")).filter("v is not null").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} classes: use onehot_sparse or multilabel_sparse")
+    return sorted(r["v"] for r in found)
+
+
+def fit_index(train: DataFrame, col: str) -> DataFrame:
+    """(col, idx): sorted distinct values of a column, or of the elements of an array column, numbered from 0; a table of any size."""
+    values = F.explode(col) if dict(train.dtypes)[col].startswith("array") else F.col(col)
+    return cut_lineage(skew.dense_index(train.select(values.alias(col)), col), "index")
+
+
+def _sparse(index: DataFrame, places: Column, out: str) -> Column:
+    """A sparse vector as Spark ML stores it: size, ascending indices, values."""
+    size = index.agg(F.count(F.lit(1)).cast("int")).scalar()
+    return F.struct(size.alias("size"), places.alias("indices"), F.transform(places, lambda _: F.lit(1.0)).alias("values")).alias(out)
+
+
+def onehot_sparse(df: DataFrame, col: str, index: DataFrame) -> DataFrame:
+    """The column as a sparse 0/1 vector by its index; a null or unknown value gives an empty one."""
+    found = df.join(index.withColumnRenamed("idx", "_idx"), col, "left")
+    places = F.when(F.col("_idx").isNull(), F.array().cast("array<int>")).otherwise(F.array(F.col("_idx").cast("int")))
+    return found.select(*[_sparse(index, places, c) if c == col else F.col(c) for c in df.columns])
+
+
+def multilabel_sparse(df: DataFrame, key: str, col: str, index: DataFrame) -> DataFrame:
+    """The array column as a sparse 0/1 vector by its index; ``key`` is unique. Unknown classes are left out."""
+    each = df.select(key, F.explode(F.array_distinct(col)).alias(col)).join(index, col)
+    # a list holds one number for each element of the row's array
+    lists = each.groupBy(key).agg(F.array_sort(F.collect_list(F.col("idx").cast("int"))).alias("_places"))
+    found = df.join(lists, key, "left")
+    places = F.coalesce("_places", F.array().cast("array<int>"))
+    return found.select(*[_sparse(index, places, c) if c == col else F.col(c) for c in df.columns])
 
 
 def fit_labels(train: DataFrame, col: str) -> DataFrame:
@@ -144,8 +181,8 @@ def class_columns(col: str, classes: list) -> dict:
     return names
 
 
-def array_classes(df: DataFrame, col: str) -> list:
-    return categories(df.select(F.explode(col).alias(col)), col)
+def array_classes(df: DataFrame, col: str, most: int = MOST_COLUMNS) -> list:
+    return categories(df.select(F.explode(col).alias(col)), col, most)
 
 
 # --- scaling ------------------------------------------------------------------

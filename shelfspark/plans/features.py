@@ -20,18 +20,20 @@ def rating_features(ratings: DataFrame) -> DataFrame:
     return gapped.select("user_id", "item_id", F.col("timestamp").alias("event_timestamp"), *RATING_VIEW)
 
 
-def user_features(users: DataFrame, categorical: list[str], fitted: dict[str, list] | None = None) -> DataFrame:
-    """Users with one-hot columns per category; categories are fitted on the users unless given."""
-    known = fitted or {c: features.categories(users, c) for c in categorical}
-    return features.onehot_encode(users, categorical, known)
+def user_features(users: DataFrame, classes: dict[str, list]) -> DataFrame:
+    """Users with one-hot columns for the given classes of each categorical column."""
+    return features.onehot_encode(users, list(classes), classes)
 
 
 def item_features(
-    items: DataFrame, multilabel: str, date_col: str, text_col: str, key: str, max_features: int = 1000
+    items: DataFrame, multilabel: str, date_col: str, text_col: str, key: str, max_features: int = 1000, classes: list | None = None
 ) -> DataFrame:
-    """Items with 0/1 genre columns, date parts and a dense TF-IDF array of the title."""
-    classes = features.array_classes(items, multilabel)
-    wide = features.time_features(features.multilabel_encode(items, multilabel, classes), [date_col], drop_original=False)
+    """Items with 0/1 columns for the given genres, or all genres as a sparse vector, date parts and a dense TF-IDF array of the title."""
+    if classes is None:
+        encoded = features.multilabel_sparse(items, key, multilabel, features.fit_index(items, multilabel))
+    else:
+        encoded = features.multilabel_encode(items, multilabel, classes)
+    wide = features.time_features(encoded, [date_col], drop_original=False)
     fitted = features.fit_tfidf(items, key, text_col, max_features)
     width = fitted.count()  # at most max_features
     vectors = features.dense_rows(features.tfidf(items, key, text_col, fitted), key, width)

@@ -74,9 +74,17 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 @query("onehot_encode", "SELECT p_partkey, " + ", ".join(f"CASE WHEN p_type = '{t}' AND p_partkey % 11 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"p_type_{t}\"" for t in TYPES) + " FROM part")
 def onehot_encode(spark, d):
     part = tables.table(spark, d, "part").select("p_partkey", "p_type")
-    fitted = {"p_type": op.categories(part, "p_type")}
     unseen = part.withColumn("p_type", F.when(F.col("p_partkey") % 11 == 0, "UNSEEN").otherwise(F.col("p_type")))
-    return op.onehot_encode(unseen, ["p_type"], fitted)
+    return op.onehot_encode(unseen, ["p_type"], {"p_type": TYPES})
+
+
+@query("onehot_sparse", """
+WITH idx AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i FROM (SELECT DISTINCT p_brand FROM part))
+SELECT p_partkey, CAST((SELECT count(*) FROM idx) AS INTEGER) AS size, CAST(i AS INTEGER) AS place, 1.0::DOUBLE AS value FROM part JOIN idx USING (p_brand)""")
+def onehot_sparse(spark, d):
+    part = tables.table(spark, d, "part").select("p_partkey", "p_brand")
+    coded = op.onehot_sparse(part, "p_brand", op.fit_index(part, "p_brand"))
+    return coded.select("p_partkey", "p_brand.size", F.col("p_brand.indices")[0].alias("place"), F.col("p_brand.values")[0].alias("value"))
 
 
 @query("onehot_long", """
@@ -90,12 +98,12 @@ def onehot_long(spark, d):
 SELECT mal_id, g AS class, 1 AS flag FROM (SELECT mal_id, unnest(genres) AS g FROM cat)"""))
 def multilabel_encode(spark, d):
     rows = cat_lean(spark, d).select("mal_id", "genres")
-    classes = op.array_classes(rows, "genres")
-    wide = op.multilabel_encode(rows, "genres", classes)
-    # back to long form so that the result has fixed columns
-    names = op.class_columns("genres", classes)
-    pairs = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"`{names[c]}`").alias("flag")) for c in classes])
-    return wide.select("mal_id", F.explode(pairs).alias("p")).select("mal_id", "p.*").filter("flag = 1")
+    index = op.fit_index(rows, "genres")
+    coded = op.multilabel_sparse(rows, "mal_id", "genres", index)
+    # the places of each vector back to their classes
+    each = coded.select("mal_id", F.explode(F.arrays_zip("genres.indices", "genres.values")).alias("p"))
+    each = each.select("mal_id", F.col("p.indices").cast("long").alias("idx"), F.col("p.values").cast("int").alias("flag"))
+    return each.join(index, "idx").select("mal_id", F.col("genres").alias("class"), "flag")
 
 
 @query("scale_standard", """
@@ -184,7 +192,7 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 @query("user_feature_view", "SELECT c_custkey AS user_id, c_acctbal, " + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"c_mktsegment_{s}\"" for s in SEGMENTS) + " FROM customer")
 def user_feature_view(spark, d):
     users = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal", "c_mktsegment")
-    return plan.user_features(users, ["c_mktsegment"])
+    return plan.user_features(users, {"c_mktsegment": SEGMENTS})
 
 
 @query("movie_feature_view")

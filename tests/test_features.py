@@ -132,9 +132,11 @@ def test_views(spark):
     a, b = plan.rating_features(ratings).orderBy("item_id").collect()
     assert a.time_since_last is None and b.time_since_last == 86400.0 and a.timestamp_is_weekend == 1
     items = spark.createDataFrame([(1, ["A"], datetime(2026, 1, 3), "red ring"), (2, ["B"], None, "red")], "id int, g array<string>, d timestamp_ntz, t string")
-    out = plan.item_features(items, "g", "d", "t", "id")
+    out = plan.item_features(items, "g", "d", "t", "id", classes=["A"])
     got = {r.id: r for r in out.collect()}
     assert got[1].g_A == 1 and got[2].g_A == 0 and got[2].d_year is None and len(got[1].t_tfidf) == 2
+    sparse = {r.id: r.g for r in plan.item_features(items, "g", "d", "t", "id").collect()}
+    assert sparse[1].size == 2 and sparse[1].indices == [0] and sparse[2].indices == [1] and sparse[2]["values"] == [1.0]
 
 
 def test_asof_ties_do_not_depend_on_the_plan(spark):
@@ -150,6 +152,25 @@ def test_asof_ties_do_not_depend_on_the_plan(spark):
 
 
 def test_many_categories(spark):
-    df = spark.range(5001).select(F.concat(F.lit("c"), "id").alias("c"), F.array(F.concat(F.lit("c"), "id")).alias("a"))
-    assert len(op.categories(df, "c")) == 5001 and len(op.array_classes(df, "a")) == 5001
-    assert op.onehot_long(df.withColumn("k", F.lit(1)), "k", ["c"]).count() == 5001
+    """Classes without number go through an index join; a wide encoding of them is refused."""
+    df = spark.range(1_000_000).select("id", F.concat(F.lit("c"), "id").alias("c"))
+    with pytest.raises(ValueError, match="onehot_sparse"):
+        op.categories(df, "c")
+    with pytest.raises(ValueError):
+        op.array_classes(df.select(F.array("c").alias("a")), "a")
+    coded = op.onehot_sparse(df, "c", op.fit_index(df, "c"))
+    assert coded.agg(F.count_distinct(F.col("c.indices")[0])).first()[0] == 1_000_000
+    assert coded.filter("c.size = 1000000 and size(c.indices) = 1 and c.values[0] = 1.0").count() == 1_000_000
+    assert op.onehot_long(df, "id", ["c"]).count() == 1_000_000
+
+
+def test_sparse_equals_dense(spark):
+    train = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["z", "x", "x"]), (3, "a", []), (4, None, None)], "k int, c string, g array<string>")
+    asked = train.union(spark.createDataFrame([(5, "new", ["w", "y"])], train.schema))
+    classes, labels = op.categories(train, "c"), op.array_classes(train, "g")
+    wide = {r.k: r for r in op.multilabel_encode(op.onehot_encode(asked, ["c"], {"c": classes}), "g", labels).collect()}
+    sparse = op.multilabel_sparse(op.onehot_sparse(asked, "c", op.fit_index(train, "c")), "k", "g", op.fit_index(train, "g"))
+    for r in sparse.collect():
+        assert r.c.size == len(classes) and r.g.size == len(labels)
+        assert [float(i in r.c.indices) for i in range(r.c.size)] == [wide[r.k][f"c_{v}"] for v in classes]
+        assert [int(i in r.g.indices) for i in range(r.g.size)] == [wide[r.k][f"g_{v}"] or 0 for v in labels]
