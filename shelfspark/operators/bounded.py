@@ -1,16 +1,18 @@
 """Exact top k by inner product, with blocks of items left out by their bounds.
 
-Items are put in order of their leading dims, then of falling norm, and cut into
-blocks, so that items with equal or similar vectors stand together. Of a block only
-the largest and smallest weight of each dim, its largest norm and its smallest id are
-kept. These give an upper bound for every query. A query first meets the blocks with
-the highest bounds, as many as can fill its list; the k-th of what it finds there
-is its threshold. Then it meets only those other blocks whose bound exceeds the
-threshold, or equals it with a smaller id. What is left out cannot be in the list,
-so the result is that of a full scan.
+Items with equal vectors have equal scores, so they are one *run*: the vector and
+the sorted ids, cut into several runs when there are many. Runs are put in order
+of their leading dims, then of falling norm, and cut into blocks, so that similar
+vectors stand together. Of a block only the largest and smallest weight of each
+dim, its largest norm and its smallest id are kept. These give an upper bound for every
+query. A query first meets the blocks with the highest bounds, as many as can fill
+its list; the k-th of what it finds there is its threshold. Then it meets only those
+other blocks whose bound exceeds the threshold, or equals it with a smaller id. What
+is left out cannot be in the list, so the result is that of a full scan. With
+``FEW_BLOCKS`` or fewer, every query meets all of them at once.
 
 Both the bounds and the scores are computed in cells of a grid (queries by blocks
-of bounds, queries of one block by its items), in numpy inside a task. A block that
+of bounds, queries of one block by its runs), in numpy inside a task. A block that
 many queries want is dealt to several cells by the hash of the query.
 """
 
@@ -22,8 +24,12 @@ from shelfspark.operators import skew
 from shelfspark.operators.blocks import CELL, DIGITS, _dense, _entries, _parallelism, _renewed, block_of, cell_tasks
 from shelfspark.runtime import block_count, cut_lineage
 
-#: Items of a block.
-BLOCK_ITEMS = 512
+#: Items of a run.
+RUN = 4096
+#: Runs of a block.
+BLOCK_RUNS = 512
+#: So many blocks are not worth a bound.
+FEW_BLOCKS = 4
 #: Queries of a cell.
 CELL_QUERIES = 2048
 
@@ -44,22 +50,31 @@ def _frame(pd, names, columns):
     return pd.DataFrame({n: pd.Series(c, dtype=object if isinstance(c, list) and c and isinstance(c[0], str) else None) for n, c in zip(names, kept)})
 
 
-def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(id, dims, weights, norm, block): similar vectors side by side, in each group by falling norm, equal vectors by id."""
-    lead = F.transform(F.array_sort(F.transform(F.arrays_zip("dims", "weights"), lambda e: F.struct((-F.abs(e["weights"])).alias("w"), e["dims"].alias("d")))), lambda e: e["d"])
-    keyed = cut_lineage(items.select("id", "dims", "weights", _norm().alias("norm"), lead.alias("lead")), "items")
-    order = keyed.select(F.struct("lead", (-F.col("norm")).alias("s"), "id").alias("o"))
-    placed = skew.dense_index(order, "o", "place").select("o.id", F.floor(F.col("place") / block_items).alias("block"))
-    return cut_lineage(keyed.drop("lead").join(placed, "id"), "blocks")
+def run_blocks(items: DataFrame, block_runs: int = BLOCK_RUNS, run: int = RUN) -> DataFrame:
+    """(block, first, n, ids, dims, weights, norm): runs of equal vectors, similar ones side by side, in each group by falling norm."""
+    entries = F.array_sort(F.transform(F.arrays_zip("dims", "weights"), lambda e: F.struct(e["dims"].alias("d"), e["weights"].alias("w"))))
+    keyed = items.select("id", entries.alias("v"))
+    parts = keyed.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / run).alias("parts"))
+    pieces = keyed.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # about ``run`` ids in each list
+    runs = pieces.groupBy("v", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    lead = F.transform(F.array_sort(F.transform("v", lambda e: F.struct((-F.abs(e["w"])).alias("w"), e["d"].alias("d")))), lambda e: e["d"])
+    runs = runs.select(
+        F.col("ids")[0].alias("first"), F.size("ids").cast("long").alias("n"), "ids", F.col("v.d").alias("dims"), F.col("v.w").alias("weights"), lead.alias("lead")
+    )
+    runs = cut_lineage(runs.withColumn("norm", _norm()), "runs")
+    placed = skew.dense_index(runs.select(F.struct("lead", (-F.col("norm")).alias("s"), "first").alias("o")), "o", "place")
+    placed = placed.select(F.col("o.first").alias("first"), F.floor(F.col("place") / block_runs).alias("block"))
+    return cut_lineage(runs.drop("lead").join(placed, "first"), "blocks")
 
 
 def block_bounds(blocks: DataFrame) -> DataFrame:
     """(block, n, first, norm, dims, hi, lo): largest and smallest weight of each dim that occurs in the block."""
-    whole = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("norm").alias("norm"))
+    whole = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("norm").alias("norm"))
     each = blocks.select("block", F.explode(F.arrays_zip("dims", "weights")).alias("e")).groupBy("block", F.col("e.dims").alias("dim"))
-    spans = each.agg(F.max("e.weights").alias("hi"), F.min("e.weights").alias("lo"), F.count(F.lit(1)).alias("c")).join(whole.select("block", "n"), "block")
-    # an item without the dim has 0 there
-    some = F.col("c") < F.col("n")
+    spans = each.agg(F.max("e.weights").alias("hi"), F.min("e.weights").alias("lo"), F.count(F.lit(1)).alias("c")).join(whole.select("block", "runs"), "block")
+    # a run without the dim has 0 there
+    some = F.col("c") < F.col("runs")
     spans = spans.select(
         "block", "dim", F.when(some, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"),
         F.when(some, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"),
@@ -134,16 +149,19 @@ def _wanted(queries: DataFrame, bounds: DataFrame, dims: int, again: bool, spans
 
 def _scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, exclude: DataFrame | None, k: int, exclude_self: bool, cut: bool) -> DataFrame:
     """(query, items, scores, lo, hi): the best k of each (query, block); with ``cut`` only what comes before the threshold."""
-    kind_q, kind_i = dict(queries.dtypes)["id"], dict(blocks.dtypes)["id"]
-    parts = cut_lineage(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("parts")), "parts")
+    kind_q, kind_i = dict(queries.dtypes)["id"], dict(blocks.dtypes)["first"]
+    spread = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_QUERIES), F.least(F.lit(_parallelism(queries)), F.ceil(F.count(F.lit(1)) / 64)))
+    parts = cut_lineage(pairs.groupBy("block").agg(spread.cast("int").alias("parts")), "parts")
     asked = pairs.select("query", "block").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
-    vectors = queries.select(F.col("id").alias("query"), "dims", "weights", *([F.col("tau"), F.col("tau_id")] if cut else []))
-    left = asked.join(vectors, "query").withColumn("skip", F.lit("0").cast(kind_i)).withColumn("ask", F.lit(True))
+    vectors = queries.select(F.col("id").alias("query"), "dims", "weights", *([F.col("tau")] if cut else []))
+    left = asked.join(vectors, "query")
     if exclude is not None:
         names = exclude.columns
-        there = exclude.select(F.col(names[0]).alias("query"), F.col(names[1]).alias("skip")).join(blocks.select(F.col("id").alias("skip"), "block"), "skip")
-        gone = there.join(asked, ["query", "block"]).withColumn("ask", F.lit(False))
-        left = left.unionByName(gone, allowMissingColumns=True)
+        there = exclude.select(F.col(names[0]).alias("query"), F.col(names[1]).alias("skip")).join(blocks.select(F.explode("ids").alias("skip"), "block"), "skip")
+        # one row for each (query, block): a list is never longer than the block
+        left = left.join(there.groupBy("query", "block").agg(F.collect_list("skip").alias("hide")), ["query", "block"], "left")
+    else:
+        left = left.withColumn("hide", F.lit(None).cast(f"array<{kind_i}>"))
     right = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def score(key, lpdf, rpdf):
@@ -151,40 +169,45 @@ def _scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, exclude: Da
         import pandas as pd
 
         names = ["query", "items", "scores", "lo", "hi"]
-        asks, skips = lpdf[lpdf["ask"]], lpdf[~lpdf["ask"]]
-        if not len(asks) or not len(rpdf):
+        if not len(lpdf) or not len(rpdf):
             return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-        rpdf = rpdf.sort_values("id")
-        qid, iid = asks["query"].to_numpy(), rpdf["id"].to_numpy()
+        rpdf = rpdf.sort_values("first")
+        qid, ids, many = lpdf["query"].to_numpy(), list(rpdf["ids"]), rpdf["n"].to_numpy()
         r_at, r_dim, r_val = _entries(np, rpdf)
-        q_at, q_dim, q_val = _entries(np, asks)
+        q_at, q_dim, q_val = _entries(np, lpdf)
         dims = np.unique(r_dim)
-        right = _dense(np, r_at, r_dim, r_val, len(iid), dims).T if len(dims) else np.zeros((0, len(iid)))
-        row_of = {q: n for n, q in enumerate(qid)}
-        hidden_q = np.array([row_of.get(q, -1) for q in skips["query"]], dtype=int)
-        hidden_i = np.searchsorted(iid, skips["skip"].to_numpy(dtype=iid.dtype)) if len(skips) else np.zeros(0, dtype=int)
+        right = _dense(np, r_at, r_dim, r_val, len(ids), dims).T if len(dims) else np.zeros((0, len(ids)))
+        hidden = list(lpdf["hide"])
+        taus = lpdf["tau"].to_numpy(dtype=float) if cut else np.full(len(qid), np.nan)
         out = []
-        step = max(1, CELL // (len(dims) + 4 * len(iid)))
+        step = max(1, CELL // (len(dims) + 4 * len(ids)))
         for at in range(0, len(qid), step):
             end = min(len(qid), at + step)
             m = (q_at >= at) & (q_at < end)
             s = (_dense(np, q_at[m] - at, q_dim[m], q_val[m], end - at, dims) if len(dims) else np.zeros((end - at, 0))) @ right
             ranked = np.round(s, DIGITS)
+            order = np.argsort(-ranked, axis=1, kind="stable")
+            upto = np.cumsum(many[order], axis=1)
             low, high = s.min(axis=1), s.max(axis=1)
-            here = (hidden_q >= at) & (hidden_q < end)
-            ranked[hidden_q[here] - at, hidden_i[here]] = -np.inf
-            if exclude_self:
-                ranked[qid[at:end, None] == iid[None, :]] = -np.inf
-            if cut:
-                tau = asks["tau"].to_numpy(dtype=float)[at:end]
-                ranked[ranked < np.where(np.isnan(tau), -np.inf, tau)[:, None]] = -np.inf
-            order = np.argsort(-ranked, axis=1, kind="stable")[:, :k]  # items are in id order
-            many = np.take_along_axis(ranked, order, 1) > -np.inf
-            best = np.take_along_axis(s, order, 1)
-            picked = [iid[order[n][many[n]]] for n in range(end - at)]
-            if iid.dtype == object:
-                picked = [p.tolist() for p in picked]
-            out += [(qid[at + n], picked[n], best[n][many[n]], low[n], high[n]) for n in range(end - at)]
+            for n in range(end - at):
+                q = qid[at + n]
+                gone = hidden[at + n] if hidden[at + n] is not None else ()
+                # runs that fill the list, and all that tie with the last of them
+                last = min(int(np.searchsorted(upto[n], k + len(gone) + exclude_self)), len(ids) - 1)
+                limit = max(ranked[n, order[n, last]], taus[at + n]) if cut and taus[at + n] == taus[at + n] else ranked[n, order[n, last]]
+                used = order[n, : int(np.searchsorted(-ranked[n, order[n]], -limit, side="right"))]
+                if not len(used):
+                    out.append((q, [], [], low[n], high[n]))
+                    continue
+                who = np.concatenate([ids[r] for r in used])
+                of = np.repeat(used, many[used])
+                free = ~np.isin(who, gone) if len(gone) else np.ones(len(who), bool)
+                if exclude_self:
+                    free &= who != q
+                who, of = who[free], of[free]
+                best = np.lexsort((who, -ranked[n, of]))[:k]
+                picked = who[best]
+                out.append((q, picked.tolist() if picked.dtype == object else picked, s[n, of[best]], low[n], high[n]))
         return _frame(pd, names, zip(*out))
 
     n_cells = max(1, min(parts.agg(F.sum("parts")).first()[0] or 1, 4 * _parallelism(queries)))
@@ -201,7 +224,7 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
 
 def top(
     queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", exclude: DataFrame | None = None, exclude_self: bool = False,
-    spans: bool = False, block_items: int = BLOCK_ITEMS, counters: dict | None = None,
+    spans: bool = False, block_runs: int = BLOCK_RUNS, run: int = RUN, counters: dict | None = None,
 ) -> DataFrame:
     """(query, item, score, rank): the k best items per query, ties by id.
 
@@ -212,25 +235,41 @@ def top(
     """
     if metric == "cosine":
         queries, items = units(queries), units(items)
-    blocks = item_blocks(items, block_items)
+    blocks = run_blocks(items, block_runs, run)
     bounds = block_bounds(blocks)
-    dims = blocks.agg(F.max(F.array_max("dims"))).first()[0] or 0
-    hidden = F.lit(int(exclude_self))
+    n_blocks = bounds.count()
     asked = queries.select("id", "dims", "weights")
     if exclude is not None:
         exclude = cut_lineage(exclude.distinct(), "exclude")
+    kept = ["lo", "hi"] if spans else []
+
+    def listed(parts: DataFrame) -> DataFrame:
+        if n_blocks == 1:  # a list of one block is in order
+            rows = parts.select("query", F.posexplode(F.arrays_zip("items", "scores")).alias("p", "b"), *kept)
+            return rows.select("query", F.col("b.items").alias("item"), F.col("b.scores").alias("score"), (F.col("p") + 1).alias("rank"), *kept)
+        rows = _merged(parts, k).select("query", F.posexplode("best").alias("p", "b"), *kept)
+        return rows.select("query", F.col("b.item").alias("item"), F.col("b.score").alias("score"), (F.col("p") + 1).alias("rank"), *kept)
+
+    if n_blocks <= FEW_BLOCKS:
+        asked = cut_lineage(asked, "queries")
+        every = asked.select(F.col("id").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_blocks, 1) - 1).cast("long"))).alias("block"))
+        if counters is not None:
+            counters.update(pairs=asked.count() * n_blocks, scored=asked.count() * n_blocks)
+        return listed(_scored(every, asked, blocks, exclude, k, exclude_self, False))
+
+    dims = blocks.agg(F.max(F.array_max("dims"))).first()[0] or 0
+    need = F.lit(k + int(exclude_self))
+    if exclude is not None:
         n = exclude.groupBy(F.col(exclude.columns[0]).alias("id")).agg(F.count(F.lit(1)).alias("h"))
-        asked = asked.join(n, "id", "left").withColumn("need", F.lit(k) + hidden + F.coalesce("h", F.lit(0))).drop("h")
+        asked = asked.join(n, "id", "left").withColumn("need", need + F.coalesce("h", F.lit(0))).drop("h")
     else:
-        asked = asked.withColumn("need", F.lit(k) + hidden)
+        asked = asked.withColumn("need", need)
     asked = cut_lineage(asked, "queries")
-
     found = _wanted(asked, bounds, dims, False, spans)
     if not spans:
         # cells saw only some of the bounds: of all, again those that hold enough items
         w = W.partitionBy("query").orderBy(F.desc("ub"), "block").rowsBetween(W.unboundedPreceding, -1)
-        need = asked.select(F.col("id").alias("query"), "need")
-        found = found.join(need, "query").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("before < need")
+        found = found.join(asked.select(F.col("id").alias("query"), "need"), "query").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("before < need")
     first = cut_lineage(found.select("query", "block"), "first")
     parts = cut_lineage(_scored(first, asked, blocks, exclude, k, exclude_self, False), "scored")
     last = F.try_element_at("best", F.lit(k))
@@ -239,9 +278,7 @@ def top(
     more = _wanted(asked, bounds, dims, True, spans).select("query", "block").join(first, ["query", "block"], "left_anti")
     more = cut_lineage(more, "more")
     if counters is not None:
-        counters.update(pairs=asked.count() * bounds.count(), scored=first.count() + more.count())
+        counters.update(pairs=asked.count() * n_blocks, scored=first.count() + more.count())
     if not more.isEmpty():
         parts = parts.unionByName(_scored(more, asked, blocks, exclude, k, exclude_self, True))
-    kept = ["lo", "hi"] if spans else []
-    listed = _merged(parts, k).select("query", F.posexplode("best").alias("p", "b"), *kept)
-    return listed.select("query", F.col("b.item").alias("item"), F.col("b.score").alias("score"), (F.col("p") + 1).alias("rank"), *kept)
+    return listed(parts)

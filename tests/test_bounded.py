@@ -43,12 +43,13 @@ def scan(queries, items, k, cosine, skip=(), own=False):
 
 @pytest.mark.parametrize("cosine", [True, False])
 @pytest.mark.parametrize("signed", [True, False])
-def test_equals_scan(spark, cosine, signed):
+@pytest.mark.parametrize("few", [4, 500])
+def test_equals_scan(spark, cosine, signed, few):
     queries, items = vectors(30, 1, signed=signed), vectors(200, 2, signed=signed, patterns=40)
     skip = {(q, i) for q in range(0, 30, 2) for i in range(0, 200, 3)}
     df_q, df_i = spark.createDataFrame(queries, KIND), spark.createDataFrame(items, KIND)
     gone = spark.createDataFrame(sorted(skip), "q long, i long")
-    got = bounded.top(df_q, df_i, 12, "cosine" if cosine else "dot", gone, spans=True, block_items=8)
+    got = bounded.top(df_q, df_i, 12, "cosine" if cosine else "dot", gone, spans=True, block_runs=few, run=5)
     lists = {}
     for r in sorted(got.collect(), key=lambda r: (r["query"], r["rank"])):
         lists.setdefault(r["query"], []).append(r)
@@ -61,22 +62,22 @@ def test_equals_scan(spark, cosine, signed):
 
 def test_blocks_skipped(spark):
     """Most blocks are never scored where vectors differ in their dims, and more than k items are never missed."""
-    queries, items = vectors(60, 3, patterns=60), vectors(1500, 4, patterns=60)
+    queries, items = vectors(60, 3, patterns=60), vectors(1500, 4, patterns=200)
     counters = {}
-    got = bounded.top(spark.createDataFrame(queries, KIND), spark.createDataFrame(items, KIND), 10, block_items=16, counters=counters)
+    got = bounded.top(spark.createDataFrame(queries, KIND), spark.createDataFrame(items, KIND), 10, block_runs=8, counters=counters)
     wanted = scan(queries, items, 10, True)
     found = {}
     for r in sorted(got.collect(), key=lambda r: (r["query"], r["rank"])):
         found.setdefault(r["query"], []).append(r["item"])
     assert found == {q: w[0] for q, w in wanted.items()}
-    assert counters["pairs"] == 60 * 94 and counters["scored"] < counters["pairs"] / 4
+    assert counters["pairs"] >= 60 * 15 and counters["scored"] < counters["pairs"] / 4
 
 
 @pytest.mark.parametrize("k", [1, 50, 400])
 def test_self_and_short_lists(spark, k):
     rows = vectors(70, 5)
     df = spark.createDataFrame(rows, KIND)
-    got = bounded.top(df, df, k, exclude_self=True, block_items=10)
+    got = bounded.top(df, df, k, exclude_self=True, block_runs=6)
     found = {}
     for r in sorted(got.collect(), key=lambda r: (r["query"], r["rank"])):
         found.setdefault(r["query"], []).append(r["item"])
@@ -87,7 +88,7 @@ def test_text_ids_and_nothing(spark):
     kind = KIND.replace("id long", "id string")
     items = spark.createDataFrame([(f"i{n}", [n % 3], [1.0]) for n in range(30)], kind)
     queries = spark.createDataFrame([("a", [0], [1.0]), ("b", [7], [1.0])], kind)
-    got = {(r["query"], r["rank"]): r["item"] for r in bounded.top(queries, items, 2, block_items=4).collect()}
+    got = {(r["query"], r["rank"]): r["item"] for r in bounded.top(queries, items, 2, block_runs=1).collect()}
     assert got == {("a", 1): "i0", ("a", 2): "i12", ("b", 1): "i0", ("b", 2): "i1"}
     assert bounded.top(queries.limit(0), items, 2).count() == 0
     assert bounded.top(queries, items.limit(0), 2).count() == 0
