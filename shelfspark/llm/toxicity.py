@@ -62,6 +62,8 @@ _OPEN, _CLOSE = "\x02", "\x03"
 #: Longer words are read in pieces that overlap by a window; cells of a block of words.
 _PIECE = 4096
 _CELLS = 1 << 16
+#: Characters of the texts whose new words are compared at once.
+_GROUP = 1 << 22
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w[^\w\s]*(?!\S)")
 _OTHER = re.compile(r"[\W_]+")
 _RUN = re.compile(r"(.)\1+", re.S)
@@ -222,6 +224,16 @@ def kernel(a: str, b: str) -> float:
     return float(Landmark(b).near(word[None], len(word))[0])
 
 
+def _groups(some: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts that follow each other, with the place of the first, up to the text that reaches ``_GROUP`` characters."""
+    first = held = 0
+    for at, text in enumerate(some, 1):
+        held += len(text)
+        if held >= _GROUP or at == len(some):
+            yield first, some[first:at]
+            first, held = at, 0
+
+
 class Landmarks:
     """Kernel rows of words against the landmarks."""
 
@@ -261,8 +273,8 @@ class Landmarks:
     def sums(self, some: list[str]) -> np.ndarray:
         """The kernel rows of each text added up, on a logarithmic scale."""
         out = np.zeros((len(some), len(self.chosen)))
-        for at in range(0, len(some), 64):
-            tokens = [words(t) for t in some[at : at + 64]]
+        for at, group in _groups(some):
+            tokens = [words(t) for t in group]
             near = [list(map(self.known.young.get, ts)) for ts in tokens]
             missing = {t for ts, ns in zip(tokens, near, strict=True) if None in ns for t, n in zip(ts, ns, strict=True) if n is None}
             if missing:
