@@ -35,7 +35,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from math import comb
 
 import numpy as np
@@ -51,6 +50,9 @@ CANDIDATES = 600
 LANDMARKS = 64
 DECAY = 0.99
 LEAST = 0.6
+#: What a single letter and a run of the same letter count for each other in the kernel.
+RUNS = 0.8
+RIDGE = 1e-3
 APART = 0.6
 #: A landmark must stand out at least as much, as a share of the word that stands out most.
 STRONG = 0.2
@@ -67,6 +69,7 @@ _GROUP = 1 << 22
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w[^\w\s]*(?!\S)")
 _OTHER = re.compile(r"[\W_]+")
 _RUN = re.compile(r"(.)\1+", re.S)
+_LETTER = re.compile(r"(.)\1*", re.S)
 
 
 def words(text: str) -> list[str]:
@@ -100,6 +103,11 @@ def marked(word: str) -> np.ndarray:
     return numbers([_OPEN + collapsed(word) + _CLOSE])[0]
 
 
+def run_marks(word: str) -> np.ndarray:
+    """For each letter of :func:`collapsed`, between two marks, whether it was a run."""
+    return np.array([False, *(len(m[0]) > 1 for m in _LETTER.finditer(word)), False])
+
+
 def strength(kernel_: float) -> float:
     """What a word counts: 1 for a landmark itself, nothing for a word at the limit."""
     return (kernel_ - LEAST) / (1 - LEAST)
@@ -111,11 +119,16 @@ def _gaps(n: int) -> np.ndarray:
     return np.where(behind > 0, DECAY ** (behind - 1.0), 0).astype(np.float32)
 
 
-def shared(some: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The kernel, not yet scaled, of each row of letters with the row of the same place, or with the only one of ``others``."""
+def shared(some: np.ndarray, others: np.ndarray, some_runs: np.ndarray | None = None, other_runs: np.ndarray | None = None) -> np.ndarray:
+    """The kernel, not yet scaled, of each row of letters with the row of the same place, or with the only one of ``others``.
+
+    With runs (whether a letter stands once or more) a letter counts ``RUNS`` for a run of it.
+    """
     rows, n = some.shape
     m = others.shape[1]
     same = ((some.T[:, :, None] == others[None]) & (some.T > 0)[:, :, None]).astype(np.float32) * np.float32(DECAY**2)
+    if some_runs is not None:
+        same *= np.where(some_runs.T[:, :, None] == other_runs[None], np.float32(1), np.float32(RUNS))
     left, right, found = _gaps(n), _gaps(m).T, same
     for _ in range(2):
         found = (left @ found.reshape(n, rows * m)).reshape(n * rows, m) @ right
@@ -123,9 +136,9 @@ def shared(some: np.ndarray, others: np.ndarray) -> np.ndarray:
     return found.sum(axis=(0, 2), dtype=np.float64)
 
 
-def own_shared(some: np.ndarray) -> np.ndarray:
+def own_shared(some: np.ndarray, runs: np.ndarray | None = None) -> np.ndarray:
     """The kernel of each row with itself, not yet scaled."""
-    return shared(some, some)
+    return shared(some, some, runs, runs)
 
 
 @cache
@@ -161,21 +174,26 @@ def _slides(some: np.ndarray, width: int) -> np.ndarray:
 
 class Landmark:
     def __init__(self, word: str) -> None:
-        self.letters = marked(word)[None]
+        self.letters, self.runs = marked(word)[None], run_marks(word)[None]
         self.size = self.letters.shape[1] - 2
         # of a word with a letter behind each, and marks; between two equal letters too
         self.whole = 2 * max(self.size, len(word)) + 3
-        self.own = own_shared(self.letters)[0]
+        self.own, self.norm = own_shared(self.letters)[0], own_shared(self.letters, self.runs)[0] ** 0.5
         self.inner = own_shared(self.letters[:, 1:-1])[0]
         self.start, self.end = own_shared(self.letters[:, :-1])[0], own_shared(self.letters[:, 1:])[0]
         self.has = _has(self.letters)[0]
         # a word with fewer of its letters has too few of its subsequences to reach LEAST
         self.need = -(-2 * int(self.has).bit_count() // 3)
 
-    def near(self, some: np.ndarray, size: int, has: np.ndarray | None = None) -> np.ndarray:
-        """The kernel with each row: a word of ``size`` letters and marks, or a piece of one."""
+    def near(self, some: np.ndarray, size: int, has: np.ndarray | None = None, where: np.ndarray | None = None) -> np.ndarray:
+        """How close each row is: a word of ``size`` letters and marks, or a piece of one.
+
+        ``where`` takes the start and the end of the part of the row that is so close.
+        """
         has = _has(some) if has is None else has
         out = np.zeros(len(some))
+        if where is not None:
+            where[:] = 0, some.shape[1]
         at = np.flatnonzero(np.bitwise_count(has & self.has) >= self.need)
         if len(at) and size <= self.whole:
             out[at] = self._scaled(some[at], self.own, self.letters[0])
@@ -188,7 +206,12 @@ class Landmark:
                 row, place = np.nonzero(np.bitwise_count(slid & np.uint64(self.has)) >= self.need)
                 for i in range(0, len(row), _CELLS // width):
                     few, there = row[i : i + _CELLS // width], place[i : i + _CELLS // width]
-                    np.maximum.at(out, at[few], self._window(wide[few, there]))
+                    value = self._window(wide[few, there])
+                    for j in np.flatnonzero(value > 0):
+                        if value[j] > out[at[few[j]]]:
+                            out[at[few[j]]] = value[j]
+                            if where is not None:
+                                where[at[few[j]]] = there[j], there[j] + width
         return out
 
     def _window(self, some: np.ndarray) -> np.ndarray:
@@ -212,10 +235,9 @@ class Landmark:
         return out
 
 
-def _pieces(word: str, overlap: int) -> list[str]:
-    if len(word) <= _PIECE + overlap:
-        return [word]
-    return [word[i : i + _PIECE + overlap] for i in range(0, len(word) - overlap, _PIECE)]
+def _pieces(word: str, overlap: int) -> list[tuple[int, str]]:
+    """Pieces of a word with their starts."""
+    return [(i, word[i : i + _PIECE + overlap]) for i in range(0, max(1, len(word) - overlap), _PIECE)]
 
 
 def kernel(a: str, b: str) -> float:
@@ -235,43 +257,66 @@ def _groups(some: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 class Landmarks:
-    """Kernel rows of words against the landmarks."""
+    """Maps of words and texts by their kernel with the landmarks."""
 
     def __init__(self, chosen: list[str]) -> None:
         self.chosen = chosen
         self.marks = [Landmark(w) for w in chosen]
         self.overlap = max((m.whole for m in self.marks), default=0)
-        own = np.array([[shared(a.letters, b.letters)[0] / np.sqrt(a.own * b.own) for b in self.marks] for a in self.marks])
-        values, vectors = np.linalg.eigh(own + 1e-6 * np.eye(len(chosen)))
-        self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+        own = np.array([self._kernels(m.letters, m.runs)[0] for m in self.marks]).reshape(len(chosen), len(chosen))
+        values, vectors = np.linalg.eigh(own + RIDGE * np.eye(len(chosen)))
+        self.root = vectors @ np.diag(values**-0.5) @ vectors.T
         self.known = Memo(REMEMBERED)
 
-    def learn(self, tokens: list[str]) -> dict[str, tuple | int]:
-        """For each token the landmarks that it is close to with the kernel, 0 for none; words of one length at once."""
-        found: dict[str, dict[int, float]] = {}
-        by_size: dict[int, list[tuple[str, int, str]]] = {}
+    def _kernels(self, some: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """The scaled kernel of each row with each landmark."""
+        norm = own_shared(some, runs) ** 0.5
+        return np.column_stack([shared(some, m.letters, runs, m.runs) / (norm * m.norm) for m in self.marks])
+
+    def learn(self, tokens: list[str]) -> dict[str, tuple[float, ...]]:
+        """For each token its part of a text's map, nothing where no landmark is close; words of one length at once."""
+        found: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}  # strength, letters and runs of the closest part
+        by_size: dict[int, list[tuple[str, int, str, int]]] = {}
         for token in tokens:
             word = token if token.isalnum() else letters(token)
             if len(word) >= 3:
                 word = _OPEN + collapsed(word) + _CLOSE
-                for piece in _pieces(word, self.overlap):
-                    by_size.setdefault(len(piece), []).append((token, len(word), piece))
+                for start, piece in _pieces(word, self.overlap):
+                    by_size.setdefault(len(piece), []).append((token, len(word), piece, start))
         for size, parts in by_size.items():
             step = max(1, _CELLS // size)
             for at in range(0, len(parts), step):
                 block = parts[at : at + step]
-                grid = numbers([p for _, _, p in block])
-                whole = max(n for _, n, _ in block)
+                grid = numbers([p for _, _, p, _ in block])
+                whole = max(n for _, n, _, _ in block)
                 has = _has(grid)
-                for k, mark in enumerate(self.marks):
-                    near = mark.near(grid, whole, has)
-                    for i in np.flatnonzero(near >= LEAST).tolist():
-                        best = found.setdefault(block[i][0], {})
-                        best[k] = max(best.get(k, 0.0), float(near[i]))
-        return {token: tuple(found[token].items()) if token in found else 0 for token in tokens}
-
-    def sums(self, some: list[str]) -> np.ndarray:
-        """The kernel rows of each text added up, on a logarithmic scale."""
+                best, place, where = np.zeros(len(block)), np.zeros((len(block), 2), int), np.zeros((len(block), 2), int)
+                for mark in self.marks:
+                    near = mark.near(grid, whole, has, where)
+                    closer = near > best
+                    best[closer], place[closer] = near[closer], where[closer]
+                for i in np.flatnonzero(best >= LEAST).tolist():
+                    token, _, _, start = block[i]
+                    if token not in found or found[token][0] < best[i]:
+                        low, high = place[i].tolist()
+                        found[token] = best[i], grid[i, low:high], run_marks(letters(token))[start + low : start + high]
+        return {**dict.fromkeys(tokens, ()), **self._mapped(found)}
+
+    def _mapped(self, found: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> dict[str, tuple[float, ...]]:
+        """The map of each part, scaled to its strength; parts of one length at once."""
+        by_size: dict[int, list[str]] = {}
+        for token, (_, part, _) in found.items():
+            by_size.setdefault(len(part), []).append(token)
+        out: dict[str, tuple[float, ...]] = {}
+        for some in by_size.values():
+            rows = self._kernels(np.stack([found[t][1] for t in some]), np.stack([found[t][2] for t in some])) @ self.root
+            size = np.maximum(np.linalg.norm(rows, axis=1), 1e-9)
+            rows *= (np.array([strength(found[t][0]) for t in some]) / size)[:, None]
+            out.update(zip(some, map(tuple, rows.tolist()), strict=True))
+        return out
+
+    def maps(self, some: list[str]) -> np.ndarray:
+        """The map of each text: the sum of its words', its length on a logarithmic scale."""
         out = np.zeros((len(some), len(self.chosen)))
         for at, group in _groups(some):
             tokens = [words(t) for t in group]
@@ -284,12 +329,10 @@ class Landmarks:
                     self.known.put(t, n)
             for i, (ts, ns) in enumerate(zip(tokens, near, strict=True), at):
                 hits = [found[t] if n is None else n for t, n in zip(ts, ns, strict=True)] if None in ns else ns
-                for k, value in chain.from_iterable(filter(None, hits)):
-                    out[i, k] += strength(value)
-        return np.log1p(out)
-
-    def mapped(self, rows: np.ndarray) -> np.ndarray:
-        return rows @ self.root
+                for part in filter(None, hits):
+                    out[i] += part
+        size = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return out * (np.log1p(size) / size)
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 300) -> np.ndarray:
@@ -365,21 +408,21 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     if not chosen:
         return rows.select("doc_id", F.lit(float(toxic / n) if n else 0.0).alias("score"))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks = Landmarks(chosen)
         for batch in batches:
-            found = landmarks.sums(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(found.tolist()), batch.column(1)], names=["sums", "toxic"])
+            found = landmarks.maps(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["map", "toxic"])
 
-    table = train.select("text", "toxic").mapInArrow(sums, "sums array<double>, toxic int").collect()  # at most ``sample`` rows
-    x, y = Landmarks(chosen).mapped(np.array([r["sums"] for r in table])), np.array([r["toxic"] for r in table])
+    table = train.select("text", "toxic").mapInArrow(maps, "map array<double>, toxic int").collect()  # at most ``sample`` rows
+    x, y = np.array([r["map"] for r in table]), np.array([r["toxic"] for r in table])
     weights = fit_machine(x, y)
     slope, offset = fit_logistic(x @ weights[:-1] + weights[-1], y)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks = _loaded(tuple(chosen))
         for batch in batches:
-            margin = landmarks.mapped(landmarks.sums(batch.column(1).to_pylist())) @ weights[:-1] + weights[-1]
+            margin = landmarks.maps(batch.column(1).to_pylist()) @ weights[:-1] + weights[-1]
             value = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], names=["doc_id", "score"])
 
