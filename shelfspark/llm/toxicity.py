@@ -1,24 +1,26 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
-The kernel compares two strings by all three-letter subsequences they share, each
-weighted by ``DECAY`` to the power of its span in either string, whatever the span.
-A word is scaled by the cube root of the norm of its length only, and the kernel is 1 for equal
-strings and 1 at most, so a word that holds an insult with a letter put in between all
-its letters is still close, and one that has another letter in place of one is less
-close. Marks at both ends keep parts of words apart from words. A word of more
-than 2m + 1 letters is compared with a landmark of m letters by all its windows
-of m and m + 1 letters, in proportion to what such a window can share.
-What the word shares counts at most as the share of the landmark's subsequences that it
-has, however often it repeats them. A token loses what is neither letter nor
-digit, a run of one letter counts once, and three or more single letters in a row are one word, so
-``s.t.u.p.i.d``, ``s t u p i d`` and ``stuuupid`` are the word.
-
-Landmarks are words that stand in toxic training texts far more often than in
-others, no two of them close. A text is the sum of the kernel rows of its words
-(nothing up to ``LEAST``, 1 for the landmark itself, in proportion between), on a logarithmic scale, mapped by the
-inverse root of the landmarks' own kernel matrix; a linear support vector machine
-on that map is one on the kernel. Its margin becomes a probability by a logistic
-fit. Every text is scored as a whole.
+The kernel compares two words by all three-letter subsequences they share, each
+weighted by ``DECAY`` to the power of its span in either word; it is scaled to 1 for
+equal words. A run of one letter is one letter that counts ``RUNS`` for a single one,
+so ``heel`` and ``hell`` differ; marks at both ends keep parts of words apart from words.
+It is a sum of products of positive definite parts, and the same in the
+rows of a word and in the landmarks' own matrix, whose inverse root maps the rows.
+
+The map of a word is scaled to its strength, a number of the word alone, so the
+kernel of the scaled words is positive definite too. The strength grows with how
+close the word's closest window is to a landmark, from 0 at ``LEAST``. Windows of
+m, m + 1 and 2m + 3 letters and marks are compared with a landmark of m letters, in words of any length
+(2m + 3 hold a letter between any two letters, and both marks). How close a window is: what it shares
+with the part of the landmark that has as many marks, twice, and the cosine, their cube root.
+So ``s.t.u.p.i.d``, ``stuuupid`` and ``sxtxuxpxixd`` are close, inside longer words less so. A token loses what is neither
+letter nor digit; three or more single letters in a row are one word.
+
+Landmarks are words in ``FOUND`` or more toxic texts of the sample that stand in toxic texts far more often
+than in others, no two of them close, and the clean words most frequent among those close to them.
+A text is the sum of the maps of its words, its length on a logarithmic scale; a
+linear support vector machine on it is one on the kernel. Its margin becomes a
+probability by a logistic fit. Every text is scored as a whole.
 
 Landmarks and machine are fitted on at most ``SAMPLE`` labelled texts, half of them
 toxic where there are enough, chosen by the hash of their id.
@@ -54,6 +56,8 @@ LEAST = 0.6
 RUNS = 0.8
 RIDGE = 1e-3
 APART = 0.6
+#: Texts of the sample that a landmark must stand in.
+FOUND = 4
 #: A landmark must stand out at least as much, as a share of the word that stands out most.
 STRONG = 0.2
 REMEMBERED = 400_000
@@ -168,6 +172,16 @@ def _has(some: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1) & np.uint64((1 << _START) - 2)
 
 
+def _joined(bits: np.ndarray, width: int) -> np.ndarray:
+    """The bits of all windows, by doubling."""
+    size, joined = 1, bits
+    while size < width:
+        step = min(size, width - size)
+        joined = joined[:, : joined.shape[1] - step] | joined[:, step:]
+        size += step
+    return joined
+
+
 def _slides(some: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(some, width, axis=1)
 
@@ -195,31 +209,32 @@ class Landmark:
         if where is not None:
             where[:] = 0, some.shape[1]
         at = np.flatnonzero(np.bitwise_count(has & self.has) >= self.need)
-        if len(at) and size <= self.whole:
-            out[at] = self._scaled(some[at], self.own, self.letters[0])
-        elif len(at) and self.size > 2:
-            for width in (self.size, self.size + 1):
-                wide = _slides(some[at], width)
-                bits, slid = np.left_shift(np.uint64(1), some[at].astype(np.uint64)), np.zeros(wide.shape[:2], np.uint64)
-                for k in range(width):
-                    slid |= bits[:, k : k + wide.shape[1]]
-                row, place = np.nonzero(np.bitwise_count(slid & np.uint64(self.has)) >= self.need)
-                for i in range(0, len(row), _CELLS // width):
-                    few, there = row[i : i + _CELLS // width], place[i : i + _CELLS // width]
-                    value = self._window(wide[few, there])
-                    for j in np.flatnonzero(value > 0):
-                        if value[j] > out[at[few[j]]]:
-                            out[at[few[j]]] = value[j]
-                            if where is not None:
-                                where[at[few[j]]] = there[j], there[j] + width
+        if not len(at):
+            return out
+        bits = np.left_shift(np.uint64(1), some[at].astype(np.uint64))
+        for width in sorted({min(some.shape[1], w) for w in (self.size, self.size + 1, self.whole)}):
+            wide = _slides(some[at], width)
+            slid = _joined(bits, width)
+            row, place = np.nonzero(np.bitwise_count(slid & np.uint64(self.has)) >= self.need)
+            for i in range(0, len(row), _CELLS // width):
+                few, there = row[i : i + _CELLS // width], place[i : i + _CELLS // width]
+                value = self._window(wide[few, there])
+                for j in np.flatnonzero(value > out[at[few]]).tolist():
+                    if value[j] > out[at[few[j]]]:
+                        out[at[few[j]]] = value[j]
+                        if where is not None:
+                            where[at[few[j]]] = there[j], there[j] + width
         return out
 
     def _window(self, some: np.ndarray) -> np.ndarray:
-        """The kernel with windows, of which some have a mark at one end."""
+        """How close windows are, of which some have a mark at one end or at both."""
         first, last = some[:, 0] == _START, some[:, -1] == _END
         out = np.zeros(len(some))
-        for some_of, part, most in ((first, slice(0, -1), self.start), (last, slice(1, None), self.end), (~first & ~last, slice(1, -1), self.inner)):
-            if some_of.any():
+        for some_of, part, most in (
+            (first & last, slice(None), self.own), (first & ~last, slice(0, -1), self.start), (last & ~first, slice(1, None), self.end),
+            (~first & ~last, slice(1, -1), self.inner),
+        ):
+            if some_of.any() and most > 0:
                 out[some_of] = self._scaled(some[some_of], most, self.letters[0, part])
         return out
 
@@ -257,21 +272,25 @@ def _groups(some: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 class Landmarks:
-    """Maps of words and texts by their kernel with the landmarks."""
+    """Maps of words and texts by their kernel with the landmarks.
 
-    def __init__(self, chosen: list[str]) -> None:
-        self.chosen = chosen
+    Words close to one of ``chosen`` count; the clean words ``beside`` them are landmarks of the map only.
+    """
+
+    def __init__(self, chosen: list[str], beside: list[str] | tuple[str, ...] = ()) -> None:
+        self.chosen = [*chosen, *beside]
         self.marks = [Landmark(w) for w in chosen]
+        self.basis = [*self.marks, *map(Landmark, beside)]
         self.overlap = max((m.whole for m in self.marks), default=0)
-        own = np.array([self._kernels(m.letters, m.runs)[0] for m in self.marks]).reshape(len(chosen), len(chosen))
-        values, vectors = np.linalg.eigh(own + RIDGE * np.eye(len(chosen)))
+        own = np.array([self._kernels(m.letters, m.runs)[0] for m in self.basis]).reshape(len(self.basis), -1)
+        values, vectors = np.linalg.eigh(own + RIDGE * np.eye(len(self.basis)))
         self.root = vectors @ np.diag(values**-0.5) @ vectors.T
         self.known = Memo(REMEMBERED)
 
     def _kernels(self, some: np.ndarray, runs: np.ndarray) -> np.ndarray:
         """The scaled kernel of each row with each landmark."""
         norm = own_shared(some, runs) ** 0.5
-        return np.column_stack([shared(some, m.letters, runs, m.runs) / (norm * m.norm) for m in self.marks])
+        return np.column_stack([shared(some, m.letters, runs, m.runs) / (norm * m.norm) for m in self.basis])
 
     def learn(self, tokens: list[str]) -> dict[str, tuple[float, ...]]:
         """For each token its part of a text's map, nothing where no landmark is close; words of one length at once."""
@@ -402,14 +421,24 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     n, toxic = totals["n"], totals["toxic"] or 0
     seen = train.select("text", "toxic").mapInArrow(tokens, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
     gain = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n - toxic + 1.0))
-    ranked = seen.filter("bad >= 4").withColumn("gain", gain * F.sqrt("bad")).filter(gain > 2)
+    ranked = seen.filter(F.col("bad") >= FOUND).withColumn("gain", gain * F.sqrt("bad")).filter(gain > 2)
     best = ranked.orderBy(F.desc("gain"), "word").limit(CANDIDATES).select("word", "gain").collect() if 0 < toxic < n else []
     chosen = choose_landmarks([r["word"] for r in best if r["gain"] >= STRONG * best[0]["gain"]])
     if not chosen:
         return rows.select("doc_id", F.lit(float(toxic / n) if n else 0.0).alias("score"))
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks = Landmarks(chosen)
+        for batch in batches:
+            found = landmarks.learn(batch.column(0).to_pylist())
+            yield batch.filter(pa.array([bool(found[w]) for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    # words of clean texts that are close to a landmark, so that the machine can tell them from it
+    clean = seen.filter((F.col("all") >= FOUND) & (F.col("bad") * n <= F.col("all") * toxic)).select("word", "all")
+    beside = [r["word"] for r in clean.mapInArrow(near, clean.schema).orderBy(F.desc("all"), "word").limit(LANDMARKS).collect()]
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        landmarks = Landmarks(chosen, beside)
         for batch in batches:
             found = landmarks.maps(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["map", "toxic"])
@@ -420,7 +449,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     slope, offset = fit_logistic(x @ weights[:-1] + weights[-1], y)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        landmarks = _loaded(tuple(chosen))
+        landmarks = _loaded(tuple(chosen), tuple(beside))
         for batch in batches:
             margin = landmarks.maps(batch.column(1).to_pylist()) @ weights[:-1] + weights[-1]
             value = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
@@ -429,12 +458,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return rows.mapInArrow(scores, "doc_id long, score double")
 
 
-_worker: dict[tuple[str, ...], Landmarks] = {}
+_worker: dict[tuple[tuple[str, ...], tuple[str, ...]], Landmarks] = {}
 
 
-def _loaded(chosen: tuple[str, ...]) -> Landmarks:
+def _loaded(chosen: tuple[str, ...], beside: tuple[str, ...]) -> Landmarks:
     """The landmarks with the words they know, kept by a Python worker from task to task."""
-    if chosen not in _worker:
+    if (chosen, beside) not in _worker:
         _worker.clear()
-        _worker[chosen] = Landmarks(list(chosen))
-    return _worker[chosen]
+        _worker[chosen, beside] = Landmarks(list(chosen), beside)
+    return _worker[chosen, beside]

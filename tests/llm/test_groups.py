@@ -1,6 +1,8 @@
 """Language, near copies, repeated strings, pages, toxicity, pipeline."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -432,9 +434,57 @@ def test_kernel():
     machine = toxicity.Landmarks(["idiot", "stupid"])
     tokens = [f"{a}{b}{c}" for a in ("id", "st", "tion") for b in ("io", "up", "x") for c in ("t", "id", "ing", "")]
     found = machine.learn(tokens)
-    for t in tokens:  # the bound leaves nothing out
-        want = {k: v for k, w in enumerate(machine.chosen) if (v := toxicity.kernel(t, w)) >= toxicity.LEAST}
-        assert dict(found[t] or ()) == pytest.approx(want)
+    for t in tokens:  # the bound leaves nothing out; a word's map is as long as its strength
+        best = max(toxicity.kernel(t, w) for w in machine.chosen)
+        assert math.hypot(*found[t]) == pytest.approx(toxicity.strength(best) if best >= toxicity.LEAST else 0)
+
+
+def kernel_by_enumeration(a, b):
+    """All three-letter subsequences of two words with single letters and runs, each pair weighted."""
+
+    def places(word):
+        runs = ["\x02", *(m[0] for m in re.finditer(r"(.)\1*", word)), "\x03"]
+        return [(at[-1] - at[0] + 1, [(runs[i][0], len(runs[i]) > 1) for i in at]) for at in itertools.combinations(range(len(runs)), 3)]
+
+    total = 0.0
+    for span, some in places(a):
+        for other_span, others in places(b):
+            if [c for c, _ in some] == [c for c, _ in others]:
+                total += toxicity.DECAY ** (span + other_span) * toxicity.RUNS ** sum(r != q for (_, r), (_, q) in zip(some, others, strict=True))
+    return total
+
+
+def test_kernel_by_enumeration_and_positive_definite():
+    rng = random.Random(5)
+    some = ["hell", "heel", "but", "butt", "pop", "poop", "aabbaa", "idiot", "idxiot", *("".join(rng.choices("abcde", k=rng.randrange(3, 9))) for _ in range(20))]
+    letters, runs = [toxicity.marked(w)[None] for w in some], [toxicity.run_marks(w)[None] for w in some]
+    grid = np.array([[toxicity.shared(a, b, r, q)[0] for b, q in zip(letters, runs, strict=True)] for a, r in zip(letters, runs, strict=True)])
+    want = [[kernel_by_enumeration(a, b) for b in some] for a in some]
+    assert grid == pytest.approx(np.array(want), rel=1e-4)
+    assert np.linalg.eigvalsh(grid)[0] > -1e-3 * grid.max()
+    machine = toxicity.Landmarks(["hell", "heel", "but", "butt"])  # rows and root are of that kernel
+    scaled = grid / np.sqrt(np.outer(np.diag(grid), np.diag(grid)))
+    maps = machine.learn(["hell", "heel", "but", "butt"])
+    at = [some.index(w) for w in machine.chosen]
+    for i, a in enumerate(machine.chosen):
+        for j, b in enumerate(machine.chosen):
+            assert np.dot(maps[a], maps[b]) == pytest.approx(scaled[at[i], at[j]], abs=0.01)
+    assert np.dot(maps["hell"], maps["heel"]) < 0.8 and np.dot(maps["but"], maps["butt"]) < 0.95
+
+
+def test_toxicity_tells_runs_apart(spark):
+    some, labels = [], []
+    for i in range(400):
+        text = words(30, i, 3000).split()
+        for k in range(3 if i % 4 < 2 else 0):
+            text[(9 * k + i) % 30] = ("hell", "butt")[k % 2] if i % 4 == 0 else ("heel", "but")[k % 2]
+        some.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    odd = [(1000, "a heel but a heel"), (1001, "what the hell, butt, hell"), (1002, words(30, 7, 3000))]
+    df = spark.createDataFrame(some + odd, "doc_id long, text string").withColumn("label", F.lit(1)).withColumn("score", F.lit("x"))
+    marks = spark.createDataFrame([*labels, (8, 0)], "doc_id long, toxic int")  # 8 is labelled 1 and 0
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, marks).collect()}
+    assert got[1001] > 0.5 and got[1000] < 0.3 and got[1002] < 0.3
 
 
 INSULTS = ["idiot", "moron", "stupid", "trash", "clown", "worthless", "disgusting"]
@@ -448,8 +498,11 @@ def test_kernel_is_tolerant():
             f"youare{word}personandmore", f"{word}andsomemorelettersbehind", f"andsomemoreletters{word}", word[:2] + "q" + word[2:-1] + "kv" + word[-1], "bcdfghkmnp" * 1000 + word,
         ]
         for token in changed:
-            found = dict(toxicity.Landmarks([word]).learn([token])[token] or ())
-            assert found == {0: pytest.approx(toxicity.kernel(token, word))} and toxicity.strength(found[0]) > 0, token
+            found = toxicity.Landmarks([word]).learn([token])[token]
+            assert found and 0 < math.hypot(*found) <= 1 + 1e-9, token
+            assert len(token) > 4000 or math.hypot(*found) == pytest.approx(toxicity.strength(toxicity.kernel(token, word)), rel=1e-3), token
+        for token in (f"{'x'.join(word)}person", f"you{'x'.join(word)}man"):  # all letters of a longer word are compared in the same way
+            assert toxicity.Landmarks([word]).learn([token])[token], token
     for word, clean in [("idiot", "idiom"), ("idiot", "station"), ("scum", "sum"), ("clown", "crown"), ("loser", "leoureleier")]:
         assert toxicity.kernel(clean, word) < toxicity.LEAST
 
