@@ -5,13 +5,18 @@ leave no trace and a line break is white space. The tree sees of each block its
 word count and link density, those of the blocks before and behind it, whether
 it is a heading or a list item, and two facts from the tags around it: whether
 they say main text (``article``, ``main``) or something else (``nav``, ``aside``,
-``form``, a class like ``sidebar`` or ``comments``). Words in names count on block
+``form``, a class like ``sidebar`` or ``comment-list``). A name counts if all of its words do: ``market-share``
+and ``post-header`` say nothing. Words in names count on block
 elements only, not on html, body, main, nor where they name a layout (``has-sidebar``,
 ``no-banner``). ``main``, and the page's first ``article``, take the mark from
 what is around them; an article does not take it from ``aside``, ``nav`` or an element whose
 whole name is such a word, where teasers and comments stand. A form around the whole page is no
 mark. The tree is trained with Spark ML on
-the small labelled table below, whose pages show the usual layouts.
+the labelled table below: 600 small pages, of which half name neither article nor
+menus. On such pages a block with at most about six tenths of its words in links is main text if it is
+long enough, and a short one if what stands before and behind it is text and not links.
+Outside ``article`` and ``main`` a block of a few words beside a list of links is no main text; a long
+one that neither a tag nor a name sets apart is.
 
 Results for odd input: null html counts as empty and gives an empty text, like a
 page without blocks. Unclosed tags end with the page; an unclosed script, style
@@ -22,6 +27,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 
@@ -47,14 +53,16 @@ MAIN = ["article", "main"]
 ASIDE = ["nav", "aside", "footer", "form", "menu", "dialog", "fieldset"]
 #: Words in a class, id or role that name something other than the main text.
 ASIDE_WORDS = [
-    "ad", "ads", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "comment",
+    "ad", "ads", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "form", "gdpr",
     "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification",
     "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "teaser", "toolbar", "topbar", "widget", "widgets",
 ]
+#: Words that leave a name's meaning as it is when they stand beside one of those.
+PLAIN_WORDS = ["area", "bar", "block", "bottom", "box", "container", "inner", "left", "links", "list", "policy", "posts", "right", "section", "site", "thread", "top", "wrap", "wrapper"]
 
-_SILENT, _BLOCK, _VOID, _HEADINGS, _MAIN, _ASIDE, _WORDS = map(frozenset, (SILENT, BLOCK, VOID, HEADINGS, MAIN, ASIDE, ASIDE_WORDS))
+_SILENT, _BLOCK, _VOID, _HEADINGS, _MAIN, _ASIDE, _WORDS, _PLAIN = map(frozenset, (SILENT, BLOCK, VOID, HEADINGS, MAIN, ASIDE, ASIDE_WORDS, PLAIN_WORDS))
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -78,7 +86,8 @@ def _aside(tag: str, attributes: str) -> int:
     names = [n for found in _NAMED.findall(attributes) for n in "".join(found).split() if not _LAYOUT.match(n)]
     if any(n.lower() in _WORDS for n in names):
         return 2
-    return by_tag or int(tag != "article" and any(w.lower() in _WORDS for n in names for w in _PART.findall(n)))
+    parts = [{w.lower() for w in _PART.findall(n)} for n in names]
+    return by_tag or int(tag != "article" and any(p & _WORDS and p <= _WORDS | _PLAIN for p in parts))
 
 
 def flat_blocks(page: str) -> list[Block]:
@@ -165,54 +174,77 @@ def features(blocks: list[Block]) -> list[list[float]]:
 # --- the labelled table ------------------------------------------------------------------
 
 
-def labelled_pages() -> list[str]:
-    """Small pages of the usual layouts. A block is main text if it has the word ``main-text``."""
-
-    def some(n: int, word: str = "word") -> str:
-        return " ".join([word] * n)
-
-    def own(n: int) -> str:
-        return some(n - 1) + " main-text" if n > 1 else "main-text"
-
-    links = "".join(f'<li><a href="/{i}">{some(1 + i % 3)}</a></li>' for i in range(6))
-    menus = [f"<nav><ul>{links}</ul></nav>", f'<ul class="menu">{links}</ul>', f"<div>{links.replace('li', 'span')}</div>", f'<div><a href="/">{some(1)}</a> <a href="/a">{some(1)}</a></div>']
-    heads = [f'<header><p>{some(4)}</p></header>', f'<div id="header"><h2>{some(3)}</h2>{some(12)}</div>', ""]
-    asides = [
-        f'<div class="ad">{some(9)}</div>', f'<aside><h3>{some(2)}</h3><p>{some(30)}</p></aside>', f'<div class="sidebar"><p>{some(25)}</p></div>',
-        f'<div class="cookie-notice">{some(18)} <a href="#">{some(2)}</a></div>', f"<form><p>{some(6)}</p>{some(3)}</form>",
-    ]
-    ends = [
-        f"<footer>&copy; {some(8)}</footer>", f'<section id="comments"><p>{some(22)}</p><p>{some(5)}</p></section><footer><p>{some(6)}</p></footer>',
-        f'<div class="related"><ul>{links}</ul></div><div class="footer">{some(7)}</div>', f"<p><a href='#'>{some(2)}</a> | <a href='#'>{some(3)}</a></p>",
-    ]
-    bodies = [[40, 60, 25], [1, 70, 2, 30], [12], [3], [80, 90, 100, 4], [1, 1, 1], [20, 8, 33]]
-    wraps = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<article><div>", "</div></article>")]
-    layouts = [
-        ('<body class="has-sidebar">', "</body>"), ('<body><div class="with-sidebar">', "</div></body>"), ('<body><div id="page" class="no-banner">', "</div></body>"),
-        ('<body class="header"><form id="page" action="/">', "</form></body>"),
-    ]
+def labelled_pages(n_pages: int = 600) -> list[str]:
+    """Small pages of the usual layouts. A block is main text if it has the word ``main-text``.
+
+    Half of the pages name neither their article nor their menus. Paragraphs have up to six tenths of their
+    words in links, and short ones stand between long ones; what is named as something else is as long as
+    paragraphs are; menus and lists of links are short and long.
+    """
+    draw = random.Random(6)
+
+    def some(low: int, high: int = 0) -> str:
+        return " ".join(["word"] * draw.randint(low, max(low, high)))
+
+    def own(n: int, linked: float = 0.0) -> str:
+        """A block of main text whose last words are a link."""
+        in_link = round(n * linked)
+        plain = [*["word"] * (n - in_link - 1), "main-text"]
+        return " ".join([*plain, *([f'<a href="/x">{some(in_link)}</a>'] if in_link else [])])
+
+    def menu(low: int, high: int, item: str = "li") -> str:
+        return "".join(f'<{item}><a href="/{i}">{some(low, high)}</a></{item}>' for i in range(draw.randint(2, 7)))
+
+    def bare_menu() -> str:
+        """Links that no name marks."""
+        return draw.choice([
+            f"<div><ul>{menu(1, 3)}</ul></div>", f"<div>{menu(1, 3, 'span')}</div>", f"<table><tr>{menu(1, 3, 'td')}</tr></table>", f"<ul>{menu(1, 6)}</ul>",
+            f'<p><a href="/">{some(2)}</a> | <a href="/a">{some(2, 3)}</a> | <a href="/b">{some(2)}</a></p>',
+            f"<div><ul>{menu(5, 20)}</ul></div>", f"<div>{menu(5, 60, 'p')}</div>", f"<div>{menu(3, 40, 'div')}</div>",
+        ])
+
+    def named() -> str:
+        """Something that a name marks, as long as a paragraph may be."""
+        name = draw.choice(["ad", "sidebar", "cookie-notice", "newsletter", "related", "comments", "footer"])
+        body = draw.choice([some(2, 12), f"<p>{some(10, 140)}</p>", f"<p>{some(5, 60)}</p><p>{some(5, 120)}</p>", f'{some(10, 40)} <a href="#">{some(1, 4)}</a>', f"<ul>{menu(1, 9)}</ul>"])
+        return draw.choice([f'<div class="{name}">{body}</div>', f"<aside><h3>{some(1, 3)}</h3>{body}</aside>", f"<div><form>{body}</form></div>", f'<section id="{name}">{body}</section>'])
+
     pages = []
-    for i, sizes in enumerate(bodies):
-        for j, (start, stop) in enumerate(wraps):
-            plain = "div" in start and "article" not in start
-            sizes_here = [max(n, 12) for n in sizes] if plain else sizes  # without a tag that says so, only the length tells
-            heading = "" if plain else f"<h1>{own(2 + i)}</h1>"
-            paragraphs = "".join(f"<p>{own(n)}</p>" for n in sizes_here)
-            items = "" if plain or j else f"<ul><li>{own(5)}</li><li><a href='/x'>{own(2)}</a></li></ul>"
-            k = i + j
-            inner = asides[(k + 2) % 5] if k % 2 else ""
-            around, behind = layouts[k % len(layouts)] if k % 3 == 0 else ("<body>", "</body>")
-            pages.append(
-                "<html><head><title>t</title></head>" + around + heads[k % 3] + menus[k % 4] + asides[k % 5] + start + heading + inner + paragraphs + items + stop
-                + asides[(k + 1) % 5] + ends[k % 4] + behind + "</html>"
-            )
+    for at in range(n_pages):
+        tagged = at % 2 == 0
+        blocks = [(draw.randint(10, 150), draw.choice([0, 0, 0, 0.05, 0.1, 0.25, 0.4, 0.6])) for _ in range(draw.randint(1, 5))]
+        if tagged and at % 3 == 0:
+            blocks = [(draw.randint(1, 9), draw.choice([0, 0, 0.5])) for _ in range(draw.randint(1, 4))]
+        if len(blocks) > 2:  # a short one between long ones
+            blocks.insert(draw.randint(1, len(blocks) - 1), (draw.randint(1, 9), 0))
+        body = "".join(f"<p>{own(n, share)}</p>" for n, share in blocks)
+        if draw.random() < 0.5:
+            body = f"<h1>{own(draw.randint(1, 9))}</h1>" + body
+        if tagged and draw.random() < 0.4:
+            body += f"<ul><li>{own(5)}</li><li>{own(draw.randint(2, 12), 0.5)}</li><li><a href='/x'>{own(draw.randint(1, 9))}</a></li></ul>"
+        if draw.random() < 0.4:
+            body = named() + body if draw.random() < 0.5 else body + named()
+        start, stop = draw.choice(
+            [("<article>", "</article>"), ("<main>", "</main>"), ("<article><div>", "</div></article>")] if tagged else [("<div>", "</div>"), ("", ""), ('<div id="c1"><section>', "</section></div>")]
+        )
+        head = draw.choice(["", "", f"<header><p>{some(2, 30)}</p></header>", f'<div id="header"><h2>{some(3)}</h2>{some(2, 20)}</div>'])
+        menus = f"<nav><ul>{menu(1, 3)}</ul></nav>" if tagged and draw.random() < 0.5 else bare_menu()
+        end = draw.choice(["", named(), bare_menu(), f"<footer>&copy; {some(2, 30)}</footer>"])
+        if draw.random() < 0.3:
+            menus = f"<div>{some(1, 5)}</div>" + menus  # the name of the site
+        elif draw.random() < 0.5:
+            head = menus = ""
+        if draw.random() < 0.3:
+            end += bare_menu() + f"<div>&copy; {some(2, 8)}</div>"
+        beside = [named() if draw.random() < 0.5 else "", bare_menu() if draw.random() < 0.5 else ""]
+        pages.append(f"<body>{head}{menus}{beside[0]}{start}{body}{stop}{beside[1]}{end}</body>")
     return pages
 
 
 Tree = tuple | float
 
 
-def train(spark: SparkSession, depth: int = 6) -> Tree:
+def train(spark: SparkSession, depth: int = 10) -> Tree:
     """The tree as (feature, threshold, at most, above) with probabilities of main text at its leaves."""
     rows = []
     for page in labelled_pages():

@@ -13,7 +13,8 @@ close the word's closest window is to a landmark, from 0 at ``LEAST``. Windows o
 m, m + 1 and 2m + 3 letters and marks are compared with a landmark of m letters, in words of any length
 (2m + 3 hold a letter between any two letters, and both marks). How close a window is: what it shares
 with the part of the landmark that has as many marks, twice, and the cosine, their cube root.
-So ``s.t.u.p.i.d``, ``stuuupid`` and ``sxtxuxpxixd`` are close, inside longer words less so. A token loses what is neither
+So ``s.t.u.p.i.d``, ``stuuupid`` and ``sxtxuxpxixd`` are close;
+with a letter between all letters and inside a longer word an insult is at the limit. A token loses what is neither
 letter nor digit; three or more single letters in a row are one word.
 
 Landmarks are words in ``FOUND`` or more toxic texts of the sample that stand in toxic texts far more often
