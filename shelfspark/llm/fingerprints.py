@@ -9,10 +9,13 @@ vector. The vector has two parts:
 * 8 lanes modulo 2^32 from four seeded hashes of the whole paragraph, and the
   number of paragraphs: equality;
 * 60 lanes modulo 2^20 that count the set bits of hashes of the paragraph's
-  pieces of 32 characters, and the number of pieces. A count of bits, taken
+  pieces, and the number of pieces. A piece ends by what stands there: behind white space after a letter or
+  digit whose code point leaves 1 of 3, behind punctuation, or after ``LONGEST`` characters without
+  either; so a letter put in changes the piece it stands in and no other. A count of bits, taken
   twice less the number of pieces, is a sum of +1 and -1 for each piece, so the
   cosine of two such vectors estimates how many pieces two texts share. It has a
-  standard deviation of about 0.13 for texts that share none.
+  standard deviation of about 0.13 for texts that share none. It holds for texts of up to 2^19 pieces
+  (some 9 million characters of prose); equality has no such bound.
 
 Results for odd input: a null text counts as empty; an empty text is one empty
 paragraph without pieces, its likeness to another text without pieces is 1 and
@@ -28,7 +31,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.runtime import cut_lineage
 
-PIECE = 32
+LONGEST = 96
+#: First and last letters or digits of the ranges that can end a piece.
+_RANGES = [("0", "9"), ("A", "Z"), ("a", "z"), ("à", "ÿ"), ("ά", "ώ"), ("а", "я")]
+_ENDS = "".join(chr(c) for first, last in _RANGES for c in range(ord(first), ord(last) + 1) if c % 3 == 1)
+PIECE = rf"(?s).{{1,{LONGEST}}}?(?:(?<=[{_ENDS}][\x20\x09-\x0D]|[.,;:!?。、，！？])|\z)|.{{1,{LONGEST}}}"
 SEEDS = 4
 SHIFTS = 20
 _LANE = 20
@@ -52,7 +59,7 @@ def vectors(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The vector of each row: ``keys`` must name rows; lanes are not yet reduced."""
     split = rows.select(*keys, F.explode(F.split(F.col(text), "\n", -1)).alias("paragraph"))
     pieces = split.select(
-        *keys, "paragraph", F.posexplode_outer(F.regexp_extract_all("paragraph", F.lit(rf"(?s).{{1,{PIECE}}}"), 0)).alias("at", "piece")
+        *keys, "paragraph", F.posexplode_outer(F.regexp_extract_all("paragraph", F.lit(PIECE), 0)).alias("at", "piece")
     )
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
     none = F.lit(0).cast("long")

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, queries, token_counts
-from tests.llm.cases import frame, rows
+from tests.llm.cases import frame, rows, words
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -262,3 +263,19 @@ def test_sql_twins(spark, name):
     df = queries.QUERIES[name](spark, DIR)
     assert sorted(df.columns) == sorted(columns)
     assert collected(df, *columns) == sorted(cur.fetchall(), key=repr)
+
+
+def test_likeness_sees_an_inserted_letter(spark):
+    """One letter anywhere changes one piece: texts in one paragraph stay alike."""
+    some = words(800, 4, 5000)
+    texts_ = {1: some, 2: "x" + some, 3: some[:2000] + "q" + some[2000:], 4: some[3:], 5: words(800, 5, 5000), 6: "日" * 3000, 7: "a" * 3000}
+    df = spark.createDataFrame(list(texts_.items()), "doc_id long, text string")
+    found = fingerprints.vectors(fingerprints.keyed_texts(df), ["kid"]).withColumn("lanes", fingerprints.signed(""))
+    lanes = {r["kid"]: (np.array(r["lanes"]), r["pieces"]) for r in found.collect()}
+
+    def near(a, b):
+        return float(lanes[a][0] @ lanes[b][0] / np.sqrt((lanes[a][0] @ lanes[a][0]) * (lanes[b][0] @ lanes[b][0])))
+
+    assert min(near(1, 2), near(1, 3), near(1, 4)) > 0.9 and near(1, 5) < 0.6
+    assert lanes[6][1] == lanes[7][1] == -(-3000 // fingerprints.LONGEST)
+    assert 10 < len(some) / lanes[1][1] < 60
