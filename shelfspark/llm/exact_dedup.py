@@ -5,8 +5,8 @@ nodes hold the smallest owner and the number of copies seen. So of a text that
 fills a third of the table each task passes on one terminal, not its copies.
 Terminals are then partitioned by length and content hash and inserted as full
 byte strings into the tries of their partitions, which decide on bytes, not on
-hashes. A trie that outgrows its limit gives up its heaviest subtree: its
-terminals are written out and meet the others in the second step, so the limit
+hashes. A trie that outgrows its limit (labels, nodes and owners) gives up its heaviest
+subtrees: their terminals are written out and meet the others in the second step, so the limit
 changes the memory, not the result.
 
 Results for odd input: null text counts as empty, and empty texts are copies of
@@ -28,6 +28,8 @@ from shelfspark.llm.rows import text_bytes, texts
 from shelfspark.runtime import cut_lineage
 
 TRIE_BYTES = 16 << 20
+#: What a node (with its table of children) and an owner take beside the label, measured on short random texts.
+NODE_BYTES, OWNER_BYTES = 250, 350
 _LAST = (1, 0)  # a missing id sorts behind every other
 
 
@@ -60,7 +62,7 @@ class PatriciaTrie:
             child = node.children.get(text[at])
             if child is None:
                 node.children[text[at]] = Node(text[at:], make)
-                self.held += len(text) - at
+                self.held += len(text) - at + NODE_BYTES + OWNER_BYTES
                 return make
             rest = text[at : at + len(child.label)]
             if rest != child.label:
@@ -70,21 +72,25 @@ class PatriciaTrie:
                 upper.children[child.label[0]] = child
                 node.children[text[at]] = upper
                 child = upper
+                self.held += NODE_BYTES
             node, at = child, at + len(child.label)
         if node.owner is None:
             node.owner = make
+            self.held += OWNER_BYTES
         return node.owner
 
-    def cut(self) -> Iterator[tuple[bytes, Owner]]:
-        """Take the heaviest subtree below the root out and give its texts and owners."""
-        if self.root.owner is not None and not self.root.children:
+    def cut(self, upto: int = 0) -> Iterator[tuple[bytes, Owner]]:
+        """Take the heaviest subtrees below the root out until at most ``upto`` bytes are held; give their texts and owners."""
+        weights = {first: _weight(child) for first, child in self.root.children.items()}
+        for first in sorted(weights, key=weights.__getitem__, reverse=True):
+            if self.held <= upto:
+                return
+            self.held -= weights[first]
+            yield from _terminals(self.root.children.pop(first), b"")
+        if self.held > upto and self.root.owner is not None:
             owner, self.root.owner = self.root.owner, None
+            self.held -= OWNER_BYTES
             yield b"", owner
-            return
-        weights = {first: _weight(child) for first, child in self.root.children.items()}
-        first = max(weights, key=weights.__getitem__)
-        self.held -= weights[first]
-        yield from _terminals(self.root.children.pop(first), b"")
 
     def drain(self) -> Iterator[tuple[bytes, Owner]]:
         root, self.root, self.held = self.root, Node(b""), 0
@@ -107,7 +113,7 @@ def _weight(top: Node) -> int:
     total, open_nodes = 0, [top]
     while open_nodes:
         node = open_nodes.pop()
-        total += len(node.label)
+        total += len(node.label) + NODE_BYTES + (OWNER_BYTES if node.owner is not None else 0)
         open_nodes += node.children.values()
     return total
 
@@ -185,8 +191,8 @@ def _local(limit: int):
                 owner.best = min(owner.best, mine)
                 reps.append(owner.first)
                 raws.append(fresh.digest if raw == text else hashlib.sha256(raw).digest())
-                while trie.held > limit:
-                    for part in _in_parts(trie.cut()):
+                if trie.held > limit:
+                    for part in _in_parts(trie.cut(limit // 2)):
                         yield _owners_out(part)
             yield _batch(_LOCAL_ARROW, {"doc_id": ids, "row": rows, "rep": reps, "raw_sha256": raws}, len(ids))
         for part in _in_parts(trie.drain()):

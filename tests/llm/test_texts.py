@@ -65,6 +65,21 @@ def test_trie_against_dictionary():
     assert trie.held == 0 and not list(trie.drain())
 
 
+def test_trie_counts_what_it_holds():
+    """Short texts cost their nodes and owners too; a cut leaves at most what it was asked for, and loses nothing."""
+    rng = random.Random(3)
+    some = {rng.randbytes(rng.choice([0, 1, 2, 8])) for _ in range(4000)}
+    trie = exact_dedup.PatriciaTrie()
+    for row, text in enumerate(some):
+        trie.find(text, exact_dedup.Owner((0, row, row), 0, row, len(text), b""))
+    assert trie.held > len(some) * exact_dedup.OWNER_BYTES
+    below = trie.held // 3
+    out = [t for t, _ in trie.cut(below)]
+    assert 0 < trie.held <= below and trie.held == exact_dedup._weight(trie.root) - exact_dedup.NODE_BYTES
+    out += [t for t, _ in trie.cut()]
+    assert trie.held == 0 and sorted(out) == sorted(some)
+
+
 def test_normalised():
     for text in ("", " ", "a", " a\t\nb ", "\n\n", "a\x0bb\x0c", " a b"):
         assert exact_dedup.normalised(text.encode()).decode() == re.sub(r"[\x20\x09-\x0d]+", " ", text)
