@@ -272,3 +272,34 @@ def test_filtered_top(spark, block):
         words = set((want or "").lower().split())
         some = [(i, float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x))) for i, x, t in items if words <= set(t)]
         assert got.get(q, []) == [i for i, _ in sorted(some, key=lambda s: (-round(s[1], 9), s[0]))[:most]]
+
+
+def test_products_come_in_bounded_chunks():
+    rng = np.random.default_rng(3)
+    m = np.where(rng.random((40, 30)) < 0.3, rng.integers(-5, 6, (40, 30)), 0).astype(float)
+    at, dim = np.nonzero(m)
+    for every in (False, True):
+        got, chunks = np.zeros((40, 40)), 0
+        for i, j, d in blocks._products(np, at, dim, m[at, dim], 40, at, dim, m[at, dim], 40, every, 100):
+            got[i, j] = d
+            chunks += 1
+            assert len(i) <= 100 + 40 * 30
+        assert chunks > 10 and np.allclose(got, m @ m.T)
+
+
+@pytest.mark.parametrize("raters", [1000, 5])
+def test_signed_ratings(spark, raters):
+    rng = np.random.default_rng(11)
+    m = np.where(rng.random((25, 12)) < 0.5, rng.integers(1, 6, (25, 12)) * rng.choice([-1, 1], (25, 12)), 0).astype(float)
+    u, i = np.nonzero(m)
+    df = spark.createDataFrame([(int(a), int(b), float(m[a, b])) for a, b in zip(u, i)], "u int, i int, v double")
+    norm = np.linalg.norm(m, axis=1)
+    sims = m @ m.T / np.outer(norm, norm)
+    got = {(r.u, r.i): r.pred for r in blocks.neighbour_predictions(df, "u", "i", "v", 3, None, 8, raters).collect()}
+    want = {}
+    for a, b in zip(*np.nonzero(m == 0)):
+        near = sorted(np.flatnonzero(m[:, b]), key=lambda r: (-round(sims[r, a], 9), r))[:3]
+        size = sum(abs(sims[r, a]) for r in near)
+        if size > 0:
+            want[(a, b)] = sum(sims[r, a] * m[r, b] for r in near) / size
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
