@@ -303,3 +303,14 @@ def test_signed_ratings(spark, raters):
         if size > 0:
             want[(a, b)] = sum(sims[r, a] * m[r, b] for r in near) / size
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_equal_items_ask_once(spark, monkeypatch):
+    """24 items with 6 different vectors: 6 queries, and the lists of a full scan."""
+    entries = spark.createDataFrame([(i, d, float(1 + i % 3)) for i in range(24) for d in ("a", "b")[: 1 + i % 2] + (f"c{i % 6}",)], "mal_id int, dim string, weight double")
+    asked, whole = [], recommend.bounded.top
+    monkeypatch.setattr(recommend.bounded, "top", lambda q, *a, **kw: asked.append(q.count()) or whole(q, *a, **kw))
+    found = rows(recommend.content_similar(entries, 4), "query", "item", "rank")
+    packed = recommend._packed(entries, "mal_id", recommend.skew.dense_index(entries, "dim"))
+    assert found == rows(blocks.score_top(packed, packed, 4, exclude_self=True), "query", "item", "rank")
+    assert asked == [6]
