@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark import schemas
 from shelfspark.functions import text, values
+from shelfspark.runtime import block_count, cut_lineage
 
+#: Rows that a task of ``similar_by_genre`` sorts.
+TASK_ROWS = 100_000
 MINI = ["mal_id", "title", "title_japanese", "image_url", "score", "year"]
 DETAIL = (
     "mal_id title title_japanese synopsis episodes status season year studios source genres tags score image_url"
@@ -313,15 +316,21 @@ def similar_by_genre(
 
     No pair of items is formed: an item's answer lies inside the union of the
     best k+1 items of each of its genres, so each genre is cut to k+1 rows
-    first (a map-side top-k) and joined back by genre.
+    first (a map-side top-k) and joined back by genre. Items are dealt by id, so
+    that a task sorts about ``TASK_ROWS`` of them for this cut, however few files they come from.
     """
     order = order or [F.col("score").desc_nulls_last(), F.col("item").asc()]
-    item = cat.select(F.col("mal_id").alias("item"), "score", *[c for c in ("members",) if c in cat.columns], "genres")
-    exploded = item.withColumn("genre", F.explode(F.array_distinct("genres"))).drop("genres")
+    distinct = F.array_distinct("genres").alias("genres")
+    item = cat.select(F.col("mal_id").alias("item"), "score", *[c for c in ("members",) if c in cat.columns], distinct)
+    item = cut_lineage(item, "items")
+    rows = item.agg(F.sum(F.size("genres"))).first()[0] or 0
+    item = item.repartition(max(cat.sparkSession.sparkContext.defaultParallelism, block_count(rows, TASK_ROWS)), "item")
+    exploded = item.withColumn("genre", F.explode("genres")).drop("genres")
     heads = exploded.withColumn("_r", F.row_number().over(W.partitionBy("genre").orderBy(*order))).filter(
         F.col("_r") <= k + 1
     )
-    asked = (base or cat).select("mal_id", F.explode(F.array_distinct("genres")).alias("genre"))
+    asked = item.select(F.col("item").alias("mal_id"), "genres") if base is None else base.select("mal_id", distinct)
+    asked = asked.select("mal_id", F.explode("genres").alias("genre"))
     cands = asked.join(heads.drop("_r"), "genre").filter(F.col("mal_id") != F.col("item")).drop("genre").distinct()
     w = W.partitionBy("mal_id").orderBy(*order)
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -129,3 +129,14 @@ def test_discover_first_seen(spark):
 def test_todo_skips_done_and_fresh(spark):
     ids = spark.range(1, 6).withColumnRenamed("id", "mal_id")
     assert rows(op.crawl_todo(ids, ids.filter("mal_id = 1"), ids.filter("mal_id = 5"))) == [(2,), (3,), (4,)]
+
+
+def test_similar_by_genre_deals_items_before_the_cut(spark, tmp_path, monkeypatch):
+    """One file is one scan task: the sort for the best of each genre must not be in it."""
+    monkeypatch.setattr(op, "TASK_ROWS", 10)
+    cat = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"], float(i % 7)) for i in range(40)], "mal_id bigint, genres array<string>, score double")
+    cat.coalesce(1).write.parquet(str(tmp_path / "cat"))
+    found = op.similar_by_genre(spark.read.parquet(str(tmp_path / "cat")), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.index("WindowGroupLimit") < plan.index("REPARTITION_BY_NUM")
+    assert rows(found, "mal_id", "rank", "item") == rows(op.similar_by_genre(cat, 3), "mal_id", "rank", "item")
