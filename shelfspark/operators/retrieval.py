@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfspark.functions import text
 from shelfspark.operators import blocks
+from shelfspark.runtime import cut_lineage, spread
 
 
 def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
@@ -125,9 +126,13 @@ def translate(df: DataFrame, col: str, translator: Callable | None, only: Column
                 answers = texts
             yield pdf.assign(dst=answers)
 
-    done = df.filter(only).select(F.col(col).alias("src")).distinct().mapInPandas(run, "src string, dst string")
-    joined = df.join(done, F.when(only, F.col(col)) == F.col("src"), "left")
-    return joined.withColumn(out, F.coalesce("dst", F.col(col))).drop("src", "dst")
+    # written with its flag: a filter would be tested below a repartition, in the few tasks of the scan
+    rows = cut_lineage(df.withColumn("__asked", F.coalesce(only, F.lit(False))), "asked")
+    asked, rest = rows.filter("__asked"), rows.filter("not __asked")
+    done = asked.select(F.col(col).alias("src")).distinct().mapInPandas(run, "src string, dst string")
+    # the other rows have no key to join by, which would put them all into one task
+    joined = asked.join(done, F.col(col) == F.col("src"), "left").unionByName(rest.withColumns({c: F.lit(None).cast("string") for c in ("src", "dst")}))
+    return joined.withColumn(out, F.coalesce("dst", F.col(col))).drop("src", "dst", "__asked")
 
 
 def translate_queries(queries: DataFrame, translator: Callable | None = None, col: str = "text") -> DataFrame:

@@ -194,3 +194,14 @@ def test_approximate_search_recall_with_many_lists(spark):
     assert len(exact) == 4000 and len(near & exact) >= 0.9 * len(exact)
     few = set(rows(op.vector_search_approx(asked, v, 10, probes=8), "query", "item"))
     assert len(few & exact) < 0.9 * len(exact)
+
+
+def test_languages_are_told_where_the_rows_are_spread(spark, tmp_path):
+    """As a filter the test would move below the repartition, into the only task of the scan; rows not asked take no part in the join."""
+    data = [(i, "phim hay" if i % 3 == 0 else None if i == 1 else f"good show {i}") for i in range(30)]
+    df = spark.createDataFrame(data, "i int, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    got = op.translate_queries(spark.read.parquet(str(tmp_path / "rows")).repartition(4), lambda ts: [f"EN {t}" for t in ts])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "regexp" not in plan and "__asked" in plan
+    assert rows(got, "i", "text_en") == rows(spark.createDataFrame([(i, f"EN {t}" if i % 3 == 0 else t) for i, t in data], "i int, t string"))
