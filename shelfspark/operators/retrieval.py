@@ -171,12 +171,12 @@ def with_document(cat: DataFrame, out: str = "doc", max_tags: int | None = None,
 
 
 def index_incremental(cat: DataFrame, indexed: DataFrame, encoder: Callable | None = None, force: bool = False) -> DataFrame:
-    """New points: rows not yet indexed -> document -> vector -> point; ``force`` re-embeds all."""
+    """New points: rows not yet indexed -> document -> vector -> point; ``force`` re-embeds all. A catalog of few files is spread over the cores."""
     from shelfspark.operators.features import text_embed
     from shelfspark.sources.sinks import vector_points
 
     todo = cat if force else cat.join(indexed.select("mal_id"), "mal_id", "left_anti")
-    return vector_points(text_embed(with_document(todo), "doc", "vector", encoder))
+    return vector_points(text_embed(with_document(spread(todo)), "doc", "vector", encoder))
 
 
 def build_prompts(queries: DataFrame, candidates: DataFrame) -> DataFrame:

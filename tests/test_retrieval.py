@@ -205,3 +205,15 @@ def test_languages_are_told_where_the_rows_are_spread(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.upper() and "regexp" not in plan and "__asked" in plan
     assert rows(got, "i", "text_en") == rows(spark.createDataFrame([(i, f"EN {t}" if i % 3 == 0 else t) for i, t in data], "i int, t string"))
+
+
+def test_index_of_one_file_is_spread(spark, tmp_path):
+    row = [(i, f"t{i}", None, "s", 1, "x", "w", 2000, ["st"], "Manga", ["g"], 5.0, [("n", 3)], "u") for i in range(20)]
+    kinds = (
+        "mal_id bigint, title string, title_japanese string, synopsis string, episodes int, status string, season string, year int, studios array<string>,"
+        " source string, genres array<string>, score double, tags array<struct<name:string,weight:int>>, image_url string"
+    )
+    spark.createDataFrame(row, kinds).coalesce(1).write.parquet(str(tmp_path / "cat"))
+    cat = spark.read.parquet(str(tmp_path / "cat"))
+    points = op.index_incremental(cat, spark.createDataFrame([(3,)], "mal_id bigint"))
+    assert points.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and points.count() == 19
