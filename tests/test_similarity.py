@@ -314,3 +314,22 @@ def test_equal_items_ask_once(spark, monkeypatch):
     packed = recommend._packed(entries, "mal_id", recommend.skew.dense_index(entries, "dim"))
     assert found == rows(blocks.score_top(packed, packed, 4, exclude_self=True), "query", "item", "rank")
     assert asked == [6]
+
+
+def test_sums_over_all_neighbours_without_neighbours(spark, monkeypatch):
+    rnd = random.Random(3)
+    data = [(u, i, rnd.randint(1, 4)) for u in range(300) for i in rnd.sample(range(30), 4)]
+    us, it, m, sims = dense(data)
+    np.fill_diagonal(sims, 0)
+    sums = sims @ m
+    want = []
+    for a, u in enumerate(us):
+        free = [c for c in range(len(it)) if m[a, c] == 0 and sums[a, c] > 0]
+        want += [(u, it[c], p + 1) for p, c in enumerate(sorted(free, key=lambda c: (-round(sums[a, c], 9), it[c]))[:5])]
+    df = spark.createDataFrame(data, "user_id bigint, item_id bigint, n int")
+    # 300 users are 45,000 pairs, 30 items at most 870: pairs of users are not formed
+    monkeypatch.setattr(blocks, "_predict", None)
+    assert rows(blocks.neighbour_top(df, "user_id", "item_id", "n", 5, None), "user_id", "item_id", "rank") == sorted(want, key=repr)
+    found = blocks._sums_by_columns(blocks.unit_entries(df, "user_id", "item_id", "n"), "user_id", "item_id", 5, block_entries=200)
+    found = {(r.user_id, r.item_id): r.pred for r in found.collect()}
+    assert all(abs(found[u, i] - sums[us.index(u), it.index(i)]) < 1e-9 for u, i, _ in want)
