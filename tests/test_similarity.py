@@ -333,3 +333,17 @@ def test_sums_over_all_neighbours_without_neighbours(spark, monkeypatch):
     found = blocks._sums_by_columns(blocks.unit_entries(df, "user_id", "item_id", "n"), "user_id", "item_id", 5, block_entries=200)
     found = {(r.user_id, r.item_id): r.pred for r in found.collect()}
     assert all(abs(found[u, i] - sums[us.index(u), it.index(i)]) < 1e-9 for u, i, _ in want)
+
+
+def test_top_of_rows():
+    rng = np.random.default_rng(1)
+    for n in (1, 9, 90, 700):
+        for s in (rng.normal(size=(6, n)), rng.integers(0, 4, (6, n)) / 3 + rng.normal(size=(6, n)) * 4e-10, rng.normal(size=(6, n)) * 1e7):
+            s[rng.random(s.shape) < 0.1] = -np.inf
+            lims = rng.integers(0, 15, 6)
+            got = sorted((int(r), int(c), int(p)) for found in blocks._top_of_rows(np, s, lims) for r, c, p in zip(*found))
+            want = []
+            for r in range(6):
+                best = sorted(np.flatnonzero(s[r] > -np.inf), key=lambda c: (-np.round(s[r, c], blocks.DIGITS), c))[: lims[r]]
+                want += [(r, int(c), p + 1) for p, c in enumerate(best)]
+            assert got == sorted(want)
