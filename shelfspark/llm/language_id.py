@@ -44,6 +44,8 @@ NO_LANGUAGE = "und"
 NO_LANGUAGE_PRIOR = 0.01
 SMOOTHING = 20.0
 _PIECE = 1 << 21
+#: Texts that a task holds as Python strings.
+TOGETHER = 256
 
 #: Country codes with one main language.
 SUFFIX_LANGUAGE = {
@@ -166,7 +168,7 @@ def identify(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)):
             texts = batch.column(1).to_pylist()
             means, sizes = score(texts, tables)
             digests = pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())
