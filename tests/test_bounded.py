@@ -92,3 +92,16 @@ def test_text_ids_and_nothing(spark):
     assert got == {("a", 1): "i0", ("a", 2): "i12", ("b", 1): "i0", ("b", 2): "i1"}
     assert bounded.top(queries.limit(0), items, 2).count() == 0
     assert bounded.top(queries, items.limit(0), 2).count() == 0
+
+
+def test_parts_are_merged_after_the_shuffle(spark):
+    """Plain arrays of ids and scores cross the shuffle, not an entry of three numbers for each item."""
+    parts = spark.createDataFrame(
+        [(1, [5, 3], [0.5, 0.25], 0.0, 0.5), (1, [2, 9], [0.5, 0.1], -0.5, 0.5), (2, [], [], 0.0, 0.0)],
+        "query int, items array<bigint>, scores array<double>, lo double, hi double",
+    )
+    merged = bounded._merged(parts, 3)
+    found = {r["query"]: ([(e["item"], e["score"]) for e in r.best], r.lo, r.hi) for r in merged.collect()}
+    assert found == {1: ([(2, 0.5), (5, 0.5), (3, 0.25)], -0.5, 0.5), 2: ([], 0.0, 0.0)}
+    below = merged._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+    assert "zip_with" not in below and "arrays_zip" not in below
