@@ -285,3 +285,82 @@ def top(
     if not more.isEmpty():
         parts = parts.unionByName(_scored(more, asked, blocks, exclude, k, exclude_self, True))
     return listed(parts)
+
+
+def places(queries: DataFrame, items: DataFrame, asked: DataFrame, exclude: DataFrame | None = None, block_runs: int | None = None, run: int = RUN) -> DataFrame:
+    """(query, item, rank): which place each asked (query, item) has in the whole list of its query by dot, without the list.
+
+    What comes before a pair is counted by run: a cell of (queries, block of runs) holds the
+    scores of its runs and emits one number for each asked pair. ``asked`` holds none of ``exclude``.
+    """
+    last = items.agg(F.max(F.array_max("dims"))).first()[0] or 0
+    blocks = run_blocks(items, block_runs or max(BLOCK_RUNS, min(16_384, CELL // (4 * (int(last) + 1)))), run)
+    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    # a dim that an item names twice counts once, with its largest weight, as in the runs
+    weight = F.array_max(F.transform(F.filter(F.arrays_zip("dims", "weights"), lambda e: e["dims"] == F.col("d")), lambda e: e["weights"]))
+    entries = items.select(F.col("id").alias("item"), "dims", "weights", F.explode(F.array_distinct("dims")).alias("d")).select("item", F.col("d").alias("dim"), weight.alias("w"))
+    vectors = queries.select(F.col("id").alias("query"), F.map_from_arrays("dims", "weights").alias("m"))
+    pairs = asked.select("query", "item").distinct()
+    by_dim = pairs.join(entries, "item").join(vectors, "query").select("query", "item", (F.col("w") * F.coalesce(F.try_element_at("m", "dim"), F.lit(0.0))).alias("s"))
+    scores = by_dim.groupBy("query", "item").agg(F.sum("s").alias("s"))
+    wanted = scores.groupBy("query").agg(F.collect_list(F.struct("item", "s")).alias("a"))
+    left = wanted.join(queries.withColumnRenamed("id", "query").select("query", "dims", "weights"), "query").select(
+        "query", "dims", "weights", F.col("a.item").alias("items"), F.col("a.s").alias("scores")
+    )
+    left = cut_lineage(left, "asked")
+    parts = max(1, min(block_count(left.count(), 64), 4 * _parallelism(queries)))
+    kind_q, kind_i = dict(queries.dtypes)["id"], dict(blocks.dtypes)["first"]
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    if exclude is not None:
+        names = exclude.columns
+        there = exclude.select(F.col(names[0]).alias("query"), F.col(names[1]).alias("skip")).distinct().join(blocks.select(F.explode("ids").alias("skip"), "block"), "skip")
+        # one row for each (query, block): a list is never longer than the block
+        left = left.join(there.groupBy("query", "block").agg(F.collect_list("skip").alias("hide")), ["query", "block"], "left")
+    else:
+        left = left.withColumn("hide", F.lit(None).cast(f"array<{kind_i}>"))
+    left = left.withColumn("part", block_of("query", parts))
+    right = blocks.select("block", "n", "ids", "dims", "weights").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def count(key, lpdf, rpdf):
+        import numpy as np
+        import pandas as pd
+
+        names = ["query", "item", "before"]
+        if not len(lpdf) or not len(rpdf):
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        qid, ids, many = lpdf["query"].to_numpy(), list(rpdf["ids"]), rpdf["n"].to_numpy()
+        r_at, r_dim, r_val = _entries(np, rpdf)
+        q_at, q_dim, q_val = _entries(np, lpdf)
+        dims = np.unique(r_dim)
+        right = _dense(np, r_at, r_dim, r_val, len(ids), dims).T if len(dims) else np.zeros((0, len(ids)))
+        flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), many)
+        by_id = np.argsort(flat, kind="stable")
+        flat, of = flat[by_id], of[by_id]
+        out = []
+        step = max(1, CELL // (len(dims) + 4 * len(ids)))
+        for at in range(0, len(qid), step):
+            end = min(len(qid), at + step)
+            m = slice(*np.searchsorted(q_at, [at, end]))
+            s = (_dense(np, q_at[m] - at, q_dim[m], q_val[m], end - at, dims) if len(dims) else np.zeros((end - at, 0))) @ right
+            ranked = np.round(s, DIGITS)
+            order = np.argsort(-ranked, axis=1, kind="stable")
+            falling = -np.take_along_axis(ranked, order, 1)
+            upto = np.c_[np.zeros(end - at, np.int64), np.cumsum(many[order], axis=1)]
+            for n, (own, goal, gone) in enumerate(zip(lpdf["items"][at:end], lpdf["scores"][at:end], lpdf["hide"][at:end])):
+                goal = -np.round(np.asarray(goal, float), DIGITS)
+                low, high = np.searchsorted(falling[n], goal, "left"), np.searchsorted(falling[n], goal, "right")
+                before = upto[n][low]
+                for i, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
+                    for r in order[n, a:b]:
+                        before[i] += np.searchsorted(ids[r], own[i], "left")
+                if gone is not None:
+                    gone = np.asarray(gone, dtype=flat.dtype)
+                    lost = -ranked[n, of[np.searchsorted(flat, gone)]]
+                    before -= ((lost < goal[:, None]) | ((lost == goal[:, None]) & (gone < np.asarray(own, dtype=flat.dtype)[:, None]))).sum(axis=1)
+                out.append((np.repeat(qid[at + n], len(own)), own, before))
+        return _frame(pd, names, map(np.concatenate, zip(*out)))
+
+    n_cells = cell_tasks(parts * n_blocks)
+    cells = left.repartition(n_cells, "block", "part").groupBy("block", "part").cogroup(_renewed(right).repartition(n_cells, "block", "part").groupBy("block", "part"))
+    counts = cells.applyInPandas(count, f"query {kind_q}, item {kind_i}, before long")
+    return counts.groupBy("query", "item").agg((F.sum("before") + 1).alias("rank"))

@@ -105,3 +105,15 @@ def test_parts_are_merged_after_the_shuffle(spark):
     assert found == {1: ([(2, 0.5), (5, 0.5), (3, 0.25)], -0.5, 0.5), 2: ([], 0.0, 0.0)}
     below = merged._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
     assert "zip_with" not in below and "arrays_zip" not in below
+
+
+@pytest.mark.parametrize("few", [4, 500])
+def test_places_equal_scan(spark, few):
+    """Ranks of asked pairs, of which the list itself is never made."""
+    queries, items = vectors(20, 1, signed=True), vectors(150, 2, signed=True, patterns=30)
+    skip = {(q, i) for q in range(0, 20, 2) for i in range(0, 150, 3)}
+    asked = [(q, i) for q in range(20) for i in range(q % 3, 150, 7) if (q, i) not in skip]
+    frames = [spark.createDataFrame(x, k) for x, k in ((queries, KIND), (items, KIND), (asked, "query long, item long"), (sorted(skip), "q long, i long"))]
+    got = {(r["query"], r["item"]): r["rank"] for r in bounded.places(*frames, block_runs=few, run=4).collect()}
+    wanted = scan(queries, items, len(items), False, skip)
+    assert got == {(q, i): wanted[q][0].index(i) + 1 for q, i in asked}

@@ -187,6 +187,20 @@ def test_hybrid_switch_small_history(spark):
     assert rows(got, "user_id", "rank", "item_id") == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
 
 
+def test_hybrid_heads_hold_the_best():
+    """Whatever the ranks are, an item outside both heads is behind the k best."""
+    rng = random.Random(5)
+    for k, alpha in ((1, 0.7), (10, 0.7), (10, 0.2), (25, 0.95)):
+        content, cf = recommend.hybrid_heads(k, alpha)
+        n = 4 * content + cf
+        for _ in range(20):
+            places = list(range(1, n + 1))
+            rng.shuffle(places)
+            score = [alpha / (c + 1) + (1 - alpha) / f for c, f in enumerate(places)]
+            best = sorted(range(n), key=lambda c: (-score[c], c))[:k]
+            assert all(c < content or places[c] <= cf for c in best)
+
+
 def test_explore_keeps_slate_size(spark):
     slates = spark.createDataFrame([(u, i, i) for u in (1, 2) for i in range(1, 6)], "user_id bigint, item_id bigint, rank int")
     seen = spark.createDataFrame([(1, i) for i in range(6, 18)], "user_id bigint, item_id bigint")
