@@ -361,3 +361,14 @@ def test_top_of_rows():
                 best = sorted(np.flatnonzero(s[r] > -np.inf), key=lambda c: (-np.round(s[r, c], blocks.DIGITS), c))[: lims[r]]
                 want += [(r, int(c), p + 1) for p, c in enumerate(best)]
             assert got == sorted(want)
+
+
+def test_only_raters_that_count_are_sent(spark):
+    """A rater goes to the target blocks that share a dim with it and ask for one of its columns, long rows in pieces to all."""
+    e = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3), (3, 2), (4, 8), (4, 3), (5, 9)], "row long, dim long").withColumns({"value": F.lit(1.0), "norm": F.lit(1.0)})
+    ask = spark.createDataFrame([(1, 3), (1, 9)], "row long, dim long")
+    marked = blocks._with_blocks(e, e.filter("row = 1"), ask, 7, False)
+    assert rows(blocks._row_pieces(marked, 1, True), "row") == [(2,)]
+    assert rows(blocks._row_pieces(marked, 3, True).select("row").distinct()) == [(1,), (2,), (3,), (4,), (5,)]
+    packed = blocks._row_pieces(e, 1).collect()
+    assert sorted((r["row"], sorted(r["dims"]), len(r["values"])) for r in packed) == [(1, [1, 2], 2), (2, [1, 3], 2), (3, [2], 1), (4, [3, 8], 2), (5, [9], 1)]
