@@ -108,8 +108,11 @@ def _finished(scored: DataFrame, k: int) -> Column:
     return ranked.agg(F.collect_list(F.struct("pos", "mal_id"))).scalar()
 
 
-def relevance_sets(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame:
-    """(id, intent_no, item): the relevant items per question; multi-intent rows have one set per genre."""
+def relevance_parts(golden: DataFrame, cat: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The relevant items per question without the product of multi-intent questions and their genres' items.
+
+    (id, intent_no, item) of all other questions, (id, intent_no, token) of the multi-intent ones, and (token, item).
+    """
     titles, g = _routed_once(golden, cat)
     zero = F.lit(0).alias("intent_no")
     named = g.join(titles, "id").filter(
@@ -127,10 +130,36 @@ def relevance_sets(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame:
     ).select("id", "intent_no", F.col("f.mal_id").alias("item"))
     tokens = g.filter("route = 'multi'").select("id", F.posexplode(text.genre_tokens(F.col("entities"))).alias("n", "token"))
     every = catalog.genre_top(cat, tokens.select("token").distinct(), None)
-    multi = tokens.join(every.select("token", "mal_id"), "token").select(
-        "id", (F.col("n") + 1).alias("intent_no"), F.col("mal_id").alias("item")
-    )
-    return reduce(DataFrame.unionByName, [named, similar, by_genre, finished, multi]).distinct()
+    direct = reduce(DataFrame.unionByName, [named, similar, by_genre, finished]).distinct()
+    asked = tokens.select("id", (F.col("n") + 1).alias("intent_no"), "token").distinct()
+    return direct, asked, every.select("token", F.col("mal_id").alias("item")).distinct()
+
+
+def relevance_sets(golden: DataFrame, cat: DataFrame, k: int = 3) -> DataFrame:
+    """(id, intent_no, item): the relevant items per question; multi-intent rows have one set per genre."""
+    direct, asked, listed = relevance_parts(golden, cat, k)
+    multi = asked.join(listed, "token").select("id", "intent_no", "item")
+    return direct.unionByName(multi).distinct()
+
+
+def mixed_lists(direct: DataFrame, asked: DataFrame, listed: DataFrame, others: DataFrame, order: Column, k: int) -> DataFrame:
+    """(query, item, rank): the first ``k`` of each question's relevant items and ``others`` (id, item) by (``order``, item).
+
+    Of a genre no more than its own first k can be among them, so only these meet the questions.
+    """
+    w = W.partitionBy("token").orderBy(order, "item")
+    heads = listed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    multi = asked.join(heads, "token").select("id", "item")
+    pool = direct.select("id", "item").unionByName(multi).unionByName(others.select("id", "item")).distinct()
+    ranked = pool.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(order, "item")))
+    return ranked.filter(F.col("rank") <= k).withColumnRenamed("id", "query")
+
+
+def listed_intents(asked: DataFrame, listed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query, intent, item): every intent that has items, with those of its items that are on its question's list, or with null."""
+    some = asked.join(listed.select("token").distinct(), "token", "left_semi").withColumnsRenamed({"id": "query", "intent_no": "intent"})
+    met = some.join(ranked.select("query", "item"), "query").join(listed, ["token", "item"], "left_semi").select("query", "intent", "item")
+    return some.select("query", "intent").join(met, ["query", "intent"], "left").select("query", "intent", "item")
 
 
 def golden_genres(golden: DataFrame, cat: DataFrame) -> DataFrame:

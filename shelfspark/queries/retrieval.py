@@ -316,13 +316,13 @@ SELECT * FROM s, mi, tm"""))
 def benchmark_report(spark, d):
     """Lists mix each question's relevant items with ten others; latencies are the event values."""
     g = tables.golden(spark, d)
-    rel = cut_lineage(gold.relevance_sets(g, cat_once(spark, d)), "relevant")
+    direct, asked, listed = (cut_lineage(x, "relevant") for x in gold.relevance_parts(g, cat_once(spark, d)))
     others = g.select("id", F.explode(F.sequence(F.col("id"), F.col("id") + 9)).alias("item"))
     known = tables.table(spark, d, "part").select(F.col("p_partkey").alias("item"))
-    pool = rel.select("id", "item").unionByName(others.join(known, "item", "left_semi").select("id", "item")).distinct()
-    w = W.partitionBy("id").orderBy(F.col("item") * 31 % 17, "item")
-    ranked = pool.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").withColumnRenamed("id", "query")
-    relevant = rel.select(F.col("id").alias("query"), "item").distinct()
-    intents = rel.filter("intent_no > 0").select(F.col("id").alias("query"), F.col("intent_no").alias("intent"), "item")
+    ranked = gold.mixed_lists(direct, asked, listed, others.join(known, "item", "left_semi"), F.col("item") * 31 % 17, 10)
+    ranked = cut_lineage(ranked, "ranked")
+    # only single-intent questions are judged by their relevant items, and none of them has a set per genre
+    relevant = direct.select(F.col("id").alias("query"), "item").distinct()
+    intents = gold.listed_intents(asked, listed, ranked)
     latency = tables.table(spark, d, "events").select(F.col("value").alias("ms"))
     return metrics.benchmark_report(g.select(F.col("id").alias("query"), "intent"), ranked, relevant, intents, latency)

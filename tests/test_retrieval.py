@@ -217,3 +217,25 @@ def test_index_of_one_file_is_spread(spark, tmp_path):
     cat = spark.read.parquet(str(tmp_path / "cat"))
     points = op.index_incremental(cat, spark.createDataFrame([(3,)], "mal_id bigint"))
     assert points.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and points.count() == 19
+
+
+def test_mixed_lists_need_no_product(spark):
+    """Lists and intents of multi-intent questions from the genres' lists equal those from all pairs."""
+    direct = spark.createDataFrame([(1, 0, 4), (1, 0, 90)], "id long, intent_no int, item long")
+    asked = spark.createDataFrame([(2, 1, "a"), (2, 2, "b"), (3, 1, "b"), (3, 2, "none")], "id long, intent_no int, token string")
+    listed = spark.createDataFrame([("a", i) for i in range(0, 80, 2)] + [("b", i) for i in range(0, 80, 5)], "token string, item long")
+    others = spark.createDataFrame([(1, 7), (2, 3), (2, 4), (3, 9)], "id long, item long")
+    order = F.col("item") * 31 % 17
+    got = gold.mixed_lists(direct, asked, listed, others, order, 6)
+    every = direct.unionByName(asked.join(listed, "token").select("id", "intent_no", "item"))
+    pool = {}
+    for q, i in rows(every.select("id", "item").union(others)):
+        pool.setdefault(q, set()).add(i)
+    want = [(q, n, i) for q in sorted(pool) for n, i in enumerate(sorted(pool[q], key=lambda i: (i * 31 % 17, i))[:6], 1)]
+    assert rows(got, "query", "rank", "item") == want
+    intents = gold.listed_intents(asked, listed, got)
+    assert intents.count() < every.filter("intent_no > 0").count()
+    whole = every.filter("intent_no > 0").select(F.col("id").alias("query"), F.col("intent_no").alias("intent"), "item")
+    from shelfspark.operators import metrics
+
+    assert rows(metrics.intent_recall(got, intents)) == rows(metrics.intent_recall(got, whole))
