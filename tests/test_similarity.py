@@ -372,3 +372,13 @@ def test_only_raters_that_count_are_sent(spark):
     assert rows(blocks._row_pieces(marked, 3, True).select("row").distinct()) == [(1,), (2,), (3,), (4,), (5,)]
     packed = blocks._row_pieces(e, 1).collect()
     assert sorted((r["row"], sorted(r["dims"]), len(r["values"])) for r in packed) == [(1, [1, 2], 2), (2, [1, 3], 2), (3, [2], 1), (4, [3, 8], 2), (5, [9], 1)]
+
+
+def test_profiles_of_many_tasks(spark, monkeypatch):
+    seen = spark.createDataFrame([(u, i) for u in range(6) for i in range(u, 20, 3)], "user_id long, item_id long")
+    entries = spark.createDataFrame([(i, f"d{i % 4}", 0.5) for i in range(20) if i != 7], "mal_id long, dim string, weight double")
+    plain = rows(recommend.user_profile(seen, entries))
+    monkeypatch.setattr(recommend, "PROFILE_ROWS", 5)
+    dealt = recommend.user_profile(seen, entries)
+    assert rows(dealt) == plain
+    assert dealt.rdd.getNumPartitions() >= 8
