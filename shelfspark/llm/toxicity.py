@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from math import comb
 
 import numpy as np
@@ -66,8 +66,9 @@ _LETTERS = 64
 #: Numbers of the marks; 0 is no letter.
 _START, _END = _LETTERS - 2, _LETTERS - 1
 _OPEN, _CLOSE = "\x02", "\x03"
-#: Longer words are read in pieces that overlap by a window; cells of a block of words.
+#: Longer words are read in pieces that overlap by a window; cells of a block of words, and of the windows compared at once.
 _PIECE = 4096
+_BLOCK = 1 << 18
 _CELLS = 1 << 16
 #: Characters of the texts whose new words are compared at once.
 _GROUP = 1 << 22
@@ -94,9 +95,12 @@ def collapsed(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
-def numbers(words_: list[str]) -> np.ndarray:
-    """Numbers of the letters of words of one length, marks as they are."""
-    points = np.frombuffer("".join(words_).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words_), -1)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def numbers(points: np.ndarray) -> np.ndarray:
+    """Numbers of the letters with these code points, marks as they are."""
     found = (1 + points % (_LETTERS - 3)).astype(np.uint8)
     found[points == ord(_OPEN)] = _START
     found[points == ord(_CLOSE)] = _END
@@ -105,7 +109,7 @@ def numbers(words_: list[str]) -> np.ndarray:
 
 def marked(word: str) -> np.ndarray:
     """Numbers of the letters between two marks, a run of one letter once."""
-    return numbers([_OPEN + collapsed(word) + _CLOSE])[0]
+    return numbers(_points(_OPEN + collapsed(word) + _CLOSE))
 
 
 def run_marks(word: str) -> np.ndarray:
@@ -118,6 +122,7 @@ def strength(kernel_: float) -> float:
     return (kernel_ - LEAST) / (1 - LEAST)
 
 
+@lru_cache(256)
 def _gaps(n: int) -> np.ndarray:
     """Weight of the letters between two places, for the earlier places of each place."""
     behind = np.arange(n)[:, None] - np.arange(n)
@@ -167,9 +172,16 @@ def held(some: np.ndarray, other: np.ndarray) -> np.ndarray:
     return count / comb(m, 3)
 
 
+def _bits(some: np.ndarray) -> np.ndarray:
+    return np.left_shift(np.uint64(1), some.astype(np.uint64))
+
+
 def _has(some: np.ndarray) -> np.ndarray:
     """The letters of each row as bits, without marks."""
-    bits = np.left_shift(np.uint64(1), some.astype(np.uint64))
+    return _had(_bits(some))
+
+
+def _had(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1) & np.uint64((1 << _START) - 2)
 
 
@@ -199,9 +211,40 @@ class Landmark:
         self.has = _has(self.letters)[0]
         # a word with fewer of its letters has too few of its subsequences to reach LEAST
         self.need = -(-2 * int(self.has).bit_count() // 3)
-
-    def near(self, some: np.ndarray, size: int, has: np.ndarray | None = None, where: np.ndarray | None = None) -> np.ndarray:
-        """How close each row is: a word of ``size`` letters and marks, or a piece of one.
+        often = np.unique(self.letters[0, 1:-1], return_counts=True)[1]
+        self.held = np.cumsum([0, *sorted(often.tolist(), reverse=True)]).tolist()  # places that so many letters hold at most
+        self.needs = lru_cache(1024)(self._needs)
+
+    def least_share(self, most: float, width: int, least: float) -> float:
+        """The share of a part of the landmark below which a window is farther than ``least``."""
+        cosine = most / np.sqrt(self.own * _plain(width))
+        share = least / cosine ** (1 / 3)
+        return (share if share * cosine <= 1 else least**1.5) * (1 - 1e-4)  # the kernel is in 32 bits
+
+    def _letters_needed(self, most: float, marks: int, width: int, least: float) -> int:
+        """How many letters of the landmark a window has at least whose share of a part with so many marks reaches ``least``."""
+        if most <= 0:
+            return _LETTERS + 1
+        goal = self.least_share(most, width, least) * comb(self.size + marks, 3)
+        return max(self.need, next((n for n, places in enumerate(self.held) if comb(places + marks, 3) >= goal), _LETTERS + 1))
+
+    def _needs(self, n: int, least: float) -> tuple[int, list[tuple[int, np.ndarray]]]:
+        """For rows of ``n``: the letters that a row needs, and that the windows of each width need at each place."""
+        out = []
+        for width in sorted({min(n, w) for w in (self.size, self.size + 1, self.whole)}):
+            parts = ((self.inner, 0), (self.start, 1), (self.end, 1), (self.own, 2))
+            inner, start, end, own = (self._letters_needed(most, marks, width, least) for most, marks in parts)
+            places = np.full(n - width + 1, inner)
+            places[0], places[-1] = min(inner, start), min(inner, end)
+            if n == width:
+                places[0] = min(inner, start, end, own)
+            out.append((width, places))
+        return min(int(places.min()) for _, places in out), out
+
+    def near(
+        self, some: np.ndarray, has: np.ndarray | None = None, bits: np.ndarray | None = None, where: np.ndarray | None = None, least: float = LEAST
+    ) -> np.ndarray:
+        """How close each row is: a word with its marks, or a piece of one. What is farther than ``least`` may count as nothing.
 
         ``where`` takes the start and the end of the part of the row that is so close.
         """
@@ -209,25 +252,27 @@ class Landmark:
         out = np.zeros(len(some))
         if where is not None:
             where[:] = 0, some.shape[1]
-        at = np.flatnonzero(np.bitwise_count(has & self.has) >= self.need)
+        need, widths = self.needs(some.shape[1], least)
+        at = np.flatnonzero(np.bitwise_count(has & self.has) >= need)
         if not len(at):
             return out
-        bits = np.left_shift(np.uint64(1), some[at].astype(np.uint64))
-        for width in sorted({min(some.shape[1], w) for w in (self.size, self.size + 1, self.whole)}):
-            wide = _slides(some[at], width)
-            slid = _joined(bits, width)
-            row, place = np.nonzero(np.bitwise_count(slid & np.uint64(self.has)) >= self.need)
+        letters_ = (_bits(some) if bits is None else bits)[at] & self.has
+        for width, needs in widths:
+            row, place = np.nonzero(np.bitwise_count(_joined(letters_, width)) >= needs)
+            if not len(row):
+                continue
+            wide = _slides(some, width)
             for i in range(0, len(row), _CELLS // width):
-                few, there = row[i : i + _CELLS // width], place[i : i + _CELLS // width]
-                value = self._window(wide[few, there])
-                for j in np.flatnonzero(value > out[at[few]]).tolist():
-                    if value[j] > out[at[few[j]]]:
-                        out[at[few[j]]] = value[j]
+                few, there = at[row[i : i + _CELLS // width]], place[i : i + _CELLS // width]
+                value = self._window(wide[few, there], least)
+                for j in np.flatnonzero(value > out[few]).tolist():
+                    if value[j] > out[few[j]]:
+                        out[few[j]] = value[j]
                         if where is not None:
-                            where[at[few[j]]] = there[j], there[j] + width
+                            where[few[j]] = there[j], there[j] + width
         return out
 
-    def _window(self, some: np.ndarray) -> np.ndarray:
+    def _window(self, some: np.ndarray, least: float) -> np.ndarray:
         """How close windows are, of which some have a mark at one end or at both."""
         first, last = some[:, 0] == _START, some[:, -1] == _END
         out = np.zeros(len(some))
@@ -236,13 +281,13 @@ class Landmark:
             (~first & ~last, slice(1, -1), self.inner),
         ):
             if some_of.any() and most > 0:
-                out[some_of] = self._scaled(some[some_of], most, self.letters[0, part])
+                out[some_of] = self._scaled(some[some_of], most, self.letters[0, part], least)
         return out
 
-    def _scaled(self, some: np.ndarray, most: float, part: np.ndarray) -> np.ndarray:
+    def _scaled(self, some: np.ndarray, most: float, part: np.ndarray, least: float) -> np.ndarray:
         """``part`` of the landmark is what such rows can share, ``most`` its kernel with itself."""
         share = shared(some, part[None]) / most
-        out, at = np.zeros(len(some)), np.flatnonzero(share >= LEAST**1.5)
+        out, at = np.zeros(len(some)), np.flatnonzero(share >= max(LEAST**1.5, self.least_share(most, some.shape[1], least)))
         if len(at):
             share = np.minimum(share[at], held(some[at], part))
             cosine = share * most / np.sqrt(self.own * _plain(some.shape[1]))
@@ -251,15 +296,31 @@ class Landmark:
         return out
 
 
-def _pieces(word: str, overlap: int) -> list[tuple[int, str]]:
-    """Pieces of a word with their starts."""
-    return [(i, word[i : i + _PIECE + overlap]) for i in range(0, max(1, len(word) - overlap), _PIECE)]
+def _grids(words_: list[str], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of pieces of one length of the marked words, a run of one letter once: letters, places of the words, starts in them."""
+    points = _points("".join([_OPEN + w + _CLOSE for w in words_]))
+    once = np.r_[True, points[1:] != points[:-1]]
+    flat = numbers(points[once])
+    sizes = np.fromiter(map(len, words_), np.int64, len(words_)) + 2
+    sizes = np.add.reduceat(once, np.cumsum(sizes) - sizes, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    # longer words in pieces
+    parts = np.maximum(1, -(-(sizes - overlap) // _PIECE))
+    word = np.repeat(np.arange(len(words_)), parts)
+    start = (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)) * _PIECE
+    size = np.minimum(sizes[word] - start, _PIECE + overlap)
+    order = np.argsort(size, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        n = int(size[some[0]])
+        step = max(1, _BLOCK // n)
+        for at in range(0, len(some), step):
+            few = some[at : at + step]
+            yield flat[(first[word[few]] + start[few])[:, None] + np.arange(n)], word[few], start[few]
 
 
 def kernel(a: str, b: str) -> float:
     """Of a word with a landmark."""
-    word = marked(a)
-    return float(Landmark(b).near(word[None], len(word))[0])
+    return float(Landmark(b).near(marked(a)[None], least=0.0)[0])
 
 
 def _groups(some: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -296,31 +357,27 @@ class Landmarks:
     def learn(self, tokens: list[str]) -> dict[str, tuple[float, ...]]:
         """For each token its part of a text's map, nothing where no landmark is close; words of one length at once."""
         found: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}  # strength, letters and runs of the closest part
-        by_size: dict[int, list[tuple[str, int, str, int]]] = {}
+        of_word: dict[str, list[str]] = {}
         for token in tokens:
             word = token if token.isalnum() else letters(token)
             if len(word) >= 3:
-                word = _OPEN + collapsed(word) + _CLOSE
-                for start, piece in _pieces(word, self.overlap):
-                    by_size.setdefault(len(piece), []).append((token, len(word), piece, start))
-        for size, parts in by_size.items():
-            step = max(1, _CELLS // size)
-            for at in range(0, len(parts), step):
-                block = parts[at : at + step]
-                grid = numbers([p for _, _, p, _ in block])
-                whole = max(n for _, n, _, _ in block)
-                has = _has(grid)
-                best, place, where = np.zeros(len(block)), np.zeros((len(block), 2), int), np.zeros((len(block), 2), int)
-                for mark in self.marks:
-                    near = mark.near(grid, whole, has, where)
-                    closer = near > best
-                    best[closer], place[closer] = near[closer], where[closer]
-                for i in np.flatnonzero(best >= LEAST).tolist():
-                    token, _, _, start = block[i]
-                    if token not in found or found[token][0] < best[i]:
-                        low, high = place[i].tolist()
-                        found[token] = best[i], grid[i, low:high], run_marks(letters(token))[start + low : start + high]
-        return {**dict.fromkeys(tokens, ()), **self._mapped(found)}
+                of_word.setdefault(word, []).append(token)
+        whole = list(of_word)
+        for grid, word, start in _grids(whole, self.overlap) if whole else ():
+            bits = _bits(grid)
+            has = _had(bits)
+            best, place, where = np.zeros(len(grid)), np.zeros((len(grid), 2), int), np.zeros((len(grid), 2), int)
+            for mark in self.marks:
+                near = mark.near(grid, has, bits, where)
+                closer = near > best
+                best[closer], place[closer] = near[closer], where[closer]
+            for i in np.flatnonzero(best >= LEAST).tolist():
+                name = whole[word[i]]
+                if name not in found or found[name][0] < best[i]:
+                    low, high = place[i].tolist()
+                    found[name] = best[i], grid[i, low:high], run_marks(name)[start[i] + low : start[i] + high]
+        mapped = self._mapped(found)
+        return {**dict.fromkeys(tokens, ()), **{t: part for w, part in mapped.items() for t in of_word[w]}}
 
     def _mapped(self, found: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> dict[str, tuple[float, ...]]:
         """The map of each part, scaled to its strength; parts of one length at once."""
@@ -340,17 +397,18 @@ class Landmarks:
         out = np.zeros((len(some), len(self.chosen)))
         for at, group in _groups(some):
             tokens = [words(t) for t in group]
-            near = [list(map(self.known.young.get, ts)) for ts in tokens]
-            missing = {t for ts, ns in zip(tokens, near, strict=True) if None in ns for t, n in zip(ts, ns, strict=True) if n is None}
-            if missing:
-                held = {t: n for t in missing if (n := self.known.old.get(t)) is not None}
-                found = {**held, **self.learn([t for t in missing if t not in held])}
-                for t, n in found.items():
-                    self.known.put(t, n)
-            for i, (ts, ns) in enumerate(zip(tokens, near, strict=True), at):
-                hits = [found[t] if n is None else n for t, n in zip(ts, ns, strict=True)] if None in ns else ns
-                for part in filter(None, hits):
-                    out[i] += part
+            young, old = self.known.young, self.known.old
+            seen = set().union(*tokens)
+            missing = seen.difference(young)
+            held = {t: n for t in missing if (n := old.get(t)) is not None}
+            found = {**held, **self.learn([t for t in missing if t not in held])}
+            close = {t: n for t in seen if (n := young.get(t) or found.get(t))}
+            for t, n in found.items():
+                self.known.put(t, n)
+            for i, ts in enumerate(tokens, at):
+                if not close.keys().isdisjoint(ts):
+                    for part in filter(None, map(close.get, ts)):
+                        out[i] += part
         size = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
         return out * (np.log1p(size) / size)
 
@@ -388,7 +446,7 @@ def choose_landmarks(candidates: list[str], most: int = LANDMARKS) -> list[str]:
     marks: list[Landmark] = []
     for word in candidates:
         mine = marked(word)[None]
-        if all(m.near(mine, mine.shape[1])[0] < APART for m in marks):
+        if all(m.near(mine, least=min(APART, LEAST))[0] < APART for m in marks):
             chosen.append(word)
             marks.append(Landmark(word))
         if len(chosen) == most:

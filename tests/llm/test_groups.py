@@ -536,6 +536,26 @@ def test_kernel_is_tolerant():
         assert toxicity.kernel(clean, word) < toxicity.LEAST
 
 
+def test_toxicity_compares_only_windows_that_can_be_close(monkeypatch):
+    """op8: of random words few windows have enough of a landmark's letters; what is close stays as close as by all windows."""
+    draw, landmarks = random.Random(8), ["worthless", "stupid", "idiot", "moron", "eeriness"]
+    some = ["".join(draw.choice("wortheslupidmn") for _ in range(draw.randint(3, 14))) for _ in range(3000)]
+    for word in landmarks:
+        at = [(draw.randrange(len(word)), draw.choice("wortheslupidmn")) for _ in range(40)]
+        some += [word, word * 2, "x" + word, word + "s", "x".join(word), f"some{word}thing", *(word[:i] + c + word[i:] for i, c in at), *(word[:i] + c + word[i + 1 :] for i, c in at)]
+    some.append("o" * 9 + "abc" * 2000 + "worthless" + "abc" * 700)
+    rows, shared = [], toxicity.shared
+    machine = toxicity.Landmarks(landmarks)
+    monkeypatch.setattr(toxicity, "shared", lambda some, *more: rows.append(len(some)) or shared(some, *more))
+    found = machine.learn(sorted(set(some)))
+    assert sum(rows) < 9_000
+    for token in sorted(set(some[::7] + some[3000:-1])):
+        best = max(toxicity.kernel(token, w) for w in landmarks)
+        if abs(best - toxicity.LEAST) > 1e-4:
+            assert math.hypot(*found[token]) == pytest.approx(toxicity.strength(best) if best >= toxicity.LEAST else 0, abs=1e-4), token
+    assert math.hypot(*found[some[-1]]) > 0.4
+
+
 def test_toxicity_sees_inserted_letters(spark):
     some, labels = [], []
     for i in range(600):
