@@ -50,6 +50,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+PART_BYTES = 1 << 20  # windows of a bucket that are compared at a time: sorting takes many times their bytes
 _CHUNK = 64  # starts of one window at most
 _LAST = np.iinfo(np.int64).max  # stands for a missing id
 _U = np.uint64
@@ -394,12 +395,12 @@ def _find(length: int):
             uids, parts = [], []
             for _, uid, _, payload in lines:
                 data, size, low, local, start, docs, ids = _unpack(payload, np.uint8, np.uint8, np.uint32, np.int32, np.int32, np.int32, np.int64)
-                parts.append((data, size, low, docs[local], start, ids[local], np.full(len(size), len(uids))))
+                parts.append((data, size, low, docs[local], start, ids[local], np.full(len(size), len(uids), np.int32)))
                 uids.append(uid)
             data, size, low, doc, start, owner, block = (np.concatenate(c) for c in zip(*parts, strict=True))
             del parts
             size = size.astype(np.int64)
-            row, first, many = _marked(data, np.cumsum(size) - size, size, low.astype(_U), owner, length)
+            row, first, many = _marked_in_parts(data, np.cumsum(size) - size, size, low.astype(_U), owner, length)
             if not len(row):
                 continue
             order = np.argsort(block[row], kind="stable")
@@ -445,6 +446,74 @@ def _marked(data: np.ndarray, at: np.ndarray, size: np.ndarray, names: np.ndarra
     )
 
 
+def _marked_in_parts(
+    data: np.ndarray, at: np.ndarray, size: np.ndarray, names: np.ndarray, owner: np.ndarray, length: int, most: int = PART_BYTES
+) -> tuple[np.ndarray, ...]:
+    """The bytes that ``_marked`` finds, overlapping ones as one, for names with about ``most`` bytes of windows at a time."""
+    order = np.argsort(names, kind="stable")
+    upto = np.concatenate([[0], np.cumsum(size[order])])
+    heads = np.flatnonzero(np.diff(names[order], prepend=~names[order[:1]]))
+    ends = np.append(heads[1:], len(order))
+    found, i = [], 0
+    while i < len(heads):
+        done = upto[heads[i]]
+        j = max(i + 1, int(np.searchsorted(upto[ends], done + most, side="right")))
+        part = order[heads[i] : ends[j - 1]]
+        if upto[ends[j - 1]] - done > most:  # one name
+            row, first, many = _marked_strings(data, at[part], size[part], owner[part], length, most)
+        else:
+            sizes = size[part]
+            row, first, many = _marked(_gather(data, at[part], sizes), np.cumsum(sizes) - sizes, sizes, names[part], owner[part], length)
+            row, first, end = _spans(row, first, first + many)
+            many = end - first
+        found.append((part[row], first, many))
+        i = j
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _marked_strings(data: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int, most: int) -> tuple[np.ndarray, ...]:
+    """As ``_marked`` for the windows of a frequent name, which share little but the name: their strings of ``length`` bytes in order of their hashes.
+
+    Equal strings stand side by side, and bytes decide. A string takes 17 bytes of memory, whatever its place; all else is done in slices.
+    """
+    starts = size - length + 1
+    begin = np.concatenate([[0], np.cumsum(starts)])
+    hashes = np.empty(begin[-1], _U)
+    step = max(1, most // int(size.max()))
+    for w in range(0, len(at), step):
+        sizes, many = size[w : w + step], starts[w : w + step]
+        sums, down = _sums(_gather(data, at[w : w + step], sizes))
+        place = np.repeat(np.cumsum(sizes) - sizes - (begin[w : w + len(many)] - begin[w]), many) + np.arange(many.sum())
+        hashes[begin[w] : begin[w + len(many)]] = mix((sums[place + length] - sums[place]) * down[place])
+    order, hit = np.argsort(hashes), np.zeros(len(hashes), bool)
+    i = 0
+    while i < len(order):
+        j = min(len(order), i + (1 << 16))
+        while j < len(order) and hashes[order[j]] == hashes[order[j - 1]]:  # equal hashes stay together
+            other = hashes[order[j : j + (1 << 12)]] != hashes[order[j - 1]]
+            j += int(other.argmax()) if other.any() else len(other)
+        some = order[i:j]
+        window = np.searchsorted(begin, some, side="right") - 1
+        place = at[window] + some - begin[window]
+        alike = hashes[some][1:] == hashes[some][:-1]
+        candidates = np.flatnonzero(alike)
+        for first in range(0, len(candidates), 1 << 14):
+            pair = candidates[first : first + (1 << 14)]
+            wide = np.full(len(pair), length)
+            differ = _gather(data, place[pair], wide) != _gather(data, place[pair + 1], wide)
+            alike[pair[differ.reshape(-1, length).any(axis=1)]] = False
+        heads = np.flatnonzero(np.concatenate([[True], ~alike]))
+        least = np.minimum.reduceat(owner[window], heads)
+        hit[some[owner[window] > np.repeat(least, np.diff(np.append(heads, len(some))))]] = True
+        i = j
+    # neighbouring starts of a window as one
+    window = np.repeat(np.arange(len(at), dtype=np.int32), starts)
+    edge = np.concatenate([[True], window[1:] != window[:-1]])
+    first = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
+    last = np.flatnonzero(hit & ~np.concatenate([hit[1:] & ~edge[1:], [False]]))
+    return window[first].astype(np.int64), first - begin[window[first]], last - first + length
+
+
 _DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
