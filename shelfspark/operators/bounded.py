@@ -50,10 +50,27 @@ def _frame(pd, names, columns):
     return pd.DataFrame({n: pd.Series(c, dtype=object if isinstance(c, list) and c and isinstance(c[0], str) else None) for n, c in zip(names, kept)})
 
 
-def run_blocks(items: DataFrame, block_runs: int = BLOCK_RUNS, run: int = RUN) -> DataFrame:
-    """(block, first, n, ids, dims, weights, norm): runs of equal vectors, similar ones side by side, in each group by falling norm."""
+def _first_ids(keyed: DataFrame, need: int, run: int) -> DataFrame:
+    """The rows (id, v) with the ``need`` smallest ids of each v, repeated and null ids besides.
+
+    First among those of one hash, so that a frequent vector is not one task's.
+    """
+    cut = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(block_count(keyed.count(), 64 * run))))
+    for by in (["v", "part"], ["v"]):
+        w = W.partitionBy(*by).orderBy("id")
+        cut = cut.withColumn("place", F.dense_rank().over(w)).filter(F.col("place") <= need + 1)
+    return cut.select("id", "v")
+
+
+def run_blocks(items: DataFrame, block_runs: int = BLOCK_RUNS, run: int = RUN, need: int | None = None) -> DataFrame:
+    """(block, first, n, ids, dims, weights, norm): runs of equal vectors, similar ones side by side, in each group by falling norm.
+
+    With ``need`` only the ``need`` smallest ids of equal vectors are kept: those behind them cannot be in a list.
+    """
     entries = F.array_sort(F.transform(F.arrays_zip("dims", "weights"), lambda e: F.struct(e["dims"].alias("d"), e["weights"].alias("w"))))
     keyed = items.select("id", entries.alias("v"))
+    if need is not None:
+        keyed = _first_ids(keyed, need, run)
     parts = keyed.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / run).alias("parts"))
     pieces = keyed.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     # about ``run`` ids in each list
@@ -238,12 +255,15 @@ def top(
     """
     if metric == "cosine":
         queries, items = units(queries), units(items)
-    blocks = run_blocks(items, block_runs, run)
-    bounds = block_bounds(blocks)
-    n_blocks = bounds.count()
     asked = queries.select("id", "dims", "weights")
+    most = 0
     if exclude is not None:
         exclude = cut_lineage(exclude.distinct(), "exclude")
+        most = exclude.groupBy(F.col(exclude.columns[0]).alias("id")).agg(F.count(F.lit(1)).alias("h")).agg(F.max("h")).first()[0] or 0
+    # of equal vectors a list holds the smallest ids that its query has not excluded
+    blocks = run_blocks(items, block_runs, run, k + int(exclude_self) + most)
+    bounds = block_bounds(blocks)
+    n_blocks = bounds.count()
     kept = ["lo", "hi"] if spans else []
 
     def listed(parts: DataFrame) -> DataFrame:
